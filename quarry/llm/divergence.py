@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from quarry.llm import scratch
-from quarry.llm.scratch import fresh
+from quarry.llm.scratch import fresh, small_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -133,7 +133,7 @@ def features(docs: DataFrame, into: str, every: bool) -> DataFrame:
             rows = [measure(t, every) for t in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, arrow.field(into).type)], names=arrow.names)
 
-    return docs.mapInArrow(run, out)
+    return small_batches(docs).mapInArrow(run, out)
 
 
 def js_distance(p: Column, q: Column) -> Column:

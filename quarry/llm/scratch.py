@@ -49,3 +49,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = f"_{name}"
     return name
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound what a Python worker holds at once: Arrow batches of at most 500 rows and 4 MB, before any Python map."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")
+    return df
