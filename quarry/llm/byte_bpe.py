@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.scratch import small_batches
+
 CHUNK, OVERLAP = 32_768, 1_024
 #: Distinct pieces whose ids a worker keeps; beyond it the store starts afresh.
 PIECES = 500_000
@@ -103,7 +105,7 @@ def encode_table(docs: DataFrame, finish: Callable[[ByteBPE, bytes], tuple], sch
     """doc_id and what `finish` makes of the coder and the ids of each whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = [x.strip().split()[0] for x in schema.split(",")]
-    pair = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pair = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_file, pattern)
@@ -156,7 +158,7 @@ def decode(tokens: DataFrame, ranks_file: str | None = None, pattern: str | None
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or b"") for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "bytes"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, bytes binary")
+    return small_batches(tokens).select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, bytes binary")
 
 
 def round_trip(docs: DataFrame, **options: object) -> DataFrame:

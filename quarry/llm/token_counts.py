@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.llm.scratch import small_batches
+
 MARK = "▁"
 LIMIT = 4096
 #: Distinct units whose prefix counts a worker keeps; beyond it the store starts afresh.
@@ -156,4 +158,4 @@ def count_tokens(docs: DataFrame, model_file: str | None = None, limit: int = LI
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
