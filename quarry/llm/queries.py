@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, divergence, token_counts
+from quarry.llm import byte_bpe, divergence, maglev, preference, token_counts, wavelet
 from quarry.llm.scratch import read
 
 
@@ -14,21 +14,39 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.neighbours(read(spark, sf_dir, "conversations")))
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.rule_table(read(spark, sf_dir, "documents"))
 
 
+def op7_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maglev.place(read(spark, sf_dir, "documents"))
+
+
 def op8_chunked_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.write_and_read(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_token_counts,
+        op5_preference_pairs,
         op6_divergence_rules,
+        op7_maglev_sharding,
         op8_chunked_byte_bpe,
+        op10_wavelet_tokens,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_preference_pairs": preference.ORACLE,
+    "op7_maglev_sharding": maglev.oracle(),
+}

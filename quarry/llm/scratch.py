@@ -17,13 +17,17 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def table(df: DataFrame, sort: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The lineage ends there: a lost executor costs a re-read, never a recomputation of the plan above.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarry/{unique()}"
     (df.sortWithinPartitions(sort) if sort else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
