@@ -6,8 +6,9 @@ One pass therefore gives last piece and token count at every prefix, and later q
 a budget end, how long is this cut) are look-ups, never another encoding.
 
 No piece of the model joins a character to a following space mark, so a text splits into units, each a run
-of space marks and the characters up to the next. Counts at every prefix are stored per distinct
-unit, and a text keeps the running sums at its units' starts: any prefix is one sum and one look-up.
+of space marks and the characters up to the next; a unit splits into segments wherever no piece spans two
+neighbouring characters. Counts at every prefix are stored per distinct segment, and a text keeps the running sums at its
+units' starts: any prefix is one sum and a few look-ups.
 
 Nulls and odd rows: null and empty texts count 0 tokens and 0 bytes. Characters outside the model count
 their UTF-8 bytes (byte fallback). Repeated rows give one result row each; a null doc_id stays null.
@@ -26,12 +27,12 @@ from quarry.llm.scratch import small_batches
 
 MARK = "▁"
 LIMIT = 4096
-#: Distinct units whose prefix counts a worker keeps; beyond it the store starts afresh.
+#: Distinct units whose counts a worker keeps; beyond it the store starts afresh.
 UNITS = 400_000
 
 
 class PrefixCounts(dict):
-    """unit without its first space mark -> tokens of the whole unit; prefixes has all its prefix counts."""
+    """unit without its first space mark -> tokens of the whole unit; prefixes: segment -> tokens at each of its prefixes."""
 
     def __init__(self, model_file: str):
         import sentencepiece as spm
@@ -43,8 +44,13 @@ class PrefixCounts(dict):
             raise ValueError("a piece of this model joins a character to a following space mark")
         if sp.encode(" a", out_type=str)[0][0] != MARK or len(sp.encode("  a  ")) < 3:
             raise ValueError("the model must keep all spaces and add one in front")
-        self.longest = max(map(len, self.rank))
+        self.order = {p: n for n, p in enumerate(sorted(self.rank, key=self.rank.get))}
+        #: piece -> True, beginning of one only -> False.
+        self.begun = {p[:k]: False for p in self.rank for k in range(1, len(p))} | dict.fromkeys(self.rank, True)
+        #: Characters that stand side by side in some piece; no piece spans any other two.
+        self.joined = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         self.apart: dict[tuple[str, str], bool] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
         self.prefixes: dict[str, list[int]] = {}
 
     def merge(self, s: str) -> list[str]:
@@ -57,39 +63,89 @@ class PrefixCounts(dict):
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def stay_apart(self, a: str, b: str) -> bool:
-        """Whether pieces a and b next to each other are what BPE makes of their characters."""
-        known = self.apart.get((a, b))
+    def split(self, piece: str) -> tuple[str, str]:
+        """The two parts whose join made the piece last."""
+        known = self.halves.get(piece)
         if known is None:
-            known = self.apart[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+            parts = list(piece)
+            while len(parts) > 2:
+                k = min((self.order[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.order)[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            known = self.halves[piece] = (parts[0], parts[1])
         return known
 
+    def stay_apart(self, a: str, b: str) -> bool:
+        """Whether pieces a and b next to each other are what BPE makes of their characters.
+
+        Undo their joins from the last to the first. Between two steps the parts at the border have both been there,
+        so if they could join earlier than the step undone last, BPE would have done so. Of equal joins
+        the left one comes first.
+        """
+        order, limit = self.order, 1 << 60
+        while True:
+            if order.get(a + b, 1 << 60) < limit:
+                return False
+            x = order[a] if len(a) > 1 else -1
+            y = order[b] if len(b) > 1 else -1
+            if x > y:
+                limit, a = x, self.split(a)[1]
+            elif y >= 0:
+                limit, b = y + 1, self.split(b)[0]
+            else:
+                return True
+
+    def segments(self, unit: str) -> list[str]:
+        joined, at, out = self.joined, 0, []
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in joined:
+                out.append(unit[at:k])
+                at = k
+        return [*out, unit[at:]]
+
     def table(self, unit: str) -> list[int]:
         """Token counts of unit[:1], unit[:2], ..., of a unit with its space marks."""
-        count, last = [0], [""]
-        rank, apart, longest = self.rank, self.stay_apart, self.longest
-        for i in range(1, len(unit) + 1):
-            for j in range(max(0, i - longest), i):
-                t = unit[j:i]
-                if t in rank or j == i - 1:
-                    if apart(last[j], t):
-                        count.append(count[j] + (1 if t in rank else len(t.encode("utf-8", "surrogatepass"))))
-                        last.append(t)
-                        break
-            else:
-                parts = self.merge(unit[:i])
-                count.append(sum(1 if t in rank else len(t.encode("utf-8", "surrogatepass")) for t in parts))
-                last.append(parts[-1])
+        out, base = [], 0
+        for s in self.segments(unit):
+            known = self.prefixes.get(s)
+            if known is None:
+                known = self.prefixes[s] = self.chart(s)
+            out += [base + c for c in known] if base else known
+            base = out[-1]
+        return out
+
+    def chart(self, s: str) -> list[int]:
+        """The programme itself, for a segment: from each prefix, the pieces that may end a longer one."""
+        n = len(s)
+        count, last = [0] * (n + 1), [""] * (n + 1)
+        begun, apart = self.begun, self.apart
+        for j in range(n):
+            left, base = last[j], count[j]
+            for i in range(j + 1, n + 1):
+                t = s[j:i]
+                whole = begun.get(t)
+                if whole is None and i > j + 1:
+                    break
+                if count[i] or not (whole or i == j + 1):
+                    continue
+                if left:
+                    ok = apart.get((left, t))
+                    if ok is None:
+                        ok = apart[left, t] = self.stay_apart(left, t)
+                    if not ok:
+                        continue
+                count[i] = base + (1 if whole else len(t.encode("utf-8", "surrogatepass")))
+                last[i] = t
+                if whole is None:
+                    break
         return count[1:]
 
     def __missing__(self, rest: str) -> int:
-        if len(self) >= UNITS:
+        if len(self) >= UNITS or len(self.apart) >= 4 * UNITS:
             self.clear()
             self.prefixes.clear()
             self.apart.clear()
-        known = self.prefixes[rest] = self.table(MARK + rest)
-        self[rest] = known[-1]
-        return known[-1]
+        n = self[rest] = self.table(MARK + rest)[-1]
+        return n
 
     def units(self, text: str) -> list[str]:
         """The text's units, each without its first mark."""
@@ -113,8 +169,7 @@ class PrefixCounts(dict):
         k = int(np.searchsorted(ends, budget, side="right"))  # the first unit that ends beyond it
         before = int(ends[k - 1]) if k else 0
         start = sum(len(u) + 1 for u in units[:k]) - 1  # of the unit in the text; the mark in front of all isn't in it
-        self[units[k]]
-        tokens = self.prefixes.get(units[k]) or self.table(MARK + units[k])
+        tokens = self.table(MARK + units[k])
         fit = max((i + 1 for i, c in enumerate(tokens) if before + c <= budget), default=0)
         return max(0, start + fit)
 
