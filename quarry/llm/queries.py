@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, divergence, maglev, preference, token_counts, wavelet
+from quarry.llm import byte_bpe, divergence, html_region, maglev, preference, token_counts, wavelet
 from quarry.llm.scratch import read
 
 
@@ -30,6 +30,10 @@ def op8_chunked_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op9_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_region.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.write_and_read(read(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_divergence_rules,
         op7_maglev_sharding,
         op8_chunked_byte_bpe,
+        op9_html_region,
         op10_wavelet_tokens,
     )
 }
