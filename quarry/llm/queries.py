@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, divergence, html_region, maglev, preference, token_counts, wavelet
+from quarry.llm import byte_bpe, divergence, html_region, maglev, preference, token_counts, wavelet, weak_label
 from quarry.llm.scratch import read
 
 
@@ -14,6 +14,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_label.score_table(read(spark, sf_dir, "documents"))
+
+
 def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.neighbours(read(spark, sf_dir, "conversations")))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_token_counts,
+        op4_weak_label_quality,
         op5_preference_pairs,
         op6_divergence_rules,
         op7_maglev_sharding,
