@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, divergence, html_region, maglev, preference, token_counts, wavelet, weak_label
+from quarry.llm import byte_bpe, decontaminate, divergence, html_region, maglev, preference, token_counts, wavelet, weak_label
 from quarry.llm.scratch import read
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_template_decontamination,
         op2_token_counts,
         op4_weak_label_quality,
         op5_preference_pairs,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_template_decontamination": decontaminate.oracle(),
     "op5_preference_pairs": preference.ORACLE,
     "op7_maglev_sharding": maglev.oracle(),
 }
