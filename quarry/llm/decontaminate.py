@@ -154,15 +154,17 @@ def oracle(coverage: float = COVERAGE) -> str:
     once = r"regexp_replace({}, '([\p{{L}}\p{{N}},;:] )(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(1) || '\2', 'g')"
     named = once.format(once.format("text"))
     canon = f"list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN toks[i] < ':' THEN CASE WHEN toks[i] < chr(2) THEN '@' ELSE '#' END WHEN toks[i] IN ({units}) AND i > 1 AND toks[i - 1] BETWEEN '0' AND '9~' THEN '%' ELSE toks[i] END)"
+    cut = f"list_transform(range(0, len(toks) - {WINDOW - 1}), lambda i: {{'pos': i, 'words': toks[i + 1 : i + {WINDOW}], 'tpl': canon[i + 1 : i + {WINDOW}]}})"
     return f"""
     WITH b AS (SELECT DISTINCT item_id, unnest([{toks(named)}, {toks('text')}]) AS toks FROM benchmark WHERE text IS NOT NULL),
-    bw AS (SELECT item_id, unnest(range(0, len(toks) - {WINDOW - 1})) AS pos, toks, {canon} AS canon FROM b WHERE len(toks) >= {WINDOW}),
-    w AS (SELECT DISTINCT item_id, pos, toks[pos + 1 : pos + {WINDOW}] AS words, canon[pos + 1 : pos + {WINDOW}] AS tpl FROM bw
-          WHERE len(list_filter(canon[pos + 1 : pos + {WINDOW}], lambda c: c NOT IN ('#', '@', '%'))) >= {PLAIN}),
+    bc AS (SELECT item_id, toks, {canon} AS canon FROM b WHERE len(toks) >= {WINDOW}),
+    bw AS (SELECT item_id, unnest({cut}) AS c FROM bc),
+    w AS (SELECT DISTINCT item_id, c.pos AS pos, c.words AS words, c.tpl AS tpl FROM bw WHERE len(list_filter(c.tpl, lambda c: c NOT IN ('#', '@', '%'))) >= {PLAIN}),
     n AS (SELECT item_id, count(DISTINCT pos) AS item_windows FROM w GROUP BY item_id),
     d AS (SELECT doc_id, text, {toks(named)} AS toks FROM documents WHERE text IS NOT NULL),
-    dw AS (SELECT doc_id, text, unnest(range(0, len(toks) - {WINDOW - 1})) AS pos, toks, {canon} AS canon FROM d WHERE len(toks) >= {WINDOW}),
-    v AS (SELECT doc_id, text, pos, toks[pos + 1 : pos + {WINDOW}] AS words, canon[pos + 1 : pos + {WINDOW}] AS tpl FROM dw),
+    dc AS (SELECT doc_id, text, toks, {canon} AS canon FROM d WHERE len(toks) >= {WINDOW}),
+    dw AS (SELECT doc_id, hash(text) AS text, unnest({cut}) AS c FROM dc),
+    v AS (SELECT doc_id, text, c.pos AS pos, c.words AS words, c.tpl AS tpl FROM dw),
     m AS (SELECT doc_id, text, w.item_id, item_windows, v.pos - w.pos AS shift, w.pos,
           list_transform(list_filter(range(1, {WINDOW + 1}), lambda i: w.tpl[i] IN ('#', '@', '%')),
                          lambda i: {{'k': w.tpl[i], 'b': ltrim(w.words[i], chr(1)), 'd': ltrim(v.words[i], chr(1))}}) AS slots
