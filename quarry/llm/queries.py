@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, decontaminate, divergence, html_region, maglev, preference, token_counts, wavelet, weak_label
+from quarry.llm import byte_bpe, decontaminate, divergence, html_region, jaccard_join, maglev, preference, token_counts, wavelet, weak_label
 from quarry.llm.scratch import read
 
 
@@ -18,6 +18,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(read(spark, sf_dir, "documents"))
+
+
 def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_label.score_table(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_template_decontamination,
         op2_token_counts,
+        op3_jaccard_join,
         op4_weak_label_quality,
         op5_preference_pairs,
         op6_divergence_rules,
