@@ -82,7 +82,7 @@ def waiver(text: Column) -> Column:
 
 def convert_rubric(rubric: DataFrame) -> DataFrame:
     n = F.row_number().over(W.partitionBy("qid").orderBy("cid")) - 1
-    cid = F.concat(F.col("qid"), F.lit("::c"), F.lpad(n.cast("string"), 2, "0"))
+    cid = F.concat(F.col("qid"), F.lit("::c"), F.format_string("%02d", n))
     size = F.abs("weight")
     return rubric.select("qid", cid.alias("cid"), F.least(F.lit(5).cast("long"), F.bround(size)).alias("weight"), F.col("weight").alias("signed_weight"), F.when(F.col("weight") < 0, "penalty").otherwise("reward").alias("kind"), F.when(size >= 4, "mandatory").otherwise("optional").alias("tier"))
 
