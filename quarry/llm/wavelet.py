@@ -31,8 +31,10 @@ from quarry.llm.scratch import small_batches
 
 MAGIC, BITS, BLOCK = b"QWM1", 16, 512
 SHARD_TOKENS, END = 1 << 18, 0
+#: Characters of neither letters, digits nor white space that often end a word.
+MARKS = ",.!?:;%&*#$|)\""
 #: Distinct words whose ids a worker keeps.
-WORDS = 250_000
+WORDS = 400_000
 
 
 class WaveletMatrix:
@@ -163,6 +165,7 @@ class WordCoder(dict):
         self.core = Tokenizer.from_file(tokenizer_file)
         if self.core.get_vocab_size() > 1 << BITS:
             raise ValueError("ids must fit in 16 bits")
+        self.tails: dict[str, bytes] = {}
         pieces = [self.core.id_to_token(i) or "" for i in range(self.core.get_vocab_size())]
         self.begins = np.array([p.startswith("\u0120") for p in pieces])  # with a space
 
@@ -186,11 +189,27 @@ class WordCoder(dict):
         split = [t.split(" ") for t in texts]
         if len(self) > WORDS:
             self.clear()
+            self.tails.clear()
         new = list({w for words in split for w in words[1:]}.difference(self))
         loose = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
         self.update(dict.fromkeys(loose))
-        tight = list(set(new).difference(loose))
+        # a run of marks after a letter or digit is a piece of its own, so the word in front of it is encoded once for all its endings
+        ended, plain = {}, set()
+        for w in set(new).difference(loose):
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem and stem[-1].isalnum():
+                ended[w] = stem
+                if stem not in self:
+                    plain.add(stem)
+            else:
+                plain.add(w)
+        tight = list(plain)
         self.update(zip(tight, self.spaced(tight)))
+        for w, stem in ended.items():
+            tail = w[len(stem) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole([tail])[0]
+            self[w] = self[stem] + self.tails[tail]
         firsts = self.whole([words[0] for words in split])
         out, rest = [], []
         for n, (words, first) in enumerate(zip(split, firsts)):
