@@ -11,7 +11,7 @@ from quarry.fixtures import Views, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "m09_query_metrics"
-PLANS = ("ids", "text")
+PLANS = ("ids", "text", "metrics")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
