@@ -21,3 +21,23 @@ def parse_report(reports: DataFrame, key: list[str], cap: int = 3) -> DataFrame:
     grouped = own.withColumn("g", F.sum((F.col("sentence") != "").cast("int")).over(w))
     s = grouped.groupBy(*key, "g").agg(F.max("sentence").alias("sentence"), F.array_distinct(F.flatten(F.collect_list("cited"))).alias("cited"))
     return s.filter("g > 0").select(*key, F.col("g").alias("sentence_no"), "sentence", F.slice("cited", 1, cap).alias("citations"))
+
+
+def reference_index(cites: DataFrame, by: list[str], cap: int = 3) -> DataFrame:
+    """References in the order they are first cited, over the first `cap` citations of each sentence."""
+    k = cites.filter(F.col("pos") < cap).groupBy(*by, "doc").agg(F.min(F.struct("sentence", "pos")).alias("at"))
+    return k.select(*by, "doc", (F.row_number().over(W.partitionBy(*by).orderBy("at")) - 1).cast("long").alias("ref"))
+
+
+def resolve(citations: DataFrame, refs: DataFrame, by: list[str]) -> DataFrame:
+    """Citations as document ids: a number is an index into the references, anything else an id. Repeats keep their first place."""
+    n = F.col("citation").try_cast("int")
+    j = citations.withColumn("_n", n).join(refs.select(*by, F.col("ref").alias("_n"), F.col("doc").alias("_doc")), [*by, "_n"], "left")
+    j = j.withColumn("doc", F.when(F.col("_n").isNull(), F.col("citation")).otherwise(F.col("_doc"))).filter("doc IS NOT NULL")
+    return j.groupBy(*by, "sentence", "doc").agg(F.min("pos").alias("pos"))
+
+
+def support_pairs(sentences: DataFrame, passages: DataFrame, first_only: bool, limit: int) -> DataFrame:
+    """(sentence, cited passage) with the passage there, cut to `limit` characters."""
+    s = sentences.filter("pos = 0") if first_only else sentences
+    return s.join(passages, "doc").withColumn("passage", F.substring("passage", 1, limit))
