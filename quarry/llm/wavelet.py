@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -33,8 +34,10 @@ MAGIC, BITS, BLOCK = b"QWM1", 16, 512
 SHARD_TOKENS, END = 1 << 18, 0
 #: Characters of neither letters, digits nor white space that often end a word.
 MARKS = ",.!?:;%&*#$|)\""
-#: Distinct words whose ids a worker keeps.
-WORDS = 400_000
+#: Words beside which white space may join in: empty, or with white space at an end.
+LOOSE = r"^$|^[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]$"
+#: Bytes of text that are encoded together; a larger one alone.
+TOGETHER = 12 << 20
 
 
 class WaveletMatrix:
@@ -152,11 +155,23 @@ def unpack(image: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return ids, np.frombuffer(parts[2], "<u4"), WaveletMatrix(n, zeros, [np.frombuffer(p, np.uint8) for p in parts[4::2]], [np.frombuffer(p, "<u4") for p in parts[3::2]])
 
 
-class WordCoder(dict):
-    """word -> ids of the space and the word, as 16-bit bytes; None where white space beside it may join in.
+def gather(table: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The entries of a table of stretches of these sizes, one after the other."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
+    out = [np.zeros(0, table.dtype)]
+    for k in range(0, len(entries), 1 << 17):  # what is gathered at a time stays in the cache
+        e = entries[k : k + (1 << 17)]
+        size = sizes[e]
+        out.append(table[np.repeat(starts[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+    return np.concatenate(out)
+
+
+class WordCoder:
+    """Encodes many texts at once, each distinct word once.
 
     The pre-tokeniser always breaks before a space that stands between two other characters, and never looks
-    back, so texts without other runs of white space are encoded word by word. The rest are encoded whole.
+    back, so texts without other runs of white space are the encodings of their first word and of a space
+    and each further word. The rest are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -165,64 +180,87 @@ class WordCoder(dict):
         self.core = Tokenizer.from_file(tokenizer_file)
         if self.core.get_vocab_size() > 1 << BITS:
             raise ValueError("ids must fit in 16 bits")
-        self.tails: dict[str, bytes] = {}
         pieces = [self.core.id_to_token(i) or "" for i in range(self.core.get_vocab_size())]
+        self.kept = pa.array([], pa.string()), np.zeros(0, np.uint16), np.zeros(0, np.int64)
         self.begins = np.array([p.startswith("\u0120") for p in pieces])  # with a space
 
-    def spaced(self, words: list[str], at_once: int = 4_000) -> list[bytes]:
-        """The ids of a space and each word. Encoded as one text, cut where an id begins with a space: each word has one such."""
-        out: list[bytes] = []
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint16) for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spaced(self, words: list[str], at_once: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a space and each word, one after the other, and their numbers.
+
+        Words are encoded as one text, which is cut where an id begins with a space: each word has one such.
+        """
+        ids, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         for k in range(0, len(words), at_once):
             part = words[k : k + at_once]
-            ids = np.asarray(self.core.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
-            cuts = [*(2 * np.flatnonzero(self.begins[ids])).tolist(), 2 * len(ids)]
-            if len(cuts) != len(part) + 1:
+            ids.append(self.whole([" " + " ".join(part)])[0])
+            starts = np.flatnonzero(self.begins[ids[-1]])
+            if len(starts) != len(part):
                 raise ValueError("this tokenizer doesn't break before each space")
-            image = ids.tobytes()
-            out += [image[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, np.uint16).tobytes() for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        if len(self) > WORDS:
-            self.clear()
-            self.tails.clear()
-        new = list({w for words in split for w in words[1:]}.difference(self))
-        loose = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
-        self.update(dict.fromkeys(loose))
-        # a run of marks after a letter or digit is a piece of its own, so the word in front of it is encoded once for all its endings
-        ended, plain = {}, set()
-        for w in set(new).difference(loose):
-            stem = w.rstrip(MARKS)
-            if len(stem) < len(w) and stem and stem[-1].isalnum():
-                ended[w] = stem
-                if stem not in self:
-                    plain.add(stem)
-            else:
-                plain.add(w)
-        tight = list(plain)
-        self.update(zip(tight, self.spaced(tight)))
-        for w, stem in ended.items():
-            tail = w[len(stem) :]
-            if tail not in self.tails:
-                self.tails[tail] = self.whole([tail])[0]
-            self[w] = self[stem] + self.tails[tail]
-        firsts = self.whole([words[0] for words in split])
-        out, rest = [], []
-        for n, (words, first) in enumerate(zip(split, firsts)):
-            try:
-                if len(words) > 1 and (not words[0] or words[0][-1].isspace()):
-                    raise TypeError
-                out.append(first + b"".join(map(self.__getitem__, words[1:])))
-            except TypeError:
-                out.append(b"")
-                rest.append(n)
-        for n in rest:
-            out[n] = self.whole([texts[n]])[0]
-        return out
+            sizes.append(np.diff(starts, append=len(ids[-1])))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def words(self, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a space and each of the distinct words, and their numbers.
+
+        A run of marks after a letter or digit is a piece of its own, so what stands before it is encoded once for all
+        its endings. What was encoded for the last texts is kept.
+        """
+        stem = pc.utf8_rtrim(known, MARKS)
+        ended = pc.and_(pc.match_substring_regex(stem, r"[\p{L}\p{N}]$"), pc.not_equal(stem, known)).to_numpy(zero_copy_only=False)
+        coded = pc.if_else(pa.array(ended), stem, known).dictionary_encode()
+        first, stems = coded.indices.to_numpy(), coded.dictionary
+        at = pc.index_in(stems, value_set=self.kept[0]).to_numpy(zero_copy_only=False)
+        new = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+        ids, sizes = self.spaced(stems.filter(pa.array(new)).to_pylist())
+        old = np.where(new, 0, at).astype(np.int64)
+        held = len(self.kept[2])
+        both = np.concatenate([self.kept[1], ids]), np.concatenate([self.kept[2], sizes])
+        entry = np.where(new, held + np.cumsum(new) - 1, old)
+        sizes = both[1][entry]
+        self.kept = stems, gather(both[0], both[1], entry), sizes
+        marked = np.flatnonzero(ended)
+        tails = [w[len(t) :] for w, t in zip(known.take(pa.array(marked)).to_pylist(), stem.take(pa.array(marked)).to_pylist())]
+        number = {t: k + 1 for k, t in enumerate(dict.fromkeys(tails))}
+        tail_ids = [np.zeros(0, np.uint16), *self.whole(list(number))]
+        second = np.zeros(len(known), np.int64)
+        second[marked] = [number[t] for t in tails]
+        sizes = np.concatenate([self.kept[2], [len(x) for x in tail_ids]])
+        pairs = np.stack([first.astype(np.int64), len(stems) + second], 1)
+        return gather(np.concatenate([self.kept[1], *tail_ids]), sizes, pairs.ravel()), sizes[pairs].sum(1)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, each text's followed by the end id if there is one, and their numbers."""
+        n = len(texts)
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        at -= at[0]
+        word, known = coded.indices.to_numpy(), coded.dictionary
+        loose = pc.match_substring_regex(known, LOOSE).to_numpy(zero_copy_only=False)
+        ids, sizes = self.words(pc.if_else(pa.array(loose), "x", known))
+        # further entries: each text's first word, its end, and texts to encode whole
+        hit = np.concatenate([[0], np.cumsum(loose[word])])
+        rest = np.flatnonzero(hit[at[1:]] > hit[at[:-1]])
+        firsts = self.whole(split.values.take(pa.array(split.offsets.to_numpy()[:-1])).to_pylist())
+        others = self.whole(texts.take(pa.array(rest)).to_pylist())
+        close = np.array([] if end is None else [end], np.uint16)
+        table = np.concatenate([ids, *firsts, *others, close])
+        sizes = np.concatenate([sizes, [len(x) for x in firsts], [len(x) for x in others], [len(close)]]).astype(np.int64)
+        word = word.astype(np.int32)
+        word[at[:-1]] = len(known) + np.arange(n)
+        keep = np.ones(len(word), bool)
+        for k, i in enumerate(rest):
+            keep[at[i] + 1 : at[i + 1]] = False
+            word[at[i]] = len(known) + n + k
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))[keep]
+        stops = np.cumsum(np.bincount(owner, minlength=n))  # every text has an entry, so these are where its end goes
+        word = np.insert(word[keep], stops, len(sizes) - 1)
+        stops = stops + np.arange(1, n + 1)
+        per = np.concatenate([[0], np.cumsum(sizes[word])])[stops]
+        return gather(table, sizes, word), np.diff(per, prepend=0)
 
 
 _CODERS: dict[str | None, WordCoder] = {}
@@ -236,6 +274,7 @@ def coder(tokenizer_file: str | None) -> WordCoder:
     return _CODERS[tokenizer_file]
 
 
+SHARD_ARROW = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 SHARD = "part int, seq int, n_docs long, n_tokens long, image binary"
 
 
@@ -246,26 +285,43 @@ def build_shards(docs: DataFrame, tokenizer_file: str | None = None, end: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seq = coder(tokenizer_file), TaskContext.get().partitionId(), 0
-        close = np.array([] if end is None else [end], np.uint16).tobytes()
         ids: list[int | None] = []
-        rows: list[bytes] = []
+        rows: list[np.ndarray] = []
         held = 0
+        kind = SHARD_ARROW
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, rows, held, seq
-            tokens = np.frombuffer(b"".join(rows), np.uint16)
-            image = pack(ids, [len(r) // 2 for r in rows], WaveletMatrix.build(tokens))
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([image], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "image"])
+            image = pack(ids, [len(r) for r in rows], WaveletMatrix.build(np.concatenate(rows)))
+            out = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, seq, len(ids), held, image), kind)], names=["part", "seq", "n_docs", "n_tokens", "image"])
             ids, rows, held, seq = [], [], 0, seq + 1
             return out
 
-        for b in batches:
-            for i, r in zip(b.column(0).to_pylist(), words.encode([t or "" for t in b.column(1).to_pylist()])):
+        def together() -> Iterator[pa.Table]:
+            some: list[pa.RecordBatch] = []
+            size = 0
+            for b in batches:
+                some.append(b)
+                size += b.column(1).nbytes
+                if size >= TOGETHER:
+                    yield pa.Table.from_batches(some)
+                    some, size = [], 0
+            if some:
+                yield pa.Table.from_batches(some)
+
+        for t in together():
+            texts = pc.fill_null(t.column(1).combine_chunks(), "")
+            texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+            tokens, sizes = words.encode(texts, end)
+            at = 0
+            for i, n in zip(t.column(0).to_pylist(), sizes.tolist()):
                 ids.append(i)
-                rows.append(r + close)
-                held += len(rows[-1]) // 2
+                rows.append(tokens[at : at + n])
+                at += n
+                held += n
                 if held >= shard_tokens:
                     yield flush()
+            rows = [r.copy() for r in rows]  # a view would hold the whole block
         if ids:
             yield flush()
 
