@@ -110,3 +110,29 @@ def pair_statistics(vecs: DataFrame, by: list[str], near: float = 0.9) -> DataFr
         return pd.DataFrame([(*key, pairs, total / pairs if pairs else None, hits / pairs if pairs else None)], columns=[*by, "pairs", "mean", "near"])
 
     return vecs.groupBy(*by).applyInPandas(run, schema)
+
+
+def lsh_top_k(queries: DataFrame, docs: DataFrame, k: int, bits: int = 6, tables: int = 24, seed: int = 7) -> DataFrame:
+    """Approximate search: vectors meet in any of `tables` sign-projection buckets of `bits` planes, and are scored exactly there."""
+
+    def hashed(df: DataFrame, key: str) -> DataFrame:
+        schema = f"{key} long, vec array<double>, bucket array<long>"
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            planes = None
+            for b in batches:
+                x = np.stack(b["vec"].to_numpy()).astype(np.float64)
+                if planes is None:
+                    planes = np.random.default_rng(seed).standard_normal((x.shape[1], bits * tables))
+                code = ((x @ planes) > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))
+                yield pd.DataFrame({key: b[key], "vec": list(x), "bucket": list(code + (np.arange(tables) << bits))})
+
+        return df.filter("vec IS NOT NULL").select(key, "vec").mapInPandas(run, schema)
+
+    q = hashed(queries, "query_id").select("query_id", F.col("vec").alias("q"), F.explode("bucket").alias("bucket"))
+    d = hashed(docs, "id").select("id", F.explode("bucket").alias("bucket"))
+    pairs = q.select("query_id", "bucket").join(d, "bucket").select("query_id", "id").distinct()
+    dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(docs.select("id", "vec"), "id").select("query_id", "id", dot.alias("score"))
+    r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", r.cast("long")).filter(F.col("rank") <= k)

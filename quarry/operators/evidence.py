@@ -41,3 +41,15 @@ def support_pairs(sentences: DataFrame, passages: DataFrame, first_only: bool, l
     """(sentence, cited passage) with the passage there, cut to `limit` characters."""
     s = sentences.filter("pos = 0") if first_only else sentences
     return s.join(passages, "doc").withColumn("passage", F.substring("passage", 1, limit))
+
+
+def packets(claims: DataFrame, docs: DataFrame, by: list[str], docs_per: int = 3, spans_per: int = 2, least: float = 0.05) -> DataFrame:
+    """Per finding, the documents of its group with the best span scores, and the best spans of each.
+
+    Claims meet the spans of their own group only.
+    """
+    spans = docs.select(*by, "doc", F.posexplode(T.spans(F.col("text"))).alias("n", "span"))
+    s = claims.join(spans, by).withColumn("score", F.round(T.span_score(F.col("claim"), F.col("span")), 6)).filter(F.col("score") >= least)
+    best = s.withColumn("r", F.row_number().over(W.partitionBy(*by, "finding", "doc").orderBy(F.desc("score"), "n"))).filter(F.col("r") <= spans_per)
+    top = best.filter("r = 1").withColumn("d", F.row_number().over(W.partitionBy(*by, "finding").orderBy(F.desc("score"), "doc"))).filter(F.col("d") <= docs_per)
+    return best.join(top.select(*by, "finding", "doc", "d"), [*by, "finding", "doc"]).select(*by, "finding", F.col("d").alias("doc_rank"), "doc", F.col("r").alias("span_rank"), "span", "score")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 RESAMPLES, SEED, CONFIDENCE = 10_000, 13, 0.95
 
@@ -58,12 +58,12 @@ def t_two_sided(t: float, df: float) -> float:
     return 1.0 if t == 0 else min(1.0, beta_inc(df / 2.0, 0.5, df / (df + t * t)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else 0.0 if math.isinf(a) else t_two_sided(a, b) for a, b in zip(t, df)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else min(1.0, 2.0 * normal_sf(abs(x)))).astype(float)
 

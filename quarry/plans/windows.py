@@ -43,7 +43,7 @@ def w05(v: Views) -> DataFrame:
     return T.running_tokens(s, ["conv_id"], "step_idx", "n").select("conv_id", "step_idx", "cumulative")
 
 
-TIMED = "s AS (SELECT user_id AS run, event_id AS id, CAST(event_id % 7 AS BIGINT) AS turn, epoch_ms(ts) AS t0, epoch_ms(ts) + CAST(floor(value * 1000) AS BIGINT) AS t1 FROM events)"
+TIMED = "s AS (SELECT user_id AS run, event_id AS id, CAST(event_id % 7 AS BIGINT) AS turn, epoch_us(ts) // 1000 AS t0, epoch_us(ts) // 1000 + CAST(floor(value * 1000) AS BIGINT) AS t1 FROM events)"
 
 
 def timed(v: Views) -> DataFrame:
@@ -51,7 +51,7 @@ def timed(v: Views) -> DataFrame:
     return v.events.select(F.col("user_id").alias("run"), F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("turn"), t.alias("t0"), (t + F.floor(F.col("value") * 1000)).alias("t1"))
 
 
-@query("w06_step_duration", "SELECT event_id, CASE WHEN n >= 0 THEN n END AS ms FROM (SELECT event_id, epoch_ms(lead(ts) OVER (PARTITION BY user_id ORDER BY event_id)) - epoch_ms(ts) AS n FROM events)")
+@query("w06_step_duration", "SELECT event_id, CASE WHEN n >= 0 THEN n END AS ms FROM (SELECT event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY event_id)) // 1000 - epoch_us(ts) // 1000 AS n FROM events)")
 def w06(v: Views) -> DataFrame:
     end = F.lead("ts").over(W.partitionBy("user_id").orderBy("event_id"))
     return v.events.withColumn("e", end).select("event_id", T.duration_ms(F.col("ts"), F.col("e")).alias("ms"))
