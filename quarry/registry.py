@@ -11,7 +11,7 @@ from quarry.fixtures import Views, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "m09_query_metrics"
-PLANS = ("ids", "text", "metrics", "aggregates", "windows", "joins", "retrieval", "stats")
+PLANS = ("ids", "text", "metrics", "aggregates", "windows", "joins", "retrieval", "stats", "storage", "streams")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
