@@ -112,7 +112,7 @@ def pair_statistics(vecs: DataFrame, by: list[str], near: float = 0.9) -> DataFr
     return vecs.groupBy(*by).applyInPandas(run, schema)
 
 
-def lsh_top_k(queries: DataFrame, docs: DataFrame, k: int, bits: int = 6, tables: int = 24, seed: int = 7) -> DataFrame:
+def lsh_top_k(queries: DataFrame, docs: DataFrame, k: int, bits: int = 5, tables: int = 48, seed: int = 7) -> DataFrame:
     """Approximate search: vectors meet in any of `tables` sign-projection buckets of `bits` planes, and are scored exactly there."""
 
     def hashed(df: DataFrame, key: str) -> DataFrame:

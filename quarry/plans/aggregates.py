@@ -14,7 +14,6 @@ from quarry.operators import metrics as M
 from quarry.plans.metrics import PER_QUERY, per_query, r6
 from quarry.registry import query
 
-N = F.count(F.lit(1))
 
 
 @query("a01_mean", "SELECT user_id, round(avg(value), 6) AS mean, round(avg(value) FILTER (WHERE event_type = 'none'), 6) AS empty FROM events GROUP BY 1")
@@ -42,7 +41,7 @@ def a04(v: Views) -> DataFrame:
 
 @query("a05_cache_rebuild", "SELECT event_id % 2 AS version, count(*) AS records, count(*) FILTER (WHERE failed) AS failures, count(DISTINCT jkey) FILTER (WHERE NOT failed) AS cached FROM log GROUP BY 1")
 def a05(v: Views) -> DataFrame:
-    return v.log.groupBy((F.col("event_id") % 2).alias("version")).agg(N.alias("records"), F.count_if("failed").alias("failures"), F.countDistinct(F.when(~F.col("failed"), F.col("jkey"))).alias("cached"))
+    return v.log.groupBy((F.col("event_id") % 2).alias("version")).agg(F.count(F.lit(1)).alias("records"), F.count_if("failed").alias("failures"), F.countDistinct(F.when(~F.col("failed"), F.col("jkey"))).alias("cached"))
 
 
 @query("a06_incremental_cache", f"WITH {LATEST} SELECT jkey, grade, event_id FROM l")
@@ -75,24 +74,24 @@ def a09(v: Views) -> DataFrame:
 @query("a10_reweighting", """WITH c AS (SELECT source AS cls, grade, count(*) AS n FROM qrels JOIN corpus ON docid = chunk_id GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY cls) AS p FROM c),
 m AS (SELECT source AS cls, count(*) AS w FROM corpus GROUP BY 1), s AS (SELECT sum(w) AS s FROM m WHERE cls IN (SELECT cls FROM c)) SELECT grade, round(sum(p * w / s), 6) AS share FROM p JOIN m USING (cls), s GROUP BY 1""")
 def a10(v: Views) -> DataFrame:
-    c = v.qrels.join(v.corpus, F.col("docid") == F.col("chunk_id")).groupBy(F.col("source").alias("cls"), "grade").agg(N.alias("n"))
-    return J.reweight(c, v.corpus.groupBy(F.col("source").alias("cls")).agg(N.alias("w"))).select("grade", *r6("share"))
+    c = v.qrels.join(v.corpus, F.col("docid") == F.col("chunk_id")).groupBy(F.col("source").alias("cls"), "grade").agg(F.count(F.lit(1)).alias("n"))
+    return J.reweight(c, v.corpus.groupBy(F.col("source").alias("cls")).agg(F.count(F.lit(1)).alias("w"))).select("grade", *r6("share"))
 
 
 @query("a11_pool_statistics", """WITH p AS (SELECT DISTINCT topic_id, qkey, chunk_id FROM runs WHERE rnk <= 5), q AS (SELECT qkey, count(*) AS n FROM p GROUP BY 1), t AS (SELECT topic_id, count(DISTINCT chunk_id) AS n FROM p GROUP BY 1)
 SELECT (SELECT count(*) FROM q) AS queries, (SELECT count(*) FROM t) AS topics, (SELECT CAST(sum(n) AS BIGINT) FROM t) AS pairs, round((SELECT avg(n) FROM q), 6) AS per_query, round((SELECT avg(n) FROM t), 6) AS per_topic, round((SELECT sum(n) FROM q) / (SELECT sum(n) FROM t), 6) AS inflation""")
 def a11(v: Views) -> DataFrame:
     p = v.runs.filter("rnk <= 5").select("topic_id", "qkey", "chunk_id").distinct()
-    q = p.groupBy("topic_id", "qkey").agg(N.alias("n")).groupBy("topic_id").agg(N.alias("queries"), F.sum("n").alias("total"))
+    q = p.groupBy("topic_id", "qkey").agg(F.count(F.lit(1)).alias("n")).groupBy("topic_id").agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("total"))
     t = p.groupBy("topic_id").agg(F.countDistinct("chunk_id").alias("pairs"))
-    return q.join(t, "topic_id").agg(F.sum("queries").alias("queries"), N.alias("topics"), F.sum("pairs").alias("pairs"), F.round(F.sum("total") / F.sum("queries"), 6).alias("per_query"), F.round(F.avg("pairs"), 6).alias("per_topic"), F.round(F.sum("total") / F.sum("pairs"), 6).alias("inflation"))
+    return q.join(t, "topic_id").agg(F.sum("queries").alias("queries"), F.count(F.lit(1)).alias("topics"), F.sum("pairs").alias("pairs"), F.round(F.sum("total") / F.sum("queries"), 6).alias("per_query"), F.round(F.avg("pairs"), 6).alias("per_topic"), F.round(F.sum("total") / F.sum("pairs"), 6).alias("inflation"))
 
 
 @query("a12_rubric_coverage", """SELECT coalesce(qid, 'all') AS qid, round(coalesce(count(*) FILTER (WHERE weight >= 3 AND grade_a = 2) / nullif(count(*) FILTER (WHERE weight >= 3), 0), 0), 4) AS vital_strict, round(count(*) FILTER (WHERE grade_a = 2) / count(*), 4) AS all_strict
 FROM rubric GROUP BY ROLLUP (qid)""")
 def a12(v: Views) -> DataFrame:
     vital, hit = F.col("weight") >= 3, F.col("grade_a") == 2
-    g = v.rubric.rollup("qid").agg(F.round(F.coalesce(F.try_divide(F.count_if(vital & hit), F.count_if(vital)), F.lit(0.0)), 4).alias("vital_strict"), F.round(F.count_if(hit) / N, 4).alias("all_strict"))
+    g = v.rubric.rollup("qid").agg(F.round(F.coalesce(F.try_divide(F.count_if(vital & hit), F.count_if(vital)), F.lit(0.0)), 4).alias("vital_strict"), F.round(F.count_if(hit) / F.count(F.lit(1)), 4).alias("all_strict"))
     return g.withColumn("qid", F.coalesce("qid", F.lit("all")))
 
 
@@ -161,7 +160,7 @@ def a25(v: Views) -> DataFrame:
 
 @query("a26_histogram", "SELECT CAST(least(floor(length(contents) / 500) * 500, 5000) AS BIGINT) AS bucket, count(*) AS n FROM corpus GROUP BY 1")
 def a26(v: Views) -> DataFrame:
-    return v.corpus.groupBy(F.least(F.floor(F.length("contents") / 500) * 500, F.lit(5000)).cast("long").alias("bucket")).agg(N.alias("n"))
+    return v.corpus.groupBy(F.least(F.floor(F.length("contents") / 500) * 500, F.lit(5000)).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a27_latency_summary", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
@@ -169,7 +168,7 @@ p AS (SELECT event_type, max(value) FILTER (WHERE i = CAST(floor(0.5::DOUBLE * (
 SELECT e.event_type, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, any_value(p50) AS p50, any_value(p95) AS p95 FROM events e JOIN p ON e.event_type = p.event_type GROUP BY 1""")
 def a27(v: Views) -> DataFrame:
     p = A.percentiles(v.events, ["event_type"], "value", [0.5, 0.95], "lower").groupBy("event_type").agg(F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("p50"), F.max(F.when(F.col("q") == 0.95, F.col("value"))).alias("p95"))
-    s = v.events.groupBy("event_type").agg(N.alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+    s = v.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
     return s.join(p, "event_type")
 
 
@@ -183,7 +182,7 @@ def costs(v: Views) -> DataFrame:
 
 @query("a28_cost_report", f"WITH {COST} SELECT event_type, count(*) AS calls, count(DISTINCT jkey) AS keys, round(sum(usd), 6) AS usd, round(sum(usd * failed::INT), 6) AS failed_usd, round(sum(usd * repeated::INT), 6) AS repeated_usd, round(sum(usd * (failed OR repeated)::INT), 6) AS waste_usd FROM c GROUP BY 1")
 def a28(v: Views) -> DataFrame:
-    g = costs(v).groupBy("event_type").agg(N.alias("calls"), F.countDistinct("jkey").alias("keys"), *A.waste(F.col("usd")))
+    g = costs(v).groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("jkey").alias("keys"), *A.waste(F.col("usd")))
     return g.select("event_type", "calls", "keys", *r6("usd", "failed_usd", "repeated_usd", "waste_usd"))
 
 
@@ -227,18 +226,18 @@ def a34(v: Views) -> DataFrame:
 
 @query("a35_duration_by_type", "SELECT conv_id, role, CAST(sum(length(text)) AS BIGINT) AS ms, count(*) AS steps, round(sum(length(text)) / sum(sum(length(text))) OVER (PARTITION BY conv_id), 6) AS share FROM steps GROUP BY 1, 2")
 def a35(v: Views) -> DataFrame:
-    g = v.steps.groupBy("conv_id", "role").agg(F.sum(F.length("text")).cast("long").alias("ms"), N.alias("steps"))
+    g = v.steps.groupBy("conv_id", "role").agg(F.sum(F.length("text")).cast("long").alias("ms"), F.count(F.lit(1)).alias("steps"))
     return g.withColumn("share", F.round(F.col("ms") / F.sum("ms").over(W.partitionBy("conv_id")), 6))
 
 
 @query("a36_tool_calls", "SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE event_type <> 'error') AS ok, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS tools FROM events GROUP BY 1")
 def a36(v: Views) -> DataFrame:
-    return v.events.groupBy("user_id").agg(N.alias("calls"), F.count_if(F.col("event_type") != "error").alias("ok"), F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("tools"))
+    return v.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event_type") != "error").alias("ok"), F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("tools"))
 
 
 @query("a37_backend_matrix", "SELECT topic_id, event_type AS backend, count(*) AS searches, count(*) FILTER (WHERE grade = 0) AS zero, count(*) FILTER (WHERE failed) AS failed, count(DISTINCT jkey) AS documents FROM log GROUP BY 1, 2")
 def a37(v: Views) -> DataFrame:
-    return v.log.groupBy("topic_id", F.col("event_type").alias("backend")).agg(N.alias("searches"), F.count_if(F.col("grade") == 0).alias("zero"), F.count_if("failed").alias("failed"), F.countDistinct("jkey").alias("documents"))
+    return v.log.groupBy("topic_id", F.col("event_type").alias("backend")).agg(F.count(F.lit(1)).alias("searches"), F.count_if(F.col("grade") == 0).alias("zero"), F.count_if("failed").alias("failed"), F.countDistinct("jkey").alias("documents"))
 
 
 SEL = "s AS (SELECT topic_id AS kind, event_type AS backend, sum(coalesce(grade, 0)) AS committed, sum(event_id % 9 + 1) AS returned FROM log GROUP BY 1, 2)"
@@ -321,13 +320,13 @@ def a48(v: Views) -> DataFrame:
     pos = F.when(F.col("config") == "len", 0).otherwise(1) * 1_000_000 + F.col("rnk")
     f = v.runs.filter("rnk <= 3").groupBy("topic_id", "chunk_id").agg(F.min(pos).alias("pos"))
     x = F.array_sort(F.collect_list(F.struct("pos", "chunk_id")))
-    return f.groupBy("topic_id").agg(F.md5(F.array_join(F.transform(x, lambda s: s["chunk_id"]), " ")).alias("candidates"), N.alias("n"))
+    return f.groupBy("topic_id").agg(F.md5(F.array_join(F.transform(x, lambda s: s["chunk_id"]), " ")).alias("candidates"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a49_relevance_requests", "SELECT qkey, string_agg(chunk_id, ' ' ORDER BY rnk) AS refs, count(*) AS n FROM runs WHERE config = 'len' AND rnk <= 4 GROUP BY 1")
 def a49(v: Views) -> DataFrame:
     x = F.array_sort(F.collect_list(F.struct("rnk", "chunk_id")))
-    return v.runs.filter("config = 'len' AND rnk <= 4").groupBy("qkey").agg(F.array_join(F.array_distinct(F.transform(x, lambda s: s["chunk_id"])), " ").alias("refs"), N.alias("n"))
+    return v.runs.filter("config = 'len' AND rnk <= 4").groupBy("qkey").agg(F.array_join(F.array_distinct(F.transform(x, lambda s: s["chunk_id"])), " ").alias("refs"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a50_fine_tune_rows", "SELECT r.config, r.qkey, count(*) FILTER (WHERE q.grade >= 2) AS positive, count(*) FILTER (WHERE q.grade < 2) AS negative, count(*) FILTER (WHERE q.grade IS NULL) AS unjudged FROM runs r LEFT JOIN qrels q ON r.topic_id = q.topic_id AND r.chunk_id = q.chunk_id GROUP BY 1, 2")
@@ -351,7 +350,7 @@ def a52(v: Views) -> DataFrame:
 
 @query("a53_input_summary", "SELECT count(*) AS hits, count(DISTINCT topic_id) AS topics, count(DISTINCT qkey) AS queries, count(DISTINCT chunk_id) AS units, count(*) FILTER (WHERE score < 0) AS negative_scores, max(rnk) AS deepest FROM runs")
 def a53(v: Views) -> DataFrame:
-    return v.runs.agg(N.alias("hits"), *(F.countDistinct(c).alias(n) for c, n in (("topic_id", "topics"), ("qkey", "queries"), ("chunk_id", "units"))), F.count_if(F.col("score") < 0).alias("negative_scores"), F.max("rnk").cast("long").alias("deepest"))
+    return v.runs.agg(F.count(F.lit(1)).alias("hits"), *(F.countDistinct(c).alias(n) for c, n in (("topic_id", "topics"), ("qkey", "queries"), ("chunk_id", "units"))), F.count_if(F.col("score") < 0).alias("negative_scores"), F.max("rnk").cast("long").alias("deepest"))
 
 
 @query("a54_max_pool_to_documents", "WITH d AS (SELECT doc_id % 7 AS q, docid, max(length(contents)) AS score FROM chunks GROUP BY 1, 2) SELECT q, docid, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, docid) AS r FROM d) WHERE r <= 20")
@@ -384,7 +383,7 @@ def a57(v: Views) -> DataFrame:
 def a58(v: Views) -> DataFrame:
     s = F.when(F.col("grade_a") > F.col("grade_b"), 1.0).when(F.col("grade_a") == F.col("grade_b"), 0.5).otherwise(0.0)
     o = v.rubric.select("axis", F.explode(F.create_map(F.lit("a"), s, F.lit("b"), 1 - s)).alias("run", "s"))
-    return o.groupBy("axis", "run").agg(F.round(F.sum("s") / N, 6).alias("rate"))
+    return o.groupBy("axis", "run").agg(F.round(F.sum("s") / F.count(F.lit(1)), 6).alias("rate"))
 
 
 @query("a59_best_explanation", """WITH c AS (SELECT axis, weight, grade_a, grade_b, greatest(grade_a, grade_b) AS best FROM rubric WHERE weight > 0), e AS (SELECT axis, weight, 'a' AS engine, grade_a AS g, best, (grade_a = best)::INT + (grade_b = best)::INT AS winners FROM c UNION ALL SELECT axis, weight, 'b', grade_b, best, (grade_a = best)::INT + (grade_b = best)::INT FROM c)
@@ -437,7 +436,7 @@ def a64(v: Views) -> DataFrame:
 @query("a65_viewer_summaries", "SELECT kind, name, n FROM (SELECT 'type' AS kind, event_type AS name, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY 2)")
 def a65(v: Views) -> DataFrame:
     e = v.events.select(F.explode(F.create_map(F.lit("type"), "event_type", F.lit("user"), F.col("user_id").cast("string"))).alias("kind", "name"))
-    return e.groupBy("kind", "name").agg(N.alias("n"))
+    return e.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a66_candidate_documents", "SELECT conv_id, string_agg(doc, ',' ORDER BY k) AS docs FROM (SELECT conv_id, CAST(length(text) % 5 AS VARCHAR) AS doc, min((CASE WHEN role = 'assistant' THEN 0 ELSE 1 END) * 1000 + turn) AS k FROM steps GROUP BY 1, 2) GROUP BY 1")

@@ -15,7 +15,6 @@ from quarry.plans.aggregates import LATEST
 from quarry.plans.metrics import GRADED, PER_QUERY, per_query
 from quarry.registry import query
 
-N = F.count(F.lit(1))
 
 
 @query("j01_grade_or_zero", f"WITH {GRADED} SELECT config, qkey, chunk_id, grade FROM g")
@@ -120,11 +119,11 @@ def j13(v: Views) -> DataFrame:
     return r.select("qkey", "chunk_id", F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query("j14_rate_lookup", "SELECT e.event_type, round(sum(e.value * r.rate), 4) AS usd FROM events e JOIN (SELECT event_type, 0.001 * length(event_type) AS rate FROM (SELECT DISTINCT event_type FROM events)) r ON e.event_type = r.event_type GROUP BY 1")
+@query("j14_rate_lookup", "SELECT e.event_type, round(sum(e.value) * any_value(r.rate::DOUBLE), 3) AS usd FROM events e JOIN (SELECT event_type, 0.001 * length(event_type) AS rate FROM (SELECT DISTINCT event_type FROM events)) r ON e.event_type = r.event_type GROUP BY 1")
 def j14(v: Views) -> DataFrame:
     rates = v.events.select("event_type").distinct().withColumn("rate", 0.001 * F.length("event_type"))
-    once = rates.groupBy("event_type").agg(F.when(N > 1, F.raise_error("two rates")).otherwise(F.max("rate")).alias("rate"))
-    return v.events.groupBy("event_type").agg(F.sum("value").alias("v")).join(once, "event_type").select("event_type", F.round(F.col("v") * F.col("rate"), 4).alias("usd"))
+    once = rates.groupBy("event_type").agg(F.when(F.count(F.lit(1)) > 1, F.raise_error("two rates")).otherwise(F.max("rate")).alias("rate"))
+    return v.events.groupBy("event_type").agg(F.sum("value").alias("v")).join(once, "event_type").select("event_type", F.round(F.col("v") * F.col("rate"), 3).alias("usd"))
 
 
 @query("j15_reference_texts", "SELECT conv_id, arg_min(length(text), turn) AS chars FROM steps WHERE length(text) > 100 GROUP BY 1")
@@ -196,15 +195,15 @@ def x01(v: Views) -> DataFrame:
 @query("x02_orders_without_returns", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1")
 def x02(v: Views) -> DataFrame:
     r = v.lineitem.filter("l_returnflag = 'R'").select("l_orderkey")
-    return v.orders.join(r, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").groupBy("o_orderpriority").agg(N.alias("n"))
+    return v.orders.join(r, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("x03_event_time_window", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def x03(v: Views) -> DataFrame:
-    return v.events.groupBy(F.window("ts", "1 day")["start"].alias("day"), "event_type").agg(N.alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return v.events.groupBy(F.window("ts", "1 day")["start"].alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("x04_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS begun, count(*) AS n FROM s GROUP BY user_id, k""")
 def x04(v: Views) -> DataFrame:
-    return v.events.groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(N.alias("n")).select("user_id", F.col("s.start").alias("begun"), "n")
+    return v.events.groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("begun"), "n")

@@ -14,7 +14,6 @@ from quarry.sources import corpus as C
 from quarry.sources import trec as T
 from quarry.streaming.store import scratch
 
-N = F.count(F.lit(1))
 
 
 @query("s01_corpus_scan", "SELECT 'documents_' || (row_number() OVER () - 1) AS docid, md5(text) AS body, 'row' AS mode FROM documents")
@@ -80,7 +79,7 @@ def s10(v: Views) -> DataFrame:
     path = scratch(v.spark, "sink")
     for _ in range(2):  # the second replaces the first
         v.log.write.mode("overwrite").json(path)
-    return v.spark.read.schema(LOG).json(path).agg(N.alias("n"), F.countDistinct("jkey").alias("keys"))
+    return v.spark.read.schema(LOG).json(path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("jkey").alias("keys"))
 
 
 RUN = "SELECT config, qkey, chunk_id, rnk, score FROM runs WHERE rnk <= 10"
@@ -142,7 +141,7 @@ def s16(v: Views) -> DataFrame:
 
 @query("s17_run_folder", "SELECT config, count(*) AS n, count(DISTINCT qkey) AS queries FROM runs WHERE rnk <= 10 GROUP BY 1")
 def s17(v: Views) -> DataFrame:
-    return written_run(v, True).groupBy("config").agg(N.alias("n"), F.countDistinct("qkey").alias("queries"))
+    return written_run(v, True).groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("qkey").alias("queries"))
 
 
 def query_file(v: Views, kind: str) -> DataFrame:
@@ -174,7 +173,7 @@ def s19(v: Views) -> DataFrame:
 @query("s20_vector_shards", "SELECT count(*) AS n, min(len(embedding)) AS dim, count(DISTINCT vec_id) AS ids FROM embeddings")
 def s20(v: Views) -> DataFrame:
     a, b = v.embeddings.filter("vec_id % 2 = 0"), v.embeddings.filter("vec_id % 2 = 1")
-    g = a.unionByName(b).agg(N.alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"), F.countDistinct("vec_id").alias("ids"))
+    g = a.unionByName(b).agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"), F.countDistinct("vec_id").alias("ids"))
     return g.select("n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.raise_error("vectors of several lengths")).cast("long").alias("dim"), "ids")
 
 
@@ -208,7 +207,7 @@ def log_segments(v: Views) -> str:
 
 @query("s24_log_append", "SELECT 'seg-0' || (event_id % 4) AS segment, count(*) AS n FROM log GROUP BY 1")
 def s24(v: Views) -> DataFrame:
-    return v.spark.read.text(log_segments(v)).groupBy("segment").agg(N.alias("n"))
+    return v.spark.read.text(log_segments(v)).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s25_log_reader", "SELECT event_id, jkey, failed FROM log")
@@ -223,7 +222,7 @@ def s25(v: Views) -> DataFrame:
 def s26(v: Views) -> DataFrame:
     path = scratch(v.spark, "access")
     v.events.select("ts", "user_id", F.array("event_type").alias("docids")).write.option("timestampNTZFormat", MICROS).json(path)
-    return v.spark.read.schema("ts TIMESTAMP_NTZ, user_id LONG, docids ARRAY<STRING>").option("timestampNTZFormat", MICROS).json(path).groupBy("user_id").agg(N.alias("requests"), F.min("ts").alias("first"))
+    return v.spark.read.schema("ts TIMESTAMP_NTZ, user_id LONG, docids ARRAY<STRING>").option("timestampNTZFormat", MICROS).json(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"), F.min("ts").alias("first"))
 
 
 @query("s27_feedback_reader", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE user_id % 10 = 3 GROUP BY 1, 2")
@@ -258,7 +257,7 @@ def s30(v: Views) -> DataFrame:
 def s31(v: Views) -> DataFrame:
     from quarry.plans.aggregates import support
 
-    return support(v).groupBy("run").agg(N.alias("pairs"), F.count_if(F.col("label") == "FS").alias("fs"))
+    return support(v).groupBy("run").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("label") == "FS").alias("fs"))
 
 
 @query("s32_search_sources", "SELECT config AS engine, qkey, chunk_id AS id, rnk AS rank FROM runs WHERE rnk <= 3")
@@ -281,7 +280,7 @@ def s33(v: Views) -> DataFrame:
 def s34(v: Views) -> DataFrame:
     path = scratch(v.spark, "sessions")
     v.steps.withColumn("session", F.pmod("conv_id", F.lit(16))).select("session", "conv_id", "turn", "role").repartition("session").write.partitionBy("session").json(path)
-    return v.spark.read.schema("conv_id LONG, turn LONG, role STRING, session INT").json(path).groupBy(F.col("conv_id").alias("session")).agg(N.alias("rows"))
+    return v.spark.read.schema("conv_id LONG, turn LONG, role STRING, session INT").json(path).groupBy(F.col("conv_id").alias("session")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("s35_submission_export", "SELECT conv_id % 20 AS narrative, max(conv_id) AS conv_id FROM steps GROUP BY 1")

@@ -11,7 +11,6 @@ from quarry.functions import chunking
 from quarry.functions import text as T
 from quarry.registry import query
 
-C = F.col("contents")
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
@@ -26,7 +25,7 @@ def numbers_sql(x: str) -> str:
 
 @query("t01_token_estimate", r"SELECT doc_id, CAST(len(regexp_extract_all(contents, '\S+')) AS BIGINT) AS words, CAST(round_even(len(regexp_extract_all(contents, '\S+')) * 1.3::DOUBLE, 0) AS BIGINT) AS tokens FROM corpus")
 def t01(v: Views) -> DataFrame:
-    return v.corpus.select("doc_id", T.n_words(C).cast("long").alias("words"), T.est_tokens(C).alias("tokens"))
+    return v.corpus.select("doc_id", T.n_words(F.col("contents")).cast("long").alias("words"), T.est_tokens(F.col("contents")).alias("tokens"))
 
 
 @query("t02_word_budget", "SELECT o_orderkey, greatest(1, CAST(floor(CAST(o_orderkey % 3000 AS DOUBLE) / 1.3::DOUBLE) AS BIGINT)) AS words FROM orders")
@@ -79,7 +78,7 @@ def t09(v: Views) -> DataFrame:
 @query("t10_derived_title", r"""WITH l AS (SELECT doc_id, trim(regexp_extract(contents, '([^\s][^\n]*)', 1)) AS line FROM corpus), s AS (SELECT *, regexp_extract(line, '^(.*?[.!?])(?:\s|$)', 1) AS sentence FROM l)
 SELECT doc_id, CASE WHEN length(line) <= 120 THEN line WHEN sentence <> '' AND length(sentence) <= 160 THEN sentence ELSE rtrim(substr(line, 1, 120)) || '…' END AS title FROM s""")
 def t10(v: Views) -> DataFrame:
-    return v.corpus.select("doc_id", T.derive_title(C).alias("title"))
+    return v.corpus.select("doc_id", T.derive_title(F.col("contents")).alias("title"))
 
 
 @query("t11_cover_location", "SELECT d.doc_id, b.item_id, CAST(instr(d.contents, b.text) - 1 AS BIGINT) AS place FROM corpus d JOIN benchmark b ON contains(d.contents, b.text)")
@@ -105,23 +104,23 @@ def t12(v: Views) -> DataFrame:
 @query("t13_budget_truncation", r"""WITH p AS (SELECT doc_id, contents, substr(contents, 1, 1000) AS head FROM corpus), q AS (SELECT *, length(head) - length(list_last(string_split(head, chr(10)))) - 1 AS cut FROM p)
 SELECT doc_id, md5(CASE WHEN length(contents) <= 1000 THEN contents WHEN cut > 0 THEN substr(head, 1, cut) ELSE head END) AS body, length(contents) > 1000 AS truncated FROM q""")
 def t13(v: Views) -> DataFrame:
-    return v.corpus.select("doc_id", F.md5(T.budget_cut(C, 200)).alias("body"), (F.length(C) > 1000).alias("truncated"))
+    return v.corpus.select("doc_id", F.md5(T.budget_cut(F.col("contents"), 200)).alias("body"), (F.length(F.col("contents")) > 1000).alias("truncated"))
 
 
 @query("t14_snippet", rf"""WITH f AS (SELECT doc_id, {FLAT.format('contents')} AS flat FROM corpus), h AS (SELECT *, substr(flat, 1, 160) AS head FROM f), q AS (SELECT *, length(head) - length(list_last(string_split(head, ' '))) - 1 AS cut FROM h)
 SELECT doc_id, CASE WHEN length(flat) <= 160 THEN flat ELSE rtrim(CASE WHEN cut > 0 THEN substr(head, 1, cut) ELSE head END) || '...' END AS snippet FROM q""")
 def t14(v: Views) -> DataFrame:
-    return v.corpus.select("doc_id", T.snippet(C, 160).alias("snippet"))
+    return v.corpus.select("doc_id", T.snippet(F.col("contents"), 160).alias("snippet"))
 
 
 @query("t15_compaction", f"SELECT doc_id, md5({FLAT.format('contents')}) AS flat FROM corpus")
 def t15(v: Views) -> DataFrame:
-    return v.corpus.select("doc_id", F.md5(T.compact(C)).alias("flat"))
+    return v.corpus.select("doc_id", F.md5(T.compact(F.col("contents"))).alias("flat"))
 
 
 @query("t16_content_tokens", f"SELECT doc_id, CAST(len({tokens_sql('contents')}) AS BIGINT) AS n, array_to_string(list_sort({tokens_sql('contents')})[1:10], ' ') AS first_ten FROM corpus")
 def t16(v: Views) -> DataFrame:
-    return v.corpus.select("doc_id", T.content_tokens(C).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice(F.array_sort("t"), 1, 10), " ").alias("first_ten"))
+    return v.corpus.select("doc_id", T.content_tokens(F.col("contents")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice(F.array_sort("t"), 1, 10), " ").alias("first_ten"))
 
 
 SPANS_SQL = r"list_filter(list_transform(string_split(regexp_replace(replace({x}, chr(10), chr(1)), '([.!?]) ([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 24)"
@@ -129,7 +128,7 @@ SPANS_SQL = r"list_filter(list_transform(string_split(regexp_replace(replace({x}
 
 @query("t17_source_spans", f"WITH s AS (SELECT doc_id, contents, {SPANS_SQL.format(x='contents')} AS sp FROM corpus) SELECT doc_id, CAST(CASE WHEN len(sp) > 0 THEN len(sp) ELSE 1 END AS BIGINT) AS n, md5(CASE WHEN len(sp) > 0 THEN array_to_string(sp, '|') ELSE trim(contents) END) AS body FROM s")
 def t17(v: Views) -> DataFrame:
-    return v.corpus.select("doc_id", T.spans(C).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("body"))
+    return v.corpus.select("doc_id", T.spans(F.col("contents")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("body"))
 
 
 PAIR_SQL = "SELECT a.conv_id, a.turn, a.text AS claim, b.text AS span FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
@@ -195,18 +194,18 @@ def t24(v: Views) -> DataFrame:
 
 @query("t25_quantities", r"""WITH n AS (SELECT doc_id, regexp_extract_all(contents, '\d+(?:[.,]\d+)*%?') AS q FROM corpus) SELECT doc_id, CAST(len(list_distinct(q)) AS BIGINT) AS n, coalesce(q[1], '') AS first FROM n""")
 def t25(v: Views) -> DataFrame:
-    return v.corpus.select("doc_id", T.numbers(C).alias("q")).select("doc_id", F.size("q").cast("long").alias("n"), F.coalesce(F.get("q", F.lit(0)), F.lit("")).alias("first"))
+    return v.corpus.select("doc_id", T.numbers(F.col("contents")).alias("q")).select("doc_id", F.size("q").cast("long").alias("n"), F.coalesce(F.get("q", F.lit(0)), F.lit("")).alias("first"))
 
 
 @query("t26_document_quality")
 def t26(v: Views) -> DataFrame:
-    rates = T.quality_rates(C)
-    return v.corpus.select("doc_id", T.quality_score(rates).alias("score"), T.n_words(C).cast("long").alias("words"), *(F.round(r, 3).alias(k) for k, r in rates.items()))
+    rates = T.quality_rates(F.col("contents"))
+    return v.corpus.select("doc_id", T.quality_score(rates).alias("score"), T.n_words(F.col("contents")).cast("long").alias("words"), *(F.round(r, 3).alias(k) for k, r in rates.items()))
 
 
 @query("t27_quality_bands")
 def t27(v: Views) -> DataFrame:
-    s = v.corpus.filter(T.n_words(C) >= 80).select(T.quality_band(T.quality_score(T.quality_rates(C))).alias("band")).groupBy("band").count()
+    s = v.corpus.filter(T.n_words(F.col("contents")) >= 80).select(T.quality_band(T.quality_score(T.quality_rates(F.col("contents")))).alias("band")).groupBy("band").count()
     return s.select("band", F.col("count").alias("docs"), F.round(F.col("count") / F.sum("count").over(W.partitionBy()), 6).alias("share"))  # four rows at most
 
 
@@ -254,7 +253,7 @@ SELECT doc_id, coalesce(made, CASE WHEN length(flat) <= 80 THEN flat ELSE rtrim(
 def t33(v: Views) -> DataFrame:
     made = v.corpus.filter("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("Preview of "), F.col("doc_id").cast("string")).alias("made"))
     j = v.corpus.join(made, "doc_id", "left")
-    return j.select("doc_id", F.coalesce(F.substring("made", 1, 80), T.snippet(C, 80)).alias("preview"), F.col("made").isNotNull().alias("generated"), (F.col("made").isNull() & (F.length(T.compact(C)) > 80)).alias("truncated"))
+    return j.select("doc_id", F.coalesce(F.substring("made", 1, 80), T.snippet(F.col("contents"), 80)).alias("preview"), F.col("made").isNotNull().alias("generated"), (F.col("made").isNull() & (F.length(T.compact(F.col("contents"))) > 80)).alias("truncated"))
 
 
 @query("t34_markdown_cleaning", r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM conversations")
