@@ -50,6 +50,12 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "aler
 CLOSED_BY_BLOCK = {"p", *HEADINGS}
 SAME_LEVEL = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
 INLINE = {"a", "span"}
+#: Class of the tags inside boilerplate elements.
+HIDDEN = "<hidden"
+#: Lowest score of a run of boilerplate words. It is left out of the text anyway, so it need not part an article in two.
+ASIDE = -1.0
+#: Score of a tag that the labelled pages don't have.
+UNSEEN = -0.2
 
 WORD_CLASSES = ("text", "heading", "list", "link", "boilerplate")
 #: What the odds start from: (in, out) seen before any page.
@@ -163,7 +169,8 @@ def parse(page: str) -> list[Item]:
                     mark = marks
                 stack.append((name, kind, mark))
                 inside = inside or mark
-        items.append(Item("<" + name, 0, "", block, inside))
+        hidden = any(k == "skip" for _, k, _ in stack)
+        items.append(Item(HIDDEN if hidden else "<" + name, 0, "", block, inside))
     if at < end:
         add(page[at:])
     return items
@@ -222,16 +229,28 @@ def weights(seen: dict[str, list[int]]) -> dict[str, float]:
     return out
 
 
+def scores(items: list[Item], weight: dict[str, float]) -> list[float]:
+    """The value of each run and tag. Boilerplate inside the page's own article element is worth nothing either way."""
+    mark = _main_mark(items)
+    out = []
+    for x, kind in _classes(items, mark):
+        w = weight.get(kind, UNSEEN) * max(1, x.words)
+        if kind in ("boilerplate", HIDDEN):
+            w = 0.0 if x.kind == HIDDEN or (mark and x.inside == mark) else max(w, ASIDE)
+        out.append(w)
+    return out
+
+
 def extract(page: str | None, weight: dict[str, float]) -> str:
     """The text of the best region."""
     if not page:
         return ""
     items = parse(page)
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (x, kind) in enumerate(_classes(items, _main_mark(items))):
+    for i, value in enumerate(scores(items, weight)):
         if total <= 0:
             total, start = 0.0, i
-        total += weight.get(kind, -0.5) * max(1, x.words)
+        total += value
         if total > best:
             best, span = total, (start, i + 1)
     blocks: dict[int, list[str]] = {}
@@ -250,7 +269,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = tally(t for t in b.column(0).to_pylist() if t)
-            known = {k: v for k, v in seen.items() if not k.startswith("<") or k[1:] in BLOCKS | VOID | INLINE | {"b", "i", "em", "strong", "u", "small", "code", "img"}}
+            known = {k: v for k, v in seen.items() if not k.startswith("<") or k == HIDDEN or k[1:] in BLOCKS | VOID | INLINE | {"b", "i", "em", "strong", "u", "small", "code", "img"}}
             yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([v[0] for v in known.values()], pa.int64()), pa.array([v[1] for v in known.values()], pa.int64())], names=["kind", "within", "outside"])
 
     rows = small_batches(chosen).mapInArrow(run, "kind string, within long, outside long").groupBy("kind").agg(F.sum("within").alias("a"), F.sum("outside").alias("b")).collect()
