@@ -7,7 +7,7 @@ a budget end, how long is this cut) are look-ups, never another encoding.
 
 No piece of the model joins a character to a following space mark, so a text splits into units, each a run
 of space marks and the characters up to the next; a unit splits into segments wherever no piece spans two
-neighbouring characters. Counts at every prefix are stored per distinct segment, and a text keeps the running sums at its
+neighbouring characters (closing marks). Counts at every prefix are stored per distinct segment, and a text keeps the running sums at its
 units' starts: any prefix is one sum and a few look-ups.
 
 Nulls and odd rows: null and empty texts count 0 tokens and 0 bytes. Characters outside the model count
@@ -17,6 +17,7 @@ their UTF-8 bytes (byte fallback). Repeated rows give one result row each; a nul
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from quarry.llm.scratch import small_batches
 
 MARK = "▁"
+CLOSING = ".,;:!?)%&*#$"
 LIMIT = 4096
 #: Distinct units whose counts a worker keeps; beyond it the store starts afresh.
 UNITS = 400_000
@@ -35,6 +37,7 @@ class PrefixCounts(dict):
     """unit without its first space mark -> tokens of the whole unit; prefixes: segment -> tokens at each of its prefixes."""
 
     def __init__(self, model_file: str):
+        import ahocorasick
         import sentencepiece as spm
 
         sp = spm.SentencePieceProcessor(model_file=model_file)
@@ -49,7 +52,13 @@ class PrefixCounts(dict):
         self.begun = {p[:k]: False for p in self.rank for k in range(1, len(p))} | dict.fromkeys(self.rank, True)
         #: Characters that stand side by side in some piece; no piece spans any other two.
         self.joined = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.ending = ahocorasick.Automaton()
+        for p in self.rank:
+            self.ending.add_word(p, (p, len(p)))
+        self.ending.make_automaton()
+        self.whole: dict[str, bool] = {}
+        self.apart: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.pairs = 0
         self.halves: dict[str, tuple[str, str]] = {}
         self.prefixes: dict[str, list[int]] = {}
 
@@ -94,56 +103,89 @@ class PrefixCounts(dict):
             else:
                 return True
 
-    def segments(self, unit: str) -> list[str]:
-        joined, at, out = self.joined, 0, []
-        for k in range(1, len(unit)):
-            if unit[k - 1 : k + 1] not in joined:
-                out.append(unit[at:k])
-                at = k
-        return [*out, unit[at:]]
-
     def table(self, unit: str) -> list[int]:
-        """Token counts of unit[:1], unit[:2], ..., of a unit with its space marks."""
-        out, base = [], 0
-        for s in self.segments(unit):
-            known = self.prefixes.get(s)
-            if known is None:
-                known = self.prefixes[s] = self.chart(s)
-            out += [base + c for c in known] if base else known
-            base = out[-1]
-        return out
+        """Token counts of unit[:1], unit[:2], ..., of a unit with its space marks.
+
+        Marks that close a word are a segment of their own where no piece joins them to the word.
+        """
+        stem = unit.rstrip(CLOSING)
+        at = len(stem)
+        if not 0 < at < len(unit) or unit[at - 1 : at + 1] in self.joined:
+            return self.segment(unit)
+        first = self.segment(stem)
+        base = first[-1]
+        return first + [base + c for c in self.segment(unit[at:])]
+
+    def segment(self, s: str) -> list[int]:
+        known = self.prefixes.get(s)
+        if known is None:
+            known = self.prefixes[s] = self.chart(s)
+        return known
 
     def chart(self, s: str) -> list[int]:
-        """The programme itself, for a segment: from each prefix, the pieces that may end a longer one."""
+        """The programme itself, for a segment: at each prefix, the pieces that end there, found by one automaton."""
+        n = len(s)
+        count, last, near = [0] * (n + 1), [""] * (n + 1), [None] * (n + 1)
+        near[0] = self.whole
+        apart = self.apart
+        for end, (t, size) in self.ending.iter(s):
+            i = end + 1
+            if count[i]:
+                continue
+            j = i - size
+            beside = near[j]  # what may stand after the last piece of s[:j]
+            if beside is None:
+                return self.slow_chart(s)  # a character before it is no piece
+            ok = beside.get(t)
+            if ok is None:
+                ok = beside[t] = self.stay_apart(last[j], t) if j else self.merge(t) == [t]
+                self.pairs += 1
+            if ok:
+                count[i] = count[j] + 1
+                last[i] = t
+                near[i] = apart[t]
+        return count[1:] if all(count[1:]) else self.slow_chart(s)
+
+    def reached(self, piece: str) -> bool:
+        """Whether BPE makes the piece of its own characters."""
+        known = self.whole.get(piece)
+        if known is None:
+            known = self.whole[piece] = self.merge(piece) == [piece]
+        return known
+
+    def slow_chart(self, s: str) -> list[int]:
+        """The same where some characters are no pieces: from each prefix, the pieces that may end a longer one."""
         n = len(s)
         count, last = [0] * (n + 1), [""] * (n + 1)
         begun, apart = self.begun, self.apart
         for j in range(n):
-            left, base = last[j], count[j]
+            left, base = last[j], count[j] + 1
+            near = apart[left]
             for i in range(j + 1, n + 1):
                 t = s[j:i]
                 whole = begun.get(t)
-                if whole is None and i > j + 1:
-                    break
-                if count[i] or not (whole or i == j + 1):
-                    continue
-                if left:
-                    ok = apart.get((left, t))
-                    if ok is None:
-                        ok = apart[left, t] = self.stay_apart(left, t)
-                    if not ok:
-                        continue
-                count[i] = base + (1 if whole else len(t.encode("utf-8", "surrogatepass")))
-                last[i] = t
+                if not whole and i == j + 1:  # a character that is no piece: its bytes
+                    if not count[i] and (not left or self.stay_apart(left, t)):
+                        count[i] = base - 1 + len(t.encode("utf-8", "surrogatepass"))
+                        last[i] = t
                 if whole is None:
                     break
+                if whole and not count[i]:
+                    ok = near.get(t)
+                    if ok is None:
+                        ok = near[t] = self.stay_apart(left, t) if left else self.reached(t)
+                        self.pairs += 1
+                    if ok:
+                        count[i] = base
+                        last[i] = t
         return count[1:]
 
     def __missing__(self, rest: str) -> int:
-        if len(self) >= UNITS or len(self.apart) >= 4 * UNITS:
+        if len(self) >= UNITS or self.pairs >= 2 * UNITS:
             self.clear()
             self.prefixes.clear()
             self.apart.clear()
+            self.pairs = 0
         n = self[rest] = self.table(MARK + rest)[-1]
         return n
 
