@@ -27,7 +27,7 @@ from quarry.llm.scratch import small_batches
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Distinct pieces whose ids a worker keeps; beyond it the store starts afresh.
-PIECES = 500_000
+PIECES = 250_000
 
 
 class ByteBPE(dict):

@@ -33,7 +33,7 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.997
 #: Hash functions at most, and shingles in one block of a bucket.
 HASHES, BLOCK = 256, 400_000
 #: Distinct words whose hashes a worker keeps.
-WORDS = 300_000
+WORDS = 150_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:

@@ -34,7 +34,7 @@ BINS = 1 << 15
 THRESHOLD = 0.15
 LABELLERS = ("symbols", "capitals", "echoes", "variety", "marks", "sentences", "common")
 #: Distinct words whose bins a worker keeps.
-WORDS = 300_000
+WORDS = 150_000
 
 
 def _call(x: float, good: float, bad: float) -> str:
