@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.streaming.store import scratch
+
 
 def global_rank(df: DataFrame, order: list[Column], into: str = "place") -> DataFrame:
     """1-based place in a total order: range partitions are ranked each, and start after the sizes of those before.
@@ -13,10 +15,12 @@ def global_rank(df: DataFrame, order: list[Column], into: str = "place") -> Data
     Only one count per partition meets in a single task.
     """
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    ranked = sorted_.withColumn("_n", F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33))
+    path = scratch(df.sparkSession, "ranked")  # written once: range bounds are sampled, and need not be the same in a second run
+    sorted_.select("*", (F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33)).alias("_n")).drop("_i").write.parquet(path)
+    ranked = df.sparkSession.read.parquet(path)
     sizes = ranked.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = sizes.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranked.join(F.broadcast(before), "_p").withColumn(into, F.col("_b") + F.col("_n") + 1).drop("_p", "_i", "_n", "_b")
+    return ranked.join(F.broadcast(before), "_p").withColumn(into, F.col("_b") + F.col("_n") + 1).drop("_p", "_n", "_b")
 
 
 def seeded(seed: int, key: str) -> list[Column]:

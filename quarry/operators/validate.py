@@ -161,3 +161,23 @@ def material(term: Column) -> Column:
     """Whether a literal says something: digits, names and negatives do, short or common words don't."""
     low = F.lower(term)
     return term.rlike(r"\d") | term.rlike(r"^\p{Lu}") | low.isin("no", "not", "never", "without", "none") | ((F.length(term) > 3) & ~low.isin("this", "that", "with", "from"))
+
+
+def matrix_problems(scores: DataFrame, criteria: DataFrame, by: str, low: int, high: int) -> DataFrame:
+    """(by, problem, n) of score matrices (by, cid, score) that must hold each criterion (by, cid) once, within bounds. A matrix with any problem is refused whole."""
+    seen = scores.groupBy(by, "cid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score").isNull() | ~F.col("score").between(low, high)).alias("off"))
+    j = criteria.select(by, "cid", F.lit(True).alias("wanted")).join(seen, [by, "cid"], "full_outer")
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("n").isNull(), "missing"),
+            F.when(F.col("wanted").isNull(), "unknown"),
+            F.when(F.col("n") > 1, "repeated"),
+            F.when(F.col("off") > 0, "bounds"),
+        )
+    )
+    return j.select(by, F.explode(found).alias("problem")).groupBy(by, "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def accepted(keys: DataFrame, problems: DataFrame, by: str) -> DataFrame:
+    """Keys without any problem."""
+    return keys.join(problems, by, "left_anti")

@@ -270,7 +270,7 @@ def a41(v: Views) -> DataFrame:
 
 
 @query("a42_arena_outcome", """WITH v AS (SELECT qid, axis, cid % 2 AS ord, bool_and(grade_a >= grade_b) AS won FROM rubric GROUP BY 1, 2, 3)
-SELECT qid, axis, CASE WHEN bool_and(won) THEN 1.0 WHEN NOT bool_or(won) THEN 0.0 ELSE 0.5 END AS outcome FROM v GROUP BY 1, 2 HAVING count(DISTINCT ord) = 2""")
+SELECT qid, axis, CAST(CASE WHEN bool_and(won) THEN 1.0 WHEN NOT bool_or(won) THEN 0.0 ELSE 0.5 END AS DOUBLE) AS outcome FROM v GROUP BY 1, 2 HAVING count(DISTINCT ord) = 2""")
 def a42(v: Views) -> DataFrame:
     votes = v.rubric.groupBy("qid", "axis", (F.col("cid") % 2).alias("order")).agg(F.bool_and(F.col("grade_a") >= F.col("grade_b")).alias("won"))
     return A.arena_outcome(votes, ["qid", "axis"])

@@ -311,6 +311,30 @@ def p38(v: Views) -> DataFrame:
     return t.select(F.col("i").cast("long").alias("i"), problem.isNull().alias("accepted"), problem.alias("problem"))
 
 
+MATRIX = """c AS (SELECT qid, cid FROM rubric WHERE weight > 0), s AS (SELECT qid, CASE WHEN cid % 97 = 0 THEN -cid ELSE cid END AS cid, CASE WHEN cid % 89 = 0 THEN 7 ELSE grade_a END AS score FROM rubric WHERE weight > 0 AND cid % 101 <> 0
+ UNION ALL SELECT qid, cid, grade_b FROM rubric WHERE weight > 0 AND cid % 103 = 0),
+g AS (SELECT qid, cid, count(*) AS n, count(*) FILTER (WHERE score NOT BETWEEN 0 AND 2) AS off FROM s GROUP BY 1, 2), j AS (SELECT coalesce(c.qid, g.qid) AS qid, c.cid AS want, g.n, g.off FROM c FULL JOIN g ON c.qid = g.qid AND c.cid = g.cid),
+p AS (SELECT qid, 'missing' AS problem FROM j WHERE n IS NULL UNION ALL SELECT qid, 'unknown' FROM j WHERE want IS NULL UNION ALL SELECT qid, 'repeated' FROM j WHERE n > 1 UNION ALL SELECT qid, 'bounds' FROM j WHERE off > 0)"""
+
+
+def matrix(v: Views) -> DataFrame:
+    r = v.rubric.filter("weight > 0")
+    c = F.col("cid")
+    s = r.filter("cid % 101 != 0").select("qid", F.when(c % 97 == 0, -c).otherwise(c).alias("cid"), F.when(c % 89 == 0, 7).otherwise(F.col("grade_a")).alias("score"))
+    s = s.unionByName(r.filter("cid % 103 = 0").select("qid", "cid", F.col("grade_b").alias("score")))
+    return validate.matrix_problems(s, r.select("qid", "cid"), "qid", 0, 2)
+
+
+@query("p38b_score_matrix", f"WITH {MATRIX} SELECT qid, problem, count(*) AS n FROM p GROUP BY 1, 2")
+def p38b(v: Views) -> DataFrame:
+    return matrix(v)
+
+
+@query("p38c_accepted_matrices", f"WITH {MATRIX} SELECT DISTINCT qid FROM c WHERE qid NOT IN (SELECT qid FROM p)")
+def p38c(v: Views) -> DataFrame:
+    return validate.accepted(v.rubric.filter("weight > 0").select("qid").distinct(), matrix(v), "qid")
+
+
 @query("p39_dropped_mentions", r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '\S+')[1:4] AS terms, text FROM benchmark)
 SELECT item_id, array_to_string(list_filter(terms, lambda t: NOT contains(substr(text, 1, 20), t)), ' ') AS missing FROM w""")
 def p39(v: Views) -> DataFrame:

@@ -41,7 +41,7 @@ def per_query(v: Views) -> DataFrame:
     return M.query_metrics(v.runs, v.qrels)
 
 
-@query("m01_gains_discount", f"""SELECT grade, r AS rank, {gain_sql('grade', 'exp')} AS g_exp, {gain_sql('grade', 'lin')} AS g_lin, {gain_sql('grade', 'bin2')} AS g_bin, round(1.0 / log2(r + 1.0), 6) AS discount
+@query("m01_gains_discount", f"""SELECT grade, r AS rank, {gain_sql('grade', 'exp')} AS g_exp, {gain_sql('grade', 'lin')} AS g_lin, CAST({gain_sql('grade', 'bin2')} AS DOUBLE) AS g_bin, round(1.0 / log2(r + 1.0), 6) AS discount
 FROM (SELECT unnest(range(0, 4)) AS grade), (SELECT unnest(range(1, 11)) AS r)""")
 def m01(v: Views) -> DataFrame:
     d = v.spark.range(40).select((F.col("id") % 4).alias("grade"), (F.floor(F.col("id") / 4) + 1).alias("rank"))
