@@ -202,3 +202,40 @@ def apply_rules(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that pass, with all their columns."""
     found = fresh(docs, "found")
     return judged(docs, found, **limits).filter(F.col(found)["kept"]).drop(found)
+
+
+def oracle() -> str:
+    """The same report in DuckDB. Character classes agree for Latin letters, digits and the marks listed."""
+    words = ", ".join(f"'{w.decode()}'" for w in sorted(WORD_BIN, key=WORD_BIN.get))
+    space = r"\x20\x09-\x0D"
+    kind = r"""CASE WHEN regexp_matches(c, '^\p{Ll}$') THEN 0 WHEN regexp_matches(c, '^\p{Lu}$') THEN 1 WHEN regexp_matches(c, '^\d$') THEN 2 WHEN regexp_matches(c, '^\s$') THEN 3
+      WHEN c IN ('.', '!', '?', '…') THEN 4 WHEN c IN (',', ';', ':', '''', '"', '(', ')', '-', '–', '—', '’', '“', '”', '«', '»', '¿', '¡') THEN 5
+      WHEN regexp_matches(c, '^\p{L}$') THEN 0 WHEN ascii(c) < 128 THEN 6 ELSE 7 END"""
+
+    def histogram(items: str, n: int, name: str) -> str:
+        return f"""{name}n AS (SELECT doc_id, bin, count(*) AS k FROM {items} GROUP BY 1, 2), {name} AS (SELECT d.doc_id, d.lang, b.bin, coalesce(x.k / sum(x.k) OVER (PARTITION BY d.doc_id), 0.0) AS p
+          FROM (SELECT doc_id, lang FROM m WHERE n_words > 0) d CROSS JOIN (SELECT unnest(range(0, {n})) AS bin) b LEFT JOIN {name}n x ON x.doc_id = d.doc_id AND x.bin = b.bin)"""
+
+    def distance(name: str) -> str:
+        half = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((p + q) / 2)) ELSE 0 END"
+        return f"""{name}r AS (SELECT lang, bin, avg(p) AS q FROM {name} GROUP BY 1, 2), {name}a AS (SELECT bin, avg(p) AS q FROM {name} GROUP BY 1),
+          {name}q AS (SELECT h.doc_id, h.p, CASE WHEN o.lang IS NOT NULL THEN r.q ELSE a.q END AS q FROM {name} h LEFT JOIN own o ON o.lang = h.lang
+            LEFT JOIN {name}r r ON r.lang = h.lang AND r.bin = h.bin JOIN {name}a a ON a.bin = h.bin),
+          {name}d AS (SELECT doc_id, sqrt(greatest(0, sum(({half('p')} + {half('q')}) / 2))) AS d FROM {name}q GROUP BY 1)"""
+
+    return rf"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^{space}]+') AS ws FROM t),
+    g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) AS win FROM w WHERE len(ws) >= 5),
+    v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g), (SELECT unnest(range(0, 5)) AS k) WHERE c > 1 GROUP BY 1),
+    li AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^{space}]') GROUP BY 1),
+    m AS (SELECT w.doc_id, w.lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+          coalesce(li.n, 0) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM w LEFT JOIN v ON v.doc_id = w.doc_id LEFT JOIN li ON li.doc_id = w.doc_id),
+    own AS (SELECT lang FROM m WHERE n_words > 0 GROUP BY 1 HAVING count(*) >= {MIN_REFERENCE} AND count(*) >= {MIN_SHARE} * (SELECT count(*) FROM m WHERE n_words > 0)),
+    ci AS (SELECT doc_id, {kind} AS bin FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM t)),
+    wi AS (SELECT doc_id, coalesce(list_position([{words}], x), 0) AS bin FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^{space}]+')) AS x FROM t)),
+    {histogram('ci', N_CHAR, 'hc')}, {histogram('wi', N_WORD, 'hw')}, {distance('hc')}, {distance('hw')},
+    f AS (SELECT m.*, hcd.d AS jc, hwd.d AS jw, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m JOIN hcd ON hcd.doc_id = m.doc_id JOIN hwd ON hwd.doc_id = m.doc_id)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT ((word_chars >= {MIN_CHARS} AND jc > {MAX_CHAR}) OR (n_words >= {MIN_WORDS} AND jw > {MAX_WORD})
+             OR (word_chars >= {MIN_CHARS} AND n_words >= {MIN_WORDS} AND jc > {BOTH_CHAR} AND jw > {BOTH_WORD})) AS kept, round(jc, 6) AS js_char, round(jw, 6) AS js_word FROM f"""

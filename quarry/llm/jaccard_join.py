@@ -280,3 +280,18 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
         again = first.filter("rows > 1").select(F.col("stay").alias(key))
         kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
     return kept.drop(key)
+
+
+#: The same by a join on shingles and a recursive closure, for tables small enough for that; ids must be unique.
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i : i + {N - 1}], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {THRESHOLD} * (x.n + y.n - c)),
+l AS (SELECT a, b, same FROM e UNION ALL SELECT b, a, same FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n_links, min(b) FILTER (WHERE same) AS first_copy FROM l GROUP BY 1)
+SELECT d.doc_id, min(r.root) AS class_id, least(d.doc_id, any_value(first_copy)) AS copy_of, coalesce(any_value(n_links), 0) AS n_links
+FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id"""

@@ -68,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_template_decontamination": decontaminate.oracle(),
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op5_preference_pairs": preference.ORACLE,
+    "op6_divergence_rules": divergence.oracle(),
     "op7_maglev_sharding": maglev.oracle(),
 }
