@@ -17,6 +17,21 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    _delete(spark, folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def unique() -> str:
     return uuid.uuid4().hex
 
@@ -27,7 +42,7 @@ def table(df: DataFrame, sort: str | None = None) -> DataFrame:
     The lineage ends there: a lost executor costs a re-read, never a recomputation of the plan above.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{unique()}"
+    path = f"{folder(spark)}/{unique()}"
     (df.sortWithinPartitions(sort) if sort else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
@@ -36,11 +51,8 @@ def table(df: DataFrame, sort: str | None = None) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that table() wrote and that no later plan reads."""
-    path = getattr(df, "_quarry_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if path := getattr(df, "_quarry_path", None):
+        _delete(df.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

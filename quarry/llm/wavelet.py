@@ -360,6 +360,6 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 def write_and_read(docs: DataFrame, **options: object) -> DataFrame:
     """Write the shards in the shared folder and report from what is read back."""
-    path = f"{scratch.shared_dir(docs.sparkSession)}/wavelet/{scratch.unique()}"
+    path = f"{scratch.folder(docs.sparkSession)}/wavelet-{scratch.unique()}"
     write_shards(docs, path, **options)
     return read_documents(docs.sparkSession.read.schema(SHARD).parquet(path))

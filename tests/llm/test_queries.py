@@ -35,3 +35,14 @@ def test_pipeline_keeps_what_each_stage_keeps(spark, sf):
 
 def test_stages_are_named():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_duplicates", "decontamination", "encoding"]
+
+
+def test_intermediate_tables_can_be_deleted(spark, sf, tmp_path):
+    import os
+
+    docs = scratch.read(spark, sf, "documents")
+    jaccard_join.links(docs).count()
+    path = scratch.folder(spark).removeprefix("file://")
+    assert os.listdir(path)
+    scratch.clean_up(spark)
+    assert not os.path.exists(path)
