@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 SENTENCE_END = r"[.!?](?=\s|$)"
 TOKENS_PER_WORD = 1.3
-STOPWORDS = ["the", "of", "and", "to", "in", "is", "it", "for", "on", "that", "this", "with", "as", "by", "be", "are", "was", "an", "or", "at", "from", "a"]
+# Stop words, token, number and quantity patterns, and abbreviations that end no sentence.
+STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "their", "this", "to", "was", "were", "with"]
+CONTENT_TOKEN = r"[A-Za-z0-9]+(?:[.,:/-][A-Za-z0-9]+)*"
+EXACT_NUMBER = r"\b\d[\d.,:/%-]*"
+QUANTITY = r"(?i)(?<![A-Za-z0-9])(?:[$€£]\s*)?[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:\([A-Za-z]\))?(?:\s*(?:%|percent(?:age)?(?:\s+points?)?))?(?![A-Za-z0-9])"
+ABBREVIATIONS = (r"(?i)\b(?:D\.Phil|M\.D|Ph\.D)\.", r"\b(?:[A-Za-z]\.){2,}", r"(?i)\b(?:al|Art|cf|Ch|Dr|e\.g|Eq|etc|Fig|i\.e|Jr|Mr|Mrs|Ms|No|p|pp|Prof|Sec|Sr|St|Vol|vs)\.")
 
 
 def words(text: Column) -> Column:
@@ -69,37 +74,46 @@ def snippet(text: Column, limit: int) -> Column:
 
 
 def content_tokens(text: Column) -> Column:
-    toks = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
+    toks = F.regexp_extract_all(F.lower(text), F.lit(CONTENT_TOKEN), F.lit(0))
     return F.array_distinct(F.filter(toks, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS)))
 
 
 def spans(text: Column, least: int = 24) -> Column:
-    """Lines, then sentences before a capital or digit, of at least `least` characters; the whole text if none."""
-    lines = F.split(text, "\n")
-    parts = F.flatten(F.transform(lines, lambda s: F.split(s, r"(?<=[.!?]) (?=[A-Z0-9])")))
+    """Lines with white space collapsed, cut into sentences before a capital or digit, of at least `least` characters; the whole text if none."""
+    lines = F.transform(F.split(text, r"\n+"), compact)
+    parts = F.flatten(F.transform(lines, lambda s: F.split(s, r"(?<=[.!?])\s+(?=[A-Z0-9])")))
     found = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) >= least)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.trim(text)))
+    whole = compact(text)
+    return F.when(F.size(found) > 0, found).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+
+
+def quantities(text: Column) -> Column:
+    """Numbers, sums and percentages as written, without repeats."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(0)), compact))
 
 
 def numbers(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)*%?"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(EXACT_NUMBER), F.lit(0)))
 
 
 def span_score(claim: Column, span: Column) -> Column:
     """Shared content tokens over the geometric mean of both sets' sizes, plus .35 of the claim's numbers found."""
     a, b = content_tokens(claim), content_tokens(span)
     na, nb = numbers(claim), numbers(span)
-    overlap = F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.sqrt(F.greatest(F.lit(1), F.size(a) * F.size(b)).cast("double")))
-    return overlap + F.when(F.size(F.array_intersect(na, nb)) > 0, 0.35).otherwise(0.0)
+    overlap = F.size(F.array_intersect(a, b)) / F.sqrt(F.greatest(F.lit(1), F.size(a) * F.size(b)).cast("double"))
+    bonus = F.when(F.size(F.array_intersect(na, nb)) > 0, 0.35).otherwise(0.0)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(overlap + bonus)
 
 
 def fingerprint(text: Column) -> Column:
-    return F.regexp_replace(F.lower(compact(text)), r"[.!?]+$", "")
+    return F.trim(F.regexp_replace(F.lower(compact(text)), r"[.!?]+$", ""))
 
 
 def many_sentences(text: Column) -> Column:
-    masked = F.regexp_replace(text, r"\b(?:Dr|Mr|Mrs|Ms|Prof|e\.g|i\.e|etc|vs|No|Fig)\.", "X")
-    return masked.rlike(r"[.!?]\s+[A-Z0-9]")
+    """Whether a sentence end is followed by more, abbreviations aside."""
+    for pattern in ABBREVIATIONS:
+        text = F.regexp_replace(text, pattern, "X")
+    return text.rlike(r"""[.!?]["')\]]*\s+\S""")
 
 
 def slug(text: Column, n: int = 5) -> Column:
@@ -196,4 +210,20 @@ def quality_score(rates: dict[str, Column]) -> Column:
 
 
 def quality_band(score: Column) -> Column:
-    return F.when(score < 0.20, "filler").when(score < 0.45, "low").when(score < 0.70, "fair").otherwise("strong")
+    return F.when(score < 0.20, "<0.20").when(score < 0.45, "0.20-0.45").when(score < 0.70, "0.45-0.70").otherwise(">=0.70")
+
+
+def quality_reasons(rates: dict[str, Column]) -> Column:
+    """What the score rests on, in words."""
+    r = rates
+    found = F.array_compact(
+        F.array(
+            F.when((r["figures"] > 0) | (r["units"] > 0), F.format_string("%.1f figures/1k, %.1f units/1k", r["figures"], r["units"])),
+            F.when(r["cites"] > 0, F.format_string("%.1f citation-shaped/1k", r["cites"])),
+            F.when(r["insts"] > 0, F.format_string("%.1f named institutions/1k", r["insts"])),
+            F.when(r["seo"] > 0, F.format_string("SEO register (%.1f/1k)", r["seo"])),
+            F.when(r["llm"] > 0, F.format_string("LLM tells (%.1f/1k)", r["llm"])),
+            F.when(r["you"] > 12, F.format_string("heavily second-person (%.0f/1k)", r["you"])),
+        )
+    )
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("no strong signal either way")))

@@ -10,20 +10,29 @@ from pyspark.sql import functions as F
 FOOTER = r"\s*\n--- footer:[^\n]*---\s*$"
 
 
-def error_class(message: Column) -> Column:
-    m = F.lower(message)
+# Names and codes of errors by class.
+TIMEOUTS = ["ReadTimeoutError", "ConnectTimeoutError", "ConnectionClosedError", "EndpointConnectionError", "ConnectionError", "IncompleteReadError"]
+EXPIRED = ["ExpiredTokenException", "ExpiredToken", "InvalidClientTokenId", "UnrecognizedClientException"]
+THROTTLES = ["ThrottlingException", "TooManyRequestsException", "Throttling", "RequestLimitExceeded", "ProvisionedThroughputExceededException", "SlowDown", "LimitExceededException", "ServiceQuotaExceededException"]
+SERVER = ["ServiceUnavailableException", "InternalServerException", "ModelTimeoutException", "ModelNotReadyException"]
+BACKOFF_BASE, BACKOFF_CAP = 1.0, 30.0
+
+
+def error_class(name: Column, code: Column, status: Column) -> Column:
+    """timeout, expired_token, throttle, server_error or other, from an error's class name, code and HTTP status."""
+    either = lambda names: name.isin(names) | code.isin(names)
     return (
-        F.when(m.rlike("throttl|rate limit|429"), "throttle")
-        .when(m.rlike("timed? ?out"), "timeout")
-        .when(m.rlike("denied|unauthori[sz]ed|40[13]"), "auth")
-        .when(m.rlike("json|parse"), "parse")
-        .when(m.rlike(r"\b5\d\d\b"), "server")
+        F.when(name.isin(TIMEOUTS), "timeout")
+        .when(either(EXPIRED), "expired_token")
+        .when(either(THROTTLES) | (status == 429), "throttle")
+        .when(either(SERVER) | status.isin(500, 502, 503, 504), "server_error")
         .otherwise("other")
     )
 
 
-def backoff(attempt: Column, base: float = 1.5, cap: float = 60.0) -> Column:
-    return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt))
+def backoff(attempt: Column, base: float = BACKOFF_BASE, cap: float = BACKOFF_CAP) -> Column:
+    """Most seconds to wait before retry `attempt` (from 1); the wait itself is drawn evenly below it."""
+    return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)))
 
 
 def parse_tool_output(raw: Column) -> Column:

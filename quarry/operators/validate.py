@@ -65,18 +65,24 @@ def run_file_checks(run: DataFrame, docid: str) -> DataFrame:
     return rows.unionByName(split)
 
 
+# Patterns of criteria that plain prose of at most WORD_CAP words can't meet.
+VISUAL = r"(?i)\b(diagram|figures?|images?|illustrations?|pictures?|drawings?|screenshots?|flowcharts?|infographics?|visual aids?)\b"
+CITATION_APPARATUS = r"(?i)\b(?:official format|MLA|APA\b|Chicago(?: style)?|IEEE\b|BibTeX|footnotes?|bibliograph|reference list|works cited|displays? the citations|citations? (?:are )?(?:displayed|listed))\b"
+MARKDOWN = r"(?i)\b(markdown|bullet(?:ed)? (?:point|list)|numbered list|table format|in a table|as a table|tables?\b[^.]{0,40}\b(?:format|column|row)|section headers?|headings?|code block|latex|rendered)\b"
+RANGE_BOUND = r"(?i)\bbetween\s+([\d,]{3,6})\s*(?:and|-|–|to)\s*([\d,]{3,6})\s*words?\b"
+LOWER_BOUND = r"(?i)\b(?:at least|no fewer than|minimum of|more than|exceed(?:s|ing)?|longer than)\s+(?:approximately\s+)?([\d,]{3,6})\s*words?\b"
+
+
 def waiver(text: Column) -> Column:
-    """Why a criterion can't be met by plain prose of at most WORD_CAP words; the first rule that fits, or null."""
+    """Why a criterion can't be met; the first rule that fits, or null."""
     number = lambda p, g: F.regexp_replace(F.regexp_extract(text, p, g), ",", "").try_cast("int")
-    between = r"(?i)\bbetween\s+([\d,]{3,6})\s*(?:and|to|-)\s*([\d,]{3,6})\s*words?\b"
-    least = r"(?i)\b(?:at least|minimum of|more than|no fewer than)\s+(?:approximately\s+)?([\d,]{3,6})\s*words?\b"
     return (
-        F.when(text.rlike(r"(?i)\b(?:diagram|chart|figure|image|graph|illustration|flowchart)s?\b"), "visual")
-        .when(text.rlike(r"(?i)\b(?:APA|MLA|Chicago|Harvard|footnotes?|bibliography|reference list)\b"), "citation")
-        .when(text.rlike(r"(?i)\b(?:markdown|bullet(?:ed)?|headings?|tables?|code fence|JSON)\b"), "markdown")
-        .when(number(between, 1) > WORD_CAP, "words")
-        .when(number(between, 2).isNotNull(), F.lit(None))
-        .when(number(least, 1) > WORD_CAP, "words")
+        F.when(text.rlike(VISUAL), "visual")
+        .when(text.rlike(CITATION_APPARATUS), "citation")
+        .when(text.rlike(MARKDOWN), "markdown")
+        .when(number(RANGE_BOUND, 1) > WORD_CAP, "words")
+        .when(number(RANGE_BOUND, 2) > WORD_CAP, F.lit(None))
+        .when(number(LOWER_BOUND, 1) > WORD_CAP, "words")
     )
 
 
@@ -87,7 +93,8 @@ def convert_rubric(rubric: DataFrame) -> DataFrame:
     return rubric.select("qid", cid.alias("cid"), F.least(F.lit(5).cast("long"), F.bround(size)).alias("weight"), F.col("weight").alias("signed_weight"), F.when(F.col("weight") < 0, "penalty").otherwise("reward").alias("kind"), F.when(size >= 4, "mandatory").otherwise("optional").alias("tier"))
 
 
-# Number words of a request.
+# How a request asks for Python code, and number words.
+PYTHON_CODE = r"(?i)(?:\b(?:include|provide|show|write)\b[^.\n]{0,80}\bpython\s+code\b)|(?:\bpython\s+(?:code|implementation|script)\b)|(?:\bimplement\b[^.\n]{0,80}\bin\s+python\b)"
 NUMBER_WORDS = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 
 
@@ -97,7 +104,7 @@ def answer_form(request: Column) -> list[Column]:
     series = request.rlike(r"(?i)\bseries\s+of\s+(?:blog\s+)?posts\b") | (count != "")
     words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
     n = F.coalesce(count.try_cast("int"), F.try_element_at(words, count), F.lit(3))
-    return [request.rlike(r"(?i)\bpython\b.*\b(?:code|script|program)\b").alias("python_code"), F.when(series, "Blog post").otherwise("").alias("label"), F.when(series, F.greatest(F.lit(3), n)).otherwise(0).cast("long").alias("least_labels")]
+    return [request.rlike(PYTHON_CODE).alias("python_code"), F.when(series, "Blog post").otherwise("").alias("label"), F.when(series, F.greatest(F.lit(3), n)).otherwise(0).cast("long").alias("least_labels")]
 
 
 def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -118,7 +125,7 @@ def grounding_errors(text: Column, quote: Column, claim: Column) -> Column:
     return F.array_compact(
         F.array(
             F.when(~F.contains(text, quote), "quote not in document"),
-            F.when(F.size(F.array_except(T.numbers(claim), T.numbers(quote))) > 0, "value not in quote"),
+            F.when(F.size(F.array_except(T.quantities(claim), T.quantities(quote))) > 0, "value not in quote"),
         )
     )
 
@@ -157,10 +164,23 @@ def submission_errors(needs: DataFrame, items: DataFrame) -> DataFrame:
     return n.select("conv_id", F.when(F.col("items") == 0, "no item").when(F.col("items") < F.col("needs"), "requirement without item").alias("error")).filter("error IS NOT NULL")
 
 
+# Words that say nothing by themselves, and negatives.
+UNINFORMATIVE = (
+    "a amount amounts an and article authors change changes claim data date dates document effect effects evidence finding findings for from in information "
+    "measure measured number numbers of paper population populations reported research result results said scope source states study that the this to value values with"
+).split()
+NEGATIVES = "failed failure lack lacked lacks neither never no none not without zero".split()
+
+
 def material(term: Column) -> Column:
-    """Whether a literal says something: digits, names and negatives do, short or common words don't."""
-    low = F.lower(term)
-    return term.rlike(r"\d") | term.rlike(r"^\p{Lu}") | low.isin("no", "not", "never", "without", "none") | ((F.length(term) > 3) & ~low.isin("this", "that", "with", "from"))
+    """Whether a literal finishes a claim: digits do, negatives with a noun, two words of content, or one that is a name or of four letters."""
+    words = F.regexp_extract_all(term, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    content = F.filter(words, lambda w: ~F.lower(w).isin(UNINFORMATIVE))
+    negative = (F.size(words) >= 2) & F.exists(words, lambda w: F.lower(w).isin(NEGATIVES))
+    only = F.get(content, F.lit(0))
+    one = (F.size(content) == 1) & ((F.length(only) >= 4) | ((F.length(only) >= 2) & only.rlike("[A-Z]")))
+    some = (F.size(words) > 0) & ~F.lower(term).isin(UNINFORMATIVE)
+    return some & (F.exists(words, lambda w: w.rlike("[0-9]")) | negative | (F.size(content) >= 2) | F.coalesce(one, F.lit(False)))
 
 
 def matrix_problems(scores: DataFrame, criteria: DataFrame, by: str, low: int, high: int) -> DataFrame:

@@ -192,10 +192,10 @@ def p23(v: Views) -> DataFrame:
     return validate.run_file_checks(v.runs.withColumn("line", line), docid=r"^shard_\d{5}_\d+[02468]$")
 
 
-@query("p24_rubric_waivers", """WITH t AS (SELECT * FROM (VALUES (1, 'Includes a diagram of the system'), (2, 'Uses APA citation style'), (3, 'Presents a table in Markdown'), (4, 'Has at least 1,500 words'), (5, 'Between 500 and 2000 words'), (6, 'Names three causes')) AS x(cid, text))
+@query("p24_rubric_waivers", """WITH t AS (SELECT * FROM (VALUES (1, 'Includes a diagram of the system'), (2, 'Uses APA citation style'), (3, 'Presents the table in Markdown'), (4, 'Has at least 1,500 words'), (5, 'Between 500 and 2000 words'), (6, 'Names three causes')) AS x(cid, text))
 SELECT CAST(cid AS BIGINT) AS cid, CASE cid WHEN 1 THEN 'visual' WHEN 2 THEN 'citation' WHEN 3 THEN 'markdown' WHEN 4 THEN 'words' END AS waiver FROM t""")
 def p24(v: Views) -> DataFrame:
-    texts = ["Includes a diagram of the system", "Uses APA citation style", "Presents a table in Markdown", "Has at least 1,500 words", "Between 500 and 2000 words", "Names three causes"]
+    texts = ["Includes a diagram of the system", "Uses APA citation style", "Presents the table in Markdown", "Has at least 1,500 words", "Between 500 and 2000 words", "Names three causes"]
     t = v.spark.range(1).select(F.posexplode(F.array(*map(F.lit, texts))).alias("i", "text"))
     return t.select((F.col("i") + 1).cast("long").alias("cid"), validate.waiver(F.col("text")).alias("waiver"))
 
@@ -360,8 +360,15 @@ def p41(v: Views) -> DataFrame:
     return validate.submission_errors(needs, items)
 
 
-@query("p42_material_anchor", r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\s.,]+')) AS term FROM benchmark)
-SELECT term, regexp_matches(term, '\d') OR regexp_matches(term, '^\p{Lu}') OR lower(term) IN ('no', 'not', 'never', 'without', 'none') OR (length(term) > 3 AND lower(term) NOT IN ('this', 'that', 'with', 'from')) AS material FROM w""")
+_WORDS = "regexp_extract_all(term, '[A-Za-z0-9]+')"
+_DULL = ", ".join(f"'{w}'" for w in validate.UNINFORMATIVE)
+_NEG = ", ".join(f"'{w}'" for w in validate.NEGATIVES)
+
+
+@query("p42_material_anchor", rf"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\s.,]+(?: [^\s.,]+)?')) AS term FROM benchmark),
+c AS (SELECT term, {_WORDS} AS ws, list_filter({_WORDS}, lambda x: lower(x) NOT IN ({_DULL})) AS content FROM w)
+SELECT term, len(ws) > 0 AND lower(term) NOT IN ({_DULL}) AND (len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) > 0 OR (len(ws) >= 2 AND len(list_filter(ws, lambda x: lower(x) IN ({_NEG}))) > 0)
+  OR len(content) >= 2 OR (len(content) = 1 AND (length(content[1]) >= 4 OR (length(content[1]) >= 2 AND regexp_matches(content[1], '[A-Z]'))))) AS material FROM c""")
 def p42(v: Views) -> DataFrame:
-    w = v.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s.,]+"), F.lit(0))).alias("term")).distinct()
+    w = v.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s.,]+(?: [^\s.,]+)?"), F.lit(0))).alias("term")).distinct()
     return w.select("term", validate.material(F.col("term")).alias("material"))

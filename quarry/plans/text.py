@@ -16,11 +16,11 @@ FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
 def tokens_sql(x: str) -> str:
-    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({STOP})))"
+    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[A-Za-z0-9]+(?:[.,:/-][A-Za-z0-9]+)*'), lambda t: length(t) > 1 AND t NOT IN ({STOP})))"
 
 
 def numbers_sql(x: str) -> str:
-    return rf"list_distinct(regexp_extract_all({x}, '\d+(?:[.,]\d+)*%?'))"
+    return rf"list_distinct(regexp_extract_all({x}, '\b\d[\d.,:/%-]*'))"
 
 
 @query("t01_token_estimate", r"SELECT doc_id, CAST(len(regexp_extract_all(contents, '\S+')) AS BIGINT) AS words, CAST(round_even(len(regexp_extract_all(contents, '\S+')) * 1.3::DOUBLE, 0) AS BIGINT) AS tokens FROM corpus")
@@ -123,10 +123,10 @@ def t16(v: Views) -> DataFrame:
     return v.corpus.select("doc_id", T.content_tokens(F.col("contents")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice(F.array_sort("t"), 1, 10), " ").alias("first_ten"))
 
 
-SPANS_SQL = r"list_filter(list_transform(string_split(regexp_replace(replace({x}, chr(10), chr(1)), '([.!?]) ([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 24)"
+SPANS_SQL = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(replace({x}, chr(10), chr(1)), '\s+', ' ', 'g'), '([.!?]) +([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 24)"
 
 
-@query("t17_source_spans", f"WITH s AS (SELECT doc_id, contents, {SPANS_SQL.format(x='contents')} AS sp FROM corpus) SELECT doc_id, CAST(CASE WHEN len(sp) > 0 THEN len(sp) ELSE 1 END AS BIGINT) AS n, md5(CASE WHEN len(sp) > 0 THEN array_to_string(sp, '|') ELSE trim(contents) END) AS body FROM s")
+@query("t17_source_spans", f"WITH s AS (SELECT doc_id, contents, {SPANS_SQL.format(x='contents')} AS sp FROM corpus) SELECT doc_id, CAST(CASE WHEN len(sp) > 0 THEN len(sp) WHEN trim(regexp_replace(contents, '\\s+', ' ', 'g')) = '' THEN 0 ELSE 1 END AS BIGINT) AS n, md5(CASE WHEN len(sp) > 0 THEN array_to_string(sp, '|') ELSE trim(regexp_replace(contents, '\s+', ' ', 'g')) END) AS body FROM s")
 def t17(v: Views) -> DataFrame:
     return v.corpus.select("doc_id", T.spans(F.col("contents")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("body"))
 
@@ -140,7 +140,7 @@ def _pairs(v: Views) -> DataFrame:
 
 
 @query("t18_span_score", f"""WITH p AS ({PAIR_SQL}), t AS (SELECT conv_id, turn, {tokens_sql('claim')} AS a, {tokens_sql('span')} AS b, {numbers_sql('claim')} AS na, {numbers_sql('span')} AS nb FROM p)
-SELECT conv_id, turn, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / sqrt(len(a) * len(b)) END + CASE WHEN len(list_intersect(na, nb)) > 0 THEN 0.35 ELSE 0 END, 6) AS score FROM t""")
+SELECT conv_id, turn, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / sqrt(len(a) * len(b)) + CASE WHEN len(list_intersect(na, nb)) > 0 THEN 0.35 ELSE 0 END END, 6) AS score FROM t""")
 def t18(v: Views) -> DataFrame:
     return _pairs(v).select("conv_id", "turn", F.round(T.span_score(F.col("claim"), F.col("span")), 6).alias("score"))
 
@@ -182,25 +182,27 @@ def t22(v: Views) -> DataFrame:
     return v.conversations.filter("role = 'assistant'").groupBy("conv_id").agg(F.sum(T.n_words(F.col("text"))).cast("long").alias("words"))
 
 
-@query("t23_item_fingerprint", rf"SELECT item_id, regexp_replace(lower({FLAT.format('text')}), '[.!?]+$', '') AS fingerprint FROM benchmark")
+@query("t23_item_fingerprint", rf"SELECT item_id, trim(regexp_replace(lower({FLAT.format('text')}), '[.!?]+$', '')) AS fingerprint FROM benchmark")
 def t23(v: Views) -> DataFrame:
     return v.benchmark.select("item_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query("t24_many_sentences", r"SELECT conv_id, turn, regexp_matches(regexp_replace(text, '\b(?:Dr|Mr|Mrs|Ms|Prof|e\.g|i\.e|etc|vs|No|Fig)\.', 'X', 'g'), '[.!?]\s+[A-Z0-9]') AS many FROM conversations")
+@query("t24_many_sentences", r"""WITH a AS (SELECT conv_id, turn, regexp_replace(text, '(?i)(^|[^\p{L}\p{N}_])(?:D\.Phil|M\.D|Ph\.D)\.', '\1X', 'g') AS t FROM conversations), b AS (SELECT conv_id, turn, regexp_replace(t, '(^|[^\p{L}\p{N}_])(?:[A-Za-z]\.){2,}', '\1X', 'g') AS t FROM a),
+c AS (SELECT conv_id, turn, regexp_replace(t, '(?i)(^|[^\p{L}\p{N}_])(?:al|Art|cf|Ch|Dr|e\.g|Eq|etc|Fig|i\.e|Jr|Mr|Mrs|Ms|No|p|pp|Prof|Sec|Sr|St|Vol|vs)\.', '\1X', 'g') AS t FROM b) SELECT conv_id, turn, regexp_matches(t, '[.!?]["'')\]]*\s+\S') AS many FROM c""")
 def t24(v: Views) -> DataFrame:
     return v.conversations.select("conv_id", "turn", T.many_sentences(F.col("text")).alias("many"))
 
 
-@query("t25_quantities", r"""WITH n AS (SELECT doc_id, regexp_extract_all(contents, '\d+(?:[.,]\d+)*%?') AS q FROM corpus) SELECT doc_id, CAST(len(list_distinct(q)) AS BIGINT) AS n, coalesce(q[1], '') AS first FROM n""")
+@query("t25_quantities", r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(contents, '(?i)(?:^|[^A-Za-z0-9])((?:[$€£]\s*)?[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\b(?:\([A-Za-z]\))?(?:\s*(?:%|percent(?:age)?(?:\s+points?)?\b))?)', 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))) AS q FROM corpus)
+SELECT doc_id, CAST(len(q) AS BIGINT) AS n, array_to_string(list_sort(q), ' ') AS values FROM n""")
 def t25(v: Views) -> DataFrame:
-    return v.corpus.select("doc_id", T.numbers(F.col("contents")).alias("q")).select("doc_id", F.size("q").cast("long").alias("n"), F.coalesce(F.get("q", F.lit(0)), F.lit("")).alias("first"))
+    return v.corpus.select("doc_id", T.quantities(F.col("contents")).alias("q")).select("doc_id", F.size("q").cast("long").alias("n"), F.array_join(F.array_sort("q"), " ").alias("values"))
 
 
 @query("t26_document_quality")
 def t26(v: Views) -> DataFrame:
     rates = T.quality_rates(F.col("contents"))
-    return v.corpus.select("doc_id", T.quality_score(rates).alias("score"), T.n_words(F.col("contents")).cast("long").alias("words"), *(F.round(r, 3).alias(k) for k, r in rates.items()))
+    return v.corpus.select("doc_id", T.quality_score(rates).alias("score"), F.array_join(T.quality_reasons(rates), "; ").alias("reasons"), T.n_words(F.col("contents")).cast("long").alias("words"), *(F.round(r, 3).alias(k) for k, r in rates.items()))
 
 
 @query("t27_quality_bands")
@@ -229,14 +231,17 @@ def t30(v: Views) -> DataFrame:
     return v.events.select("event_id", T.parse_grade(text).alias("grade"))
 
 
-@query("t31_error_class", """WITH e AS (SELECT event_id, CAST(event_id % 6 AS INT) AS n, ['throttling: slow down', 'timed out', 'access denied', 'bad json', 'HTTP 503', 'ok?'][CAST(event_id % 6 AS INT) + 1] AS m FROM events)
-SELECT event_id, CASE n WHEN 0 THEN 'throttle' WHEN 1 THEN 'timeout' WHEN 2 THEN 'auth' WHEN 3 THEN 'parse' WHEN 4 THEN 'server' ELSE 'other' END AS class, least(60.0, 1.5 * power(2, n)) AS delay FROM e""")
+ERRORS = [("ClientError", "ThrottlingException", 400), ("ReadTimeoutError", "", 0), ("ClientError", "ExpiredToken", 403), ("ClientError", "Other", 400), ("ClientError", "", 503), ("SlowDown", "", 0), ("ClientError", "", 429)]
+
+
+@query("t31_error_class", """WITH e AS (SELECT event_id, CAST(event_id % 7 AS INT) AS n FROM events)
+SELECT event_id, CASE n WHEN 0 THEN 'throttle' WHEN 1 THEN 'timeout' WHEN 2 THEN 'expired_token' WHEN 4 THEN 'server_error' WHEN 5 THEN 'throttle' WHEN 6 THEN 'throttle' ELSE 'other' END AS class, least(30.0, power(2, greatest(n - 1, 0)))::DOUBLE AS delay FROM e""")
 def t31(v: Views) -> DataFrame:
     from quarry.operators.traces import backoff, error_class
 
-    n = (F.col("event_id") % 6).cast("int")
-    m = F.get(F.array(*map(F.lit, ("throttling: slow down", "timed out", "access denied", "bad json", "HTTP 503", "ok?"))), n)
-    return v.events.select("event_id", error_class(m).alias("class"), backoff(n).alias("delay"))
+    n = (F.col("event_id") % 7).cast("int")
+    e = F.get(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ERRORS)), n)
+    return v.events.select("event_id", error_class(e["a"], e["b"], e["c"]).alias("class"), backoff(n).alias("delay"))
 
 
 @query("t32_tool_output", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""")
