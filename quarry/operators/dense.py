@@ -82,17 +82,29 @@ def nearest_elsewhere(vecs: DataFrame, by: list[str], arm: str) -> DataFrame:
 
 
 def vendi(vecs: DataFrame, by: list[str]) -> DataFrame:
-    """exp of the entropy of the eigenvalues of K / n; from the d x d matrix where there are more vectors than dimensions."""
-    schema = ", ".join([*(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in by), "n long, vendi double"])
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
-        k = (x.T @ x if x.shape[0] > x.shape[1] else x @ x.T) / len(x)
-        e = np.clip(np.linalg.eigvalsh(k), 0, None)
+    """exp of the entropy of the eigenvalues of K / n, which are those of X'X / n: each task sums d x d products of its own rows of a group,
+    so a group's size doesn't matter."""
+    keys = ", ".join(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in by)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, tuple[int, np.ndarray]] = {}
+        for b in batches:
+            for key, g in b.groupby(by, dropna=False):
+                x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+                n, k = sums.get(key, (0, 0.0))
+                sums[key] = n + len(x), k + x.T @ x
+        if sums:
+            yield pd.DataFrame([(*key, n, k.ravel()) for key, (n, k) in sums.items()], columns=[*by, "n", "gram"])
+
+    def total(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        n, k = int(g["n"].sum()), np.sum(np.stack(g["gram"].to_numpy()), 0)
+        d = int(round(len(k) ** 0.5))
+        e = np.clip(np.linalg.eigvalsh(k.reshape(d, d) / n), 0, None)
         e = e[e > 1e-12]
-        return pd.DataFrame([(*key, len(x), float(np.exp(-(e * np.log(e)).sum())))], columns=[*by, "n", "vendi"])
+        return pd.DataFrame([(*key, n, float(np.exp(-(e * np.log(e)).sum())))], columns=[*by, "n", "vendi"])
 
-    return vecs.groupBy(*by).applyInPandas(run, schema)
+    sums = vecs.filter("embedding IS NOT NULL").select(*by, "embedding").mapInPandas(partial, f"{keys}, n long, gram array<double>")
+    return sums.groupBy(*by).applyInPandas(total, f"{keys}, n long, vendi double")
 
 
 def pair_statistics(vecs: DataFrame, by: list[str], near: float = 0.9) -> DataFrame:
