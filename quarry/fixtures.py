@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.sources.corpus import spread
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Words of a chunk, and from one start to the next, of the `chunks` view (256 and 32 tokens at 1.3 a word).
 CHUNK_WORDS, CHUNK_STEP = 196, 172
@@ -25,7 +27,8 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in ("documents", "pages") else table
 
     @cached_property
     def corpus(self) -> DataFrame:

@@ -201,13 +201,23 @@ def t25(v: Views) -> DataFrame:
 
 @query("t26_document_quality")
 def t26(v: Views) -> DataFrame:
-    rates = T.quality_rates(F.col("contents"))
-    return v.corpus.select("doc_id", T.quality_score(rates).alias("score"), F.array_join(T.quality_reasons(rates), "; ").alias("reasons"), T.n_words(F.col("contents")).cast("long").alias("words"), *(F.round(r, 3).alias(k) for k, r in rates.items()))
+    d = rated(v)
+    r = {k: F.col(k) for k in T.QUALITY}
+    return d.select("doc_id", T.quality_score(r).alias("score"), F.array_join(T.quality_reasons(r), "; ").alias("reasons"), "words", *(F.round(k, 3).alias(k) for k in T.QUALITY))
+
+
+def rated(v: Views) -> DataFrame:
+    """Words and rates, each pattern counted once however often its rate is used."""
+    c = F.col("contents")
+    counted = v.corpus.select("doc_id", T.n_words(c).cast("long").alias("words"), *(F.regexp_count(c, F.lit(p)).alias(k) for k, p in T.QUALITY.items()))
+    n = F.greatest(F.col("words"), F.lit(1))
+    return counted.select("doc_id", "words", *((1000.0 * F.col(k) / n).alias(k) for k in T.QUALITY))
 
 
 @query("t27_quality_bands")
 def t27(v: Views) -> DataFrame:
-    s = v.corpus.filter(T.n_words(F.col("contents")) >= 80).select(T.quality_band(T.quality_score(T.quality_rates(F.col("contents")))).alias("band")).groupBy("band").count()
+    r = {k: F.col(k) for k in T.QUALITY}
+    s = rated(v).filter("words >= 80").select(T.quality_band(T.quality_score(r)).alias("band")).groupBy("band").count()
     return s.select("band", F.col("count").alias("docs"), F.round(F.col("count") / F.sum("count").over(W.partitionBy()), 6).alias("share"))  # four rows at most
 
 

@@ -86,3 +86,10 @@ def record_line(fmt: str) -> F.Column:
 def write_records(df: DataFrame, fmt: str, path: str) -> None:
     """Text files through Spark's committer: a failed task leaves nothing, a rerun replaces the folder."""
     df.select(record_line(fmt).alias("value")).write.mode("overwrite").text(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in a few files dealt to all cores before work on its texts; one of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < 2 * cores else df
