@@ -11,8 +11,8 @@ Groups are the connected components, by star contractions whose only state is th
 
 Words are white-space separated, in small letters. A text of 1 to 4 words is one shingle; a text without words, or null, is
 alone in its class and has no links. Rows repeated with the same id and text are copies like others. Null ids
-are ids like others; of a class or group the least non-null id is its name. Extra columns are ignored by
-`links`, passed through by `deduplicate`. Empty tables give empty results.
+are ids like others; of a class or group the least non-null id is its name. Groups may share a name, as ids may repeat, so
+`deduplicate` tells them apart by their root. Extra columns are ignored by `links`, passed through by `deduplicate`. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -222,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(members, groups): doc_id and class of each document, and per class its name, size, links and group's name."""
+    """(members, groups): doc_id and class of each document, and per class its name, links, and its group's root and name."""
     bands, rows = choose_bands(threshold, recall)
     members = scratch.table(signatures(docs, bands, rows))
     reps = scratch.table(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -245,7 +245,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     d = reps.select("cls", "rep", "copies").join(counts, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     d = scratch.table(d.select("cls", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "cls").alias("root")))
     names = scratch.table(d.groupBy("root").agg(F.min("rep").alias("group_id")))
-    return members, d.join(names, "root").select("cls", "rep", "links", "group_id")
+    return members, d.join(names, "root").select("cls", "rep", "links", "root", "group_id")
 
 
 def _own_text(texts: DataFrame) -> DataFrame:
@@ -273,8 +273,8 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     key = fresh(docs, "_key")
     named = members.join(groups, "cls")
     # of a group's rows with the least id, those of one text stay
-    first = scratch.table(named.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id").agg(F.min("key").alias("stay"), F.count(F.lit(1)).alias("rows")))
-    gone = named.join(first.select(F.col("group_id").alias("_group"), "stay"), F.col("group_id").eqNullSafe(F.col("_group"))).filter(F.col("key") != F.col("stay")).select(F.col("key").alias(key)).distinct()
+    first = scratch.table(named.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("root").agg(F.min("key").alias("stay"), F.count(F.lit(1)).alias("rows")))
+    gone = named.join(first.select("root", "stay"), "root").filter(F.col("key") != F.col("stay")).select(F.col("key").alias(key)).distinct()
     kept = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(gone, key, "left_anti")
     if first.filter("rows > 1").head(1):  # only then may a kept row be repeated
         again = first.filter("rows > 1").select(F.col("stay").alias(key))

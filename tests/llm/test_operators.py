@@ -218,6 +218,13 @@ def test_ids_that_repeat_with_other_texts(spark):
     assert sorted((r["doc_id"], r["text"]) for r in jaccard_join.deduplicate(d).collect()) == [(1, a), (2, b)]
 
 
+@pytest.mark.parametrize("name", [2, None])
+def test_groups_of_one_name_stay_apart(spark, name):
+    a, b = "a b c d e f g h", "completely other words stand in this one here"
+    d = spark.createDataFrame([(name, a), (name, b), (name, a)], "doc_id long, text string")
+    assert sorted(r["text"] for r in jaccard_join.deduplicate(d).collect()) == [a, b]
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard_join.choose_bands(0.8, 0.997)
     assert bands * rows <= jaccard_join.HASHES and 1 - (1 - 0.8**rows) ** bands >= 0.997
