@@ -7,7 +7,8 @@ must correspond one to one: then the passage is the item, word for word or with
 
 A document's windows first pass a bit table of the benchmark's hashes, of a fixed 512 KB, inside the row; only windows that
 it lets through (all true ones, few others) become rows and meet the join. Items are matched with and without names
-masked, so that a copy in capitals or small letters is found as well.
+masked, so that a copy in capitals or small letters is found as well. Items in which a name also begins a sentence are matched
+a second time with it masked there too, in the item and in the documents; what only that finds is added.
 
 Nulls and odd rows: null and empty texts have no windows. Items of fewer than 8 tokens, or whose windows hold fewer than 4
 plain words, can't be told from common phrases: they match nothing. Rows that repeat a (doc_id, text) count as one
@@ -17,6 +18,9 @@ ignored by the report and passed through by `apply_decontamination`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,9 @@ UNITS = (
 MARK = "\u0001"
 _NAME = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}+"
 _TOKEN = MARK + r"?\p{L}+|[0-9]+(?:[.,][0-9]+)*"
+#: A capitalised word elsewhere, as at the start of a sentence or after a quote: a name if it is one elsewhere in the text.
+FIRST = "\u0002"
+_FIRST = r"(?<![\p{L}\p{N}" + MARK + r"])\p{Lu}\p{Ll}+"
 
 
 def tokens(text: Column, names: bool = True) -> Column:
@@ -46,6 +53,19 @@ def tokens(text: Column, names: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
 
+def wide_tokens(text: Column) -> Column:
+    """tokens(), with a name of the text masked wherever it begins a sentence as well."""
+    marked = F.regexp_replace(F.regexp_replace(text, _NAME, MARK + "$0"), _FIRST, FIRST + "$0")
+    found = F.regexp_extract_all(F.lower(marked), F.lit(FIRST + "?" + _TOKEN), F.lit(0))
+    names = F.array_distinct(F.filter(found, lambda t: t.startswith(MARK)))
+
+    def one(t: Column) -> Column:
+        name = F.concat(F.lit(MARK), F.ltrim(t, F.lit(FIRST)))
+        return F.when(~t.startswith(FIRST), t).when(F.array_contains(names, name), name).otherwise(F.ltrim(t, F.lit(FIRST)))
+
+    return F.transform(found, one)
+
+
 def canonical(toks: Column) -> Column:
     """Tokens with '#', '@' or '%' for a number, name or unit."""
 
@@ -68,10 +88,10 @@ def _with_hashes(df: DataFrame, toks: str, into: str) -> DataFrame:
     return df.withColumnRenamed(f"{into}8", into).drop(f"{into}1", f"{into}2", f"{into}4")
 
 
-def benchmark_windows(bench: DataFrame) -> DataFrame:
+def benchmark_windows(bench: DataFrame, masked: Callable[[Column], Column] = tokens) -> DataFrame:
     """item_id, pos, h, words and kinds of each window, with and without names masked, and the item's number of windows."""
     b = bench.select("item_id", "text").filter("text IS NOT NULL").dropDuplicates()
-    both = b.select("item_id", F.explode(F.array(tokens(F.col("text")), tokens(F.col("text"), names=False))).alias("toks"))
+    both = b.select("item_id", F.explode(F.array(masked(F.col("text")), tokens(F.col("text"), names=False))).alias("toks"))
     both = _with_hashes(both.filter(F.size("toks") >= WINDOW), "toks", "h").withColumn("canon", canonical(F.col("toks")))
     at = both.select("item_id", "toks", "canon", "h", F.explode(F.sequence(F.lit(0), F.size("toks") - WINDOW)).alias("pos"))
     w = at.select(
@@ -103,8 +123,27 @@ def bit_table(windows: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, key (of id and text), item_id and how they match, one row per contaminated document and item."""
-    windows = benchmark_windows(bench)
-    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), tokens(F.col("text")).alias("toks"))
+    found = [window_matches(docs, bench, coverage)]
+    wide = bench.filter(wide_tokens(F.col("text")) != tokens(F.col("text"))).select("item_id").distinct()
+    if wide.head(1):
+        items = bench.select("item_id", "text").join(wide.select(F.col("item_id").alias("_item")), F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
+        found.append(window_matches(docs, items, coverage, wide_tokens))
+    return _first_of(found)
+
+
+def _first_of(found: list[DataFrame]) -> DataFrame:
+    """The union, and of the rows of a document and item the one of the earliest table."""
+    if len(found) == 1:
+        return found[0]
+    every = reduce(DataFrame.unionByName, (f.withColumn("_n", F.lit(n)) for n, f in enumerate(found)))
+    how = F.min_by(F.struct("windows", "item_windows", "slots", "changed_slots"), "_n").alias("how")
+    return every.groupBy("doc_id", "key", "item_id").agg(how).select("doc_id", "key", "item_id", "how.*")
+
+
+def window_matches(docs: DataFrame, bench: DataFrame, coverage: float, masked: Callable[[Column], Column] = tokens) -> DataFrame:
+    """The matches by windows."""
+    windows = benchmark_windows(bench, masked)
+    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), masked(F.col("text")).alias("toks"))
     d = _with_hashes(d, "toks", "h")
     table = bit_table(windows).scalar()
     starts = F.when(F.size("toks") >= WINDOW, F.sequence(F.lit(0), F.size("toks") - WINDOW)).otherwise(F.array().cast("array<int>"))

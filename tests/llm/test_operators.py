@@ -130,6 +130,13 @@ def test_common_words_are_no_leak(spark):
     assert leak(spark, "How far does one walk in a day if the pace is kept and the road is good?") == []
 
 
+@pytest.mark.parametrize("before", ["", "Quoted: \"", "One line.\n"])
+def test_names_that_begin_sentences(spark, before):
+    item = "Tom has 5 red apples. Tom gives 2 apples to Ann. How many does Tom keep now?"
+    r = leak(spark, before + item.replace("Tom", "Sam"), item)
+    assert [x["kind"] for x in r] == ["reparameterised"] and r[0]["windows"] == r[0]["item_windows"]
+
+
 # ---------------------------------------------------------------- 2
 def test_prefix_counts_are_exact():
     import sentencepiece as spm
