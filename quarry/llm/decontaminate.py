@@ -10,8 +10,11 @@ it lets through (all true ones, few others) become rows and meet the join. Items
 masked, so that a copy in capitals or small letters is found as well. Items in which a name also begins a sentence are matched
 a second time with it masked there too, in the item and in the documents; what only that finds is added.
 
-Nulls and odd rows: null and empty texts have no windows. Items of fewer than 8 tokens, or whose windows hold fewer than 4
-plain words, can't be told from common phrases: they match nothing. Rows that repeat a (doc_id, text) count as one
+Items of fewer than 8 tokens, or whose windows all hold fewer than 4 plain words, are matched as wholes: the item's whole sequence of
+tokens, nothing masked, is one window of its own length. Here operators are tokens too, and letters of scripts without spaces
+are tokens each. A window of any length is two of a power of two that overlap.
+
+Nulls and odd rows: null and empty texts, and items without any token, match nothing. Rows that repeat a (doc_id, text) count as one
 document in the report, and all go in `apply_decontamination`. Null ids are ids like others. Extra columns are
 ignored by the report and passed through by `apply_decontamination`.
 """
@@ -66,6 +69,16 @@ def wide_tokens(text: Column) -> Column:
     return F.transform(found, one)
 
 
+#: Scripts that put no spaces between words.
+_DENSE = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\p{IsTibetan}"
+_EXACT = rf"[\p{{L}}&&[{_DENSE}]]|[\p{{L}}&&[^{_DENSE}]]+|[0-9]+(?:[.,][0-9]+)*|\p{{S}}|[-*/%]"
+
+
+def exact_tokens(text: Column) -> Column:
+    """Lower-case words, numbers and operators."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_EXACT), F.lit(0))
+
+
 def canonical(toks: Column) -> Column:
     """Tokens with '#', '@' or '%' for a number, name or unit."""
 
@@ -128,9 +141,68 @@ def matches(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Da
     if wide.head(1):
         items = bench.select("item_id", "text").join(wide.select(F.col("item_id").alias("_item")), F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
         found.append(window_matches(docs, items, coverage, wide_tokens))
+    if (short := whole_items(bench)).head(1):
+        found.append(whole_matches(docs, short))
     return _first_of(found)
 
 
+def whole_items(bench: DataFrame) -> DataFrame:
+    """item_id and toks of the items' texts that have no window to match by."""
+    plain = lambda toks: F.transform(canonical(toks), lambda c: ~c.isin("#", "@", "%"))
+    b = bench.select("item_id", "text").filter("text IS NOT NULL").dropDuplicates()
+    # names masked leave no more plain words than names that stand
+    b = b.select("item_id", exact_tokens(F.col("text")).alias("toks"), plain(tokens(F.col("text"), names=False)).alias("plain"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("plain") - WINDOW, F.lit(0)))
+    windowed = (F.size("plain") >= WINDOW) & F.exists(starts, lambda i: F.size(F.filter(F.slice("plain", i + 1, WINDOW), lambda p: p)) >= PLAIN)
+    return b.filter((F.size("toks") > 0) & ~windowed).select("item_id", "toks")
+
+
+def _power(n: int) -> int:
+    """The largest power of two within n."""
+    return 1 << (n.bit_length() - 1)
+
+
+def _with_powers(df: DataFrame, most: int) -> DataFrame:
+    """Adds s1, s2, s4 ... up to `most`: the hashes of the windows of so many of toks at each position."""
+    df = df.withColumn("s1", F.transform("toks", lambda t: F.xxhash64(t)))
+    k = 1
+    while 2 * k <= most:
+        df = df.withColumn(f"s{2 * k}", _doubled(F.col(f"s{k}"), k))
+        k *= 2
+    return df
+
+
+def _whole_hashes(lengths: list[int]) -> list[Column]:
+    """Per power of two, the hashes of the windows of these lengths; one expression however many lengths there are."""
+    out = []
+    for s in sorted({_power(n) for n in lengths}):
+        here = F.filter(F.lit([n for n in lengths if _power(n) == s]), lambda n: n <= F.size("toks"))
+        window = lambda i, n, s=s: F.xxhash64(n.cast("int"), F.get(f"s{s}", i), F.get(f"s{s}", (i + n - s).cast("int")))
+        out.append(F.flatten(F.transform(here, lambda n: F.transform(F.sequence(F.lit(0), (F.size("toks") - n).cast("int")), lambda i: window(i, n)))))
+    return out
+
+
+def whole_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The matches of whole items (item_id, toks), word for word."""
+    lengths = sorted(r["n"] for r in items.select(F.size("toks").alias("n")).distinct().collect())
+    b = _with_powers(items, lengths[-1])
+    n = F.size("toks")
+    own = F.coalesce(*(F.when(n.between(s, 2 * s - 1), F.xxhash64(n, F.get(f"s{s}", F.lit(0)), F.get(f"s{s}", n - s))) for s in sorted({_power(k) for k in lengths})))
+    b = b.select("item_id", own.alias("h")).distinct()
+    d = _with_powers(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), exact_tokens(F.col("text")).alias("toks")), lengths[-1])
+    d = d.withColumn("bits", bit_table(b).scalar())
+    d = d.withColumn("at", F.array_distinct(F.filter(F.flatten(F.array(*_whole_hashes(lengths))), _held)))
+    found = d.select("doc_id", "key", F.explode_outer("at").alias("h")).filter("h IS NOT NULL")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return found.join(b, "h").select("doc_id", "key", "item_id", one.alias("windows"), one.alias("item_windows"), none.alias("slots"), none.alias("changed_slots")).distinct()
+
+
+def _held(h: Column) -> Column:
+    """Whether the table `bits` has both bits of a hash."""
+    a, b = (F.getbit(F.get("bits", F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(h))
+    return a & b
+
+
 def _first_of(found: list[DataFrame]) -> DataFrame:
     """The union, and of the rows of a document and item the one of the earliest table."""
     if len(found) == 1:
@@ -148,11 +220,7 @@ def window_matches(docs: DataFrame, bench: DataFrame, coverage: float, masked: C
     table = bit_table(windows).scalar()
     starts = F.when(F.size("toks") >= WINDOW, F.sequence(F.lit(0), F.size("toks") - WINDOW)).otherwise(F.array().cast("array<int>"))
 
-    def held(i: Column) -> Column:
-        a, b = (F.getbit(F.get("bits", F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(F.get("h", i)))
-        return a & b
-
-    d = d.withColumn("bits", table).withColumn("at", F.filter(starts, held))
+    d = d.withColumn("bits", table).withColumn("at", F.filter(starts, lambda i: _held(F.get("h", i))))
     # No filter on "at" and no inner explode: Catalyst would push either below the projections, and evaluate all of them in one expression.
     found = d.select("doc_id", "key", F.explode_outer(F.transform("at", lambda i: F.struct(i.alias("pos"), F.get("h", i).alias("h"), F.slice("toks", i + 1, WINDOW).alias("words")))).alias("f"))
     found = found.filter("f IS NOT NULL").select("doc_id", "key", F.col("f.pos").alias("d_pos"), F.col("f.h").alias("h"), F.col("f.words").alias("d_words"))

@@ -137,6 +137,31 @@ def test_names_that_begin_sentences(spark, before):
     assert [x["kind"] for x in r] == ["reparameterised"] and r[0]["windows"] == r[0]["item_windows"]
 
 
+@pytest.mark.parametrize(
+    "item, other",
+    [
+        ("What is the capital of France?", "What is the capital of Spain?"),
+        ("12 + 7 * 3 - 4 / 2 + 9 * 5 - 1 = ?", "12 + 7 * 3 - 4 / 2 + 9 * 5 + 1 = ?"),
+        ("法国的首都是什么城市", "法国的首都是什么国家"),
+        ("Why?", "Who?"),
+    ],
+)
+def test_items_without_windows_match_as_wholes(spark, item, other):
+    for text in (item, f"before it {item.upper()} and after"):
+        assert [(r["item_id"], r["kind"]) for r in leak(spark, text, item)] == [(9, "verbatim")]
+    assert [r["kind"] for r in leak(spark, f"之前{item}之后", item)] == ["verbatim"]
+    assert leak(spark, other, item) == []
+
+
+def test_whole_items_of_many_lengths(spark):
+    rng = random.Random(7)
+    items = [(k, " ".join(rng.choices("12345", k=k))) for k in range(1, 40)] + [(None, "2 3 5"), (None, "7 7")]
+    texts = [(k, " ".join(rng.choices("12345", k=120)) + " | " + " ".join(i for _, i in rng.sample(items, 3))) for k in range(12)] + [(3, "7 7"), (None, None)]
+    got = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(d, i) for d, t in texts for i, x in items if f" {x} " in f" {t} "}
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == sorted(want, key=str)
+
+
 # ---------------------------------------------------------------- 2
 def test_prefix_counts_are_exact():
     import sentencepiece as spm
