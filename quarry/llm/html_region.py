@@ -4,7 +4,8 @@ A page is read as a sequence of words and tags. Words score positive and tags ne
 what holds it (running text, heading, list, link, boilerplate element, outside the page's own article
 element), a tag's is its name. The weights are log odds from labelled pages: those of a bounded sample that mark their
 article themselves. One linear scan finds the contiguous region of the highest sum. Elements that are boilerplate
-by name, role, class or id are left out of the region's text even where it spans them.
+by name, role, class or id are left out of the region's text even where it spans them. Inside an article element a class or
+id counts only if it says nothing else, and never a heading's id: `ad-box` is boilerplate, `social-impact` is not.
 
 Character references are decoded after parsing; white space inside a block becomes one space; blocks are joined by two
 line ends. Headings of a header inside the article are kept.
@@ -35,7 +36,7 @@ ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAME = re.compile(r"[a-z]+")
 
 # Element names by their part in a page.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "canvas", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SKIPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "label", "fieldset", "audio", "video"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -46,6 +47,8 @@ BOILERPLATE = set(
     "footer masthead topbar sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations comment comments disqus respond replies widget toolbar pagination pager skiplink copyright legal disclaimer".split()
 )
+#: Words that may stand beside one of those in a class of an article's boilerplate.
+STRUCTURE = set("area bar block box button buttons container content form icon icons inner item items link links list outer panel row section slot unit wrap wrapper".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 CLOSED_BY_BLOCK = {"p", *HEADINGS}
 SAME_LEVEL = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
@@ -71,7 +74,15 @@ class Item:
         self.kind, self.words, self.text, self.block, self.inside = kind, words, text, block, inside
 
 
-def _boilerplate(name: str, attrs: str) -> str:
+def _class_words(value: str, inside: bool) -> set[str]:
+    """The words of a class or id; inside a landmark only those of tokens that say no more."""
+    if not inside:
+        return set(NAME.findall(value))
+    tokens = (set(NAME.findall(t)) for t in value.split())
+    return set().union(*(t for t in tokens if t <= BOILERPLATE | STRUCTURE | {"header"}))
+
+
+def _boilerplate(name: str, attrs: str, inside: bool = False) -> str:
     """'' for content, 'skip' for boilerplate, 'header' for a header of which headings may stay."""
     if name in SKIPPED:
         return "skip"
@@ -80,7 +91,9 @@ def _boilerplate(name: str, attrs: str) -> str:
         for key, a, b, c in ATTR.findall(attrs):
             key, value = key.lower(), (a or b or c).lower()
             if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-                words = set(NAME.findall(value))
+                if inside and key == "id" and name in HEADINGS:
+                    continue
+                words = _class_words(value, inside)
                 if words & BOILERPLATE:
                     return "skip"
                 if "header" in words:
@@ -144,7 +157,7 @@ def parse(page: str) -> list[Item]:
                     break
                 if stack[k][0] in LANDMARKS and name in ("div", "p", "span", "section"):
                     break  # a stray end tag doesn't close the article
-        elif name in RAW:
+        elif name in RAW and not (name == "svg" and m[3].rstrip().endswith("/")):
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             raw_end = at = close.end() if close else end
         elif name not in VOID and not m[3].rstrip().endswith("/"):
@@ -163,7 +176,7 @@ def parse(page: str) -> list[Item]:
                 del stack[k:]
             if name in BLOCKS or name in INLINE:
                 mark = 0
-                kind = _boilerplate(name, m[3])
+                kind = _boilerplate(name, m[3], bool(inside))
                 if name in LANDMARKS and kind != "skip" and not any(k == "skip" for _, k, _ in stack) and not any(k for _, _, k in stack):
                     marks += 1
                     mark = marks

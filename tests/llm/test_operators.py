@@ -386,6 +386,21 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>One <svg viewBox='0 0 1 1'/> two.</p><p>Three.</p></article>", "One two.\n\nThree."),
+        ("<article><p>One <math/> two.</p><p>Three <svg><text>no</text></svg> four.</p></article>", "One two.\n\nThree four."),
+        ("<article><p>As <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p></article>", "As a=b holds."),
+        ("<article><h2 id='social-impact'>Impact</h2><p>One two.</p><h2 id=comments>On comments</h2></article>", "Impact\n\nOne two.\n\nOn comments"),
+        ("<article><section id='legal-status'><p>One two.</p></section><p class='notice-of-rights'>Three.</p></article>", "One two.\n\nThree."),
+        ("<article><p>One two.</p><div class='share-buttons'>no</div><div class='wide ad'>no</div><p>Three.</p></article>", "One two.\n\nThree."),
+    ],
+)
+def test_article_text_is_whole(page, want):
+    assert main_text(page) == want
+
+
 def test_scan_finds_the_best_region():
     rng = random.Random(4)
     for _ in range(30):
