@@ -2,18 +2,22 @@
 
 Texts of up to `chunk` code points are one chunk. Longer ones are cut into chunks that overlap, which are
 pre-tokenised in parallel, whichever executor has them. The pattern looks only ahead, never back, so two
-runs that both have a boundary at a position agree from there on. Stitching takes the first such position
-in each overlap; where none is found (one run of letters as long as the overlap), it scans on from the last
-boundary that is certain. Then the pieces are encoded by rank. Decoding joins the bytes of the ids.
+runs that both have a boundary at a position agree from there on. It looks LOOKAHEAD code points ahead at most
+(a contraction cut short isn't one), so a chunk's boundaries in its last LOOKAHEAD count only where the text ends too.
+Stitching takes the first shared position in each overlap; where none is found (one run of letters as long as
+the overlap), it scans on from the last boundary that is certain. Then the pieces are encoded by rank. Decoding joins
+the bytes of the ids.
 
 Nulls and odd rows: a null text is an empty one (no ids, the digest of nothing). Rows that repeat a
-(doc_id, text) each give their row. A null doc_id stays null. Extra columns are ignored.
+(doc_id, text) each give their row; a task cuts such a text once. Rows are told apart by nothing else, so there are no ties.
+A null doc_id stays null. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from quarry.llm.scratch import small_batches
 
 CHUNK, OVERLAP = 32_768, 1_024
+#: Code points from the start of a match, and beyond its end, that the pattern may look at.
+LOOKAHEAD = 3
 #: Distinct pieces whose ids a worker keeps; beyond it the store starts afresh.
 PIECES = 250_000
 
@@ -62,25 +68,27 @@ class ByteBPE(dict):
         """The starts of the pieces of a chunk."""
         return np.fromiter((m.start() for m in self.find(chunk)), np.int64)
 
+    def certain(self, text: str, start: int, end: int, own: np.ndarray) -> np.ndarray:
+        """Those of a chunk's boundaries that what follows the chunk can't change, if its first one is right."""
+        return own if end >= len(text) else own[(own <= end - LOOKAHEAD) | (own == start)]
+
     def stitch(self, text: str, chunks: list[tuple[int, int, np.ndarray]]) -> list[str]:
         """The pieces of text, from (start, end, boundaries in the chunk) of its chunks in order.
 
-        All boundaries of a chunk but its first few may be trusted only once one is shared with what is
-        already certain; the start of a chunk's last piece is certain, its end isn't, unless the text ends there.
+        A chunk's boundaries may be trusted only from one on that is known to be right. A chunk that is one piece has none
+        to share; what it holds is scanned with the next that has.
         """
         start, end, own = chunks[0]
-        sure = own + start
-        for start, end, own in chunks[1:]:
-            own = own + start
-            if not len(sure) or (len(own) and own[-1] <= sure[-1]):
-                continue
+        sure = self.certain(text, start, end, own + start)
+        for k, (start, end, own) in enumerate(chunks[1:], 2):
+            own = self.certain(text, start, end, own + start)
             shared = np.intersect1d(sure, own, assume_unique=True)
-            if not len(shared):
+            if len(shared):
+                at = int(shared[0])
+                sure = np.concatenate([sure[sure < at], own[own >= at]])
+            elif len(own) > 1 or k == len(chunks):
                 at = int(sure[-1])
-                sure = np.concatenate([sure[:-1], at + self.boundaries(text[at:end])])
-                continue
-            at = shared[0]
-            sure = np.concatenate([sure[sure < at], own[own >= at]])
+                sure = np.concatenate([sure[:-1], self.certain(text, at, end, at + self.boundaries(text[at:end]))])
         cuts = [*sure.tolist(), len(text)]
         return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -106,6 +114,10 @@ def encode_table(docs: DataFrame, finish: Callable[[ByteBPE, bytes], tuple], sch
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = [x.strip().split()[0] for x in schema.split(",")]
     pair = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    names = ["doc_id", "key", "task", "n", "at", "part"]
+
+    def dealt_types(b: pa.RecordBatch) -> list[pa.DataType]:
+        return [b.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_file, pattern)
@@ -115,10 +127,17 @@ def encode_table(docs: DataFrame, finish: Callable[[ByteBPE, bytes], tuple], sch
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, arrow))], names=["doc_id", *fields])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's chunks once, and at the end a row of n = -1 per text whose `at` is the number of its rows."""
+        rows: Counter = Counter()
         for b in batches:
-            for i, t, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for i, t, key, task in zip(*(c.to_pylist() for c in b.columns)):
+                rows[i, key, task] += 1
+                if rows[i, key, task] > 1:
+                    continue
                 for n, (at, part) in enumerate(cut(t, chunk, overlap)):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], b.column(0).type), pa.array([key]), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([part])], names=["doc_id", "key", "n", "at", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((i, key, task, n, at, part), dealt_types(b))], names=names)
+        for (i, key, task), n in rows.items():
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((i, key, task, -1, n, ""), dealt_types(b))], names=names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_file, pattern)
@@ -129,8 +148,8 @@ def encode_table(docs: DataFrame, finish: Callable[[ByteBPE, bytes], tuple], sch
     def join(group: pd.DataFrame) -> pd.DataFrame:
         bpe = coder(ranks_file, pattern)
         group = group.sort_values("n")
-        copies = int((group["n"] == 0).sum())
-        group = group.drop_duplicates("n")
+        copies = int(group["at"].iloc[0])
+        group = group.iloc[1:]
         parts = list(zip(group["at"], group["part"], group["cuts"]))
         text = "".join(p[:chunk] for _, p, _ in parts)
         pieces = bpe.stitch(text, [(at, at + len(p), np.asarray(c, np.int64)) for at, p, c in parts])
@@ -138,9 +157,11 @@ def encode_table(docs: DataFrame, finish: Callable[[ByteBPE, bytes], tuple], sch
         return pd.DataFrame([(group["doc_id"].iloc[0], *row)] * copies, columns=["doc_id", *fields])
 
     short = pair.filter(F.length("text") <= chunk).mapInArrow(whole, f"doc_id {kind}, {schema}")
-    parts = pair.filter(F.length("text") > chunk).withColumn("key", F.xxhash64("text")).mapInArrow(chunks, f"doc_id {kind}, key long, n long, at long, part string")
-    dealt = parts.repartition("doc_id", "key", "n").mapInArrow(split, f"doc_id {kind}, key long, n long, at long, part string, cuts array<long>")
-    long = dealt.groupBy("doc_id", "key").applyInPandas(join, f"doc_id {kind}, {schema}")
+    rows = f"doc_id {kind}, key long, task int, n long, at long, part string"
+    # of one task's rows, so that a text that repeats all over the table meets itself in no group
+    parts = pair.filter(F.length("text") > chunk).select("doc_id", "text", F.xxhash64("text").alias("key"), F.spark_partition_id().alias("task")).mapInArrow(chunks, rows)
+    dealt = parts.repartition("doc_id", "key", "task", "n").mapInArrow(split, f"{rows}, cuts array<long>")
+    long = dealt.groupBy("doc_id", "key", "task").applyInPandas(join, f"doc_id {kind}, {schema}")
     return short.unionByName(long)
 
 
