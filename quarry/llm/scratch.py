@@ -70,6 +70,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def hash_limit(share: float) -> int:
+    """The largest 64-bit signed hash within the least `share` of them all; no share above 0 is too small to hold any."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Bound what a Python worker holds at once: Arrow batches of at most 500 rows and 4 MB, before any Python map."""
     conf = df.sparkSession.conf

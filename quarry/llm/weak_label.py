@@ -5,8 +5,8 @@ patterns, of all documents, estimates how accurate each is in either class and t
 pattern. Posteriors, as soft labels of a bounded sample, train a hashed linear scorer on word shapes,
 shape pairs and words, which then scores every document.
 
-Bounds: at most 3**7 vote patterns and 2**15 weights reach the driver, whatever the data; the scorer is fitted on
-about `sample` documents (SAMPLE). All documents count in the expectation-maximisation, all are scored, over whole texts.
+Bounds: at most 3**7 vote patterns and the features of `sample` documents (SAMPLE) reach the driver, whatever the data; the
+weights are 2**15. All documents count in the expectation-maximisation, all are scored, over whole texts.
 
 Nulls and odd rows: a null or empty text, or one without words, scores 0 and is rejected. A score at the threshold is
 kept. Repeated rows score alike, each with its row. Extra columns are ignored by `score_table` and
@@ -16,6 +16,7 @@ passed through by `apply_classifier`. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from quarry.llm import scratch
 from quarry.llm.divergence import _CLASS, WORD_BIN
 from quarry.llm.scratch import fresh, small_batches
 
@@ -149,35 +151,63 @@ def value_of(text: str, w: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def vote_patterns(docs: DataFrame) -> dict[str, int]:
-    """How many documents have each pattern; partial counts per task, at most 3**7 rows of result."""
+SEEN = "votes string, n long, h long, bins array<long>, vals array<double>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([votes(t or "") for t in b.column(0).to_pylist()], pa.string())], names=["votes"])
-
-    rows = small_batches(docs).select("text").mapInArrow(run, "votes string").groupBy("votes").count().collect()
-    return {r["votes"]: r["count"] for r in rows}
 
+def look(docs: DataFrame, share: float) -> DataFrame:
+    """One pass over the texts: per task the count of each vote pattern (h null), and the features of a hash sample.
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict[str, tuple[float, float]]]:
-    """Weights, bias and the labellers' accuracies."""
-    patterns = vote_patterns(docs)
-    posterior, hits = estimate(patterns)
-    n = sum(patterns.values())
-    limit = int(min(1.0, sample / max(1, n)) * 1_000_000)
+    A (doc_id, text) is in the sample if its hash is among the least `share` of all 64-bit hashes, and a task hands on
+    one row of it however often it repeats.
+    """
+    limit = scratch.hash_limit(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        held: set[int] = set()
+        names, kinds = ["votes", "n", "h", "bins", "vals"], [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            found = [np.unique(bins_of(t), return_counts=True) for t in texts]
-            values = [c / max(1, c.sum()) ** 0.5 for _, c in found]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64())), pa.array([votes(t) for t in texts], pa.string())], names=["bins", "vals", "votes"])
-
-    chosen = small_batches(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit).select("text")
-    rows = chosen.mapInArrow(run, "bins array<long>, vals array<double>, votes string").toPandas() if limit else None
-    got = [] if rows is None else [(np.asarray(b, np.int64), np.asarray(v), posterior.get(p, 0.5)) for b, v, p in zip(rows["bins"], rows["vals"], rows["votes"]) if len(b)]
-    w, bias = fit(got)
+            rows = []
+            for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = votes(t or "")
+                seen[v] += 1
+                if h <= limit and h not in held:
+                    held.add(h)
+                    bins, times = np.unique(bins_of(t or ""), return_counts=True)
+                    rows.append((v, 1, h, bins, times / max(1, times.sum()) ** 0.5))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        if seen:
+            none = [None] * len(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((list(seen), list(seen.values()), none, none, none), kinds)], names=names)
+
+    return small_batches(docs).select("text", F.xxhash64("doc_id", "text")).mapInArrow(run, SEEN)
+
+
+def votes_and_sample(docs: DataFrame, sample: int = SAMPLE, rows: int | None = None) -> tuple[dict[str, int], list[tuple]]:
+    """How many documents have each vote pattern (at most 3**7), and (bins, values, pattern) of at most `sample` distinct documents.
+
+    The share of hashes is twice what `sample` needs, and the least hashes are taken. Where copies leave less
+    than an eighth of `sample` distinct ones, another pass takes sixteen times the share, until the table has no more: only an empty table has
+    an empty sample. `rows` is the size of the table, counted if not given.
+    """
+    share = min(1.0, 2 * sample / max(1, docs.count() if rows is None else rows))
+    while True:
+        seen = scratch.table(look(docs, share))
+        got = seen.filter("h IS NOT NULL").dropDuplicates(["h"]).orderBy("h").limit(sample).select("bins", "vals", "votes").toPandas()
+        if len(got) >= sample // 8 or share >= 1:
+            break
+        share = min(1.0, 16 * share)
+    patterns = {r["votes"]: r["n"] for r in seen.filter("h IS NULL").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
+    scratch.discard(seen)
+    return patterns, [(np.asarray(b, np.int64), np.asarray(v), p) for b, v, p in zip(got["bins"], got["vals"], got["votes"])]
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, rows: int | None = None) -> tuple[np.ndarray, float, dict[str, tuple[float, float]]]:
+    """Weights, bias and the labellers' accuracies."""
+    patterns, chosen = votes_and_sample(docs, sample, rows)
+    posterior, hits = estimate(patterns)
+    w, bias = fit([(b, v, posterior[p]) for b, v, p in chosen if len(b)])
     return w, bias, hits
 
 

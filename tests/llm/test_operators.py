@@ -280,6 +280,63 @@ def test_estimation_finds_the_labellers_accuracy():
         assert abs(bad - p) < 0.03 and abs(good - p) < 0.03
 
 
+def brute_scores(texts):
+    """All steps anew, in plain loops: votes, expectation-maximisation over documents, logistic regression on dictionaries."""
+    from quarry.llm.weak_label import BINS, LABELLERS
+
+    pats = [weak_label.votes(t) for t in texts]
+    p = [(v.count("1") + 1) / (v.count("1") + v.count("0") + 2) for v in pats]
+    for _ in range(100):
+        prior = [(sum(1 - x for x in p) + 1) / (len(p) + 2), (sum(p) + 1) / (len(p) + 2)]
+        start = {("0", 0): 8, ("1", 0): 2, ("-", 0): 1, ("0", 1): 2, ("1", 1): 8, ("-", 1): 1}
+        table = []
+        for k in range(len(LABELLERS)):
+            mass = {(c, good): start[c, good] + sum(x if good else 1 - x for v, x in zip(pats, p) if v[k] == c) for c in "01-" for good in (0, 1)}
+            table.append({(c, good): m / sum(mass[d, good] for d in "01-") for (c, good), m in mass.items()})
+        logs = [[math.log(prior[g]) + sum(math.log(table[k][c, g]) for k, c in enumerate(v)) for g in (0, 1)] for v in pats]
+        p = [1 / (1 + math.exp(max(-50, min(50, a - b)))) for a, b in logs]
+    feats = [Counter(weak_label.bins_of(t).tolist()) for t in texts]
+    rows = [({b: c / sum(f.values()) ** 0.5 for b, c in f.items()}, y) for f, y in zip(feats, p) if f]
+    n_good = sum(y >= 0.5 for _, y in rows)
+    share = [0.5 / max(1, n_good) if y >= 0.5 else 0.5 / max(1, len(rows) - n_good) for _, y in rows]
+    w, total, bias, total_bias = [0.0] * BINS, [1e-8] * BINS, 0.0, 1e-8
+    used = sorted({b for f, _ in rows for b in f})
+    for _ in range(200):
+        off = []
+        for (f, y), s in zip(rows, share):
+            z = sum(c * w[b] for b, c in f.items()) + bias
+            off.append(s * (1 / (1 + math.exp(-max(-50, min(50, z)))) - y))
+        g = dict.fromkeys(used, 0.0)
+        for (f, _), o in zip(rows, off):
+            for b, c in f.items():
+                g[b] += c * o
+        for b in used:
+            step = g[b] + 1e-4 * w[b] / BINS
+            total[b] += step * step
+            w[b] -= 0.5 * step / math.sqrt(total[b])
+        total_bias += sum(off) ** 2
+        bias -= 0.5 * sum(off) / math.sqrt(total_bias)
+    return [1 / (1 + math.exp(-(sum(c * w[b] for b, c in f.items()) / sum(f.values()) ** 0.5 + bias))) if f else 0.0 for f in feats]
+
+
+def test_scores_match_brute_force(docs):
+    some = docs.filter(F.length("text") < 600).orderBy("doc_id").limit(60)
+    rows = some.collect()
+    want = dict(zip((r["doc_id"] for r in rows), brute_scores([r["text"] for r in rows])))
+    for r in weak_label.score_table(some).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-5 and r["kept"] == (want[r["doc_id"]] >= weak_label.THRESHOLD)
+
+
+def test_sample_is_bounded_and_never_empty(spark):
+    rows = [(None, "the same words in every row of this table")] * 300 + [(None, f"text {i} of the table has a few words") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (None, 10**11):  # as if the table had so many rows
+        patterns, got = weak_label.votes_and_sample(d, sample=50, rows=n)
+        assert sum(patterns.values()) == 500 and 6 <= len(got) <= 50
+    assert len(weak_label.votes_and_sample(d, sample=400)[1]) == 201  # repeated rows count once
+    assert weak_label.votes_and_sample(d.limit(0), sample=50) == ({}, [])
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     s = weak_label.score_table(scratch.read(spark, sf, "documents")).join(scratch.read(spark, sf, "labels"), "doc_id").collect()
@@ -357,6 +414,25 @@ def test_chunks_stitch_to_the_whole(spark, chunk, overlap):
     assert got == sorted(want)
 
 
+def test_stitching_at_every_cut():
+    bpe = byte_bpe.coder()
+    rng = random.Random(9)
+    some = ["we'll", "'re", "'ve", " ", "  ", "\n", "a", "12", "!?", "'", "é", "日本", "'l", " 'v", "zzzz"]
+    cases = [("".join(rng.choices(some, k=rng.randint(1, 14))), c, o) for _ in range(1500) for c, o in ((1, 1), (2, 1), (3, 2), (5, 1), (7, 2), (4, 4))]
+    cases += [(("the cat sat " * 4000)[: n - len(end)] + end, byte_bpe.CHUNK, byte_bpe.OVERLAP) for end in ("we'll", "'re", "'ve", "x'll y") for n in range(33_788, 33_798)]
+    for text, chunk, overlap in cases:
+        parts = list(byte_bpe.cut(text, chunk, overlap))
+        assert bpe.stitch(text, [(at, at + len(p), bpe.boundaries(p)) for at, p in parts]) == bpe.pieces(text), (text[-40:], chunk, overlap)
+
+
+def test_long_text_that_ends_in_a_contraction(spark):
+    text = ("the cat sat " * 4000)[: 33_793 - 5] + "we'll"
+    d = spark.createDataFrame([(1, text)] * 5 + [(None, text)], "doc_id long, text string")
+    ids = byte_bpe.coder().core.encode_ordinary(text)
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in byte_bpe.round_trip(d).collect()]
+    assert sorted(got, key=str) == sorted([(i, len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()) for i in (1, 1, 1, 1, 1, None)], key=str)
+
+
 def test_decode_gives_the_bytes(docs, texts):
     for r in byte_bpe.decode(byte_bpe.encode(docs)).collect():
         assert bytes(r["bytes"]) == texts[r["doc_id"]].encode()
