@@ -1,17 +1,22 @@
 """Main text of web pages: the maximum-scoring contiguous region of words and tags.
 
 A page is read as a sequence of words and tags. Words score positive and tags negative, by class: a word's class is
-what holds it (running text, heading, list, link, boilerplate element, outside the page's own article
-element), a tag's is its name. The weights are log odds from labelled pages: those of a bounded sample that mark their
-article themselves. One linear scan finds the contiguous region of the highest sum. Elements that are boilerplate
-by name, role, class or id are left out of the region's text even where it spans them. Inside an article element a class or
+what holds it (running text, heading, list, link, and the words of the classes and ids around it), a tag's is its name. The
+weights are log odds of standing in the article, from labelled pages: those of a bounded sample that mark their
+article themselves, by an article or main element. The mark labels only; the scan doesn't ask whether a page has one. A word is
+worth what the worst of its containers is worth, if that is clearly negative. One linear scan finds the contiguous region
+of the highest sum; containers of negative worth inside it are left out of its text.
+
+Elements named as boilerplate by element, role, class or id are taken for such before any page is seen. Inside an article element a class or
 id counts only if it says nothing else, and never a heading's id: `ad-box` is boilerplate, `social-impact` is not.
 
 Character references are decoded after parsing; white space inside a block becomes one space; blocks are joined by two
-line ends. Headings of a header inside the article are kept.
+line ends. Headings of a header inside the article are kept. Reading takes time in proportion to a page's length however broken
+its markup is: what the parser asks of the open elements is kept, never searched for.
 
 Nulls and odd rows: a null or empty page gives an empty text. Markup cut off at the end is dropped. Ties
-go to the first and longest region. Repeated rows give a row each; null ids and urls stay null. Extra columns are ignored.
+go to the first and longest region. Repeated rows give a row each; null ids and urls stay null. Extra columns are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,20 +25,23 @@ import html as charrefs
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import small_batches
+from quarry.llm.scratch import hash_limit, small_batches
 
 #: Pages in the labelled sample, at most about so many, by a hash of their id and url.
 SAMPLE = 2_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)", re.S)
-ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+TAG_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: What follows a tag's name. Quotes hold only after an equals sign; no stretch can be read in two ways.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
 NAME = re.compile(r"[a-z]+")
+HIDDEN_NOW = re.compile(r"(?:^|\s)hidden(?:\s|$)")
 
 # Element names by their part in a page.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "canvas", "xmp"}
@@ -53,25 +61,33 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "aler
 CLOSED_BY_BLOCK = {"p", *HEADINGS}
 SAME_LEVEL = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
 INLINE = {"a", "span"}
+RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 #: Class of the tags inside boilerplate elements.
 HIDDEN = "<hidden"
-#: Lowest score of a run of boilerplate words. It is left out of the text anyway, so it need not part an article in two.
+#: Score of a stretch of boilerplate. It is left out of the text anyway, so it need not part an article in two.
 ASIDE = -1.0
-#: Score of a tag that the labelled pages don't have.
-UNSEEN = -0.2
+#: Score of a tag that the labelled pages don't have; scores of tags, and the least of a landmark's.
+UNSEEN, TAGS, MARKS = -0.2, (-0.5, -0.1), -8.0
+#: A container of less worth is left out.
+CLEAR = -1.0
+#: Class and id words on fewer labelled pages say nothing; of the others so many are kept, those on most pages.
+MIN_PAGES, LABELS = 5, 2_000
+#: Class and id words that may be open at a time; of markup that nests deeper the outer ones count.
+OPEN_LABELS = 200
 
-WORD_CLASSES = ("text", "heading", "list", "link", "boilerplate")
 #: What the odds start from: (in, out) seen before any page.
-PRIOR = {"text": (30, 3), "heading": (10, 3), "list": (30, 10), "link": (2, 6), "boilerplate": (1, 200), "in": (50, 1), "out": (1, 200)}
+PRIOR = {"text": (30, 3), "heading": (10, 3), "list": (30, 10), "link": (2, 6), "boilerplate": (1, 200)}
+#: Used only while no page has been seen: words in and out of the page's own landmark.
+UNTAUGHT = {"in": (50, 1), "out": (1, 200)}
 
 
 class Item:
-    """A run of words, or a tag (words 0)."""
+    """A run of words, or a tag (words 0). labels: the class and id words around it."""
 
-    __slots__ = ("kind", "words", "text", "block", "inside")
+    __slots__ = ("kind", "words", "text", "block", "inside", "labels")
 
-    def __init__(self, kind: str, words: int, text: str, block: int, inside: int):
-        self.kind, self.words, self.text, self.block, self.inside = kind, words, text, block, inside
+    def __init__(self, kind: str, words: int, text: str, block: int, inside: int, labels: tuple[str, ...] = ()):
+        self.kind, self.words, self.text, self.block, self.inside, self.labels = kind, words, text, block, inside, labels
 
 
 def _class_words(value: str, inside: bool) -> set[str]:
@@ -102,88 +118,137 @@ def _boilerplate(name: str, attrs: str, inside: bool = False) -> str:
                 return "skip"
             elif (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 return "skip"
-        if re.search(r"(?:^|\s)hidden(?:\s|$)", attrs):
+        if HIDDEN_NOW.search(attrs):
             return "skip"
     return found
 
 
+def _labels(name: str, attrs: str) -> list[str]:
+    """'.word' for each word of the element's class and id."""
+    if "=" not in attrs or name in LANDMARKS or name in ("html", "body"):
+        return []
+    return [f".{w}" for key, a, b, c in ATTR.findall(attrs) if key.lower() in ("class", "id") for w in NAME.findall((a or b or c).lower())]
+
+
+class Open:
+    """The open elements."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str, int, int]] = []  # element, boilerplate or not, number of the landmark it opened, labels before it
+        self.at: dict[str, list[int]] = {}  # element -> its places in the stack
+        self.kinds: Counter = Counter()
+        self.headings = self.inside = 0
+        self.labels: list[str] = []
+        self.held: tuple[str, ...] | None = ()
+
+    def push(self, name: str, kind: str, mark: int, labels: list[str]) -> None:
+        self.stack.append((name, kind, mark, len(self.labels)))
+        self.at.setdefault(name, []).append(len(self.stack) - 1)
+        self.kinds[kind] += 1
+        self.headings += name in HEADINGS
+        self.inside = self.inside or mark
+        if labels and len(self.labels) < OPEN_LABELS:
+            self.labels += labels[: OPEN_LABELS - len(self.labels)]
+            self.held = None
+
+    def cut(self, k: int) -> None:
+        """Close what stands at place k and all after it."""
+        for name, kind, mark, _ in self.stack[k:]:
+            self.at[name].pop()
+            self.kinds[kind] -= 1
+            self.headings -= name in HEADINGS
+            if mark:
+                self.inside = 0
+        if len(self.labels) > (before := self.stack[k][3]):
+            del self.labels[before:]
+            self.held = None
+        del self.stack[k:]
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost of these elements, -1 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def around(self) -> tuple[str, ...]:
+        if self.held is None:
+            self.held = tuple(dict.fromkeys(self.labels))
+        return self.held
+
+
+def next_tag(page: str, at: int) -> tuple[int, int, str, str] | None:
+    """(start, end, name, rest) of the first markup from `at` on; the name has a slash in front if it closes, and is empty for comments and the like."""
+    while (at := page.find("<", at)) >= 0:
+        if m := TAG_NAME.match(page, at):
+            rest = REST.match(page, m.end())
+            if not rest:  # cut off
+                return at, len(page), "", ""
+            return at, rest.end(), ("/" if page[at + 1] == "/" else "") + m[1].lower(), page[m.end() : rest.end() - 1]
+        if page[at + 1 : at + 2] in ("!", "?", "/"):
+            mark, skip = ("-->", 2) if page.startswith("<!--", at) else ("]]>", 9) if page.startswith("<![CDATA[", at) else (">", 1)
+            end = page.find(mark, at + skip)
+            return at, len(page) if end < 0 else end + len(mark), "", ""
+        at += 1
+    return None
+
+
 def parse(page: str) -> list[Item]:
     """The page's runs and tags. inside: number of the landmark element that holds the item, 0 for none."""
     items: list[Item] = []
-    stack: list[tuple[str, str, int]] = []  # element, boilerplate or not, landmark it opened
-    block, at, end = 0, 0, len(page)
-    marks = 0
-    raw_end = 0
+    now = Open()
+    block, at, end, marks = 0, 0, len(page), 0
 
     def add(text: str) -> None:
         n = len(text.split())
         if not n and not (items and items[-1].words and items[-1].block == block):
             return
-        kinds = {k for _, k, _ in stack}
-        names = [e for e, _, _ in stack]
-        heading = any(e in HEADINGS for e in names)
-        inside = next((m for _, _, m in stack if m), 0)
-        if "skip" in kinds or ("header" in kinds and not (heading and inside)):
+        if now.kinds["skip"] or (now.kinds["header"] and not (now.headings and now.inside)):
             kind = "boilerplate"
-        elif heading:
+        elif now.headings:
             kind = "heading"
-        elif "a" in names:
+        elif now.at.get("a"):
             kind = "link"
-        elif "li" in names:
+        elif now.at.get("li"):
             kind = "list"
         else:
             kind = "text"
-        items.append(Item(kind, n, text, block, inside))
-
-    for m in TOKEN.finditer(page):
-        if m.start() < raw_end:
+        items.append(Item(kind, n, text, block, now.inside, now.around()))
+
+    while tag := next_tag(page, at):
+        begin, stop, name, rest = tag
+        if begin > at:
+            add(page[at:begin])
+        at = stop
+        if not name:
             continue
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name, closing = name.lower(), bool(m[1])
+        closing, name = name[0] == "/", name.lstrip("/")
         if name in BLOCKS:
             block += 1
         if name == "br":
             add(" ")
-        inside = next((k for _, _, k in stack if k), 0)
+        inside, single = now.inside, rest.rstrip().endswith("/")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in LANDMARKS and name in ("div", "p", "span", "section"):
-                    break  # a stray end tag doesn't close the article
-        elif name in RAW and not (name == "svg" and m[3].rstrip().endswith("/")):
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            raw_end = at = close.end() if close else end
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
+            k = now.last(name)
+            # a stray end tag doesn't close the article
+            if k >= 0 and not (name in ("div", "p", "span", "section") and now.last(*LANDMARKS) > k):
+                now.cut(k)
+            inside = now.inside
+        elif name in RAW and not (name == "svg" and single):
+            close = RAW_END[name].search(page, at)
+            at = close.end() if close else end
+        elif name not in VOID and not single:
             if name in BLOCKS:
-                while stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                    stack.pop()
-            if name in SAME_LEVEL:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SAME_LEVEL[name]:
-                        break
-            if name == "a" and any(e == "a" for e, _, _ in stack):
-                k = max(k for k, (e, _, _) in enumerate(stack) if e == "a")
-                del stack[k:]
+                while now.stack and now.stack[-1][0] in CLOSED_BY_BLOCK:
+                    now.cut(len(now.stack) - 1)
+            if name in SAME_LEVEL and (k := now.last(name)) > now.last(*SAME_LEVEL[name]):
+                now.cut(k)
+            if name == "a" and (k := now.last("a")) >= 0:
+                now.cut(k)
             if name in BLOCKS or name in INLINE:
-                mark = 0
-                kind = _boilerplate(name, m[3], bool(inside))
-                if name in LANDMARKS and kind != "skip" and not any(k == "skip" for _, k, _ in stack) and not any(k for _, _, k in stack):
+                mark, kind = 0, _boilerplate(name, rest, bool(now.inside))
+                if name in LANDMARKS and kind != "skip" and not now.kinds["skip"] and not now.inside:
                     marks += 1
                     mark = marks
-                stack.append((name, kind, mark))
-                inside = inside or mark
-        hidden = any(k == "skip" for _, k, _ in stack)
-        items.append(Item(HIDDEN if hidden else "<" + name, 0, "", block, inside))
+                now.push(name, kind, mark, _labels(name, rest))
+        items.append(Item(HIDDEN if now.kinds["skip"] else ("</" if closing else "<") + name, 0, "", block, inside, now.around()))
     if at < end:
         add(page[at:])
     return items
@@ -198,95 +263,127 @@ def _main_mark(items: list[Item]) -> int:
     return held.most_common(1)[0][0] if held else 0
 
 
-def _classes(items: list[Item], mark: int) -> Iterator[tuple[Item, str]]:
-    for x in items:
-        if x.words and mark and x.kind != "boilerplate":
-            yield x, "in" if x.inside == mark else "out"
-        else:
-            yield x, x.kind
-
-
-def tally(pages: Iterator[str]) -> dict[str, list[int]]:
-    """class -> [inside, outside] over the pages that mark their article."""
+def tally(pages: Iterable[str]) -> dict[str, list[int]]:
+    """class -> [inside, outside, pages] over the pages that mark their article."""
     seen: dict[str, list[int]] = {}
     for page in pages:
         items = parse(page)
         mark = _main_mark(items)
         if not mark:
             continue
-        for x, kind in _classes(items, mark):
+        here = set()
+        for x in items:
             content = x.inside == mark and x.kind != "boilerplate"
-            for k in {kind, x.kind}:
-                seen.setdefault(k, [0, 0])[not content] += max(1, x.words)
+            for k in (x.kind, *x.labels) if x.text else (x.kind,):
+                seen.setdefault(k, [0, 0, 0])[not content] += max(1, x.words)
+                here.add(k)
+        for k in here:
+            seen[k][2] += 1
     return seen
 
 
 def weights(seen: dict[str, list[int]]) -> dict[str, float]:
     """Log odds of each class, within -8 and 2.
 
-    A word's are at least 1 but for links, boilerplate and 'out'. A tag's are within -0.5 and -0.1: the labelled pages
-    come from few templates, and a tag that these use in menus only may well stand in another's article.
+    Text, headings and lists are worth at least 1 a word where no container says otherwise. A tag's score is within TAGS: the
+    labelled pages come from few templates, and a tag that these use in menus only may well stand in another's article.
+    A landmark's own tags may score lower: what lies beyond them seldom belongs to the article.
     """
     out = {}
-    for kind in {*seen, *PRIOR}:
-        a, b = PRIOR.get(kind, (1, 1))
-        x, y = seen.get(kind, (0, 0))
+    for kind in {*seen, *PRIOR, *(() if seen else UNTAUGHT)}:
+        a, b = (PRIOR | UNTAUGHT).get(kind, (1, 1))
+        x, y = seen[kind][:2] if kind in seen else (0, 0)
         w = max(-8.0, min(2.0, math.log((a + x) / (b + y))))
         if kind.startswith("<"):
-            w = max(-0.5, min(w, -0.1))
-        elif kind in ("text", "heading", "list", "in"):
+            w = max(MARKS if kind.strip("</") in LANDMARKS else TAGS[0], min(w, TAGS[1]))
+        elif kind in ("text", "heading", "list"):
             w = max(w, 1.0)
-        elif kind in ("boilerplate", "out"):
-            w = min(w, -2.0)
         out[kind] = w
     return out
 
 
-def scores(items: list[Item], weight: dict[str, float]) -> list[float]:
-    """The value of each run and tag. Boilerplate inside the page's own article element is worth nothing either way."""
-    mark = _main_mark(items)
-    out = []
-    for x, kind in _classes(items, mark):
-        w = weight.get(kind, UNSEEN) * max(1, x.words)
-        if kind in ("boilerplate", HIDDEN):
-            w = 0.0 if x.kind == HIDDEN or (mark and x.inside == mark) else max(w, ASIDE)
-        out.append(w)
+def asides(items: list[Item], weight: dict[str, float]) -> list[bool]:
+    """Which runs are boilerplate: by name, or by what the labelled pages say of a container."""
+    worst: dict[tuple[str, ...], float] = {}
+    for x in items:
+        if x.labels not in worst:
+            worst[x.labels] = min((weight.get(k, 0.0) for k in x.labels), default=0.0)
+    return [x.kind == "boilerplate" or worst[x.labels] < CLEAR for x in items]
+
+
+def scores(items: list[Item], weight: dict[str, float], low: list[bool] | None = None) -> list[float]:
+    """The value of each run and tag. A stretch of boilerplate costs once, and the tags inside it nothing.
+
+    Weights that no page has taught know no containers and no landmark's tags; with them the page's largest landmark element decides.
+    """
+    mark = _main_mark(items) if "in" in weight else 0
+    out, stretch = [], False
+    for x, aside in zip(items, asides(items, weight) if low is None else low):
+        if x.kind == HIDDEN or (aside and not x.text):
+            out.append(0.0)
+        elif aside:
+            out.append(0.0 if stretch or (mark and x.inside == mark) else ASIDE)
+            stretch = True
+        else:
+            kind = x.kind if not (mark and x.words) else "in" if x.inside == mark else "out"
+            out.append(weight.get(kind, UNSEEN) * max(1, x.words))
+            stretch = stretch and not x.words
     return out
 
 
-def extract(page: str | None, weight: dict[str, float]) -> str:
-    """The text of the best region."""
-    if not page:
-        return ""
-    items = parse(page)
+def best_region(value: list[float]) -> tuple[int, int]:
+    """The contiguous stretch of the highest sum, by one pass; (0, 0) if no sum is above 0."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, value in enumerate(scores(items, weight)):
+    for i, v in enumerate(value):
         if total <= 0:
             total, start = 0.0, i
-        total += value
+        total += v
         if total > best:
             best, span = total, (start, i + 1)
+    return span
+
+
+def extract(page: str | None, weight: dict[str, float]) -> str:
+    """The text of the best region."""
+    if not page:
+        return ""
+    items = parse(page)
+    low = asides(items, weight)
+    a, b = best_region(scores(items, weight, low))
     blocks: dict[int, list[str]] = {}
-    for x in items[span[0] : span[1]]:
-        if x.text and x.kind != "boilerplate":
+    for x, aside in zip(items[a:b], low[a:b]):
+        if x.text and not aside:
             blocks.setdefault(x.block, []).append(x.text)
     texts = (" ".join(charrefs.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
 
 
-def learn(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from a hash sample of about `sample` pages; the classes are a few dozen, so are the rows that reach the driver."""
-    rate = min(1.0, sample / max(1, pages.count()))
-    chosen = pages.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("html")
+#: Tags that have a weight of their own.
+WEIGHED = BLOCKS | VOID | INLINE | {"b", "i", "em", "strong", "u", "small", "code"}
+
+
+def learn(pages: DataFrame, sample: int = SAMPLE, rows: int | None = None) -> dict[str, float]:
+    """Weights from the pages whose hashes are least, about `sample`; more where these hold no landmark at all.
+
+    Only counts reach the driver: of a few dozen classes, and of LABELS class and id words. `rows` is the size of the
+    table, counted if not given.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = tally(t for t in b.column(0).to_pylist() if t)
-            known = {k: v for k, v in seen.items() if not k.startswith("<") or k == HIDDEN or k[1:] in BLOCKS | VOID | INLINE | {"b", "i", "em", "strong", "u", "small", "code", "img"}}
-            yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([v[0] for v in known.values()], pa.int64()), pa.array([v[1] for v in known.values()], pa.int64())], names=["kind", "within", "outside"])
-
-    rows = small_batches(chosen).mapInArrow(run, "kind string, within long, outside long").groupBy("kind").agg(F.sum("within").alias("a"), F.sum("outside").alias("b")).collect()
-    return weights({r["kind"]: [r["a"], r["b"]] for r in rows})
+            known = {k: v for k, v in seen.items() if not k.startswith("<") or k.strip("</") in WEIGHED}
+            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), *(pa.array([v[n] for v in known.values()], pa.int64()) for n in range(3))], names=["kind", "within", "outside", "pages"])
+
+    share = min(1.0, sample / max(1, pages.count() if rows is None else rows))
+    label = F.col("kind").startswith(".")
+    while True:
+        chosen = small_batches(pages).filter(F.xxhash64("page_id", "url") <= hash_limit(share)).select("html")
+        sums = chosen.mapInArrow(run, "kind string, within long, outside long, pages long").groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("within", "outside", "pages")))
+        found = sums.filter(~label | (F.col("pages") >= MIN_PAGES)).orderBy(label, F.desc("pages"), "kind").limit(LABELS).collect()
+        if found or share >= 1:
+            return weights({r["kind"]: [r["within"], r["outside"]] for r in found})
+        share = min(1.0, 16 * share)
 
 
 def extract_pages(pages: DataFrame, weight: dict[str, float] | None = None) -> DataFrame:

@@ -509,6 +509,67 @@ def test_pages_with_nulls(spark):
     assert sorted((r["n_chars"], r["text"]) for r in html_region.extract_pages(d).collect()) == [(0, ""), (0, ""), (5, "a b c")]
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<a ", "<div>", "<div class='x y'>", "<!-- ", "<table><div></tr><tr>", "<article><div></p>", "<li><div>", "< <", "</p", "<p class=a" + " b" * 9, '<p x="', "<script>", "a &amp ", "<ul><li>x", "<option><a>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    took = []
+    for part in (page[:250_000], page):
+        began = time.process_time()
+        html_region.extract(part, html_region.weights({}))
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.05), took
+
+
+def templated(k, article="article", body=""):
+    """A page with words before and after its article, and a container whose name tells nothing."""
+    words = " ".join(f"w{k}x{i}" for i in range(30))
+    want = f"Head {k}\n\n{words}\n\nso ends page {k}{body and chr(10) * 2 + body}"
+    page = f"<html><body><p>Site {k}.</p><div class='qz-{k % 3} zone'>" + f"<p>outside {words}</p>" * 2 + f"</div><{article}><h1>Head {k}</h1><p>{words}</p><div class='zone'>never {k}</div><p>so ends page {k}</p>"
+    return page + (f"<p>{body}</p>" if body else "") + f"</{article}><p>Last {k}.</p></body></html>", want
+
+
+def test_weights_and_scan_decide(spark):
+    """Held-out pages; leaving out the taught weights, or the scan, changes what is found."""
+    pages = [templated(k) for k in range(60)]
+    seen = html_region.tally(p for p, _ in pages[:40])
+    taught = html_region.weights(seen)
+    plain = html_region.weights({k: v for k, v in seen.items() if k.startswith("<") or k == "text"})
+    held = pages[40:]
+    assert all(html_region.extract(p, taught) == want for p, want in held)
+    assert not any(html_region.extract(p, plain) == want for p, want in held)
+    for p, want in held:
+        items = html_region.parse(p)
+        low = html_region.asides(items, taught)
+        assert "Site" in "".join(x.text for x, aside in zip(items, low) if not aside) and "Site" not in want
+
+
+def test_extraction_without_landmarks(spark, sf):
+    """Weights from pages that mark their article find it on held-out pages whose mark is taken away."""
+    pages = [r["html"] for r in scratch.read(spark, "/root/testdata/sf0.01", "pages").select("html").collect()]
+    taught = html_region.weights(html_region.tally(pages[::2]))
+    same = [html_region.extract(p.replace("<article>", "<div>").replace("</article>", "</div>"), taught) == html_region.extract(p, html_region.weights({})) for p in pages[1::2]]
+    assert sum(same) >= 0.99 * len(same)
+
+
+def test_learning_on_very_large_and_empty_tables(spark, sf):
+    pages = scratch.read(spark, sf, "pages")
+    assert "in" not in html_region.learn(pages, rows=10**12)  # some pages are found all the same
+    assert html_region.learn(pages.limit(0)) == html_region.weights({})
+    none = html_region.extract_pages(pages.limit(0))
+    assert none.count() == 0 and none.columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_pages_with_clashing_columns(spark, sf):
+    pages = scratch.read(spark, sf, "pages")
+    extra = pages
+    for c in ("text", "n_chars", "kind", "within", "outside", "pages"):
+        extra = extra.withColumn(c, F.lit("mine"))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(html_region.extract_pages(extra)) == key(html_region.extract_pages(pages))
+
+
 # ---------------------------------------------------------------- 10
 def test_wavelet_matrix_against_lists():
     rng = np.random.default_rng(1)
