@@ -7,7 +7,7 @@ text and end mark of assistant turns. Everything else is masked.
 Nulls and odd rows: a null role or text counts as empty. Turns are ordered by number, nulls first, ties by role
 and text; rows repeated within a conversation count once. A pair with one side missing has status "single" and an empty
 completion on that side; conversations that agree to the end have status "same". Rows of a null pair or side go
-to no pair, and are left out. Extra columns are ignored.
+to no pair, and are left out; so are rows of a null conversation. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import scratch
+from quarry.operators.order import global_rank
+
 TURN_END = "<|end|>\n"
 
 
@@ -71,9 +74,27 @@ def _order(a: Column, b: Column) -> Column:
 
 
 def neighbours(conversations: DataFrame) -> DataFrame:
-    """Turns with pair and side: conversation 2k is taken as chosen over conversation 2k + 1."""
-    even = F.pmod("conv_id", F.lit(2)) == 0
-    return conversations.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.when(even, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
+    """Turns with pair and side, every conversation in one pair (one may be left alone).
+
+    Conversations that begin alike are paired first: within those of one first turn, in the order of their turns' digests, neighbours have
+    the longest prefixes in common. Those left over are paired in the order of their ids. Of a pair the one with the lesser id is
+    taken as chosen, and names it. Only digests are sorted; the order is global, so many conversations of one first
+    turn, or equal ones, stand in many partitions.
+    """
+    given = conversations.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
+    digest = F.md5(F.concat(F.coalesce("role", F.lit("")), F.lit("\x1f"), F.coalesce("text", F.lit(""))))
+    keys = given.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", digest.alias("d")))).alias("turns"))
+    keys = keys.select("conv_id", F.col("turns.d").alias("key"))
+    ranked = global_rank(keys, [F.col("key"), F.col("conv_id")]).select("conv_id", F.col("key")[0].alias("first"), "place")
+    starts = scratch.table(ranked.groupBy("first").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n")))
+    at = scratch.table(ranked.join(starts, "first").select("conv_id", "first", "n", (F.col("place") - F.col("start")).alias("p")))
+    alike = at.filter(F.col("p") < F.col("n") - F.col("n") % 2).select("conv_id", "first", F.floor(F.col("p") / 2).alias("j"))
+    alone = at.filter((F.col("n") % 2 == 1) & (F.col("p") == F.col("n") - 1)).select("conv_id")
+    alone = global_rank(alone, [F.col("conv_id")]).select("conv_id", F.lit(None).cast("string").alias("first"), F.floor((F.col("place") - 1) / 2).alias("j"))
+    pairs = alike.unionByName(alone).groupBy("first", "j").agg(F.min("conv_id").alias("pair_id"), F.max("conv_id").alias("other"))
+    side = lambda c, name: F.struct(F.col(c).alias("conv_id"), F.lit(name).alias("side"))
+    sides = pairs.select("pair_id", F.explode(F.when(F.col("other") == F.col("pair_id"), F.array(side("pair_id", "chosen"))).otherwise(F.array(side("pair_id", "chosen"), side("other", "rejected")))).alias("x"))
+    return given.join(scratch.table(sides.select("pair_id", "x.*")), "conv_id").select("pair_id", "side", "turn", "role", "text")
 
 
 _SIDE = """list_transform(range(1, len({s}) + 1), lambda i: {{'i': i, 'role': {s}[i].role, 'text': {s}[i].text,
@@ -84,7 +105,13 @@ _SPANS = """coalesce(array_to_string(list_transform(list_filter({x}, lambda t: t
     CAST(coalesce(list_sum(list_transform(list_filter({x}, lambda u: u.i < t.i), lambda u: u.len)), 0) + t.len AS BIGINT)), ','), '')"""
 
 ORACLE = f"""
-WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH o AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, list(md5(role || chr(31) || text) ORDER BY turn NULLS FIRST, md5(role || chr(31) || text)) AS key FROM o GROUP BY conv_id),
+a AS (SELECT conv_id, key[1] AS first, row_number() OVER (PARTITION BY key[1] ORDER BY key, conv_id) - 1 AS p, count(*) OVER (PARTITION BY key[1]) AS c FROM k),
+j AS (SELECT conv_id, first, p // 2 AS j FROM a WHERE p < c - c % 2
+      UNION ALL SELECT conv_id, NULL, (row_number() OVER (ORDER BY conv_id) - 1) // 2 FROM a WHERE c % 2 = 1 AND p = c - 1),
+w AS (SELECT conv_id, min(conv_id) OVER (PARTITION BY first, j) AS pair_id FROM j),
+t AS (SELECT pair_id, CAST(o.conv_id <> pair_id AS INT) AS side, turn, role, text FROM o JOIN w ON w.conv_id = o.conv_id),
 g AS (SELECT pair_id,
       coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE side = 0), []) AS c0,
       coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE side = 1), []) AS r0 FROM t GROUP BY pair_id),

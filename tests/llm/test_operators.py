@@ -356,6 +356,50 @@ def test_common_prefix_is_rendered_once(spark):
     assert got[2]["status"] == "single" and got[2]["rejected"] == ""
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def threads():
+    """Conversations that share beginnings of several lengths, equal ones, lone ones, nulls, repeated rows and ties."""
+    rng = random.Random(8)
+    rows = []
+    for c in range(60):
+        shared = [f"t{c % 3}", f"u{c % 6}", f"v{c % 12}"][: c % 4]
+        said = shared + [f"own {c} {k}" for k in range(rng.randint(1, 3))]
+        if c % 10 == 9:
+            said = ["hello", "same to the end"]
+        rows += [(c, k, "user" if k % 2 == 0 else "assistant", x) for k, x in enumerate(said)]
+    odd = [(70, None, None, None), (70, 1, None, "x"), (None, 0, "user", "lost"), (71, 0, "user", "tie a"), (71, 0, "user", "tie b"), (72, 0, "", "")]
+    return rows + odd + rows[:7]
+
+
+def test_pairs_share_what_they_can(spark, tmp_path):
+    import duckdb
+
+    d = spark.createDataFrame(threads(), TURNS)
+    got = [r.asDict() for r in preference.format_pairs(preference.neighbours(d)).collect()]
+    d.coalesce(1).write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    want = con.execute(preference.ORACLE).fetchdf().to_dict("records")
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(r["prompt_turns"] >= 1 for r in got) >= 20 and sum(r["prompt_turns"] >= 2 for r in got) >= 8
+    assert sum(r["status"] == "same" for r in got) == 3 and sum(r["status"] == "single" for r in got) <= 1
+    starts = Counter(r["prompt"].split("<|end|>")[0] for r in got if r["prompt_turns"])
+    first = Counter(x for (_, turn, _, x) in set(threads()) if turn == 0 and x.startswith("t"))
+    assert all(starts[f"<|user|>\n{x}"] == n // 2 for x, n in first.items() if " " not in x)
+
+
+def test_odd_conversations(spark):
+    d = spark.createDataFrame(threads(), TURNS)
+    extra = d
+    for c in ("pair_id", "side", "key", "first", "place", "p", "n", "x", "other"):
+        extra = extra.withColumn(c, F.lit("mine"))
+    key = lambda df: sorted(map(str, preference.format_pairs(preference.neighbours(df)).collect()))
+    assert key(extra) == key(d) and len(key(d)) == 32
+    assert key(d.limit(0)) == [] and key(d.filter("conv_id IS NULL")) == []
+
+
 # ---------------------------------------------------------------- 6
 def brute_measures(text):
     import re
