@@ -107,18 +107,27 @@ def answer_form(request: Column) -> list[Column]:
     return [request.rlike(PYTHON_CODE).alias("python_code"), F.when(series, "Blog post").otherwise("").alias("label"), F.when(series, F.greatest(F.lit(3), n)).otherwise(0).cast("long").alias("least_labels")]
 
 
-def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, item_id) where the document has the term whole. Joined on the term's first word, then checked.
+def term_matches(docs: DataFrame, terms: DataFrame, head: int = 4) -> DataFrame:
+    """(doc_id, item_id) where the document has the term whole. Joined on a hash of the term's first words, then checked.
 
-    Only documents that share that word with a term meet it, so nothing is compared with everything.
+    Only documents that hold these `head` words one after the other (all of a shorter term) meet the term, so nothing is compared with everything.
     """
-    first = lambda c: F.split_part(F.lower(c), F.lit(" "), F.lit(1))
-    norm = T.compact(F.lower("contents"))
-    bare = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(norm, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
-    t = terms.select("item_id", "term", F.regexp_extract(bare(first("term")), r"^[\p{L}\p{N}]+", 0).alias("w"))
-    near = words.join(F.broadcast(t) if t.count() <= 100_000 else t, "w").select("doc_id", "item_id", "term")
-    return near.join(docs, "doc_id").filter(T.contains_term(F.col("contents"), F.col("term"))).select("doc_id", "item_id")
+    words = lambda c: F.regexp_extract_all(T.compact(F.lower(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    gram = lambda ws, at, n: F.xxhash64(F.array_join(F.slice(ws, at, n), " "))
+    t = terms.select("item_id", "term", F.slice(words("term"), 1, head).alias("ws")).filter(F.size("ws") > 0)
+    t = t.select("item_id", "term", F.size("ws").alias("n"), gram(F.col("ws"), 1, head).alias("h"))
+    lengths = [r["n"] for r in t.select("n").distinct().collect()]  # `head` rows at most
+    d = docs.select("doc_id", words("contents").alias("ws"))
+    none = F.array().cast("array<long>")
+
+    def grams_of(n: int) -> Column:
+        return F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: gram(F.col("ws"), i, n))).otherwise(none)
+
+    grams = [none, *map(grams_of, lengths)]
+    found = d.select("doc_id", F.explode(F.array_distinct(F.concat(*grams))).alias("h"))
+    heads = t.select("item_id", "h")
+    near = found.join(F.broadcast(heads) if heads.limit(100_001).count() <= 100_000 else heads, "h").select("doc_id", "item_id").distinct()
+    return near.join(terms.select("item_id", "term"), "item_id").join(docs, "doc_id").filter(T.contains_term(F.col("contents"), F.col("term"))).select("doc_id", "item_id")
 
 
 def grounding_errors(text: Column, quote: Column, claim: Column) -> Column:

@@ -246,21 +246,30 @@ def p29(v: Views) -> DataFrame:
     return t.select(F.col("i").cast("long").alias("i"), text.shape(F.col("q")).alias("bucket"))
 
 
-TERM_SQL = r"""WITH b AS (SELECT item_id, regexp_extract(text, '^(\S+ \S+ \S+)', 1) AS term FROM benchmark), c AS (SELECT doc_id, trim(regexp_replace(lower(contents), '\s+', ' ', 'g')) AS t FROM corpus),
+def term_sql(term: str) -> str:
+    """Views b (item_id, text, term) and hits (doc_id, item_id): documents that hold the term whole."""
+    return rf"""b AS (SELECT item_id, text, {term} AS term FROM benchmark), c AS (SELECT doc_id, trim(regexp_replace(lower(contents), '\s+', ' ', 'g')) AS t FROM corpus),
 n AS (SELECT doc_id, item_id, t, term FROM c JOIN b ON contains(t, lower(term)))
-SELECT doc_id, item_id FROM n WHERE regexp_matches(t, '(^|[^\p{L}\p{N}])' || regexp_replace(lower(term), '([\\.\[\]{}()*+?^$|])', '\\\1', 'g') || '($|[^\p{L}\p{N}])') AND term <> ''"""
+, hits AS (SELECT doc_id, item_id FROM n WHERE regexp_matches(t, '(^|[^\p{{L}}\p{{N}}])' || regexp_replace(lower(term), '([\\.\[\]{{}}()*+?^$|])', '\\\1', 'g') || '($|[^\p{{L}}\p{{N}}])') AND term <> '')"""
 
 
-@query("p30_exact_term_containment", TERM_SQL)
+WHOLE_TERM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+HEAD = r"^(\S+ \S+ \S+ \S+)"
+
+
+@query("p30_exact_term_containment", f"WITH {term_sql(WHOLE_TERM)} SELECT doc_id, item_id FROM hits")
 def p30(v: Views) -> DataFrame:
-    b = v.benchmark.select("item_id", F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1).alias("term")).filter("term != ''")
+    b = v.benchmark.select("item_id", text.compact(F.col("text")).alias("term")).filter("term != ''")
     return validate.term_matches(v.corpus.select("doc_id", "contents"), b)
 
 
-@query("p31_evidence_grounding", r"""WITH d AS (SELECT d.doc_id, b.item_id, contains(d.text, b.text) AS quoted FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40)
-SELECT doc_id, item_id, CASE WHEN NOT quoted THEN 'quote not in document' END AS error FROM d""")
+@query("p31_evidence_grounding", f"""WITH {term_sql(f"regexp_extract(text, '{HEAD}', 1)")} SELECT h.doc_id, h.item_id, CASE WHEN NOT contains(d.text, b.text) THEN 'quote not in document' END AS error
+FROM hits h JOIN b ON b.item_id = h.item_id JOIN documents d ON d.doc_id = h.doc_id""")
 def p31(v: Views) -> DataFrame:
-    d = v.documents.join(v.benchmark.withColumnRenamed("text", "quote"), F.col("doc_id") % 40 == F.col("item_id") % 40)
+    """Every document that a quote's first four words lead to, checked for the whole quote."""
+    heads = v.benchmark.select("item_id", F.regexp_extract("text", HEAD, 1).alias("term")).filter("term != ''")
+    led = validate.term_matches(v.corpus.select("doc_id", "contents"), heads)
+    d = led.join(v.benchmark.withColumnRenamed("text", "quote"), "item_id").join(v.documents.select("doc_id", "text"), "doc_id")
     return d.select("doc_id", "item_id", F.array_join(validate.grounding_errors(F.col("text"), F.col("quote"), F.col("quote")), "; ").alias("e")).select("doc_id", "item_id", F.nullif("e", F.lit("")).alias("error"))
 
 
@@ -335,11 +344,13 @@ def p38c(v: Views) -> DataFrame:
     return validate.accepted(v.rubric.filter("weight > 0").select("qid").distinct(), matrix(v), "qid")
 
 
-@query("p39_dropped_mentions", r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '\S+')[1:4] AS terms, text FROM benchmark)
-SELECT item_id, array_to_string(list_filter(terms, lambda t: NOT contains(substr(text, 1, 20), t)), ' ') AS missing FROM w""")
+@query("p39_dropped_mentions", r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '\S+') AS ws FROM benchmark), p AS (SELECT item_id, ws, array_to_string(list_filter(ws, lambda x, i: i % 3 <> 0), ' ') AS plan FROM w)
+SELECT item_id, coalesce(array_to_string(list_filter(ws, lambda t: NOT contains(plan, t)), ' '), '') AS missing FROM p""")
 def p39(v: Views) -> DataFrame:
-    w = v.benchmark.select("item_id", F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 4).alias("terms"), F.substring("text", 1, 20).alias("plan"))
-    return w.select("item_id", F.array_join(validate.dropped(F.col("terms"), F.col("plan")), " ").alias("missing"))
+    """Words of an item that a plan without every third of them lacks."""
+    w = v.benchmark.select("item_id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("ws"))
+    w = w.select("item_id", "ws", F.array_join(F.filter("ws", lambda x, i: (i + 1) % 3 != 0), " ").alias("plan"))
+    return w.select("item_id", F.array_join(validate.dropped(F.col("ws"), F.col("plan")), " ").alias("missing"))
 
 
 @query("p40_revision_guard", """WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),

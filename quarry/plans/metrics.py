@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.fixtures import Views
 from quarry.functions import ids
 from quarry.operators import metrics as M
+from quarry.operators.order import global_rank
 from quarry.registry import query
 
 
@@ -241,7 +242,7 @@ def u05(v: Views) -> DataFrame:
 @query("u06_ordered_filter", "SELECT item_id, row_number() OVER (ORDER BY item_id) AS place FROM benchmark WHERE item_id IN (SELECT doc_id % 60 FROM documents WHERE lang = 'es')")
 def u06(v: Views) -> DataFrame:
     wanted = v.documents.filter("lang = 'es'").select((F.col("doc_id") % 60).alias("item_id"))
-    return v.benchmark.join(wanted, "item_id", "left_semi").select("item_id", F.row_number().over(W.orderBy("item_id")).cast("long").alias("place"))
+    return global_rank(v.benchmark.join(wanted, "item_id", "left_semi").select("item_id"), [F.col("item_id")])
 
 
 @query("u07_config_list", "SELECT * FROM (VALUES (0, 0.9::DOUBLE, 0.4::DOUBLE), (1, 1.2, 0.75), (2, 2.0, 0.2)) AS t(place, k1, b)")

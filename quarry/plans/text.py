@@ -126,7 +126,7 @@ def t16(v: Views) -> DataFrame:
 SPANS_SQL = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(replace({x}, chr(10), chr(1)), '\s+', ' ', 'g'), '([.!?]) +([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 24)"
 
 
-@query("t17_source_spans", f"WITH s AS (SELECT doc_id, contents, {SPANS_SQL.format(x='contents')} AS sp FROM corpus) SELECT doc_id, CAST(CASE WHEN len(sp) > 0 THEN len(sp) WHEN trim(regexp_replace(contents, '\\s+', ' ', 'g')) = '' THEN 0 ELSE 1 END AS BIGINT) AS n, md5(CASE WHEN len(sp) > 0 THEN array_to_string(sp, '|') ELSE trim(regexp_replace(contents, '\s+', ' ', 'g')) END) AS body FROM s")
+@query("t17_source_spans", f"WITH s AS (SELECT doc_id, contents, {SPANS_SQL.format(x='contents')} AS sp FROM corpus) SELECT doc_id, CAST(CASE WHEN len(sp) > 0 THEN len(sp) WHEN trim(regexp_replace(contents, '\\s+', ' ', 'g')) = '' THEN 0 ELSE 1 END AS BIGINT) AS n, md5(CASE WHEN len(sp) > 0 THEN array_to_string(sp, '|') ELSE trim(regexp_replace(contents, '\\s+', ' ', 'g')) END) AS body FROM s")
 def t17(v: Views) -> DataFrame:
     return v.corpus.select("doc_id", T.spans(F.col("contents")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("body"))
 
