@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.streaming.store import scratch
+
 #: Most bytes of query vectors that go to every task at once; more queries are searched in several passes.
 QUERY_BYTES = 64 << 20
 
@@ -29,8 +32,8 @@ def truncate(vec: Column, dim: int) -> Column:
     return F.when(norm(head) == 0, F.transform(head, lambda x: x.cast("double"))).otherwise(normalise(head))
 
 
-def top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Exact inner-product search: (query_id, id, score, rank) from queries (query_id, vec) and docs (id, vec).
+def top_k(queries: DataFrame, docs: DataFrame, k: int, unpack: Callable | None = None) -> DataFrame:
+    """Exact inner-product search: (query_id, id, score, rank) from queries (query_id, vec) and docs (id, vec), or what `unpack` makes (id, vec) of.
 
     Query vectors are a bounded block (QUERY_BYTES), whatever the documents' number; further blocks are further passes.
     Each task keeps k of its own documents per query, so what is shuffled is tasks * queries * k rows.
@@ -50,7 +53,7 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
             best_s = np.full((len(ids), 0), -np.inf)
             best_i = np.zeros((len(ids), 0), np.int64)
-            for b in batches:
+            for b in unpack(batches) if unpack else batches:
                 s = np.concatenate([best_s, matrix @ np.stack(b["vec"].to_numpy()).astype(np.float64).T], 1)
                 i = np.concatenate([best_i, np.broadcast_to(b["id"].to_numpy(), (len(ids), len(b)))], 1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
@@ -58,27 +61,46 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             if best_s.shape[1]:
                 yield pd.DataFrame({"query_id": np.repeat(ids, best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
 
-        found = docs.filter("vec IS NOT NULL").select("id", "vec").mapInPandas(run, "query_id long, id long, score double")
+        given = docs if unpack else docs.filter("vec IS NOT NULL").select("id", "vec")
+        found = given.mapInPandas(run, "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def nearest_elsewhere(vecs: DataFrame, by: list[str], arm: str) -> DataFrame:
-    """For each vector the highest cosine among other arms' vectors of its group (by, arm, vec_id, embedding)."""
-    schema = ", ".join([*(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in [*by, arm, "vec_id"]), "nearest double"])
+#: Vectors of a group that meet in one task, in two blocks of this size.
+BLOCK = 2_048
+
+
+def in_blocks(vecs: DataFrame, by: list[str], key: Column, block: int = BLOCK) -> DataFrame:
+    """vecs with _own, _a and _b: the blocks of a group of about `block` rows each, and the task of two blocks that a row stands in.
+
+    A row stands in as many tasks as its group has blocks; no task holds more than two, however large the group. `key` deals the rows.
+    """
+    path = scratch(vecs.sparkSession, "blocks")
+    vecs.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n")).select(*(F.col(c).alias(f"_{c}") for c in by), "_n").write.parquet(path)
+    sizes = vecs.sparkSession.read.parquet(path)  # read anew, so that Spark can split a group's rows in the join
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    d = vecs.join(sizes, same).withColumn("_own", F.pmod(F.xxhash64(key), "_n").cast("int")).drop(*(f"_{c}" for c in by))
+    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return d.select("*", F.least("_own", "_o").alias("_a"), F.greatest("_own", "_o").alias("_b")).drop("_o", "_n")
+
+
+def nearest_elsewhere(vecs: DataFrame, by: list[str], arm: str, block: int = BLOCK) -> DataFrame:
+    """For each vector the highest cosine among other arms' vectors of its group (by, arm, vec_id, embedding), block by block."""
+    keys = [*by, arm, "vec_id"]
+    schema = ", ".join([*(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in keys), "nearest double"])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
-        arms = g[arm].to_numpy()
-        best = np.full(len(g), np.nan)
-        for at in range(0, len(g), 1024):  # blocks bound the similarity matrix
-            s = x[at : at + 1024] @ x.T
-            s[arms[at : at + 1024, None] == arms[None, :]] = -np.inf
-            best[at : at + 1024] = s.max(1)
-        return g[[*by, arm, "vec_id"]].assign(nearest=np.where(np.isfinite(best), best, np.nan))
+        s = x @ x.T
+        s[g[arm].to_numpy()[:, None] == g[arm].to_numpy()[None, :]] = -np.inf
+        best = s.max(1)
+        return g[keys].assign(nearest=np.where(np.isfinite(best), best, np.nan))
 
-    return vecs.groupBy(*by).applyInPandas(run, schema)
+    d = in_blocks(vecs.select(*keys, "embedding").filter("embedding IS NOT NULL"), by, F.col("vec_id"), block)
+    best = d.groupBy(*by, "_a", "_b").applyInPandas(run, schema)
+    return best.groupBy(*keys).agg(F.max(F.nanvl("nearest", F.lit(None).cast("double"))).alias("nearest"))
 
 
 def vendi(vecs: DataFrame, by: list[str]) -> DataFrame:
@@ -107,44 +129,56 @@ def vendi(vecs: DataFrame, by: list[str]) -> DataFrame:
     return sums.groupBy(*by).applyInPandas(total, f"{keys}, n long, vendi double")
 
 
-def pair_statistics(vecs: DataFrame, by: list[str], near: float = 0.9) -> DataFrame:
-    """Mean cosine and near-duplicate rate over the pairs of a group, by blocks; no pair becomes a row."""
-    schema = ", ".join([*(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in by), "pairs long, mean double, near double"])
+def pair_statistics(vecs: DataFrame, by: list[str], near: float = 0.9, block: int = BLOCK) -> DataFrame:
+    """Mean cosine and near-duplicate rate over the pairs of a group (by, embedding); no pair becomes a row.
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
-        n, total, hits = len(x), 0.0, 0
-        for at in range(0, n, 1024):
-            s = np.triu(x[at : at + 1024] @ x.T, at + 1)
-            total += s.sum()
-            hits += int((s >= near).sum())
-        pairs = n * (n - 1) // 2
-        return pd.DataFrame([(*key, pairs, total / pairs if pairs else None, hits / pairs if pairs else None)], columns=[*by, "pairs", "mean", "near"])
-
-    return vecs.groupBy(*by).applyInPandas(run, schema)
-
-
-def lsh_top_k(queries: DataFrame, docs: DataFrame, k: int, bits: int = 5, tables: int = 48, seed: int = 7) -> DataFrame:
-    """Approximate search: vectors meet in any of `tables` sign-projection buckets of `bits` planes, and are scored exactly there."""
-
-    def hashed(df: DataFrame, key: str) -> DataFrame:
-        schema = f"{key} long, vec array<double>, bucket array<long>"
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            planes = None
-            for b in batches:
-                x = np.stack(b["vec"].to_numpy()).astype(np.float64)
-                if planes is None:
-                    planes = np.random.default_rng(seed).standard_normal((x.shape[1], bits * tables))
-                code = ((x @ planes) > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))
-                yield pd.DataFrame({key: b[key], "vec": list(x), "bucket": list(code + (np.arange(tables) << bits))})
-
-        return df.filter("vec IS NOT NULL").select(key, "vec").mapInPandas(run, schema)
-
-    q = hashed(queries, "query_id").select("query_id", F.col("vec").alias("q"), F.explode("bucket").alias("bucket"))
-    d = hashed(docs, "id").select("id", F.explode("bucket").alias("bucket"))
-    pairs = q.select("query_id", "bucket").join(d, "bucket").select("query_id", "id").distinct()
-    dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(docs.select("id", "vec"), "id").select("query_id", "id", dot.alias("score"))
+    Equal vectors are counted first and stand as one. The mean comes from sums of products, block by block like the rate.
+    """
+    schema = ", ".join([*(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in by), "pairs double, total double, hits double"])
+    counted = vecs.filter("embedding IS NOT NULL").groupBy(*by, "embedding").agg(F.count(F.lit(1)).alias("_c"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(g["_a"].iloc[0]), int(g["_b"].iloc[0])
+        x, c, own = np.stack(g["embedding"].to_numpy()).astype(np.float64), g["_c"].to_numpy().astype(np.float64), g["_own"].to_numpy()
+        left, right = own == a, own == b
+        s, w = x[left] @ x[right].T, np.outer(c[left], c[right])
+        if a == b:
+            w = np.triu(w, 1) + np.diag(c * (c - 1) / 2)
+        return pd.DataFrame([(*(g[k].iloc[0] for k in by), w.sum(), (s * w).sum(), (w * (s >= near)).sum())], columns=[*by, "pairs", "total", "hits"])
+
+    d = in_blocks(counted, by, F.col("embedding"), block)
+    sums = d.groupBy(*by, "_a", "_b").applyInPandas(run, schema).groupBy(*by).agg(*(F.sum(x).alias(x) for x in ("pairs", "total", "hits")))
+    pairs = F.nullif(F.col("pairs"), F.lit(0.0))
+    return sums.select(*by, F.col("pairs").cast("long").alias("pairs"), (F.col("total") / pairs).alias("mean"), (F.col("hits") / pairs).alias("near"))
+
+
+def write_codes(docs: DataFrame, path: str) -> None:
+    """A vector index of docs (id, vec): each vector as one byte per entry and a scale."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.stack(b["vec"].to_numpy()).astype(np.float64)
+            scale = np.maximum(np.abs(x).max(1), 1e-30) / 127
+            codes = np.rint(x / scale[:, None]).astype(np.int8)
+            yield pd.DataFrame({"id": b["id"], "scale": scale, "code": [c.tobytes() for c in codes]})
+
+    docs.filter("vec IS NOT NULL").select("id", "vec").mapInPandas(run, "id long, scale double, code binary").write.parquet(path)
+
+
+def quantised_top_k(queries: DataFrame, docs: DataFrame, codes: str, k: int, more: int = 10) -> DataFrame:
+    """Approximate search in an index of write_codes: the best `more` times k by code, scored exactly; (query_id, id, score, rank).
+
+    Codes take an eighth of the vectors' bytes, and of the vectors only those of the candidates are read, by their ids.
+    """
+    c = docs.sparkSession.read.parquet(codes)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b["code"]), np.int8).reshape(len(b), -1) * b["scale"].to_numpy()[:, None]
+            yield pd.DataFrame({"id": b["id"], "vec": list(x)})
+
+    near = top_k(queries, c, k * more, unpack).select("query_id", "id")
+    dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = near.join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(docs.select("id", "vec"), "id").select("query_id", "id", dot.alias("score"))
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", r.cast("long")).filter(F.col("rank") <= k)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import random
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,7 +38,7 @@ def beta_inc(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     f = d
-    for m in range(1, 500):
+    for m in range(1, 10_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
             d = 1.0 / (d if abs(d) > tiny else tiny)
@@ -47,6 +47,8 @@ def beta_inc(a: float, b: float, x: float) -> float:
             f *= c * d
         if abs(c * d - 1.0) < 1e-15:
             break
+    else:
+        raise ArithmeticError(f"no convergence at a={a}, b={b}, x={x}")
     return math.exp(log_gamma_ratio(a, b) + a * math.log(x) + b * math.log1p(-x)) * f / a
 
 
@@ -88,18 +90,30 @@ def wilcoxon(deltas: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("w", F.least("plus", "minus")).withColumn("z", z).withColumn("p", normal_p("z")).select(*by, F.col("n").cast("long").alias("n"), "w", "z", "p")
 
 
-def bootstrap(deltas: DataFrame, by: list[str], resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
-    """Percentile interval of the mean delta. Deltas are drawn in key order with a seeded generator, so runs agree."""
-    schema = ", ".join([*(f"{c} {deltas.schema[c].dataType.simpleString()}" for c in by), "low double, high double"])
+#: Modulus of the draws: a row's hash times a resample's, below a prime of 31 bits, so that products fit in 64.
+PRIME = (1 << 31) - 1
+#: A draw counts as many times as it reaches these: the distribution function of a Poisson variable of mean 1.
+POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(9)]
+
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("qkey")["delta"].tolist()
-        rng, n = random.Random(seed), len(x)
-        means = sorted(sum(rng.choices(x, k=n)) / n for _ in range(resamples))
-        cut = lambda q: means[min(int(q * resamples), resamples - 1)]
-        return pd.DataFrame([(*key, cut((1 - confidence) / 2), cut((1 + confidence) / 2))], columns=[*by, "low", "high"])
+def _hashed(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
 
-    return deltas.filter("delta IS NOT NULL").groupBy(*by).applyInPandas(run, schema)
+
+def bootstrap(deltas: DataFrame, by: list[str], resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
+    """Percentile interval of the mean delta, by Poisson resampling.
+
+    In a resample a row counts k times, k Poisson of mean 1, drawn from hashes of its qkey and of the resample: any engine repeats
+    it, and no order of rows matters. A task hands on sums per resample, so a group may be as large as it likes.
+    """
+    draws = deltas.sparkSession.range(resamples).select("id", _hashed(F.concat(F.lit("r"), F.col("id").cast("string"))).alias("a"))
+    rows = deltas.filter("delta IS NOT NULL").select(*by, "delta", _hashed(F.concat(F.lit(f"{seed}:"), "qkey")).alias("h"))
+    z = (F.col("h") * F.col("a")) % PRIME
+    w = reduce(Column.__add__, ((z >= t).cast("int") for t in POISSON))
+    sums = rows.crossJoin(F.broadcast(draws)).select(*by, "id", "delta", w.alias("w")).filter("w > 0").groupBy(*by, "id").agg((F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("mean"))
+    means = sums.groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("m"))
+    cut = lambda q: F.get("m", F.least(F.floor(F.lit(q) * F.size("m")), F.size("m") - 1).cast("int"))
+    return means.select(*by, cut((1 - confidence) / 2).alias("low"), cut((1 + confidence) / 2).alias("high"))
 
 
 def bonferroni(p: Column, comparisons: int) -> Column:

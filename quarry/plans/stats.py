@@ -14,6 +14,16 @@ from quarry.registry import query
 DELTAS = f"{PER_QUERY}, dl AS (SELECT a.qkey, a.topic_id, a.ndcg10_exp - b.ndcg10_exp AS delta FROM (SELECT * FROM m WHERE config = 'len') a JOIN (SELECT * FROM m WHERE config = 'id') b ON a.qkey = b.qkey)"
 
 
+def boot_sql(rows: str, by: str, seed: int) -> str:
+    """Views ending in bt (by, low, high): the bootstrap of a view (by, qkey, delta)."""
+    w = " + ".join(f"CAST(h * a % {S.PRIME} >= {t} AS INT)" for t in S.POISSON)
+    number = lambda x: f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT) % {S.PRIME}"
+    cut = lambda q: f"m[least(CAST(floor({q}::DOUBLE * len(m)) AS BIGINT), len(m) - 1) + 1]"
+    return f"""dr AS (SELECT id, {number("'r' || id")} AS a FROM (SELECT unnest(range(0, {S.RESAMPLES})) AS id)), hs AS (SELECT {by}, delta, {number(f"'{seed}:' || qkey")} AS h FROM {rows} WHERE delta IS NOT NULL),
+wt AS (SELECT {by}, id, delta, {w} AS w FROM hs, dr), me AS (SELECT {by}, id, sum(w * delta) / sum(w) AS mean FROM wt WHERE w > 0 GROUP BY 1, 2), so AS (SELECT {by}, list_sort(list(mean)) AS m FROM me GROUP BY 1),
+bt AS (SELECT {by}, round({cut((1 - S.CONFIDENCE) / 2)}, 6) AS low, round({cut((1 + S.CONFIDENCE) / 2)}, 6) AS high FROM so)"""
+
+
 def deltas(v: Views) -> DataFrame:
     return S.paired(per_query(v), "len", "id", "ndcg10_exp")
 
@@ -41,7 +51,7 @@ def m18(v: Views) -> DataFrame:
     return S.wilcoxon(deltas(v), ["topic_id"]).select("topic_id", "n", "w", *r6("z"))
 
 
-@query("m19_bootstrap_interval")
+@query("m19_bootstrap_interval", f"WITH {DELTAS}, {boot_sql('dl', 'topic_id', S.SEED)} SELECT topic_id, low, high FROM bt")
 def m19(v: Views) -> DataFrame:
     return S.bootstrap(deltas(v), ["topic_id"]).select("topic_id", *r6("low", "high"))
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from quarry.fixtures import Views
 from quarry.functions import ids
+from quarry.operators import dense as D
 from quarry.operators import judging as J
+from quarry.operators import retrieval as R
+from quarry.plans import retrieval as RP
 from quarry.registry import query
 from quarry.sources import corpus as C
 from quarry.sources import trec as T
@@ -45,9 +48,9 @@ def s05(v: Views) -> DataFrame:
     return v.corpus.filter(F.col("doc_id").isin(3, 5, 8, 13)).select("docid")
 
 
-@query("s06_row_text", "SELECT doc_id, coalesce(length(text), 0) AS chars FROM documents WHERE doc_id % 10 = 3")
+@query("s06_row_text", "SELECT doc_id, coalesce(length(text), 0) AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def s06(v: Views) -> DataFrame:
-    rows = v.documents.select("doc_id").filter("doc_id % 10 = 3")
+    rows = v.labels.select("doc_id")
     return v.documents.join(rows, "doc_id", "left_semi").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
 
 
@@ -183,12 +186,12 @@ def s21(v: Views) -> DataFrame:
     return v.corpus.select("docid", F.coalesce(F.sum(F.size(F.split("contents", " "))).over(w), F.lit(0)).cast("long").alias("start"))
 
 
-@query("s22_docstore", "SELECT docid, length(contents) AS chars FROM corpus WHERE doc_id % 3 = 0")
+@query("s22_docstore", "SELECT docid, length(contents) AS chars FROM corpus")
 def s22(v: Views) -> DataFrame:
     """A compressed, sorted table; a look-up is a join that prunes by the files' statistics."""
     path = scratch(v.spark, "docstore")
     v.corpus.select("docid", "contents").repartitionByRange("docid").sortWithinPartitions("docid").write.option("compression", "zstd").parquet(path)
-    want = v.corpus.filter("doc_id % 3 = 0").select("docid")
+    want = v.corpus.select("docid")
     return v.spark.read.parquet(path).join(want, "docid", "left_semi").select("docid", F.length("contents").cast("long").alias("chars"))
 
 
@@ -225,9 +228,9 @@ def s26(v: Views) -> DataFrame:
     return v.spark.read.schema("ts TIMESTAMP_NTZ, user_id LONG, docids ARRAY<STRING>").option("timestampNTZFormat", MICROS).json(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"), F.min("ts").alias("first"))
 
 
-@query("s27_feedback_reader", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE user_id % 10 = 3 GROUP BY 1, 2")
+@query("s27_feedback_reader", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
 def s27(v: Views) -> DataFrame:
-    return v.events.filter("user_id % 10 = 3").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return v.events.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
 @query("s28_tag_vocabulary", "SELECT DISTINCT event_type AS tag FROM events")
@@ -260,11 +263,22 @@ def s31(v: Views) -> DataFrame:
     return support(v).groupBy("run").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("label") == "FS").alias("fs"))
 
 
-@query("s32_search_sources", "SELECT config AS engine, qkey, chunk_id AS id, rnk AS rank FROM runs WHERE rnk <= 3")
+_HITS = f"""WITH {RP.INDEX}, {RP.bm25_sql(0.9, 0.4)}, {RP.DENSE},
+kw AS (SELECT 'keyword' AS engine, qid, docid AS id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM s),
+sm AS (SELECT 'semantic' AS engine, CAST(query_id AS VARCHAR) AS qid, CAST(id AS VARCHAR) AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h),
+p AS (SELECT docid, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM d), w AS (SELECT x.docid, min(abs(x.pos - y.pos) + 1) AS width FROM p x JOIN p y ON x.docid = y.docid AND x.term = 'thly' AND y.term = 'erin' GROUP BY 1),
+ss AS (SELECT 'ssr' AS engine, 'q' AS qid, docid AS id, row_number() OVER (ORDER BY width, docid) AS rank FROM w)
+SELECT engine, qid, id, rank FROM (SELECT * FROM kw UNION ALL SELECT * FROM sm UNION ALL SELECT * FROM ss) WHERE rank <= 3"""
+
+
+@query("s32_search_sources", _HITS)
 def s32(v: Views) -> DataFrame:
-    """Hits of all engines in one shape."""
-    parts = [v.runs.filter(F.col("config") == c).filter("rnk <= 3").select(F.lit(c).alias("engine"), "qkey", F.col("chunk_id").alias("id"), F.col("rnk").cast("long").alias("rank")) for c in ("len", "id")]
-    return parts[0].unionByName(parts[1])
+    """Hits of the keyword, semantic and shortest-substring engines in one shape."""
+    shape = lambda df, engine, q, i: df.select(F.lit(engine).alias("engine"), F.col(q).cast("string").alias("qid"), F.col(i).cast("string").alias("id"), "rank")
+    keyword = R.bm25(RP.index(v), RP.queries(v), k=3)
+    semantic = D.top_k(*RP.vectors(v), 3)
+    ssr = R.boolean_search(RP.index(v), {"q": "(^ thly erin)"}, k=3)
+    return shape(keyword, "keyword", "qid", "docid").unionByName(shape(semantic, "semantic", "query_id", "id")).unionByName(shape(ssr, "ssr", "qid", "docid"))
 
 
 @query("s33_shard_fan_out", "SELECT qkey, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY score DESC, chunk_id) AS r FROM runs WHERE config = 'len') WHERE r <= 5")
@@ -283,9 +297,17 @@ def s34(v: Views) -> DataFrame:
     return v.spark.read.schema("conv_id LONG, turn LONG, role STRING, session INT").json(path).groupBy(F.col("conv_id").alias("session")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("s35_submission_export", "SELECT conv_id % 20 AS narrative, max(conv_id) AS conv_id FROM steps GROUP BY 1")
+@query("s35_submission_export", """WITH l AS (SELECT conv_id % 20 AS narrative, max(conv_id) AS conv_id FROM steps GROUP BY 1)
+SELECT narrative, l.conv_id, count(s.conv_id) AS answers, md5(coalesce(string_agg(s.text, chr(10) ORDER BY s.turn), '')) AS body FROM l LEFT JOIN steps s ON s.conv_id = l.conv_id AND s.role = 'assistant' GROUP BY 1, 2""")
 def s35(v: Views) -> DataFrame:
-    return v.steps.groupBy((F.col("conv_id") % 20).alias("narrative")).agg(F.max("conv_id").alias("conv_id"))
+    """The last session of each narrative, written as one line of JSON with its answers, and read back."""
+    last = v.steps.groupBy((F.col("conv_id") % 20).alias("narrative")).agg(F.max("conv_id").alias("conv_id"))
+    said = v.steps.filter("role = 'assistant'").join(last.select("conv_id"), "conv_id", "left_semi")
+    said = said.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("answers"))
+    path = scratch(v.spark, "submission")
+    last.join(said, "conv_id", "left").select("narrative", "conv_id", F.coalesce("answers", F.array().cast("array<string>")).alias("answers")).write.json(path)
+    back = v.spark.read.schema("narrative LONG, conv_id LONG, answers ARRAY<STRING>").json(path)
+    return back.select("narrative", "conv_id", F.size("answers").cast("long").alias("answers"), F.md5(F.array_join("answers", "\n")).alias("body"))
 
 
 @query("s36_observed_hits", "SELECT topic_id, chunk_id, config FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, chunk_id ORDER BY rnk, config, qkey) AS r FROM runs) WHERE r = 1")

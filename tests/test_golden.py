@@ -15,6 +15,7 @@ from quarry.operators import retrieval as R
 from quarry.operators import stats as S
 from quarry.operators import validate as V
 from quarry.streaming import ledger as L
+from quarry.streaming.store import scratch
 
 
 def one(spark, column):
@@ -125,6 +126,36 @@ def test_lucene_clauses():
     assert R.parse_lucene('+a -b "c d"~2 e*') == [("+", ("term", "a")), ("-", ("term", "b")), ("", ("within", ("and", ("term", "c"), ("term", "d")), ("window", 4))), ("", ("prefix", "e"))]
 
 
+def test_lucene_groups_nest():
+    got = R.parse_lucene('+(a OR (+b -"c d")) AND !(e f) g^2 ) "h')
+    assert got == [("+", ("or", ("term", "a"), ("or", ("clauses", ("+", ("term", "b")), ("-", ("phrase", "c", "d")))))), ("-", ("or", ("term", "e"), ("term", "f"))), ("", ("term", "g")), ("", ("term", "h"))]
+
+
+def test_lucene_search_agrees_with_positions(spark):
+    """Queries of all kinds against evaluation of every document's positions."""
+    import random
+
+    rng = random.Random(4)
+    docs = {str(i): " ".join(rng.choices("ab ac b c d e".split(), k=rng.randint(0, 9))) for i in range(120)}
+    d = spark.createDataFrame(list(docs.items()), "docid string, contents string")
+    queries = ["+b -c", '"b c" d', '+(b (+c -d)) -"e b"', "a* AND NOT b", '"b d"~2', "-b", '-"b c" +d', "(b AND (c OR -d))", '+b -(c AND "d e")', ""]
+    got = {}
+    for r in R.lucene_search(d, {str(n): q for n, q in enumerate(queries)}, k=None).collect():
+        got.setdefault(int(r["qid"]), set()).add(r["docid"])
+    for n, q in enumerate(queries):
+        node = ("clauses", *R.parse_lucene(q))
+        want = {i for i, t in docs.items() if R.holds(node, {w: [k for k, x in enumerate(t.split()) if x == w] for w in t.split()})}
+        assert got.get(n, set()) == want, q
+
+
+def test_no_match_is_cut_off(spark):
+    """Without k every match is returned, as many as there are."""
+    d = spark.range(25_000).select(F.col("id").cast("string").alias("docid"), F.lit("of the").alias("contents"))
+    index = R.build_index(d)
+    assert R.boolean_search(index, {"q": '"of the"'}, k=None).count() == 25_000
+    assert R.lucene_search(index, {"q": "+the of"}, k=None).count() == 25_000
+
+
 def test_boolean_search_needs_all(spark):
     docs = spark.createDataFrame([("1", "red green blue"), ("2", "red x x x blue"), ("3", "green"), ("4", None)], "docid string, contents string")
     got = R.boolean_search(docs, {"q": "(^ red blue)"}).orderBy("rank").collect()
@@ -139,8 +170,30 @@ def test_dense_and_approximate_search_agree(spark, sf):
 
     q, d = vectors(Views(spark, sf))
     exact = {(r["query_id"], r["id"]) for r in D.top_k(q, d, 10).collect()}
-    near = {(r["query_id"], r["id"]) for r in D.lsh_top_k(q, d, 10).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
+    path = scratch(spark, "codes")
+    D.write_codes(d, path)
+    near = {(r["query_id"], r["id"]) for r in D.quantised_top_k(q, d, path, 10).collect()}
+    assert len(exact & near) / len(exact) >= 0.95
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_blocks_of_a_group_meet_once(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((30, 4)), [1] * 29 + [9], axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [("g" if i % 5 else None, i % 3, i, list(map(float, v))) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "g string, arm int, vec_id long, embedding array<double>")
+    for r in D.pair_statistics(d, ["g"], block=block).collect():
+        mine = x[[i for i, row in enumerate(rows) if row[0] == r["g"]]]
+        s = (mine @ mine.T)[np.triu_indices(len(mine), 1)]
+        assert r["pairs"] == len(s) and math.isclose(r["mean"], s.mean(), abs_tol=1e-9) and math.isclose(r["near"], (s >= 0.9).mean(), abs_tol=1e-9)
+    got = D.nearest_elsewhere(d, ["g"], "arm", block).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = max(float(x[r["vec_id"]] @ x[i]) for g, a, i, _ in rows if g == r["g"] and a != r["arm"])
+        assert math.isclose(r["nearest"], want, abs_tol=1e-9)
 
 
 def test_truncated_zero_vector_stays(spark):
