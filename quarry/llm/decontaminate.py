@@ -7,8 +7,9 @@ must correspond one to one: then the passage is the item, word for word or with
 
 A document's windows first pass a bit table of the benchmark's hashes, of a fixed 512 KB, inside the row; only windows that
 it lets through (all true ones, few others) become rows and meet the join. Items are matched with and without names
-masked, so that a copy in capitals or small letters is found as well. Items in which a name also begins a sentence are matched
-a second time with it masked there too, in the item and in the documents; what only that finds is added.
+masked, so that a copy in capitals or small letters is found as well. Items in which a name also begins a sentence, or has two words, or which
+have number words, are matched a second time with names masked there too, as one, and number words as numbers, in the item and in the
+documents; what only that finds is added.
 
 Items of fewer than 8 tokens, or whose windows all hold fewer than 4 plain words, are matched as wholes: the item's whole sequence of
 tokens, nothing masked, is one window of its own length. Here operators are tokens too, and letters of scripts without spaces
@@ -56,15 +57,33 @@ def tokens(text: Column, names: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
 
+# Number words.
+NUMBER_WORDS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half third quarter twice thrice"
+).split()
+#: Stands between the words of a name, or of a number.
+JOIN = "\u0003"
+_WIDE = rf"{FIRST}?(?:{MARK}?\p{{L}}+(?:{JOIN}{MARK}?\p{{L}}+)*)|[0-9]+(?:[.,][0-9]+)*"
+
+
 def wide_tokens(text: Column) -> Column:
-    """tokens(), with a name of the text masked wherever it begins a sentence as well."""
+    """tokens(), with a name of the text masked wherever it begins a sentence as well, the words of a name or number as one, and number words as numbers.
+
+    A number word begins with 0, as a name begins with MARK.
+    """
+    numbers = "|".join(NUMBER_WORDS)
     marked = F.regexp_replace(F.regexp_replace(text, _NAME, MARK + "$0"), _FIRST, FIRST + "$0")
-    found = F.regexp_extract_all(F.lower(marked), F.lit(FIRST + "?" + _TOKEN), F.lit(0))
+    marked = F.regexp_replace(marked, rf"({MARK}\p{{Lu}}\p{{Ll}}+) (?={MARK})", f"$1{JOIN}")
+    marked = F.regexp_replace(marked, rf"(?i)(?<!\p{{L}})({numbers})[ -](?=(?:{numbers})(?!\p{{L}}))", f"$1{JOIN}")
+    found = F.regexp_extract_all(F.lower(marked), F.lit(_WIDE), F.lit(0))
     names = F.array_distinct(F.filter(found, lambda t: t.startswith(MARK)))
 
     def one(t: Column) -> Column:
-        name = F.concat(F.lit(MARK), F.ltrim(t, F.lit(FIRST)))
-        return F.when(~t.startswith(FIRST), t).when(F.array_contains(names, name), name).otherwise(F.ltrim(t, F.lit(FIRST)))
+        bare = F.ltrim(t, F.lit(FIRST))
+        name = F.concat(F.lit(MARK), bare)
+        named = F.when(t.startswith(FIRST) & F.array_contains(names, name), name).otherwise(bare)
+        return F.when(F.split_part(bare, F.lit(JOIN), F.lit(1)).isin(NUMBER_WORDS), F.concat(F.lit("0"), bare)).otherwise(named)
 
     return F.transform(found, one)
 
