@@ -11,9 +11,11 @@ from quarry.sources.corpus import spread
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """The cluster's spark.checkpoint.dir; only where that is unset in a local session (tests), a folder of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = getattr(spark, "_quarry_scratch", None) or f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark._quarry_scratch = known
     return known.rstrip("/")
@@ -38,11 +40,22 @@ def unique() -> str:
     return uuid.uuid4().hex
 
 
-def table(df: DataFrame, sort: str | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+#: Short rows (ids, hashes, counts) that go in one file at least, where a table has them.
+ROWS_PER_FILE = 250_000
+
+
+def files_for(spark: SparkSession, rows: int) -> int:
+    """How many files a table of so many short rows, at most, should have: one a core, more as it grows."""
+    return max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE)
+
+
+def table(df: DataFrame, sort: str | None = None, files: int | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder, in at most `files` files, and read it back.
 
     The lineage ends there: a lost executor costs a re-read, never a recomputation of the plan above.
     """
+    if files:
+        df = df.coalesce(files)
     spark = df.sparkSession
     path = f"{folder(spark)}/{unique()}"
     (df.sortWithinPartitions(sort) if sort else df).write.parquet(path)

@@ -94,6 +94,12 @@ STAGES = {
 }
 
 
+def test_encoding_as_a_stage(spark):
+    d = odd_table(spark)
+    out = byte_bpe.round_trip(clashing(d))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == d.count()
+
+
 @pytest.mark.parametrize("name", STAGES)
 def test_stages_pass_all_columns(spark, name):
     d = clashing(odd_table(spark))
@@ -137,6 +143,42 @@ def test_names_that_begin_sentences(spark, before):
     assert [x["kind"] for x in r] == ["reparameterised"] and r[0]["windows"] == r[0]["item_windows"]
 
 
+#: Questions with {names}, {numbers as digits} and {number words}, and two sets of values each.
+QUESTIONS = [
+    ("{0} picked up {a} dozen shells on the beach. {1} found twice as many shells as {0} and put them in a pocket. {2} grabbed half of the shells that {1} found. How many shells did {2} have?", ["Mimi", "Kyle", "Leigh"], ["Anna", "Peter", "Ruth"]),
+    ("{0} earns {w} dollars an hour for babysitting. Yesterday, {0} did {v} minutes of babysitting. How much did {0} earn on that day?", ["Weng"], ["Clara"]),
+    ("{0} is saving money for a new wallet which costs {a} dollars. {0} has only half of the money that is needed. How much more money does {0} need to buy the wallet?", ["Betty"], ["Igor"]),
+    ("Each day {0} feeds every chicken {w} cups of mixed seed. In the morning {0} gives the flock {a} cups of feed. If the flock has {b} chickens, how many cups does {0} need in the last meal?", ["Wendi"], ["Maurice"]),
+    ("{0} went to the store to buy glasses for a new flat. One glass costs {a} dollars, but every second glass costs only {b} percent of the price. How much does {0} have to pay for all of them?", ["Kylar"], ["Ottilie"]),
+    ("The train from {0} to {1} takes {a} hours and stops {w} times on the way. If it leaves {0} at {b} o'clock, at what time of the day does it come to {1}?", ["New York", "Boston"], ["San Diego", "Tucson"]),
+    ("{0} and {1} read the same book of {a} pages. While {0} reads {b} pages a day, {1} reads {c} pages a day and begins two days later. Who of them is the first to finish the book?", ["Rosa", "Emil"], ["Noor", "Bela"]),
+    ("A farmer named {0} has {a} cows and {b} sheep in the field behind the house. {0} sells {w} of the cows and buys {v} more sheep. How many animals are in the field then?", ["Olaf"], ["Greta"]),
+    ("In a garden there are {a} rows of trees with {b} trees each. If {w} trees are cut down in every row, how many trees does {0} still have in the garden?", ["Tom"], ["Sue"]),
+    ("{0} walks {a} km to school in the morning and {b} km back by another way. How many km does {0} walk in a week of {w} school days and {v} days without school?", ["Mary Ann"], ["Billie Joe"]),
+]
+VALUES = [{"a": "2", "b": "15", "c": "40", "w": "twelve", "v": "fifty"}, {"a": "7", "b": "33", "c": "61", "w": "twenty-five", "v": "thirty"}]
+
+
+def test_recall_of_reparameterised_questions(spark):
+    """Ten questions with all names, numbers and number words changed: 0.9 of them at least are found, among 40 texts of the same common words."""
+    items = [(i, q.format(*old, **VALUES[0])) for i, (q, old, _) in enumerate(QUESTIONS)]
+    asked = [(i, q.format(*new, **VALUES[1])) for i, (q, _, new) in enumerate(QUESTIONS)]
+    rng = random.Random(12)
+    parts = [p for _, t in items for p in t.split(". ")]
+    clean = [(100 + i, " ".join(" ".join(rng.choice(parts).split()[k : k + 6]) for k in rng.choices(range(0, 6), k=6))) for i in range(40)]
+    clean += [(200, "How much does it cost to buy all of them? Who of them is the first to come home? At what time of the day does it start?")]
+    d = spark.createDataFrame(asked + clean, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(d, i) for d, i, _ in got} <= {(i, i) for i, _ in items} and {k for _, _, k in got} == {"reparameterised"}
+    assert len(got) >= 0.9 * len(items), sorted({i for i, _ in items} - {i for i, _, _ in got})
+
+
+def test_wide_tokens(spark):
+    x = spark.createDataFrame([("New York has twenty five shops. In New York they see Tom. Tom sees Twelve men.",)], "t string").select(decontaminate.wide_tokens(F.col("t"))).collect()[0][0]
+    m, j = decontaminate.MARK, decontaminate.JOIN
+    assert x == ["new", f"{m}york", "has", f"0twenty{j}five", "shops", "in", f"{m}new{j}{m}york", "they", "see", f"{m}tom", f"{m}tom", "sees", f"{m}twelve", "men"]
+
+
 @pytest.mark.parametrize(
     "item, other",
     [
@@ -178,6 +220,16 @@ def test_prefix_counts_are_exact():
             assert m.within(x, budget) == max(k for k, c in enumerate(want) if c <= budget)
 
 
+def test_several_budgets(docs, texts):
+    import sentencepiece as spm
+
+    sp = spm.SentencePieceProcessor(model_file=known.path("piece_bpe_32k.model"))
+    for r in token_counts.count_tokens(docs.limit(40), budgets=(7, 50)).collect():
+        for n, fit in zip((7, 50), r["fits"]):
+            t = texts[r["doc_id"]]
+            assert len(sp.encode(t[:fit])) <= n and (fit == len(t) or len(sp.encode(t[: fit + 1])) > n)
+
+
 def test_token_counts_of_documents(docs, texts):
     import sentencepiece as spm
 
@@ -236,6 +288,67 @@ def test_links_and_groups_match_brute_force(spark, texts, block):
     assert got == {i: (links[i], root[i]) for i in every}
 
 
+@pytest.mark.parametrize("block", [400_000, 300, 60])
+def test_groups_are_the_same_without_counting(spark, texts, block):
+    every = texts | family(25) | {2000 + i: t.replace("w5 ", f"{t.split()[5]}z ") for i, t in enumerate(family(12).values())}
+    d = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    members, groups = jaccard_join.classes(d, block=block, count=False)
+    got = {r["doc_id"]: r["group_id"] if r["group_id"] is not None else r["doc_id"] for r in members.join(groups, "cls", "left").collect()}
+    assert got == brute_links(every)[1]
+
+
+def test_blocks_of_different_groups_meet(spark):
+    """A bucket of several groups: only tasks across groups are left, and all pairs of different groups are in one."""
+    cls = lambda i: bytes([i])
+    kept = spark.createDataFrame([(cls(i), 10, 1, 4) for i in range(20)] + [(cls(i), 10, 2, 2) for i in range(9)], "cls binary, n long, h long, blocks int")
+    roots = spark.createDataFrame([(cls(i), cls(0)) for i in range(16)] + [(cls(17), cls(16))], "node binary, root binary")
+    tasks = jaccard_join.open_tasks(kept, roots, 50).collect()
+    assert {r["bucket"] for r in tasks} == {1}  # the other bucket is one group
+    root = {i: 0 if i < 16 else 16 if i < 18 else i for i in range(20)}
+    meet = {}
+    for r in tasks:
+        meet.setdefault((r["a"], r["b"]), set()).add((r["cls"][0], r["own"]))
+    pairs = {(min(x, y), max(x, y)) for (a, b), rows in meet.items() for x, o in rows for y, q in rows if x != y and (a == b or o != q)}
+    assert all((i, j) in pairs for i in range(20) for j in range(i + 1, 20) if root[i] != root[j])
+    assert not any(root[i] == root[j] == 0 for i, j in pairs)
+
+
+def test_work_in_a_group_of_near_copies_is_linear():
+    rng, base = random.Random(3), [f"w{i}" for i in range(150)]
+    spots = [rng.randrange(150) for _ in range(3000)]
+    found = [jaccard_join.shingles(" ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate(spots)]
+    calls = []
+
+    class Counted(jaccard_join.Overlaps):
+        def of(self, some):
+            calls.append(len(some) * self.n)
+            return super().of(some)
+
+    old, jaccard_join.Overlaps = jaccard_join.Overlaps, Counted
+    try:
+        links, root = jaccard_join.verify(found, [np.zeros(0, np.int64)] * 3000, np.zeros(3000, np.int64), 0, 0.8, np.ones(3000), count=False)
+    finally:
+        jaccard_join.Overlaps = old
+    assert (root == 0).all() and (links > 0).all() and sum(calls) <= 2 * jaccard_join.RUN
+
+
+def test_measured_recall(spark):
+    """Pairs of 0.8 to 0.85 similarity, which banding finds least often: 0.9 of them at least are found."""
+    rng = random.Random(11)
+    rows, n = [], 0
+    while n < 300:
+        w = [f"r{n}x{i}" for i in range(104)]
+        v = list(w)
+        for k in range(2):
+            v[rng.randrange(10 + 50 * k, 50 + 50 * k)] = f"n{n}y{k}"
+        a, b = jaccard_join.shingles(" ".join(w)), jaccard_join.shingles(" ".join(v))
+        if 0.8 <= len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.85:
+            rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(v))]
+            n += 1
+    got = jaccard_join.links(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_links = 1 AND class_id % 2 = 0").count()
+    assert got >= 0.9 * 600
+
+
 def test_one_document_of_each_group_stays(spark, texts):
     every = texts | family(10)
     rows = [*every.items(), *list(every.items())[:5]]  # some rows repeat
@@ -430,6 +543,11 @@ def test_divergence_separates_junk(spark):
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.3
 
 
+def test_references_do_not_depend_on_partitions(docs):
+    a, b = (sorted(map(str, divergence.references(docs.repartition(n)).collect())) for n in (1, 7))
+    assert a == b
+
+
 # ---------------------------------------------------------------- 7
 def test_lookup_table_is_even_and_stable():
     names = maglev.shard_names(10)

@@ -33,6 +33,28 @@ def test_pipeline_keeps_what_each_stage_keeps(spark, sf):
     assert leaked and len(want) > 100
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, sf, tmp_path):
+    """Null ids, ids that repeat, repeated rows, null and empty texts, and more columns."""
+    from pyspark.sql import functions as F
+
+    docs = scratch.read(spark, sf, "documents")
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 7).otherwise(F.col("doc_id")))
+    odd = odd.unionByName(odd.limit(9)).unionByName(spark.createDataFrame([(5, None, None, None, None), (None, "", "en", "a", 0)], docs.schema))
+    extra = odd
+    for c in ("key", "_key", "found", "f", "score", "kept", "toks"):
+        extra = extra.withColumn(c, F.lit("mine"))
+    extra.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for part in ("odd", "none"):
+        scratch.read(spark, sf, "benchmark").write.parquet(f"{tmp_path}/{part}/benchmark.parquet")
+    whole = sorted(r["decoded_sha256"] for r in corpus_pipeline.run(spark, sf).collect())
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in got if r["doc_id"] is not None} >= {7}
+    # the same texts stay, but for those of which the copies' ids now name another one as the first
+    assert len(got) == len(whole) and len({r["decoded_sha256"] for r in got} & set(whole)) >= 0.9 * len(whole)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_stages_are_named():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_duplicates", "decontamination", "encoding"]
 
