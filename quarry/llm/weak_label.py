@@ -151,7 +151,7 @@ def value_of(text: str, w: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-SEEN = "votes string, n long, h long, bins array<long>, vals array<double>"
+SEEN = "votes string, n long, h long, bins array<int>, times array<int>"
 
 
 def look(docs: DataFrame, share: float) -> DataFrame:
@@ -165,7 +165,7 @@ def look(docs: DataFrame, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         held: set[int] = set()
-        names, kinds = ["votes", "n", "h", "bins", "vals"], [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        names, kinds = ["votes", "n", "h", "bins", "times"], [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for b in batches:
             rows = []
             for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -173,8 +173,7 @@ def look(docs: DataFrame, share: float) -> DataFrame:
                 seen[v] += 1
                 if h <= limit and h not in held:
                     held.add(h)
-                    bins, times = np.unique(bins_of(t or ""), return_counts=True)
-                    rows.append((v, 1, h, bins, times / max(1, times.sum()) ** 0.5))
+                    rows.append((v, 1, h, *(x.astype(np.int32) for x in np.unique(bins_of(t or ""), return_counts=True))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         if seen:
@@ -194,13 +193,18 @@ def votes_and_sample(docs: DataFrame, sample: int = SAMPLE, rows: int | None = N
     share = min(1.0, 2 * sample / max(1, docs.count() if rows is None else rows))
     while True:
         seen = scratch.table(look(docs, share))
-        got = seen.filter("h IS NOT NULL").dropDuplicates(["h"]).orderBy("h").limit(sample).select("bins", "vals", "votes").toPandas()
-        if len(got) >= sample // 8 or share >= 1:
+        found = seen.filter("h IS NOT NULL")
+        least = [r["h"] for r in found.select("h").distinct().orderBy("h").limit(sample).collect()]
+        if len(least) >= sample // 8 or share >= 1:
             break
         share = min(1.0, 16 * share)
     patterns = {r["votes"]: r["n"] for r in seen.filter("h IS NULL").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
+    got = found.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).select("h", "bins", "times", "votes").toPandas().sort_values("h") if least else None
     scratch.discard(seen)
-    return patterns, [(np.asarray(b, np.int64), np.asarray(v), p) for b, v, p in zip(got["bins"], got["vals"], got["votes"])]
+    if got is None:
+        return patterns, []
+    both = ((np.asarray(b, np.int64), np.asarray(n, float)) for b, n in zip(got["bins"], got["times"]))
+    return patterns, [(b, n / max(1.0, n.sum()) ** 0.5, p) for (b, n), p in zip(both, got["votes"])]
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, rows: int | None = None) -> tuple[np.ndarray, float, dict[str, tuple[float, float]]]:
