@@ -7,7 +7,7 @@ too short for a stable histogram are not judged by it (minimum-length guards).
 
 Nulls and odd rows: a null text has no words, so it fails the base rules (n_words < 10); an empty text
 likewise. A null lang counts as the empty string. Rare languages use the reference of the whole table. Ties don't arise; repeated rows give one result row each; extra columns
-are ignored by `rule_table` and passed through by `apply_rules`.
+are ignored by `rule_table` and passed through by `apply_rules`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -151,13 +151,15 @@ def references(docs: DataFrame, min_reference: int = MIN_REFERENCE, min_share: f
     """
     feats = features(docs.select("lang", "text"), "f", every=False).select(F.coalesce("lang", F.lit("")).alias("lang"), "f.*").filter("n_words > 0")
     bins = [(c, i) for c, n in (("h_char", N_CHAR), ("h_word", N_WORD)) for i in range(n)]
-    sums = feats.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c)[i]).alias(f"{c}_{i}") for c, i in bins))
+    # whole numbers, so that no order of summation matters; as fine as 64 bits allow for so many documents
+    unit = float(1 << max(1, 61 - docs.count().bit_length()))
+    sums = feats.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.round(F.col(c)[i] * unit).cast("long")).alias(f"{c}_{i}") for c, i in bins))
     names = ["n", *(f"{c}_{i}" for c, i in bins)]
     sums = scratch.table(sums)
     whole = sums.agg(*(F.sum(x).alias(x) for x in names)).select(F.lit(None).cast("string").alias("lang"), *names)
     total = sums.agg(F.sum("n")).collect()[0][0] or 0
     own = sums.filter((F.col("n") >= min_reference) & (F.col("n") >= min_share * total))
-    pack = lambda c, n: F.array(*[F.col(f"{c}_{i}") / F.col("n") for i in range(n)]).alias(f"ref_{c}")
+    pack = lambda c, n: F.array(*[F.col(f"{c}_{i}") / unit / F.col("n") for i in range(n)]).alias(f"ref_{c}")
     return own.unionByName(whole).filter("n > 0").select(F.col("lang").alias("ref_lang"), pack("h_char", N_CHAR), pack("h_word", N_WORD))
 
 
