@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 documents; the last returns the encoding's report of the documents that remain.
+
+Nulls and odd rows: a null or empty text has no words, so the rules reject it. Null ids, and ids that repeat with other texts, are documents like
+others. Rows that repeat are copies: one stays. Columns beside those of documents go along up to the encoding, which ignores them, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

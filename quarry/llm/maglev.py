@@ -7,7 +7,8 @@ shares, and few moves when a shard is added or removed. The table has `size` ent
 so it may be broadcast.
 
 Nulls and odd rows: a null doc_id places as the empty string. Repeated ids share a place. Extra columns are
-ignored by `place`, and passed through by `deal`.
+ignored by `place`, and passed through by `deal`. A slot that two shards want goes to the one whose turn it is, so there are no ties. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

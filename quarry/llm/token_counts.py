@@ -11,7 +11,8 @@ neighbouring characters (closing marks). Counts at every prefix are stored per d
 units' starts: any prefix is one sum and a few look-ups.
 
 Nulls and odd rows: null and empty texts count 0 tokens and 0 bytes. Characters outside the model count
-their UTF-8 bytes (byte fallback). Repeated rows give one result row each; a null doc_id stays null.
+their UTF-8 bytes (byte fallback). Repeated rows give one result row each; a null doc_id stays null. Rows are told apart by nothing else, so
+there are no ties. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -234,8 +235,8 @@ def model(path: str) -> PrefixCounts:
     return _MODELS[path]
 
 
-def count_tokens(docs: DataFrame, model_file: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """Per document: bytes, tokens, whether they exceed `limit`, and the code points that fit in it.
+def count_tokens(docs: DataFrame, model_file: str | None = None, limit: int = LIMIT, budgets: tuple[int, ...] = ()) -> DataFrame:
+    """Per document: bytes, tokens, whether they exceed `limit`, and the code points that fit in it; with `budgets` also `fits`, those that fit in each.
 
     A narrow map over whole texts. model_file must be readable on every executor; None: the public 32k piece model.
     """
@@ -249,10 +250,12 @@ def count_tokens(docs: DataFrame, model_file: str | None = None, limit: int = LI
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [m.count(t) for t in texts]
             cut = [len(t) if c <= limit else m.within(t, limit) for t, c in zip(texts, n)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([c > limit for c in n], pa.bool_()), pa.array(cut, pa.int64())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
-            )
+            cols = [b.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([c > limit for c in n], pa.bool_()), pa.array(cut, pa.int64())]
+            if budgets:
+                cols.append(pa.array([[len(t) if c <= x else m.within(t, x) for x in budgets] for t, c in zip(texts, n)], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + (", fits array<long>" if budgets else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

@@ -10,7 +10,8 @@ The image: magic, counts, document ids and lengths, then per bit-plane (most sig
 zeros, a directory of ones before each 512-bit block, and the plane, all compressed by zstandard.
 
 Nulls and odd rows: a null or empty text is the end id alone. Null doc_ids come first; equal doc_ids
-stand by text, nulls first. Repeated rows are written as often as they occur. Extra columns are ignored.
+stand by text, nulls first. Repeated rows are written as often as they occur. Extra columns are ignored. An empty table gives no shard and
+an empty result.
 """
 
 from __future__ import annotations
