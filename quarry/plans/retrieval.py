@@ -11,6 +11,7 @@ from quarry.functions import text as T
 from quarry.operators import dense as D
 from quarry.operators import retrieval as R
 from quarry.plans.ids import TITLED_SQL, titled
+from quarry.plans.text import FLAT, SPANS_SQL, numbers_sql, tokens_sql
 from quarry.registry import query
 from quarry.streaming.store import scratch
 
@@ -186,7 +187,18 @@ def r16(v: Views) -> DataFrame:
     return want.join(titled(v), "id", "left").select("id", F.md5(ids.strip_header(F.col("contents"))).alias("body"))
 
 
-@query("r17_evidence_packets")
+_SPANS = SPANS_SQL.format(x="text")
+_A, _B, _NA, _NB = tokens_sql("claim"), tokens_sql("span"), numbers_sql("claim"), numbers_sql("span")
+
+
+@query("r17_evidence_packets", f"""WITH u AS (SELECT conv_id, turn AS doc, text, {_SPANS} AS sp, {FLAT.format('text')} AS whole FROM conversations WHERE role = 'user'),
+f AS (SELECT conv_id, doc, CASE WHEN len(sp) > 0 THEN sp WHEN whole <> '' THEN [whole] ELSE [] END AS sp FROM u), n AS (SELECT conv_id, doc, unnest(range(0, len(sp))) AS n, unnest(sp) AS span FROM f),
+t AS (SELECT c.conv_id, c.turn AS finding, n.doc, n.n, n.span, c.text AS claim FROM conversations c JOIN n ON n.conv_id = c.conv_id WHERE c.role = 'assistant'),
+w AS (SELECT conv_id, finding, doc, n, span, {_A} AS a, {_B} AS b, {_NA} AS na, {_NB} AS nb FROM t),
+s AS (SELECT conv_id, finding, doc, n, span, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / sqrt(len(a) * len(b)) + CASE WHEN len(list_intersect(na, nb)) > 0 THEN 0.35 ELSE 0 END END, 6) AS score FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, finding, doc ORDER BY score DESC, n) AS r FROM s WHERE score >= 0.05),
+d AS (SELECT conv_id, finding, doc, row_number() OVER (PARTITION BY conv_id, finding ORDER BY score DESC, doc) AS d FROM r WHERE r = 1)
+SELECT r.conv_id, r.finding, d AS doc_rank, r.doc, r AS span_rank, span, score FROM r JOIN d ON d.conv_id = r.conv_id AND d.finding = r.finding AND d.doc = r.doc WHERE r <= 2 AND d <= 3""")
 def r17(v: Views) -> DataFrame:
     """For each answer turn, the best spans of the other turns of its conversation, three documents at most."""
     from quarry.operators.evidence import packets

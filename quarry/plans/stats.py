@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarry.fixtures import Views
 from quarry.operators import dense as D
 from quarry.operators import stats as S
+from quarry.operators.aggregate import support_rates
+from quarry.plans.aggregates import SUPPORT, support
 from quarry.plans.metrics import PER_QUERY, per_query, r6
 from quarry.registry import query
 
@@ -24,6 +26,19 @@ wt AS (SELECT {by}, id, delta, {w} AS w FROM hs, dr), me AS (SELECT {by}, id, su
 bt AS (SELECT {by}, round({cut((1 - S.CONFIDENCE) / 2)}, 6) AS low, round({cut((1 + S.CONFIDENCE) / 2)}, 6) AS high FROM so)"""
 
 
+def t_p_sql(t: str, df: str) -> str:
+    """Two-sided p of t for a whole number of degrees of freedom, by the finite sums in sine and cosine of its angle."""
+    a = f"atan(abs({t}) / sqrt({df}))"
+    odd = f"2 / pi() * ({a} + sin({a}) * coalesce(list_sum(list_transform(range(0, CAST(({df} - 1) / 2 AS BIGINT)), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos({a}), 2 * k + 1))), 0))"
+    even = f"sin({a}) * list_sum(list_transform(range(0, CAST({df} / 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos({a}), 2 * k)))"
+    return f"(1 - CASE WHEN CAST({df} AS BIGINT) % 2 = 1 THEN {odd} ELSE {even} END)"
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided p of a normal variable, by a series without cancellation."""
+    return f"(CASE WHEN {z} = 0 THEN 1.0 ELSE 1 - 2 * exp(-pow({z}, 2) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))) END)"
+
+
 def deltas(v: Views) -> DataFrame:
     return S.paired(per_query(v), "len", "id", "ndcg10_exp")
 
@@ -38,7 +53,7 @@ def m16(v: Views) -> DataFrame:
     return S.t_statistics(deltas(v), ["topic_id"]).select("topic_id", *r6("t"), "df")
 
 
-@query("m17_distribution_tails")
+@query("m17_distribution_tails", f"WITH x AS (SELECT id / 50 AS x, CAST(id % 30 + 1 AS DOUBLE) AS df FROM (SELECT unnest(range(1, 400)) AS id)) SELECT x, df, round({t_p_sql('x', 'df')}, 9) AS t_p, round({normal_p_sql('x')}, 9) AS normal_p FROM x")
 def m17(v: Views) -> DataFrame:
     x = v.spark.range(1, 400).select((F.col("id") / 50).alias("x"), (F.col("id") % 30 + 1).cast("double").alias("df"))
     return x.select("x", "df", F.round(S.t_p("x", "df"), 9).alias("t_p"), F.round(S.normal_p("x"), 9).alias("normal_p"))
@@ -62,16 +77,25 @@ def m20(v: Views) -> DataFrame:
     return v.spark.range(100).select(p.alias("p"), S.bonferroni(p, 25).alias("adjusted"), (p <= 0.05 / 25).alias("significant"))
 
 
-@query("m21_comparison_battery")
+def _t_sql(rows: str) -> str:
+    """SELECT of mean, t and p over a view's delta."""
+    return f"""SELECT mean, t, CASE WHEN sd IS NULL THEN 1.0 ELSE {t_p_sql('t', 'df')} END AS p FROM (SELECT avg(delta) AS mean, nullif(stddev_samp(delta), 0) AS sd, count(delta) - 1 AS df,
+      coalesce(avg(delta) / (nullif(stddev_samp(delta), 0) / sqrt(count(delta))), 0) AS t FROM {rows})"""
+
+
+@query("m21_comparison_battery", f"""WITH {DELTAS}, dc AS (SELECT 'len' AS candidate, * FROM dl), tp AS (SELECT topic_id, avg(delta) AS delta FROM dl GROUP BY 1), t1 AS ({_t_sql('dl')}), t2 AS ({_t_sql('tp')}),
+nz AS (SELECT delta, abs(delta) AS a FROM dl WHERE delta <> 0), rk AS (SELECT *, count(*) OVER (PARTITION BY a) AS k, rank() OVER (ORDER BY a) AS r0 FROM nz),
+wx AS (SELECT count(*) AS n, least(sum(CASE WHEN delta > 0 THEN r0 + (k - 1) / 2.0 ELSE 0 END), sum(CASE WHEN delta < 0 THEN r0 + (k - 1) / 2.0 ELSE 0 END)) AS w, sum(k * k - 1) AS ties FROM rk),
+wz AS (SELECT (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM wx), wp AS (SELECT {normal_p_sql('z')} AS wilcoxon_p FROM wz), {boot_sql('dc', 'candidate', S.SEED)}
+SELECT bt.candidate, (SELECT count(*) FROM dl WHERE delta > 0) AS wins, (SELECT count(*) FROM dl WHERE delta < 0) AS losses, (SELECT count(*) FROM dl WHERE delta = 0) AS ties,
+round(t1.mean, 6) AS mean, round(t1.t, 6) AS t, round(t1.p, 6) AS p, round(wilcoxon_p, 6) AS wilcoxon_p, round(t2.p, 6) AS topic_p, low, high, round(least(1.0, t1.p * 25), 6) AS adjusted_p, t1.p <= 0.05 / 25 AS significant FROM bt, t1, t2, wp""")
 def m21(v: Views) -> DataFrame:
     return S.battery(deltas(v).withColumn("candidate", F.lit("len")), ["candidate"]).select("candidate", "wins", "losses", "ties", *r6("mean", "t", "p", "wilcoxon_p", "topic_p", "low", "high", "adjusted_p"), "significant")
 
 
-@query("m22_paired_support_interval")
+@query("m22_paired_support_interval", f"""WITH {SUPPORT}, sv AS (SELECT run, conv_id, CASE label WHEN 'FS' THEN 1.0::DOUBLE WHEN 'PS' THEN 0.5 WHEN 'NS' THEN 0.0 END AS v FROM p),
+rt AS (SELECT run, CAST(conv_id AS VARCHAR) AS qkey, coalesce(sum(v) / nullif(count(v), 0), 0) - sum(coalesce(v, 0)) / count(*) AS delta FROM sv GROUP BY run, conv_id), {boot_sql('rt', 'run', 20260805)} SELECT run, low, high FROM bt""")
 def m22(v: Views) -> DataFrame:
-    from quarry.operators.aggregate import support_rates
-    from quarry.plans.aggregates import support
-
     s = support_rates(support(v), ["run", "conv_id"]).select(F.col("run"), F.col("conv_id").cast("string").alias("qkey"), (F.coalesce("precision", F.lit(0.0)) - F.col("recall")).alias("delta"))
     return S.bootstrap(s, ["run"], seed=20260805).select("run", *r6("low", "high"))
 

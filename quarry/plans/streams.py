@@ -48,7 +48,8 @@ def st03(v: Views) -> DataFrame:
     return g.select("config", "qkey", F.array_join(body, " ").alias("body"))
 
 
-@query("st04_staged_expiry")
+@query("st04_staged_expiry", """WITH s AS (SELECT conv_id, turn, unnest([turn, turn % 3, length(text) % 5]) AS u, max(turn) OVER (PARTITION BY conv_id) + 1 AS seq FROM conversations WHERE role = 'user')
+SELECT DISTINCT conv_id AS run, seq, 'u' || u AS unit, 'rejected' AS outcome, 'expired' AS reason FROM s""")
 def st04(v: Views) -> DataFrame:
     e = ledger_events(v).filter("kind = 'stage'")
     last = e.groupBy("run").agg((F.max("seq") + 1).alias("seq")).select("run", "seq", F.lit("expire").alias("kind"), F.array().cast("array<string>").alias("units"))
