@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from quarry.functions.text import TOKENS_PER_WORD
 
-BLANK, WORD, END = re.compile(r"\n\s*\n"), re.compile(r"\S+"), re.compile(r"[.!?。！？](?=\s|$)")
+BLANK, WORD, SPACE, END = re.compile(r"\n\s*\n"), re.compile(r"\S+"), re.compile(r"\s*"), re.compile(r"[.!?。！？](?=\s|$)")
 
 
 def count(text: str) -> int:
@@ -24,20 +24,20 @@ def budget(tokens: float, rate: float = TOKENS_PER_WORD) -> int:
 
 
 def cut_long(block: str, most: int) -> Iterator[str]:
-    """Pieces of at most `most` words: up to the last line end inside, else the last sentence end, else the last word."""
-    rest = block.strip()
-    while rest:
-        ends = [m.end() for m, _ in zip(WORD.finditer(rest), range(most + 1))]
+    """Pieces of at most `most` words: up to the last line end inside, else the last sentence end, else the last word. What is left isn't copied."""
+    block, at = block.strip(), 0
+    while at < len(block):
+        ends = [m.end() for m, _ in zip(WORD.finditer(block, at), range(most + 1))]
         if len(ends) <= most:
-            yield rest
+            yield block[at:]
             return
-        head = rest[: ends[most - 1]]
-        at = head.rfind("\n")
-        if at <= 0:
-            at = max((m.end() for m in END.finditer(head)), default=len(head))
-        if piece := rest[:at].strip():
+        stop = ends[most - 1]
+        cut = block.rfind("\n", at, stop)
+        if cut <= at:
+            cut = max((m.end() for m in END.finditer(block, at, stop)), default=stop)
+        if piece := block[at:cut].strip():
             yield piece
-        rest = rest[at:].strip()
+        at = SPACE.match(block, cut).end()
 
 
 def pieces(text: str, most: int, hard: int) -> list[tuple[str, int]]:
