@@ -30,12 +30,48 @@ def ledger_events(v: Views) -> DataFrame:
     return s.select(F.col("conv_id").alias("run"), F.col("turn").alias("seq"), kind.alias("kind"), units.alias("units"))
 
 
-@query("st01_ledger_commit")
+def _row(u: str, o: str, r: str) -> str:
+    return f"{{'seq': seq, 'unit': {u}, 'outcome': {o}, 'reason': {r}}}"
+
+
+def _error(reason: str) -> str:
+    return _row("u", "'error'", f"'{reason}'")
+
+
+def _later(more: str) -> str:
+    """What a staged unit that isn't taken gets: a duplicate if it was committed before, else rejected for a reason."""
+    return _row("u", "CASE WHEN list_contains(hu, u) THEN 'duplicate' ELSE 'rejected' END", f"CASE WHEN list_contains(hu, u) THEN '{L.LATER}' {more} END")
+
+
+_BEYOND = f"WHEN list_contains(beyond, u) THEN '{L.OVERFLOW.replace(chr(39), chr(39) * 2)}' ELSE '{L.UNSELECTED}'"
+#: The ledger's fold, one event of every run at a time: views ending in d (run, seq, unit, outcome, reason).
+LEDGER = f"""WITH RECURSIVE c AS (SELECT conv_id AS run, turn AS seq, role, ['u' || turn, 'u' || (turn % 3), 'u' || (length(text) % 5), 'u' || (length(text) % 5)] AS staged FROM conversations),
+p AS (SELECT *, lag(staged) OVER (PARTITION BY run ORDER BY seq) AS prev, row_number() OVER (PARTITION BY run ORDER BY seq) AS i FROM c),
+e AS (SELECT run, seq, i, CASE WHEN role = 'user' THEN 'stage' WHEN seq % 4 = 3 THEN 'release' WHEN role = 'assistant' THEN 'commit' ELSE 'expire' END AS kind,
+      CASE WHEN role = 'user' THEN staged WHEN seq % 4 = 3 THEN ['u0'] ELSE coalesce(prev[1:3], []) END AS units FROM p),
+q AS (SELECT run, seq, i, kind, units, list_filter(units, lambda x, n: list_position(units, x) = n) AS chosen FROM e),
+z AS (SELECT run, 0 AS i, CAST([] AS VARCHAR[]) AS pending, CAST([] AS STRUCT(u VARCHAR, s BIGINT)[]) AS home, CAST([] AS STRUCT(seq BIGINT, unit VARCHAR, outcome VARCHAR, reason VARCHAR)[]) AS out FROM q WHERE i = 1
+  UNION ALL SELECT run, i,
+    CASE WHEN kind = 'stage' THEN pending || units WHEN kind = 'release' OR (kind = 'commit' AND len(strange) > 0) THEN pending ELSE [] END AS pending,
+    CASE WHEN kind = 'commit' AND len(strange) = 0 THEN home || list_transform(taken, lambda u: {{'u': u, 's': seq}}) WHEN kind = 'release' AND len(gone) = 0 THEN list_filter(home, lambda h: NOT list_contains(chosen, h.u)) ELSE home END AS home,
+    CASE WHEN kind = 'commit' AND len(strange) > 0 THEN list_transform(strange, lambda u: {_error('not staged')})
+         WHEN kind = 'commit' THEN flatten(list_transform(once, lambda u: CASE WHEN list_contains(taken, u) THEN [{_row('u', "'committed'", "''")}] || list_transform(list_filter(pending, lambda x, n: x = u AND list_position(pending, x) <> n), lambda x: {_row('x', "'duplicate'", f"'{L.PARALLEL}'")})
+                                             ELSE [{_later(_BEYOND)}] END))
+         WHEN kind = 'release' AND len(gone) > 0 THEN list_transform(gone, lambda u: {_error('not committed')})
+         WHEN kind = 'release' THEN list_transform(chosen, lambda u: {_row('u', "'released'", "'kept since ' || home[list_position(hu, u)].s")})
+         WHEN kind = 'expire' THEN list_transform(once, lambda u: {_later("ELSE 'expired'")}) ELSE [] END AS out
+    FROM (SELECT *, list_filter(chosen, lambda x: NOT list_contains(pending, x)) AS strange, list_filter(chosen, lambda x: NOT list_contains(hu, x)) AS gone,
+            list_filter(chosen, lambda x: NOT list_contains(hu, x))[1:3] AS taken, list_filter(chosen, lambda x: NOT list_contains(hu, x))[4:] AS beyond, list_filter(pending, lambda x, n: list_position(pending, x) = n) AS once
+          FROM (SELECT q.*, z.pending, z.home, list_transform(z.home, lambda h: h.u) AS hu FROM z JOIN q ON q.run = z.run AND q.i = z.i + 1))),
+d AS (SELECT run, x.seq AS seq, x.unit AS unit, x.outcome AS outcome, x.reason AS reason FROM (SELECT run, unnest(out) AS x FROM z))"""
+
+
+@query("st01_ledger_commit", f"{LEDGER} SELECT * FROM d WHERE outcome IN ('committed', 'duplicate', 'rejected')")
 def st01(v: Views) -> DataFrame:
     return L.replay(ledger_events(v)).filter("outcome IN ('committed', 'duplicate', 'rejected')")
 
 
-@query("st02_ledger_release")
+@query("st02_ledger_release", f"{LEDGER} SELECT * FROM d WHERE outcome IN ('released', 'error')")
 def st02(v: Views) -> DataFrame:
     return L.replay(ledger_events(v)).filter("outcome IN ('released', 'error')")
 

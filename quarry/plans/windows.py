@@ -62,7 +62,11 @@ def w07(v: Views) -> DataFrame:
     return T.spans_of(timed(v), ["run", "turn"])
 
 
-@query("w08_lane_packing")
+@query("w08_lane_packing", f"""WITH RECURSIVE {TIMED}, o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t0, t1, id) AS i FROM s),
+f AS (SELECT run, 0 AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ends FROM o WHERE i = 1
+  UNION ALL SELECT run, i, id, k, list_concat(list_append(ends[1 : k - 1], t1), ends[k + 1 :]) AS ends FROM (SELECT o.run, o.i, o.id, o.t1, f.ends,
+    coalesce(nullif(list_position(list_transform(f.ends, lambda e: e <= o.t0 + 1), true), 0), len(f.ends) + 1) AS k FROM f JOIN o ON o.run = f.run AND o.i = f.i + 1))
+SELECT run, id, CAST(k - 1 AS INT) AS lane FROM f WHERE i > 0""")
 def w08(v: Views) -> DataFrame:
     return T.lanes(timed(v), ["run"])
 
