@@ -96,7 +96,10 @@ def _passages(v: Views) -> DataFrame:
     return d.join(b, "g").join(v.corpus.select("doc_id", "contents"), "doc_id").filter(F.contains("contents", F.col("text"))).select("doc_id", "item_id", "contents", "text")
 
 
-@query("t12_evidence_window")
+@query("t12_evidence_window", r"""WITH m AS (SELECT d.doc_id, d.contents, instr(d.contents, b.text) - 1 AS pos FROM corpus d JOIN benchmark b ON contains(d.contents, b.text)),
+w AS (SELECT *, regexp_extract_all(contents, '\S+\s*') AS ws, len(regexp_extract_all(substr(contents, 1, pos), '\S+')) - CAST(pos > 0 AND regexp_matches(substr(contents, pos, 2), '^\S\S$') AS INT) AS mid FROM m),
+h AS (SELECT *, greatest(0, mid - 98) AS a, least(len(ws), mid + 98) AS b FROM w)
+SELECT doc_id, CAST(pos AS BIGINT) AS "at", regexp_replace(array_to_string(ws[a + 1 : b], ''), '\s+$', '') AS "window", CAST(round_even(a * 1.3::DOUBLE, 0) AS BIGINT) AS before, CAST(round_even((len(ws) - b) * 1.3::DOUBLE, 0) AS BIGINT) AS after FROM h""")
 def t12(v: Views) -> DataFrame:
     return chunking.windows(_passages(v).withColumnRenamed("text", "cover"))
 
