@@ -167,6 +167,25 @@ def gather(table: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> np.ndar
     return np.concatenate(out)
 
 
+def tail_table(words: pa.Array, after: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct ends of words, each word's from byte `after` on, and the number of each word's end among them."""
+    words = words.cast(pa.large_string())
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    start, size = at[:-1] + after, np.diff(at) - after
+    code = np.zeros(len(words), np.int64)  # of ends of up to 7 bytes: these and their number
+    for k in range(min(7, int(size.max(initial=0)))):
+        more = size > k
+        code[more] |= data[start[more] + k].astype(np.int64) << (8 * k)
+    code |= np.minimum(size, 8) << 56
+    long = np.flatnonzero(size > 7)
+    names: dict[bytes, int] = {}
+    for i in long.tolist():
+        code[i] = -1 - names.setdefault(data[start[i] : start[i] + size[i]].tobytes(), len(names))
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    return [data[start[i] : start[i] + size[i]].tobytes().decode() for i in first.tolist()], number
+
+
 class WordCoder:
     """Encodes many texts at once, each distinct word once.
 
@@ -223,11 +242,10 @@ class WordCoder:
         sizes = both[1][entry]
         self.kept = stems, gather(both[0], both[1], entry), sizes
         marked = np.flatnonzero(ended)
-        tails = [w[len(t) :] for w, t in zip(known.take(pa.array(marked)).to_pylist(), stem.take(pa.array(marked)).to_pylist())]
-        number = {t: k + 1 for k, t in enumerate(dict.fromkeys(tails))}
-        tail_ids = [np.zeros(0, np.uint16), *self.whole(list(number))]
+        tails, number = tail_table(known.take(pa.array(marked)), pc.binary_length(stem.take(pa.array(marked))).to_numpy())
+        tail_ids = [np.zeros(0, np.uint16), *self.whole(tails)]
         second = np.zeros(len(known), np.int64)
-        second[marked] = [number[t] for t in tails]
+        second[marked] = number + 1
         sizes = np.concatenate([self.kept[2], [len(x) for x in tail_ids]])
         pairs = np.stack([first.astype(np.int64), len(stems) + second], 1)
         return gather(np.concatenate([self.kept[1], *tail_ids]), sizes, pairs.ravel()), sizes[pairs].sum(1)
