@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import fresh
+from quarry.llm.scratch import fresh, without
 
 WINDOW, PLAIN = 8, 4
 #: Share of an item's windows that a document must hold.
@@ -268,7 +268,7 @@ def apply_decontamination(docs: DataFrame, bench: DataFrame, coverage: float = C
     """The documents that hold no item, with all their columns."""
     key = fresh(docs, "_key")
     bad = matches(docs, bench, coverage).select(F.col("key").alias(key)).distinct()
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(bad, key, "left_anti").drop(key)
+    return without(docs.withColumn(key, F.xxhash64("doc_id", "text")), bad, key).drop(key)
 
 
 def oracle(coverage: float = COVERAGE) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import scratch
-from quarry.llm.scratch import fresh, small_batches
+from quarry.llm.scratch import fresh, small_batches, without
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.997
 #: Hash functions at most, and shingles in one block of a bucket.
@@ -350,7 +350,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     # of a group's rows with the least id, those of one text stay
     first = scratch.table(named.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("root").agg(F.min("key").alias("stay"), F.count(F.lit(1)).alias("rows")), files=scratch.files_for(docs.sparkSession, members.count()))
     gone = named.join(first.select("root", "stay"), "root").filter(F.col("key") != F.col("stay")).select(F.col("key").alias(key)).distinct()
-    kept = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(gone, key, "left_anti")
+    kept = without(docs.withColumn(key, F.xxhash64("doc_id", "text")), gone, key)
     if first.filter("rows > 1").head(1):  # only then may a kept row be repeated
         again = first.filter("rows > 1").select(F.col("stay").alias(key))
         kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))

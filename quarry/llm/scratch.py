@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.sources.corpus import spread
 
@@ -64,6 +65,16 @@ def table(df: DataFrame, sort: str | None = None, files: int | None = None) -> D
     return out
 
 
+#: Keys up to this number (some 20 MB in memory) go to every task; more are joined by shuffle, texts and all.
+FEW_KEYS = 200_000
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs less the rows whose key is in `gone`, which is written first and counted."""
+    gone = table(gone, files=files_for(docs.sparkSession, 0))
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW_KEYS else gone, key, "left_anti")
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that table() wrote and that no later plan reads."""
     if path := getattr(df, "_quarry_path", None):

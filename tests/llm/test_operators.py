@@ -357,6 +357,15 @@ def test_one_document_of_each_group_stays(spark, texts):
     assert sorted(r["doc_id"] for r in jaccard_join.deduplicate(d).collect()) == sorted(set(root.values()))
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_rows_go_by_either_join(spark, few, monkeypatch):
+    monkeypatch.setattr(scratch, "FEW_KEYS", few)
+    d = spark.createDataFrame([(i % 7, f"t{i}") for i in range(50)] + [(None, "n")], "k long, t string")
+    gone = spark.createDataFrame([(1,), (3,), (9,)], "k long")
+    got = sorted((r["k"], r["t"]) for r in scratch.without(d, gone, "k").filter("k IS NOT NULL").collect())
+    assert got == sorted((i % 7, f"t{i}") for i in range(50) if i % 7 not in (1, 3)) and scratch.without(d, gone, "k").filter("k IS NULL").count() == 1
+
+
 def test_ids_that_repeat_with_other_texts(spark):
     a, b = "a b c d e f g h", "completely other words stand in this one here"
     d = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
@@ -757,6 +766,14 @@ def test_damaged_file_is_noticed():
         wavelet.unpack(bytes(image))
 
 
+def test_ends_of_words():
+    words = ["a,", "b", "c,,,,,,,,", "d,", "é!?", "f,,,,,,,,", "g,,,,,,,,,", "x\x00", "y"]
+    after = np.array([1, 1, 1, 1, 2, 1, 1, 1, 1])
+    ends, number = wavelet.tail_table(pa.array(["skipped", *words]).slice(1), after)
+    assert [ends[k] for k in number.tolist()] == [",", "", ",,,,,,,,", ",", "!?", ",,,,,,,,", ",,,,,,,,,", "\x00", ""] and len(ends) == len(set(ends))
+    assert wavelet.tail_table(pa.array([], pa.string()), np.zeros(0, np.int64))[0] == []
+
+
 def test_words_encode_as_the_library_does():
     w = wavelet.coder(None)
     rng = random.Random(6)
