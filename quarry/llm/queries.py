@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, decontaminate, divergence, html_region, jaccard_join, maglev, preference, token_counts, wavelet, weak_label
+from quarry.llm import byte_bpe, decontaminate, divergence, filter_audit, html_region, jaccard_join, maglev, preference, source_divergence, token_counts, wavelet, weak_label
 from quarry.llm.scratch import read
 
 
@@ -50,6 +50,14 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.write_and_read(read(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chunked_byte_bpe,
         op9_html_region,
         op10_wavelet_tokens,
+        op12_filter_audit,
+        op13_source_divergence,
     )
 }
 
@@ -72,4 +82,6 @@ ORACLES: dict[str, str] = {
     "op5_preference_pairs": preference.ORACLE,
     "op6_divergence_rules": divergence.oracle(),
     "op7_maglev_sharding": maglev.oracle(),
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
