@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, decontaminate, divergence, filter_audit, html_region, jaccard_join, maglev, preference, source_divergence, token_counts, wavelet, weak_label
+from quarry.llm import byte_bpe, decontaminate, divergence, filter_audit, html_region, jaccard_join, language_id, maglev, preference, source_divergence, token_counts, wavelet, weak_label
 from quarry.llm.scratch import read
 
 
@@ -50,6 +50,10 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.write_and_read(read(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_table(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chunked_byte_bpe,
         op9_html_region,
         op10_wavelet_tokens,
+        op11_language_id,
         op12_filter_audit,
         op13_source_divergence,
     )
