@@ -51,7 +51,8 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.predict_table(read(spark, sf_dir, "documents"))
+    # several passes, so the table isn't dealt out anew for each
+    return language_id.predict_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
