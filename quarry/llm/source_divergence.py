@@ -3,7 +3,7 @@
 Terms are maximal runs of ASCII letters and non-ASCII characters, A-Z in lower case. A language keeps the terms in at least
 `min_docs` of its documents. Three passes: (1) every task counts document frequencies of (language, term) in a count-min
 sketch; the merged sketch never underestimates, so a term whose estimate is below `min_docs` can't be kept. (2) Tasks count
-occurrences and documents per (language, source, term), leave out what the sketch rules out, and the rest is shuffled and
+occurrences per (language, source, term) and documents per (language, term), leave out what the sketch rules out, and the rest is shuffled and
 summed exactly. (3) Sources are compared over the terms that both hold, by a join on the term; terms that only one holds come from a histogram
 of its counts, and terms that neither holds from their number, so that no term-by-source table is ever made.
 
@@ -93,32 +93,36 @@ PARTIAL = "lang string, source string, term string, n long, docs long"
 
 
 def partials(docs: DataFrame, sketch: np.ndarray, bits: int, min_docs: int) -> DataFrame:
-    """Occurrences and documents of each (lang, source, term) within a task, for terms that the sketch lets through."""
+    """Occurrences of each (lang, source, term) within a task, for terms that the sketch lets through; with one of a term's sources go the documents of the language."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(shared.value, np.uint8)
-        seen: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        seen: dict[str, Counter] = defaultdict(Counter)
         size = 0
 
         def pour() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, df) in seen.items():
+            for lang, df in seen.items():
                 found = list(df)
                 least = sketch[cells(lang, found, bits)].min(axis=0) if found else np.zeros(0)
-                keep = [found[i] for i in np.flatnonzero(least >= min_docs)]
-                if keep:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(keep)), pa.array([source] * len(keep)), pa.array(keep, pa.binary()).cast(pa.string()), pa.array([n[t] for t in keep], pa.int64()), pa.array([df[t] for t in keep], pa.int64())],
-                        names=["lang", "source", "term", "n", "docs"],
-                    )
+                left = {found[i]: df[found[i]] for i in np.flatnonzero(least >= min_docs)}
+                for source, n in counts[lang].items():
+                    if keep := [t for t in n if t in left]:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang] * len(keep)), pa.array([source] * len(keep)), pa.array(keep, pa.binary()).cast(pa.string()), pa.array(list(map(n.__getitem__, keep)), pa.int64()), pa.array(list(map(left.__getitem__, keep)), pa.int64())],
+                            names=["lang", "source", "term", "n", "docs"],
+                        )
+                        left.update(dict.fromkeys(keep, 0))  # the language's documents go along once
             seen.clear()
+            counts.clear()
 
         for lang, source, text in _rows(batches):
-            n, df = seen[lang, source]
-            had, found = len(df), terms(text)
+            n, df, found = counts[lang][source], seen[lang], terms(text)
+            had = len(n)
             n.update(found)
             df.update(set(found))
-            size += 2 * (len(df) - had) * ENTRY + len(text)
+            size += 2 * (len(n) - had) * ENTRY + len(text)
             if size > HELD:
                 yield from pour()
                 size = 0
