@@ -34,6 +34,11 @@ def written(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete all that this application's queries have written here, once their results are taken."""
     p, fs = _path(spark, base(spark))
