@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.streaming.store import scratch
-
 #: Most bytes of query vectors that go to every task at once; more queries are searched in several passes.
 QUERY_BYTES = 64 << 20
 
@@ -68,44 +65,8 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, unpack: Callable | None =
     return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-#: Vectors of a group that meet in one task, in two blocks of this size.
-BLOCK = 2_048
-
-
-def in_blocks(vecs: DataFrame, by: list[str], key: Column, block: int = BLOCK) -> DataFrame:
-    """vecs with _own, _a and _b: the blocks of a group of about `block` rows each, and the task of two blocks that a row stands in.
-
-    A row stands in as many tasks as its group has blocks; no task holds more than two, however large the group. `key` deals the rows.
-    """
-    path = scratch(vecs.sparkSession, "blocks")
-    vecs.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n")).select(*(F.col(c).alias(f"_{c}") for c in by), "_n").write.parquet(path)
-    sizes = vecs.sparkSession.read.parquet(path)  # read anew, so that Spark can split a group's rows in the join
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
-    d = vecs.join(sizes, same).withColumn("_own", F.pmod(F.xxhash64(key), "_n").cast("int")).drop(*(f"_{c}" for c in by))
-    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return d.select("*", F.least("_own", "_o").alias("_a"), F.greatest("_own", "_o").alias("_b")).drop("_o", "_n")
-
-
-def nearest_elsewhere(vecs: DataFrame, by: list[str], arm: str, block: int = BLOCK) -> DataFrame:
-    """For each vector the highest cosine among other arms' vectors of its group (by, arm, vec_id, embedding), block by block."""
-    keys = [*by, arm, "vec_id"]
-    schema = ", ".join([*(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in keys), "nearest double"])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
-        s = x @ x.T
-        s[g[arm].to_numpy()[:, None] == g[arm].to_numpy()[None, :]] = -np.inf
-        best = s.max(1)
-        return g[keys].assign(nearest=np.where(np.isfinite(best), best, np.nan))
-
-    d = in_blocks(vecs.select(*keys, "embedding").filter("embedding IS NOT NULL"), by, F.col("vec_id"), block)
-    best = d.groupBy(*by, "_a", "_b").applyInPandas(run, schema)
-    return best.groupBy(*keys).agg(F.max(F.nanvl("nearest", F.lit(None).cast("double"))).alias("nearest"))
-
-
-def vendi(vecs: DataFrame, by: list[str]) -> DataFrame:
-    """exp of the entropy of the eigenvalues of K / n, which are those of X'X / n: each task sums d x d products of its own rows of a group,
-    so a group's size doesn't matter."""
+def grams(vecs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, gram): the d x d products of a group's vectors; each task sums those of its own rows, so a group's size doesn't matter."""
     keys = ", ".join(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in by)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,37 +80,57 @@ def vendi(vecs: DataFrame, by: list[str]) -> DataFrame:
             yield pd.DataFrame([(*key, n, k.ravel()) for key, (n, k) in sums.items()], columns=[*by, "n", "gram"])
 
     def total(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        n, k = int(g["n"].sum()), np.sum(np.stack(g["gram"].to_numpy()), 0)
-        d = int(round(len(k) ** 0.5))
-        e = np.clip(np.linalg.eigvalsh(k.reshape(d, d) / n), 0, None)
-        e = e[e > 1e-12]
-        return pd.DataFrame([(*key, n, float(np.exp(-(e * np.log(e)).sum())))], columns=[*by, "n", "vendi"])
+        return pd.DataFrame([(*key, int(g["n"].sum()), np.sum(np.stack(g["gram"].to_numpy()), 0))], columns=[*by, "n", "gram"])
+
+    schema = f"{keys}, n long, gram array<double>"
+    return vecs.filter("embedding IS NOT NULL").select(*by, "embedding").mapInPandas(partial, schema).groupBy(*by).applyInPandas(total, schema)
+
+
+def _effective(gram: np.ndarray, n: int) -> float:
+    """exp of the entropy of the eigenvalues of gram / n, which are those of the n x n similarities over n."""
+    d = int(round(len(gram) ** 0.5))
+    e = np.clip(np.linalg.eigvalsh(gram.reshape(d, d) / n), 0, None)
+    e = e[e > 1e-12]
+    e = e / e.sum() if len(e) else e
+    return float(np.exp(-(e * np.log(e)).sum()))
+
+
+def vendi(vecs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, vendi): the effective number of distinct vectors of a group."""
+    keys = ", ".join(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in by)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[*by, "n"]].assign(vendi=[_effective(np.asarray(g), int(n)) for g, n in zip(b["gram"], b["n"])])
 
-    sums = vecs.filter("embedding IS NOT NULL").select(*by, "embedding").mapInPandas(partial, f"{keys}, n long, gram array<double>")
-    return sums.groupBy(*by).applyInPandas(total, f"{keys}, n long, vendi double")
+    return grams(vecs, by).mapInPandas(score, f"{keys}, n long, vendi double")
 
 
-def pair_statistics(vecs: DataFrame, by: list[str], near: float = 0.9, block: int = BLOCK) -> DataFrame:
-    """Mean cosine and near-duplicate rate over the pairs of a group (by, embedding); no pair becomes a row.
+def vendi_gain(vecs: DataFrame, by: list[str], arm: str) -> DataFrame:
+    """(by, arm, n, vendi, together, gain): the score of each arm, that of all arms of a group together, and what the others add to it.
 
-    Equal vectors are counted first and stand as one. The mean comes from sums of products, block by block like the rate.
+    Products are summed once, per arm; the union's are the sums of its arms'.
     """
-    schema = ", ".join([*(f"{c} {vecs.schema[c].dataType.simpleString()}" for c in by), "pairs double, total double, hits double"])
-    counted = vecs.filter("embedding IS NOT NULL").groupBy(*by, "embedding").agg(F.count(F.lit(1)).alias("_c"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(g["_a"].iloc[0]), int(g["_b"].iloc[0])
-        x, c, own = np.stack(g["embedding"].to_numpy()).astype(np.float64), g["_c"].to_numpy().astype(np.float64), g["_own"].to_numpy()
-        left, right = own == a, own == b
-        s, w = x[left] @ x[right].T, np.outer(c[left], c[right])
-        if a == b:
-            w = np.triu(w, 1) + np.diag(c * (c - 1) / 2)
-        return pd.DataFrame([(*(g[k].iloc[0] for k in by), w.sum(), (s * w).sum(), (w * (s >= near)).sum())], columns=[*by, "pairs", "total", "hits"])
-
-    d = in_blocks(counted, by, F.col("embedding"), block)
-    sums = d.groupBy(*by, "_a", "_b").applyInPandas(run, schema).groupBy(*by).agg(*(F.sum(x).alias(x) for x in ("pairs", "total", "hits")))
-    pairs = F.nullif(F.col("pairs"), F.lit(0.0))
-    return sums.select(*by, F.col("pairs").cast("long").alias("pairs"), (F.col("total") / pairs).alias("mean"), (F.col("hits") / pairs).alias("near"))
+    kinds = {c: vecs.schema[c].dataType.simpleString() for c in (*by, arm)}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+
+    def both(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        grams = np.stack(g["gram"].to_numpy())
+        n = g["n"].to_numpy()
+        all_ = _effective(grams.sum(0), int(n.sum()))
+        own = [_effective(x, int(k)) for x, k in zip(grams, n)]
+        return pd.DataFrame([(*key, a, int(k), v, all_, all_ - v) for a, k, v in zip(g[arm], n, own)], columns=[*by, arm, "n", "vendi", "together", "gain"])
+
+    return grams(vecs, [*by, arm]).groupBy(*by).applyInPandas(both, f"{keys}, {arm} {kinds[arm]}, n long, vendi double, together double, gain double")
+
+
+def mean_cosine(vecs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, pairs, mean): mean cosine of the pairs of a group (by, embedding), from the sum of its unit vectors; null without pairs."""
+    n = F.col("n")
+    units = vecs.filter("embedding IS NOT NULL").select(*by, F.posexplode(normalise(F.col("embedding"))).alias("i", "x"))
+    sums = units.groupBy(*by, "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
+    total = sums.groupBy(*by).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("square"), F.sum("q").alias("own"))
+    return total.select(*by, "n", (n * (n - 1) / 2).cast("long").alias("pairs"), F.when(n > 1, (F.col("square") - F.col("own")) / (n * (n - 1))).alias("mean"))
 
 
 def write_codes(docs: DataFrame, path: str) -> None:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quarry.operators.order import global_rank
+
 RESAMPLES, SEED, CONFIDENCE = 10_000, 13, 0.95
 
 
@@ -90,28 +94,67 @@ def wilcoxon(deltas: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("w", F.least("plus", "minus")).withColumn("z", z).withColumn("p", normal_p("z")).select(*by, F.col("n").cast("long").alias("n"), "w", "z", "p")
 
 
-#: Modulus of the draws: a row's hash times a resample's, below a prime of 31 bits, so that products fit in 64.
+#: Modulus of the draws: numbers of a resample and of a draw are multiplied below a prime of 31 bits, so that products fit in 64.
 PRIME = (1 << 31) - 1
-#: A draw counts as many times as it reaches these: the distribution function of a Poisson variable of mean 1.
-POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(9)]
+#: Rows of a group that are drawn from in one task.
+LEAF = 4_096
 
 
-def _hashed(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
+def _number(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % PRIME
 
 
-def bootstrap(deltas: DataFrame, by: list[str], resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
-    """Percentile interval of the mean delta, by Poisson resampling.
+def shares(n: int, leaf: int, resamples: int, seed: int, size: int = LEAF) -> np.ndarray:
+    """How many of a resample's n draws fall into a leaf of `size` rows, for every resample.
 
-    In a resample a row counts k times, k Poisson of mean 1, drawn from hashes of its qkey and of the resample: any engine repeats
-    it, and no order of rows matters. A task hands on sums per resample, so a group may be as large as it likes.
+    The draws are split in halves of the leaves, again and again, by binomial numbers that hang on the seed and the halves alone: leaves
+    agree on them without a word, and together have n draws.
+    """
+    m = np.full(resamples, n, np.int64)
+    lo, hi = 0, -(-n // size)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rows, left = min(hi * size, n) - lo * size, (mid - lo) * size
+        drawn = np.random.default_rng([seed, lo, hi]).binomial(m, left / rows)
+        m, lo, hi = (drawn, lo, mid) if leaf < mid else (m - drawn, mid, hi)
+    return m
+
+
+def drawn_sums(x: np.ndarray, m: np.ndarray, leaf: int, seed: int) -> np.ndarray:
+    """Sum of m[r] draws from x with replacement, for each resample r; the place of a draw is a product of two hashed numbers."""
+    a = np.array([_number(f"r{r}") for r in range(len(m))], np.int64)
+    b = np.array([_number(f"{seed}:{leaf}:{j}") for j in range(int(m.max(initial=0)))], np.int64)
+    out = np.zeros(len(m))
+    for lo in range(0, len(m), 256):
+        part = slice(lo, lo + 256)
+        at = (a[part, None] * b) % PRIME % len(x)
+        out[part] = np.where(np.arange(len(b)) < m[part, None], x[at], 0.0).sum(1)
+    return out
+
+
+def bootstrap(deltas: DataFrame, by: list[str], resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE, leaf: int = LEAF) -> DataFrame:
+    """Percentile interval of the mean delta: each resample draws as many rows as a group has, with replacement; fewer than 2 are an error.
+
+    A group's rows are dealt, in the order of qkey, to leaves of bounded size; a leaf is a task, which draws its share of every resample
+    and hands on one sum for each. Draws hang on seed and places alone, so that any engine and any run repeats them.
     """
-    draws = deltas.sparkSession.range(resamples).select("id", _hashed(F.concat(F.lit("r"), F.col("id").cast("string"))).alias("a"))
-    rows = deltas.filter("delta IS NOT NULL").select(*by, "delta", _hashed(F.concat(F.lit(f"{seed}:"), "qkey")).alias("h"))
-    z = (F.col("h") * F.col("a")) % PRIME
-    w = reduce(Column.__add__, ((z >= t).cast("int") for t in POISSON))
-    sums = rows.crossJoin(F.broadcast(draws)).select(*by, "id", "delta", w.alias("w")).filter("w > 0").groupBy(*by, "id").agg((F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("mean"))
-    means = sums.groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("m"))
+    order = [F.col(c) for c in (*by, "qkey", "delta")]
+    rows = global_rank(deltas.filter("delta IS NOT NULL").select(*by, "qkey", "delta"), order)
+    few = F.raise_error(F.concat(F.lit("a bootstrap needs 2 values, "), F.to_json(F.struct(*by)), F.lit(" has one")))
+    sizes = rows.groupBy(*by).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).select(*by, "first", F.when(F.col("n") < 2, few).otherwise(F.col("n")).alias("n"))
+    sizes = sizes.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    i = F.col("place") - F.col("first")
+    dealt = rows.join(sizes, same).select(*by, "delta", "n", i.alias("i"), F.floor(i / leaf).alias("leaf"))
+    schema = ", ".join([*(f"{c} {deltas.schema[c].dataType.simpleString()}" for c in by), "n long, id int, s double"])
+
+    def draw(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        n, k = int(g["n"].iloc[0]), int(key[-1])
+        sums = drawn_sums(g.sort_values("i")["delta"].to_numpy(np.float64), shares(n, k, resamples, seed, leaf), k, seed)
+        return pd.DataFrame({**{c: [v] * resamples for c, v in zip(by, key)}, "n": n, "id": np.arange(resamples, dtype=np.int32), "s": sums})
+
+    means = dealt.groupBy(*by, "leaf").applyInPandas(draw, schema).groupBy(*by, "id").agg((F.sum("s") / F.max("n")).alias("mean"))
+    means = means.groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("m"))
     cut = lambda q: F.get("m", F.least(F.floor(F.lit(q) * F.size("m")), F.size("m") - 1).cast("int"))
     return means.select(*by, cut((1 - confidence) / 2).alias("low"), cut((1 + confidence) / 2).alias("high"))
 

@@ -150,10 +150,10 @@ def j17(v: Views) -> DataFrame:
 @query("j18_nearest_elsewhere", """WITH a AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT * FROM embeddings WHERE vec_id % 2 = 1)
 SELECT a.vec_id, round(max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 5) AS nearest FROM a JOIN b ON a.label = b.label GROUP BY 1""")
 def j18(v: Views) -> DataFrame:
-    from quarry.operators.dense import nearest_elsewhere
+    from quarry.operators.neighbours import nearest
 
     arm = (F.col("vec_id") % 2).alias("arm")
-    n = nearest_elsewhere(v.embeddings.select("label", arm, "vec_id", "embedding"), ["label"], "arm")
+    n = nearest(v.embeddings.select("label", arm, "vec_id", "embedding"), ["label"], "arm")
     return n.filter("arm = 0").select("vec_id", F.round("nearest", 5).alias("nearest"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.fixtures import Views
 from quarry.operators import dense as D
+from quarry.operators import neighbours as N
 from quarry.operators import stats as S
 from quarry.operators.aggregate import support_rates
 from quarry.plans.aggregates import SUPPORT, support
@@ -17,12 +18,13 @@ DELTAS = f"{PER_QUERY}, dl AS (SELECT a.qkey, a.topic_id, a.ndcg10_exp - b.ndcg1
 
 
 def boot_sql(rows: str, by: str, seed: int) -> str:
-    """Views ending in bt (by, low, high): the bootstrap of a view (by, qkey, delta)."""
-    w = " + ".join(f"CAST(h * a % {S.PRIME} >= {t} AS INT)" for t in S.POISSON)
+    """Views ending in bt (by, low, high): the bootstrap of a view (by, qkey, delta) of groups that fit in one leaf."""
     number = lambda x: f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT) % {S.PRIME}"
     cut = lambda q: f"m[least(CAST(floor({q}::DOUBLE * len(m)) AS BIGINT), len(m) - 1) + 1]"
-    return f"""dr AS (SELECT id, {number("'r' || id")} AS a FROM (SELECT unnest(range(0, {S.RESAMPLES})) AS id)), hs AS (SELECT {by}, delta, {number(f"'{seed}:' || qkey")} AS h FROM {rows} WHERE delta IS NOT NULL),
-wt AS (SELECT {by}, id, delta, {w} AS w FROM hs, dr), me AS (SELECT {by}, id, sum(w * delta) / sum(w) AS mean FROM wt WHERE w > 0 GROUP BY 1, 2), so AS (SELECT {by}, list_sort(list(mean)) AS m FROM me GROUP BY 1),
+    return f"""dr AS (SELECT id, {number("'r' || id")} AS a FROM (SELECT unnest(range(0, {S.RESAMPLES})) AS id)),
+hs AS (SELECT {by}, delta, row_number() OVER (PARTITION BY {by} ORDER BY qkey, delta) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {rows} WHERE delta IS NOT NULL),
+wt AS (SELECT {by}, i AS j, n, {number(f"'{seed}:0:' || i")} AS b FROM hs), pl AS (SELECT {by}, id, a * b % {S.PRIME} % n AS i FROM wt, dr),
+me AS (SELECT pl.{by}, id, sum(delta) / max(n) AS mean FROM pl JOIN hs ON pl.{by} = hs.{by} AND pl.i = hs.i GROUP BY 1, 2), so AS (SELECT {by}, list_sort(list(mean)) AS m FROM me GROUP BY 1),
 bt AS (SELECT {by}, round({cut((1 - S.CONFIDENCE) / 2)}, 6) AS low, round({cut((1 + S.CONFIDENCE) / 2)}, 6) AS high FROM so)"""
 
 
@@ -105,17 +107,35 @@ def m23(v: Views) -> DataFrame:
     return D.vendi(v.embeddings.select("label", "embedding"), ["label"]).select("label", "n", F.round("vendi", 5).alias("vendi"))
 
 
-@query("m24_pair_similarity", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.label, count(*) AS pairs, round(avg(list_dot_product(a.v, b.v)), 5) AS mean, round(avg((list_dot_product(a.v, b.v) >= 0.9)::INT), 6) AS near
-FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1""")
+_COSINES = "e AS (SELECT vec_id, label, vec_id % 3 AS arm, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@query("m24_pair_similarity", f"""WITH {_COSINES}, p AS (SELECT a.label, a.vec_id, a.vec_id < b.vec_id AS once, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+m AS (SELECT label, count(*) AS pairs, avg(s) AS mean FROM p WHERE once GROUP BY 1), t AS (SELECT label, vec_id, max(s) AS twin FROM p GROUP BY 1, 2)
+SELECT label, n, coalesce(pairs, 0) AS pairs, round(mean, 5) AS mean, round(coalesce(twins, 0) / n, 6) AS near FROM (SELECT label, count(*) AS n FROM e GROUP BY 1) LEFT JOIN m USING (label) LEFT JOIN (SELECT label, count(*) AS twins FROM t WHERE twin >= 0.9 GROUP BY 1) USING (label)""")
 def m24(v: Views) -> DataFrame:
-    return D.pair_statistics(v.embeddings.select("label", "embedding"), ["label"]).select("label", "pairs", F.round("mean", 5).alias("mean"), *r6("near"))
+    """Mean cosine over the pairs of a group, and the share of its vectors that have a twin: another one of cosine 0.9 or more."""
+    e = v.embeddings.select("label", "vec_id", "embedding")
+    twins = N.nearest(e, ["label"], at_least=0.9).groupBy("label").agg(F.avg(F.col("nearest").isNotNull().cast("double")).alias("near"))
+    return D.mean_cosine(e, ["label"]).join(twins, "label").select("label", "n", "pairs", F.round("mean", 5).alias("mean"), *r6("near"))
 
 
-@query("m25_unique_contribution", """WITH e AS (SELECT vec_id, label, vec_id % 3 AS arm, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT a.vec_id, a.label, a.arm, max(list_dot_product(a.v, b.v)) AS nearest FROM e a JOIN e b ON a.label = b.label AND a.arm <> b.arm GROUP BY 1, 2, 3)
-SELECT label, arm, count(*) AS n, count(*) FILTER (WHERE nearest < 0.9) AS alone FROM n GROUP BY 1, 2""")
+@query("m25_unique_contribution", f"""WITH {_COSINES}, n AS (SELECT a.vec_id, max(list_cosine_similarity(a.v, b.v)) AS nearest FROM e a JOIN e b ON a.label = b.label AND a.arm <> b.arm GROUP BY 1)
+SELECT label, arm, count(*) AS n, count(*) FILTER (WHERE coalesce(nearest, -1) < 0.9) AS alone, round(count(*) FILTER (WHERE coalesce(nearest, -1) < 0.9) / count(*), 6) AS "unique" FROM e LEFT JOIN n USING (vec_id) GROUP BY 1, 2""")
 def m25(v: Views) -> DataFrame:
-    e = v.embeddings.select("label", (F.col("vec_id") % 3).alias("arm"), "vec_id", "embedding")
-    return D.nearest_elsewhere(e, ["label"], "arm").groupBy("label", "arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("nearest") < 0.9).alias("alone"))
+    """How many of an arm's vectors no other arm of the group has anything like; all, if there is no other arm."""
+    g = N.nearest(_arms(v), ["label"], "arm", at_least=0.9).groupBy("label", "arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("nearest").isNull()).alias("alone"))
+    return g.select("*", F.round(F.col("alone") / F.col("n"), 6).alias("unique"))
+
+
+@query("m25_vendi_gain")
+def m25_gain(v: Views) -> DataFrame:
+    """What the other arms add to an arm's effective number of vectors."""
+    return D.vendi_gain(_arms(v), ["label"], "arm").select("label", "arm", "n", *(F.round(c, 5).alias(c) for c in ("vendi", "together", "gain")))
+
+
+def _arms(v: Views) -> DataFrame:
+    return v.embeddings.select("label", (F.col("vec_id") % 3).alias("arm"), "vec_id", "embedding")
 
 
 @query("m26_gate_distance", """WITH s AS (SELECT topic_id, max(n) / sum(n) AS modal FROM (SELECT topic_id, grade, count(*) AS n FROM qrels GROUP BY 1, 2) GROUP BY 1) SELECT topic_id, round(greatest(0.3 - modal, modal - 0.75, 0), 6) AS distance FROM s""")

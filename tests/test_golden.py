@@ -10,6 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import aggregate as A
 from quarry.operators import dense as D
 from quarry.operators import metrics as M
+from quarry.operators import neighbours as N
 from quarry.operators import patches as P
 from quarry.operators import retrieval as R
 from quarry.operators import stats as S
@@ -185,11 +186,15 @@ def test_blocks_of_a_group_meet_once(spark, block):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = [("g" if i % 5 else None, i % 3, i, list(map(float, v))) for i, v in enumerate(x)]
     d = spark.createDataFrame(rows, "g string, arm int, vec_id long, embedding array<double>")
-    for r in D.pair_statistics(d, ["g"], block=block).collect():
+    twins = N.nearest(d, ["g"], block=block, at_least=0.9).groupBy("g").agg(F.avg(F.col("nearest").isNotNull().cast("double")).alias("near")).collect()
+    for r in D.mean_cosine(d, ["g"]).collect():
         mine = x[[i for i, row in enumerate(rows) if row[0] == r["g"]]]
-        s = (mine @ mine.T)[np.triu_indices(len(mine), 1)]
-        assert r["pairs"] == len(s) and math.isclose(r["mean"], s.mean(), abs_tol=1e-9) and math.isclose(r["near"], (s >= 0.9).mean(), abs_tol=1e-9)
-    got = D.nearest_elsewhere(d, ["g"], "arm", block).collect()
+        s = mine @ mine.T
+        pairs = s[np.triu_indices(len(mine), 1)]
+        assert r["pairs"] == len(pairs) and math.isclose(r["mean"], pairs.mean(), abs_tol=1e-9)
+        np.fill_diagonal(s, -1)
+        assert math.isclose(next(t["near"] for t in twins if t["g"] == r["g"]), (s.max(1) >= 0.9).mean(), abs_tol=1e-9)
+    got = N.nearest(d, ["g"], "arm", block).collect()
     assert len(got) == len(rows)
     for r in got:
         want = max(float(x[r["vec_id"]] @ x[i]) for g, a, i, _ in rows if g == r["g"] and a != r["arm"])
