@@ -28,18 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.scratch import small_batches
+from quarry.llm.stores import Store
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Code points from the start of a match, and beyond its end, that the pattern may look at.
 LOOKAHEAD = 3
-#: Distinct pieces whose ids a worker keeps; beyond it the store starts afresh.
-PIECES = 250_000
 
 
-class ByteBPE(dict):
+class ByteBPE(Store):
     """piece -> its ids as little-endian unsigned 32-bit bytes, encoded on first use."""
 
     def __init__(self, ranks_file: str, pattern: str):
+        super().__init__()
         import tiktoken
 
         with open(ranks_file, "rb") as f:
@@ -52,11 +52,8 @@ class ByteBPE(dict):
             self.bytes_of[i] = b
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
-        ids = self.core._encode_single_piece(piece.encode("utf-8"))
-        out = self[piece] = np.asarray(ids, "<u4").tobytes()
-        return out
+        out = np.asarray(self.core._encode_single_piece(piece.encode("utf-8")), "<u4").tobytes()
+        return self.keep(piece, out, 33 + len(out))
 
     def encode_pieces(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, pieces))

@@ -28,14 +28,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm import scratch
 from quarry.llm.scratch import fresh, small_batches, without
+from quarry.llm.stores import Store
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.997
 #: Hash functions at most, and shingles in one block of a bucket.
 HASHES, BLOCK = 256, 400_000
 #: Entries of a dense matrix of a task's rows and what they have in common; rows times rows that are compared at once.
 DENSE, RUN = 8_000_000, 2_000_000
-#: Distinct words whose hashes a worker keeps.
-WORDS = 150_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -50,12 +49,9 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: i
     return best
 
 
-class WordHashes(dict):
+class WordHashes(Store):
     def __missing__(self, word: str) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return h
+        return self.keep(word, int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"), 36)
 
 
 _WORDS = WordHashes()
@@ -260,13 +256,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     """
     bands, rows = choose_bands(threshold, recall)
     members = scratch.table(signatures(docs, bands, rows))
-    files = scratch.files_for(docs.sparkSession, members.count())
-    reps = scratch.table(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    n = members.count()
+    files = scratch.files_for(docs.sparkSession, n)
+    reps = scratch.table(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), files=files)
     banded = reps.select("cls", "n", F.explode("bands").alias("h"))
     members_of = [F.bit_xor(F.xxhash64("cls", F.lit(s))).alias(f"p{s}") for s in (1, 2)]
     buckets = banded.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), *members_of).filter("size > 1")
     buckets = buckets.groupBy("size", "p1", "p2").agg(F.min("h").alias("h"), F.first("weight").alias("weight"))
-    kept = scratch.table(banded.join(buckets.select("h", F.ceil(F.col("weight") / block).cast("int").alias("blocks")), "h").select("cls", "n", "h", "blocks"))
+    kept = scratch.table(banded.join(buckets.select("h", F.ceil(F.col("weight") / block).cast("int").alias("blocks")), "h").select("cls", "n", "h", "blocks"), files=scratch.files_for(docs.sparkSession, bands * n))
     mine = kept.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("h", "blocks"))).alias("held"))
     texts = _rep_texts(docs, reps, mine)
     per = texts.select("cls", "copies", "text", F.transform("held", lambda x: x["h"]).alias("buckets"), F.explode("held").alias("x"))

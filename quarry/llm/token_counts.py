@@ -18,6 +18,7 @@ there are no ties. Extra columns are ignored. An empty table gives an empty resu
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,18 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm.scratch import small_batches
+from quarry.llm.stores import ENTRY, LONGEST, Store, charge
 
 MARK = "▁"
 CLOSING = ".,;:!?)%&*#$"
+#: Bytes that an answer on two pieces takes.
+PAIR = 120
 LIMIT = 4096
-#: Distinct units whose counts a worker keeps; beyond it the store starts afresh.
-UNITS = 400_000
 
 
-class PrefixCounts(dict):
+class PrefixCounts(Store):
     """unit without its first space mark -> tokens of the whole unit; prefixes: segment -> tokens at each of its prefixes."""
 
     def __init__(self, model_file: str):
+        super().__init__()
         import ahocorasick
         import sentencepiece as spm
 
@@ -59,7 +62,6 @@ class PrefixCounts(dict):
         self.ending.make_automaton()
         self.whole: dict[str, bool] = {}
         self.apart: dict[str, dict[str, bool]] = defaultdict(dict)
-        self.pairs = 0
         self.halves: dict[str, tuple[str, str]] = {}
         self.prefixes: dict[str, list[int]] = {}
 
@@ -107,8 +109,15 @@ class PrefixCounts(dict):
     def table(self, unit: str) -> list[int]:
         """Token counts of unit[:1], unit[:2], ..., of a unit with its space marks.
 
-        Marks that close a word are a segment of their own where no piece joins them to the word.
+        Marks that close a word are a segment of their own where no piece joins them to the word. A long unit, as in scripts without spaces,
+        is cut wherever no piece joins two neighbours.
         """
+        if len(unit) > LONGEST:
+            out: list[int] = []
+            for s in self.segments(unit):
+                base = out[-1] if out else 0
+                out += [base + c for c in self.segment(s)]
+            return out
         stem = unit.rstrip(CLOSING)
         at = len(stem)
         if not 0 < at < len(unit) or unit[at - 1 : at + 1] in self.joined:
@@ -117,12 +126,28 @@ class PrefixCounts(dict):
         base = first[-1]
         return first + [base + c for c in self.segment(unit[at:])]
 
+    def segments(self, unit: str) -> Iterator[str]:
+        """The unit, cut between all neighbours that no piece joins."""
+        begin, joined = 0, self.joined
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in joined:
+                yield unit[begin:k]
+                begin = k
+        yield unit[begin:]
+
     def segment(self, s: str) -> list[int]:
         known = self.prefixes.get(s)
         if known is None:
-            known = self.prefixes[s] = self.chart(s)
+            known = self.chart(s)
+            if len(s) <= LONGEST:
+                charge(sys.getsizeof(s) + sys.getsizeof(known) + ENTRY)
+                self.prefixes[s] = known
         return known
 
+    def total(self, unit: str) -> int:
+        """Tokens of the whole unit; of a long one no table is made."""
+        return self.table(unit)[-1] if len(unit) <= LONGEST else sum(self.segment(s)[-1] for s in self.segments(unit))
+
     def chart(self, s: str) -> list[int]:
         """The programme itself, for a segment: at each prefix, the pieces that end there, found by one automaton."""
         n = len(s)
@@ -140,7 +165,7 @@ class PrefixCounts(dict):
             ok = beside.get(t)
             if ok is None:
                 ok = beside[t] = self.stay_apart(last[j], t) if j else self.merge(t) == [t]
-                self.pairs += 1
+                charge(PAIR)
             if ok:
                 count[i] = count[j] + 1
                 last[i] = t
@@ -175,20 +200,19 @@ class PrefixCounts(dict):
                     ok = near.get(t)
                     if ok is None:
                         ok = near[t] = self.stay_apart(left, t) if left else self.reached(t)
-                        self.pairs += 1
+                        charge(PAIR)
                     if ok:
                         count[i] = base
                         last[i] = t
         return count[1:]
 
+    def forget(self) -> None:
+        self.clear()
+        self.prefixes.clear()
+        self.apart.clear()
+
     def __missing__(self, rest: str) -> int:
-        if len(self) >= UNITS or self.pairs >= 2 * UNITS:
-            self.clear()
-            self.prefixes.clear()
-            self.apart.clear()
-            self.pairs = 0
-        n = self[rest] = self.table(MARK + rest)[-1]
-        return n
+        return self.keep(rest, self.total(MARK + rest), 32)
 
     def units(self, text: str) -> list[str]:
         """The text's units, each without its first mark."""

@@ -29,14 +29,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from quarry.llm import scratch
 from quarry.llm.divergence import _CLASS, WORD_BIN
 from quarry.llm.scratch import fresh, small_batches
+from quarry.llm.stores import Store
 
 SAMPLE = 4_000
 BINS = 1 << 15
 #: A document goes only on clear evidence; very short clean texts often score between this and a half.
 THRESHOLD = 0.15
 LABELLERS = ("symbols", "capitals", "echoes", "variety", "marks", "sentences", "common")
-#: Distinct words whose bins a worker keeps.
-WORDS = 150_000
 
 
 def _call(x: float, good: float, bad: float) -> str:
@@ -91,19 +90,17 @@ def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, flo
     return dict(zip(keys, p.tolist())), hits
 
 
-class Shapes(dict):
+class Shapes(Store):
     """word -> (bin of its shape, bin of the word)."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= WORDS:
-            self.clear()
         shape = []
         for c in word:
             s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
             if not (shape and shape[-1] == s and s in "Aa0"):
                 shape.append(s)
-        bins = self[word] = (zlib.crc32(("s" + "".join(shape)[:12]).encode("utf-8", "surrogatepass")) % BINS, zlib.crc32(("w" + word.lower().strip(".,;:!?")).encode("utf-8", "surrogatepass")) % BINS)
-        return bins
+        bins = (zlib.crc32(("s" + "".join(shape)[:12]).encode("utf-8", "surrogatepass")) % BINS, zlib.crc32(("w" + word.lower().strip(".,;:!?")).encode("utf-8", "surrogatepass")) % BINS)
+        return self.keep(word, bins, 120)
 
 
 _SHAPES = Shapes()
