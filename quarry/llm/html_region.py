@@ -1,18 +1,18 @@
 """Main text of web pages: the maximum-scoring contiguous region of words and tags.
 
 A page is read as a sequence of words and tags. Words score positive and tags negative, by class: a word's class is
-what holds it (running text, heading, list, link, and the words of the classes and ids around it), a tag's is its name. The
+what holds it (running text, heading, list, link) and whether it stands in the page's own landmark, a tag's is its name. The
 weights are log odds of standing in the article, from labelled pages: those of a bounded sample that mark their
-article themselves, by an article or main element. The mark labels only; the scan doesn't ask whether a page has one. A word is
-worth what the worst of its containers is worth, if that is clearly negative. One linear scan finds the contiguous region
-of the highest sum; containers of negative worth inside it are left out of its text.
+article themselves, by an article or main element. Names in class and id attributes have weights too, from the same pages; a name made of
+nothing but words for boilerplate (`ad-box`, but not `social-science`) starts from a weak prior, as does one for content. An element is worth the sum of its names;
+what stands in one that is clearly negative is left out. One linear scan finds the contiguous region of the highest sum.
 
-Elements named as boilerplate by element, role, class or id are taken for such before any page is seen. Inside an article element a class or
-id counts only if it says nothing else, and never a heading's id: `ad-box` is boilerplate, `social-impact` is not.
+Link words of one block take off no more than LINKED, so that a linked paragraph doesn't part an article. Controls of forms (button, select) are left out without
+breaking their block. Elements that HTML itself sets apart (nav, footer, aside, form, ...), roles and hidden elements are boilerplate.
 
 Character references are decoded after parsing; white space inside a block becomes one space; blocks are joined by two
 line ends. Headings of a header inside the article are kept. Reading takes time in proportion to a page's length however broken
-its markup is: what the parser asks of the open elements is kept, never searched for.
+its markup is and however deep it nests: each open element keeps the worst worth of those around it.
 
 Nulls and odd rows: a null or empty page gives an empty text. Markup cut off at the end is dropped. Ties
 go to the first and longest region. Repeated rows give a row each; null ids and urls stay null. Extra columns are ignored. An
@@ -26,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,133 +47,128 @@ HIDDEN_NOW = re.compile(r"(?:^|\s)hidden(?:\s|$)")
 # Element names by their part in a page.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "canvas", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SKIPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "label", "fieldset", "audio", "video"}
+CONTROLS = {"button", "select"}
+SKIPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset", "audio", "video"} | CONTROLS
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-BLOCKS = HEADINGS | SKIPPED | {"p", "div", "section", "article", "main", "header", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "body", "html", "center"}
+BLOCKS = HEADINGS | (SKIPPED - CONTROLS) | {"p", "div", "section", "article", "main", "header", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "body", "html", "center"}
 LANDMARKS = {"article", "main"}
 BOILERPLATE = set(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu menus submenu breadcrumb breadcrumbs "
-    "footer masthead topbar sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing "
+    "header footer masthead topbar sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations comment comments disqus respond replies widget toolbar pagination pager skiplink copyright legal disclaimer".split()
 )
-#: Words that may stand beside one of those in a class of an article's boilerplate.
+CONTENT = set("article articles body content entry main post posts story text".split())
+#: Words that may stand beside one of those.
 STRUCTURE = set("area bar block box button buttons container content form icon icons inner item items link links list outer panel row section slot unit wrap wrapper".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 CLOSED_BY_BLOCK = {"p", *HEADINGS}
 SAME_LEVEL = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
 INLINE = {"a", "span"}
+DIGITS = re.compile(r"\d+")
 RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 #: Class of the tags inside boilerplate elements.
 HIDDEN = "<hidden"
 #: Score of a stretch of boilerplate. It is left out of the text anyway, so it need not part an article in two.
 ASIDE = -1.0
-#: Score of a tag that the labelled pages don't have; scores of tags, and the least of a landmark's.
-UNSEEN, TAGS, MARKS = -0.2, (-0.5, -0.1), -8.0
-#: A container of less worth is left out.
+#: Score of a tag that the labelled pages don't have, and the bounds of tags' scores.
+UNSEEN, TAGS = -0.2, (-0.5, -0.1)
+#: What the link words of one block take off at most, and a word outside the page's landmark at most.
+LINKED, OUTSIDE = -3.0, -1.5
+#: An element of less worth is left out.
 CLEAR = -1.0
-#: Class and id words on fewer labelled pages say nothing; of the others so many are kept, those on most pages.
+#: Names of classes and ids on fewer labelled pages say nothing; of the others so many are kept, those on most pages.
 MIN_PAGES, LABELS = 5, 2_000
-#: Class and id words that may be open at a time; of markup that nests deeper the outer ones count.
-OPEN_LABELS = 200
 
 #: What the odds start from: (in, out) seen before any page.
-PRIOR = {"text": (30, 3), "heading": (10, 3), "list": (30, 10), "link": (2, 6), "boilerplate": (1, 200)}
-#: Used only while no page has been seen: words in and out of the page's own landmark.
-UNTAUGHT = {"in": (50, 1), "out": (1, 200)}
+PRIOR = {"text": (30, 3), "heading": (10, 3), "list": (30, 10), "link": (2, 6), "boilerplate": (1, 200), "out": (1, 8)}
+#: The same for a class or id of nothing but words for boilerplate, or for content.
+NAMED = {"boilerplate": (1, 8), "content": (4, 1)}
 
 
 class Item:
-    """A run of words, or a tag (words 0). labels: the class and id words around it."""
+    """A run of words, or a tag (words 0). inside: number of the landmark that holds it, 0 for none; low: whether an element around it is of clearly negative worth."""
 
-    __slots__ = ("kind", "words", "text", "block", "inside", "labels")
+    __slots__ = ("kind", "words", "text", "block", "inside", "low")
 
-    def __init__(self, kind: str, words: int, text: str, block: int, inside: int, labels: tuple[str, ...] = ()):
-        self.kind, self.words, self.text, self.block, self.inside, self.labels = kind, words, text, block, inside, labels
+    def __init__(self, kind: str, words: int, text: str, block: int, inside: int, low: bool = False):
+        self.kind, self.words, self.text, self.block, self.inside, self.low = kind, words, text, block, inside, low
 
 
-def _class_words(value: str, inside: bool) -> set[str]:
-    """The words of a class or id; inside a landmark only those of tokens that say no more."""
-    if not inside:
-        return set(NAME.findall(value))
-    tokens = (set(NAME.findall(t)) for t in value.split())
-    return set().union(*(t for t in tokens if t <= BOILERPLATE | STRUCTURE | {"header"}))
-
-
-def _boilerplate(name: str, attrs: str, inside: bool = False) -> str:
-    """'' for content, 'skip' for boilerplate, 'header' for a header of which headings may stay."""
+def _kind(name: str, attrs: str) -> str:
+    """'' for content, 'skip' for boilerplate, 'header' for a header of which headings may stay; by the element, its role and whether it shows."""
     if name in SKIPPED:
         return "skip"
-    found = "header" if name == "header" else ""
     if "=" in attrs or "hidden" in attrs:
         for key, a, b, c in ATTR.findall(attrs):
             key, value = key.lower(), (a or b or c).lower()
-            if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-                if inside and key == "id" and name in HEADINGS:
-                    continue
-                words = _class_words(value, inside)
-                if words & BOILERPLATE:
-                    return "skip"
-                if "header" in words:
-                    found = "header"
-            elif key in ("class", "id") and name == "article" and set(NAME.findall(value)) & {"comment", "comments", "ad", "promo", "related"}:
-                return "skip"
-            elif (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+            if (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 return "skip"
         if HIDDEN_NOW.search(attrs):
             return "skip"
-    return found
+    return "header" if name == "header" else ""
 
 
-def _labels(name: str, attrs: str) -> list[str]:
-    """'.word' for each word of the element's class and id."""
-    if "=" not in attrs or name in LANDMARKS or name in ("html", "body"):
+def _labels(name: str, attrs: str, inside: bool) -> list[str]:
+    """'.name' for each name of the element's class and id, digits as #. A heading's id names a place, and a header inside an article may hold its title."""
+    if "=" not in attrs or name in ("html", "body", "main"):
         return []
-    return [f".{w}" for key, a, b, c in ATTR.findall(attrs) if key.lower() in ("class", "id") for w in NAME.findall((a or b or c).lower())]
+    found = [t for key, a, b, c in ATTR.findall(attrs) if (k := key.lower()) == "class" or (k == "id" and name not in HEADINGS) for t in (a or b or c).lower().split()]
+    return ["." + DIGITS.sub("#", t) for t in dict.fromkeys(found) if not (inside and "header" in NAME.findall(t))]
+
+
+@lru_cache(10_000)
+def named(label: str) -> tuple[int, int]:
+    """What the odds of a name start from."""
+    words = set(NAME.findall(label))
+    for kind, some in (("boilerplate", BOILERPLATE), ("content", CONTENT)):
+        if words & some and words <= some | STRUCTURE:
+            return NAMED[kind]
+    return 1, 1
+
+
+def worth(labels: list[str], weight: dict[str, float]) -> float:
+    total = 0.0
+    for x in labels:
+        w = weight.get(x)
+        total += math.log(named(x)[0] / named(x)[1]) if w is None else w
+    return total
 
 
 class Open:
     """The open elements."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, str, int, int]] = []  # element, boilerplate or not, number of the landmark it opened, labels before it
+        self.stack: list[tuple[str, str, int, float, list[str], int]] = []  # element, boilerplate or not, number of the landmark it opened, worst worth around it, names, first item
         self.at: dict[str, list[int]] = {}  # element -> its places in the stack
         self.kinds: Counter = Counter()
         self.headings = self.inside = 0
-        self.labels: list[str] = []
-        self.held: tuple[str, ...] | None = ()
+        self.worst = 0.0
+        self.spans: list[tuple[str, int, int]] = []  # name, first item, item after the last
 
-    def push(self, name: str, kind: str, mark: int, labels: list[str]) -> None:
-        self.stack.append((name, kind, mark, len(self.labels)))
+    def push(self, name: str, kind: str, mark: int, labels: list[str], value: float, first: int) -> None:
+        self.stack.append((name, kind, mark, self.worst, labels, first))
         self.at.setdefault(name, []).append(len(self.stack) - 1)
         self.kinds[kind] += 1
         self.headings += name in HEADINGS
         self.inside = self.inside or mark
-        if labels and len(self.labels) < OPEN_LABELS:
-            self.labels += labels[: OPEN_LABELS - len(self.labels)]
-            self.held = None
+        self.worst = min(self.worst, value)
 
-    def cut(self, k: int) -> None:
-        """Close what stands at place k and all after it."""
-        for name, kind, mark, _ in self.stack[k:]:
+    def cut(self, k: int, now: int) -> None:
+        """Close what stands at place k and all after it; `now` is the number of items so far."""
+        for name, kind, mark, _, labels, first in self.stack[k:]:
             self.at[name].pop()
             self.kinds[kind] -= 1
             self.headings -= name in HEADINGS
             if mark:
                 self.inside = 0
-        if len(self.labels) > (before := self.stack[k][3]):
-            del self.labels[before:]
-            self.held = None
+            self.spans += [(x, first, now) for x in labels]
+        self.worst = self.stack[k][3]
         del self.stack[k:]
 
     def last(self, *names: str) -> int:
         """Place of the innermost of these elements, -1 if none is open."""
         return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
 
-    def around(self) -> tuple[str, ...]:
-        if self.held is None:
-            self.held = tuple(dict.fromkeys(self.labels))
-        return self.held
-
 
 def next_tag(page: str, at: int) -> tuple[int, int, str, str] | None:
     """(start, end, name, rest) of the first markup from `at` on; the name has a slash in front if it closes, and is empty for comments and the like."""
@@ -190,8 +186,13 @@ def next_tag(page: str, at: int) -> tuple[int, int, str, str] | None:
     return None
 
 
-def parse(page: str) -> list[Item]:
-    """The page's runs and tags. inside: number of the landmark element that holds the item, 0 for none."""
+def parse(page: str, weight: dict[str, float] | None = None) -> list[Item]:
+    """The page's runs and tags. weight: of the names, which start from their priors."""
+    return read(page, weight or {})[0]
+
+
+def read(page: str, weight: dict[str, float]) -> tuple[list[Item], list[tuple[str, int, int]]]:
+    """The page's runs and tags, and where each name's elements begin and end among them."""
     items: list[Item] = []
     now = Open()
     block, at, end, marks = 0, 0, len(page), 0
@@ -210,7 +211,7 @@ def parse(page: str) -> list[Item]:
             kind = "list"
         else:
             kind = "text"
-        items.append(Item(kind, n, text, block, now.inside, now.around()))
+        items.append(Item(kind, n, text, block, now.inside, now.worst < CLEAR))
 
     while tag := next_tag(page, at):
         begin, stop, name, rest = tag
@@ -229,7 +230,7 @@ def parse(page: str) -> list[Item]:
             k = now.last(name)
             # a stray end tag doesn't close the article
             if k >= 0 and not (name in ("div", "p", "span", "section") and now.last(*LANDMARKS) > k):
-                now.cut(k)
+                now.cut(k, len(items))
             inside = now.inside
         elif name in RAW and not (name == "svg" and single):
             close = RAW_END[name].search(page, at)
@@ -237,96 +238,102 @@ def parse(page: str) -> list[Item]:
         elif name not in VOID and not single:
             if name in BLOCKS:
                 while now.stack and now.stack[-1][0] in CLOSED_BY_BLOCK:
-                    now.cut(len(now.stack) - 1)
+                    now.cut(len(now.stack) - 1, len(items))
             if name in SAME_LEVEL and (k := now.last(name)) > now.last(*SAME_LEVEL[name]):
-                now.cut(k)
+                now.cut(k, len(items))
             if name == "a" and (k := now.last("a")) >= 0:
-                now.cut(k)
-            if name in BLOCKS or name in INLINE:
-                mark, kind = 0, _boilerplate(name, rest, bool(now.inside))
-                if name in LANDMARKS and kind != "skip" and not now.kinds["skip"] and not now.inside:
+                now.cut(k, len(items))
+            if name in BLOCKS or name in INLINE or name in CONTROLS:
+                mark, kind, labels = 0, _kind(name, rest), _labels(name, rest, bool(now.inside))
+                value = worth(labels, weight)
+                if name in LANDMARKS and kind != "skip" and not now.kinds["skip"] and not now.inside and min(value, now.worst) >= CLEAR:
                     marks += 1
                     mark = marks
-                now.push(name, kind, mark, _labels(name, rest))
-        items.append(Item(HIDDEN if now.kinds["skip"] else ("</" if closing else "<") + name, 0, "", block, inside, now.around()))
+                now.push(name, kind, mark, labels, value, len(items))
+        items.append(Item(HIDDEN if now.kinds["skip"] else ("</" if closing else "<") + name, 0, "", block, inside, now.worst < CLEAR))
     if at < end:
         add(page[at:])
-    return items
+    if now.stack:
+        now.cut(0, len(items))
+    return items, now.spans
 
 
-def _main_mark(items: list[Item]) -> int:
-    """The landmark that holds most words outside boilerplate, 0 if none holds any."""
-    held = Counter()
-    for x in items:
-        if x.inside and x.words and x.kind != "boilerplate":
-            held[x.inside] += x.words
-    return held.most_common(1)[0][0] if held else 0
+def _marked(items: list[Item]) -> bool:
+    """Whether a landmark of the page holds words outside boilerplate."""
+    return any(x.inside and x.words and x.kind != "boilerplate" and not x.low for x in items)
 
 
 def tally(pages: Iterable[str]) -> dict[str, list[int]]:
-    """class -> [inside, outside, pages] over the pages that mark their article."""
+    """class or name -> [inside, outside, pages] over the pages that mark their article."""
     seen: dict[str, list[int]] = {}
     for page in pages:
-        items = parse(page)
-        mark = _main_mark(items)
-        if not mark:
+        items, spans = read(page, {})
+        if not _marked(items):
             continue
         here = set()
+        inside, outside = [0], [0]
         for x in items:
-            content = x.inside == mark and x.kind != "boilerplate"
-            for k in (x.kind, *x.labels) if x.text else (x.kind,):
+            content = bool(x.inside) and x.kind != "boilerplate" and not x.low
+            for k in (x.kind, *(() if content or not x.words else ("out",))):
                 seen.setdefault(k, [0, 0, 0])[not content] += max(1, x.words)
                 here.add(k)
+            inside.append(inside[-1] + x.words * content)
+            outside.append(outside[-1] + x.words * (not content))
+        reach: dict[str, int] = {}
+        for k, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+            if a >= reach.get(k, 0) and a < b:  # an element of a name inside another of that name counts with it
+                reach[k] = b
+                n = seen.setdefault(k, [0, 0, 0])
+                n[0] += inside[b] - inside[a]
+                n[1] += outside[b] - outside[a]
+                here.add(k)
         for k in here:
             seen[k][2] += 1
     return seen
 
 
 def weights(seen: dict[str, list[int]]) -> dict[str, float]:
-    """Log odds of each class, within -8 and 2.
+    """Log odds of each class and name, within -8 and 2.
 
-    Text, headings and lists are worth at least 1 a word where no container says otherwise. A tag's score is within TAGS: the
+    Text, headings and lists are worth at least 1 a word where no element says otherwise. A tag's score is within TAGS, a landmark's too: the
     labelled pages come from few templates, and a tag that these use in menus only may well stand in another's article.
-    A landmark's own tags may score lower: what lies beyond them seldom belongs to the article.
     """
     out = {}
-    for kind in {*seen, *PRIOR, *(() if seen else UNTAUGHT)}:
-        a, b = (PRIOR | UNTAUGHT).get(kind, (1, 1))
+    for kind in {*seen, *PRIOR}:
+        a, b = PRIOR.get(kind) or (named(kind) if kind.startswith(".") else (1, 1))
         x, y = seen[kind][:2] if kind in seen else (0, 0)
         w = max(-8.0, min(2.0, math.log((a + x) / (b + y))))
         if kind.startswith("<"):
-            w = max(MARKS if kind.strip("</") in LANDMARKS else TAGS[0], min(w, TAGS[1]))
+            w = max(TAGS[0], min(w, TAGS[1]))
         elif kind in ("text", "heading", "list"):
             w = max(w, 1.0)
+        elif kind == "out":
+            w = max(OUTSIDE, min(w, -0.5))
+        elif kind == "link":
+            w = min(w, 0.5)
         out[kind] = w
     return out
 
 
-def asides(items: list[Item], weight: dict[str, float]) -> list[bool]:
-    """Which runs are boilerplate: by name, or by what the labelled pages say of a container."""
-    worst: dict[tuple[str, ...], float] = {}
+def scores(items: list[Item], weight: dict[str, float]) -> list[float]:
+    """The value of each run and tag. A stretch of boilerplate costs once, and the tags inside it nothing."""
+    marked = _marked(items)
+    out, stretch, linked, block = [], False, 0.0, -1
     for x in items:
-        if x.labels not in worst:
-            worst[x.labels] = min((weight.get(k, 0.0) for k in x.labels), default=0.0)
-    return [x.kind == "boilerplate" or worst[x.labels] < CLEAR for x in items]
-
-
-def scores(items: list[Item], weight: dict[str, float], low: list[bool] | None = None) -> list[float]:
-    """The value of each run and tag. A stretch of boilerplate costs once, and the tags inside it nothing.
-
-    Weights that no page has taught know no containers and no landmark's tags; with them the page's largest landmark element decides.
-    """
-    mark = _main_mark(items) if "in" in weight else 0
-    out, stretch = [], False
-    for x, aside in zip(items, asides(items, weight) if low is None else low):
+        aside = x.kind == "boilerplate" or x.low
         if x.kind == HIDDEN or (aside and not x.text):
             out.append(0.0)
         elif aside:
-            out.append(0.0 if stretch or (mark and x.inside == mark) else ASIDE)
+            out.append(0.0 if stretch or x.inside else ASIDE)
             stretch = True
         else:
-            kind = x.kind if not (mark and x.words) else "in" if x.inside == mark else "out"
-            out.append(weight.get(kind, UNSEEN) * max(1, x.words))
+            if x.block != block:
+                linked, block = 0.0, x.block
+            value = weight.get("out" if marked and x.words and not x.inside else x.kind, UNSEEN) * max(1, x.words)
+            if x.kind == "link" and value < 0 and not (marked and not x.inside):
+                value = max(value, LINKED - linked)
+                linked += value
+            out.append(value)
             stretch = stretch and not x.words
     return out
 
@@ -347,12 +354,11 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     """The text of the best region."""
     if not page:
         return ""
-    items = parse(page)
-    low = asides(items, weight)
-    a, b = best_region(scores(items, weight, low))
+    items = parse(page, weight)
+    a, b = best_region(scores(items, weight))
     blocks: dict[int, list[str]] = {}
-    for x, aside in zip(items[a:b], low[a:b]):
-        if x.text and not aside:
+    for x in items[a:b]:
+        if x.text and x.kind != "boilerplate" and not x.low:
             blocks.setdefault(x.block, []).append(x.text)
     texts = (" ".join(charrefs.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
@@ -365,7 +371,7 @@ WEIGHED = BLOCKS | VOID | INLINE | {"b", "i", "em", "strong", "u", "small", "cod
 def learn(pages: DataFrame, sample: int = SAMPLE, rows: int | None = None) -> dict[str, float]:
     """Weights from the pages whose hashes are least, about `sample`; more where these hold no landmark at all.
 
-    Only counts reach the driver: of a few dozen classes, and of LABELS class and id words. `rows` is the size of the
+    Only counts reach the driver: of a few dozen classes, and of LABELS names of classes and ids. `rows` is the size of the
     table, counted if not given.
     """
 
