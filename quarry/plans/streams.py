@@ -14,6 +14,7 @@ from quarry.plans.aggregates import LATEST
 from quarry.registry import query
 from quarry.streaming import ledger as L
 from quarry.streaming import pipes
+from quarry.streaming import shards as SH
 from quarry.streaming.store import scratch
 
 
@@ -66,14 +67,27 @@ z AS (SELECT run, 0 AS i, CAST([] AS VARCHAR[]) AS pending, CAST([] AS STRUCT(u
 d AS (SELECT run, x.seq AS seq, x.unit AS unit, x.outcome AS outcome, x.reason AS reason FROM (SELECT run, unnest(out) AS x FROM z))"""
 
 
+def streamed(v: Views, events: DataFrame, parts: list[str], keep_ms: int | None = None) -> DataFrame:
+    """The ledgers' decisions by a stream that is stopped and begun again: each part of the events comes after the ones before are done."""
+    src, out, cp = (scratch(v.spark, f"ledger-{x}") for x in ("in", "out", "cp"))
+    for part in parts:
+        events.filter(part).write.mode("append").parquet(src)
+        stream = v.spark.readStream.schema(events.schema).parquet(src)
+        pipes.drain(L.replay_stream(stream if keep_ms is None else stream.withWatermark("at", "0 seconds"), keep_ms=keep_ms), out, cp)
+    return v.spark.read.parquet(out)
+
+
+_HALVES = ["seq < 3", "seq >= 3"]
+
+
 @query("st01_ledger_commit", f"{LEDGER} SELECT * FROM d WHERE outcome IN ('committed', 'duplicate', 'rejected')")
 def st01(v: Views) -> DataFrame:
-    return L.replay(ledger_events(v)).filter("outcome IN ('committed', 'duplicate', 'rejected')")
+    return streamed(v, ledger_events(v), _HALVES).filter("outcome IN ('committed', 'duplicate', 'rejected')")
 
 
 @query("st02_ledger_release", f"{LEDGER} SELECT * FROM d WHERE outcome IN ('released', 'error')")
 def st02(v: Views) -> DataFrame:
-    return L.replay(ledger_events(v)).filter("outcome IN ('released', 'error')")
+    return streamed(v, ledger_events(v), _HALVES).filter("outcome IN ('released', 'error')")
 
 
 @query("st03_result_compaction", "SELECT config, qkey, string_agg(CASE WHEN rnk % 3 = 1 THEN chunk_id ELSE '[' || chunk_id || ' dropped]' END, ' ' ORDER BY rnk) AS body FROM runs WHERE rnk <= 6 GROUP BY 1, 2")
@@ -87,18 +101,29 @@ def st03(v: Views) -> DataFrame:
 @query("st04_staged_expiry", """WITH s AS (SELECT conv_id, turn, unnest([turn, turn % 3, length(text) % 5]) AS u, max(turn) OVER (PARTITION BY conv_id) + 1 AS seq FROM conversations WHERE role = 'user')
 SELECT DISTINCT conv_id AS run, seq, 'u' || u AS unit, 'rejected' AS outcome, 'expired' AS reason FROM s""")
 def st04(v: Views) -> DataFrame:
-    e = ledger_events(v).filter("kind = 'stage'")
-    last = e.groupBy("run").agg((F.max("seq") + 1).alias("seq")).select("run", "seq", F.lit("expire").alias("kind"), F.array().cast("array<string>").alias("units"))
-    return L.replay(e.unionByName(last))
+    """Staged batches that nothing commits, until their timers run out: a last event of another run brings the watermark there."""
+    e = ledger_events(v).filter("kind = 'stage'").withColumn("at", F.timestamp_seconds(F.col("seq") + 1_000))
+    end = e.agg(F.timestamp_seconds(F.max("seq") + 2_001_000).alias("at")).select(F.lit(None).cast("long").alias("run"), F.lit(0).cast("long").alias("seq"), F.lit("commit").alias("kind"), F.array().cast("array<string>").alias("units"), "at")
+    events = e.select("run", F.col("seq").cast("long").alias("seq"), "kind", "units", "at").unionByName(end)
+    return streamed(v, events, ["run IS NOT NULL", "run IS NULL"], keep_ms=1_000_000_000)
 
 
 @query("st05_ready_ingestion", "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def st05(v: Views) -> DataFrame:
+    """Shards come in two lots, with a restart between; one is never marked as ready."""
     src, out, cp = (scratch(v.spark, f"ingest-{x}") for x in ("in", "out", "cp"))
     docs = v.documents.select("doc_id", "lang", "text")
-    docs.repartition(6).write.parquet(src)
-    rows = pipes.ingest(v.spark, src, docs.schema, lambda d: d.select("lang", F.length("text").alias("n")), out, cp)
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n").cast("long").alias("chars"))
+    step = lambda d: d.select("lang", F.length("text").alias("n"))
+    for lot in (0, 1):
+        docs.filter(F.pmod("doc_id", F.lit(2)) == lot).repartition(3).write.mode("append").json(src)
+        for name in SH.names(src):
+            if name.endswith(".json") and f"{name}{SH.READY}" not in SH.names(src):
+                SH.mark(src, f"{name}{SH.READY}")
+        if lot == 0:
+            pipes.drain(step(SH.ready(v.spark, src, docs.schema)), out, cp)
+    docs.limit(5).write.mode("append").json(src)
+    SH.mark(src, SH.DONE)
+    return SH.watch(v.spark, src, docs.schema, step, out, cp).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n").cast("long").alias("chars"))
 
 
 @query("st06_streamed_compaction", f"WITH {LATEST} SELECT jkey, grade, event_id FROM l")

@@ -1,6 +1,6 @@
 """Context ledger: which retrieved units a run has staged, committed, rejected or released.
 
-One fold over a run's events in order, the same in a batch (`replay`) and a stream (`replay_stream`).
+One fold over a run's events in order, the same in a batch (`replay`) and as a state machine of a stream (`replay_stream`).
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState
 
 LATER = "already committed"
 PARALLEL = "returned by a parallel query"
@@ -17,6 +19,7 @@ OVERFLOW = "selection exceeded the step's maximum"
 UNSELECTED = "not selected"
 
 OUT = "seq long, unit string, outcome string, reason string"
+NAMES = [x.split()[0] for x in OUT.split(", ")]
 
 
 class Ledger:
@@ -84,29 +87,126 @@ def fold(events: pd.DataFrame, most: int) -> list[tuple]:
 
 def replay(events: DataFrame, most: int = 3) -> DataFrame:
     """Decisions of every run from its events (run, seq, kind, units)."""
-    names = [x.split()[0] for x in OUT.split(", ")]
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in fold(group, most)], columns=["run", *names])
+        return pd.DataFrame([(key[0], *r) for r in fold(group, most)], columns=["run", *NAMES])
 
     return events.groupBy("run").applyInPandas(run, f"run {events.schema['run'].dataType.simpleString()}, {OUT}")
 
 
-def replay_stream(events: DataFrame, most: int = 3) -> DataFrame:
-    """The same over a stream: a run's ledger is its state. Events of a run must arrive in order."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class _Held:
+    """A dictionary that lives in a run's map state: only the units that an event names are looked at."""
 
-    names = [x.split()[0] for x in OUT.split(", ")]
+    def __init__(self, state: MapState):
+        self.state = state
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ledger = Ledger(most)
-        if state.exists:
-            pending, home, since, rejected = state.get
-            ledger.pending, ledger.home, ledger.rejected = list(pending), dict(zip(home, since)), set(rejected)
-        group = pd.concat(list(batches)).sort_values("seq")
-        rows = [(key[0], *r) for e in group.itertuples() for r in ledger.apply(e.seq, e.kind, list(e.units))]
-        state.update((ledger.pending, list(ledger.home), list(ledger.home.values()), sorted(ledger.rejected)))
-        yield pd.DataFrame(rows, columns=["run", *names])
+    def __contains__(self, unit: str) -> bool:
+        return self.state.containsKey((unit,))
 
+    def __setitem__(self, unit: str, seq: int) -> None:
+        self.state.updateValue((unit,), (seq,))
+
+    def update(self, units: dict[str, int]) -> None:
+        for u, seq in units.items():
+            self[u] = seq
+
+    def pop(self, unit: str) -> int:
+        seq = self.state.getValue((unit,))[0]
+        self.state.removeKey((unit,))
+        return seq
+
+
+class _HeldSet(_Held):
+    def add(self, unit: str) -> None:
+        self[unit] = 0
+
+    def __isub__(self, units: set[str]) -> _HeldSet:
+        for u in units:
+            if u in self:
+                self.state.removeKey((u,))
+        return self
+
+
+class Keeper(StatefulProcessor):
+    """A run's ledger as a state machine: what it holds and has rejected in map states, its staged batch in a list, and a timer for the batch.
+
+    A batch that is staged longer than `keep_ms` of event time without a commit expires: by the next event of the run if that comes too late, else by
+    the timer, once the watermark has passed. Both give the same rows.
+    """
+
+    def __init__(self, most: int, keep_ms: int | None):
+        self.most, self.keep_ms = most, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.home = handle.getMapState("home", "unit string", "since long")
+        self.rejected = handle.getMapState("rejected", "unit string", "seq long")
+        self.pending = handle.getListState("pending", "unit string")
+        self.staged = handle.getValueState("staged", "seq long, until long")
+
+    def _ledger(self) -> Ledger:
+        ledger = Ledger(self.most)
+        ledger.home, ledger.rejected = _Held(self.home), _HeldSet(self.rejected)
+        ledger.pending = [r[0] for r in self.pending.get()] if self.pending.exists() else []
+        return ledger
+
+    def _put(self, ledger: Ledger) -> None:
+        if ledger.pending:
+            self.pending.put([(u,) for u in ledger.pending])
+        elif self.pending.exists():
+            self.pending.clear()
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["run", *NAMES])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        ledger, out = self._ledger(), []
+        since = self.staged.get() if self.staged.exists() else None
+        for e in pd.concat(list(rows)).sort_values("seq").itertuples():
+            at = int(e.at.timestamp() * 1000) if self.keep_ms is not None else 0
+            if since and self.keep_ms is not None and at > since[1]:
+                out += ledger.expire(since[0] + 1)
+                since = None
+            out += ledger.apply(e.seq, e.kind, list(e.units))
+            if not ledger.pending:
+                since = None
+            elif e.kind == "stage":
+                since = (int(e.seq), at + (self.keep_ms or 0))
+        self._put(ledger)
+        if since:
+            self.staged.update(since)
+        elif self.staged.exists():
+            self.staged.clear()
+        if self.keep_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+            if since:
+                self.handle.registerTimer(since[1])
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        if self.staged.exists():
+            ledger = self._ledger()
+            out += ledger.expire(self.staged.get()[0] + 1)
+            self._put(ledger)
+            self.staged.clear()
+        yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def replay_stream(events: DataFrame, most: int = 3, keep_ms: int | None = None) -> DataFrame:
+    """The same over a stream of events (run, seq, kind, units): a run's ledger is its state. Events of a run must arrive in order.
+
+    With keep_ms the events also have `at`, with a watermark, and staged batches expire. State lives in RocksDB, as map states and timers ask for.
+    """
+    events.sparkSession.conf.set(STORE, ROCKS)
     kind = events.schema["run"].dataType.simpleString()
-    return events.groupBy("run").applyInPandasWithState(step, f"run {kind}, {OUT}", "pending array<string>, home array<string>, since array<long>, rejected array<string>", "append", GroupStateTimeout.NoTimeout)
+    mode = "None" if keep_ms is None else "EventTime"
+    return events.groupBy("run").transformWithStateInPandas(Keeper(most, keep_ms), f"run {kind}, {OUT}", "Append", mode)

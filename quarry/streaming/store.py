@@ -34,6 +34,13 @@ def written(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def folders(spark: SparkSession, path: str) -> list[int]:
+    """Folders of a folder whose names are numbers."""
+    p, fs = _path(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)
