@@ -52,7 +52,9 @@ class ByteBPE(Store):
             self.bytes_of[i] = b
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.asarray(self.core._encode_single_piece(piece.encode("utf-8")), "<u4").tobytes()
+        out = self.old.get(piece)
+        if out is None:
+            out = np.asarray(self.core._encode_single_piece(piece.encode("utf-8")), "<u4").tobytes()
         return self.keep(piece, out, 33 + len(out))
 
     def encode_pieces(self, pieces: list[str]) -> bytes:

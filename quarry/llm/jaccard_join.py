@@ -51,7 +51,10 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: i
 
 class WordHashes(Store):
     def __missing__(self, word: str) -> int:
-        return self.keep(word, int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"), 36)
+        h = self.old.get(word)
+        if h is None:
+            h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return self.keep(word, h, 36)
 
 
 _WORDS = WordHashes()

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm.scratch import small_batches
-from quarry.llm.stores import ENTRY, LONGEST, Store, charge
+from quarry.llm.stores import ENTRY, LONGEST, Store, charge, room
 
 MARK = "▁"
 CLOSING = ".,;:!?)%&*#$"
-#: Bytes that an answer on two pieces takes.
-PAIR = 120
+#: Bytes that an answer on two pieces takes, and those that a worker's stores may have here, where every piece of every new word is looked up.
+PAIR, ROOM = 120, 256 << 20
 LIMIT = 4096
 
 
@@ -64,6 +64,8 @@ class PrefixCounts(Store):
         self.apart: dict[str, dict[str, bool]] = defaultdict(dict)
         self.halves: dict[str, tuple[str, str]] = {}
         self.prefixes: dict[str, list[int]] = {}
+        self.old_prefixes: dict[str, list[int]] = {}
+        self.old_apart: dict[str, dict[str, bool]] = {}
 
     def merge(self, s: str) -> list[str]:
         """Plain BPE: join the best-ranked adjacent pair, leftmost first, until none is in the model."""
@@ -138,7 +140,7 @@ class PrefixCounts(Store):
     def segment(self, s: str) -> list[int]:
         known = self.prefixes.get(s)
         if known is None:
-            known = self.chart(s)
+            known = self.old_prefixes.get(s) or self.chart(s)
             if len(s) <= LONGEST:
                 charge(sys.getsizeof(s) + sys.getsizeof(known) + ENTRY)
                 self.prefixes[s] = known
@@ -164,8 +166,7 @@ class PrefixCounts(Store):
                 return self.slow_chart(s)  # a character before it is no piece
             ok = beside.get(t)
             if ok is None:
-                ok = beside[t] = self.stay_apart(last[j], t) if j else self.merge(t) == [t]
-                charge(PAIR)
+                ok = beside[t] = self.answer(last[j], t) if j else self.merge(t) == [t]
             if ok:
                 count[i] = count[j] + 1
                 last[i] = t
@@ -199,20 +200,26 @@ class PrefixCounts(Store):
                 if whole and not count[i]:
                     ok = near.get(t)
                     if ok is None:
-                        ok = near[t] = self.stay_apart(left, t) if left else self.reached(t)
-                        charge(PAIR)
+                        ok = near[t] = self.answer(left, t) if left else self.reached(t)
                     if ok:
                         count[i] = base
                         last[i] = t
         return count[1:]
 
-    def forget(self) -> None:
-        self.clear()
-        self.prefixes.clear()
-        self.apart.clear()
+    def turn(self) -> None:
+        super().turn()
+        self.old_prefixes, self.prefixes = self.prefixes, {}
+        self.old_apart, self.apart = self.apart, defaultdict(dict)
+
+    def answer(self, a: str, b: str) -> bool:
+        """stay_apart, unless it was asked in the turn before."""
+        charge(PAIR)
+        known = self.old_apart.get(a, {}).get(b)
+        return self.stay_apart(a, b) if known is None else known
 
     def __missing__(self, rest: str) -> int:
-        return self.keep(rest, self.total(MARK + rest), 32)
+        n = self.old.get(rest)
+        return self.keep(rest, self.total(MARK + rest) if n is None else n, 32)
 
     def units(self, text: str) -> list[str]:
         """The text's units, each without its first mark."""
@@ -270,6 +277,10 @@ def count_tokens(docs: DataFrame, model_file: str | None = None, limit: int = LI
             import public_tokenizers
 
         m = model(model_file or public_tokenizers.path("piece_bpe_32k.model"))
+        with room(ROOM):
+            yield from counted(m, batches)
+
+    def counted(m: PrefixCounts, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [m.count(t) for t in texts]

@@ -94,6 +94,8 @@ class Shapes(Store):
     """word -> (bin of its shape, bin of the word)."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
+        if bins := self.old.get(word):
+            return self.keep(word, bins, 120)
         shape = []
         for c in word:
             s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c

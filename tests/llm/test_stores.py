@@ -54,11 +54,36 @@ def test_stores_share_one_budget(monkeypatch):
         w = f"word{i % 700}é"
         got = (words[w], shapes[w], bpe[w], m[w])
         assert made.setdefault(w, got) == got
-        size = sum(sys.getsizeof(k) + stores.ENTRY for s in (words, shapes, bpe, m, m.prefixes) for k in s)
-        assert stores.held() <= 20_000 and size <= 20_000
+        now = (words, shapes, bpe, m, m.prefixes)
+        old = (words.old, shapes.old, bpe.old, m.old, m.old_prefixes)
+        size = sum(sys.getsizeof(k) + stores.ENTRY for s in now + old for k in s)
+        assert stores.held() <= 10_000 and size <= 20_000
     assert words.keep("x" * 65, 1, 1) == 1 and "x" * 65 not in words
 
 
+def test_what_is_met_again_stays(monkeypatch):
+    monkeypatch.setattr(stores, "BUDGET", 20_000)
+    made = []
+
+    class Lengths(stores.Store):
+        def __missing__(self, key):
+            n = self.old.get(key)
+            if n is None:
+                made.append(key)
+                n = len(key)
+            return self.keep(key, n, 32)
+
+    lengths = Lengths()
+    for i in range(2000):
+        assert lengths["often"] == 5 and lengths[f"once{i}"] == len(f"once{i}")
+    assert made.count("often") == 1 and len(made) == 2001
+    with stores.room(1 << 20):
+        for i in range(500):
+            lengths[f"more{i}"]
+        assert stores.held() > 20_000
+    assert stores.held() <= 10_000
+
+
 def test_stores_that_are_gone_are_not_held():
     before = sum(r() is not None for r in stores._stores)
     for _ in range(5):
