@@ -62,3 +62,17 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFr
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
     rest = [c for c in old.columns if c not in key and c != order]
     return both.groupBy(*key).agg(F.min_by(order, F.struct("_v", order)).alias(order), F.max_by(F.struct(*rest), F.struct("_v", order)).alias("_r")).select(*key, order, "_r.*")
+
+
+def obligations(items: DataFrame, by: list[str], audit: str, order: str, most: int = 14) -> DataFrame:
+    """Additions of several audits of a group, in the order of the audits and then their own, without near repeats, `most` at most.
+
+    What tells a requirement is its first six words of more than three characters and its sorted mentions, in small letters.
+    """
+    words = F.slice(F.filter(F.regexp_extract_all(F.lower("requirement"), F.lit(r"\S+"), F.lit(0)), lambda x: F.length(x) > 3), 1, 6)
+    mentions = F.sort_array(F.transform(F.filter("mentions", lambda x: x != ""), lambda x: F.lower(F.trim(x))))
+    d = items.filter(F.trim("requirement") != "").withColumn("words", F.array_join(words, " ")).withColumn("mentions", mentions)
+    rest = [c for c in d.columns if c not in (*by, "words", "mentions", audit, order)]
+    first = d.groupBy(*by, "words", "mentions").agg(F.min(F.struct(audit, order, *rest)).alias("_f")).select(*by, "words", "mentions", "_f.*")
+    place = F.row_number().over(W.partitionBy(*by).orderBy(audit, order))
+    return first.withColumn("place", place.cast("long")).filter(F.col("place") <= most)

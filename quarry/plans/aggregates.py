@@ -412,12 +412,15 @@ def a61(v: Views) -> DataFrame:
     return g.select("topic_id", F.round("a", 4).alias("log_usd"), F.round("b", 4).alias("ledger_usd"), (F.abs(F.col("a") - F.col("b")) > 1e-6).alias("differs"))
 
 
-@query("a62_obligation_merge", r"""WITH w AS (SELECT item_id, item_id % 2 AS src, array_to_string(list_filter(regexp_extract_all(lower(text), '[^\s.,]+'), lambda x: length(x) > 3), ' ') AS key FROM benchmark)
-SELECT key, min(src * 100000 + item_id) AS pos FROM w GROUP BY 1""")
+@query("a62_obligation_merge", r"""WITH a AS (SELECT item_id, item_id % 2 AS audit, item_id % 5 AS grp, lower(text) AS t, list_sort(list_transform(regexp_extract_all(text, '\d+')[1:2], lambda x: lower(x))) AS mentions FROM benchmark),
+w AS (SELECT *, array_to_string(list_filter(regexp_extract_all(t, '\S+'), lambda x: length(x) > 3)[1:6], ' ') AS words FROM a),
+f AS (SELECT *, row_number() OVER (PARTITION BY grp, words, mentions ORDER BY audit, item_id) AS r FROM w WHERE trim(t) <> ''), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY audit, item_id) AS place FROM f WHERE r = 1)
+SELECT grp, audit, item_id, words, array_to_string(mentions, ',') AS mentions, place FROM k WHERE place <= 14""")
 def a62(v: Views) -> DataFrame:
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s.,]+"), F.lit(0)), lambda x: F.length(x) > 3)
-    w = v.benchmark.select(F.array_join(words, " ").alias("key"), (F.col("item_id") % 2 * 100_000 + F.col("item_id")).alias("pos"))
-    return w.groupBy("key").agg(F.min("pos").alias("pos"))
+    mentions = F.slice(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0)), 1, 2)
+    items = v.benchmark.select((F.col("item_id") % 5).alias("grp"), (F.col("item_id") % 2).alias("audit"), "item_id", F.col("text").alias("requirement"), mentions.alias("mentions"))
+    m = A.obligations(items, ["grp"], "audit", "item_id")
+    return m.select("grp", "audit", "item_id", "words", F.array_join("mentions", ",").alias("mentions"), "place")
 
 
 @query("a63_candidate_index", "SELECT conv_id % 5 AS run, conv_id AS topic, count(*) FILTER (WHERE role = 'assistant') AS answers, count(*) FILTER (WHERE role = 'assistant') > 1 AS ambiguous FROM steps GROUP BY 1, 2")

@@ -11,6 +11,8 @@ from quarry.functions import ids
 from quarry.operators import dense as D
 from quarry.operators import judging as J
 from quarry.operators import retrieval as R
+from quarry.sources import binary as B
+from quarry.streaming import segments as SG
 from quarry.plans import retrieval as RP
 from quarry.registry import query
 from quarry.sources import corpus as C
@@ -175,15 +177,33 @@ def s19(v: Views) -> DataFrame:
 
 @query("s20_vector_shards", "SELECT count(*) AS n, min(len(embedding)) AS dim, count(DISTINCT vec_id) AS ids FROM embeddings")
 def s20(v: Views) -> DataFrame:
-    a, b = v.embeddings.filter("vec_id % 2 = 0"), v.embeddings.filter("vec_id % 2 = 1")
-    g = a.unionByName(b).agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"), F.countDistinct("vec_id").alias("ids"))
-    return g.select("n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.raise_error("vectors of several lengths")).cast("long").alias("dim"), "ids")
+    """The vectors in binary shards with headers, and back; a dimension or a count that doesn't fit is an error."""
+    path = scratch(v.spark, "fbin")
+    rows = v.embeddings.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select(F.col("vec_id").cast("string").alias("docid"), F.col("embedding").alias("vec"))
+    B.write(rows, "fbin", path)
+    return B.read(v.spark, "fbin", path).agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vec")).cast("long").alias("dim"), F.countDistinct("docid").alias("ids"))
+
+
+@query("s20_vector_rows", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, round(CAST(list_sum(CAST(embedding AS DOUBLE[])) AS DOUBLE), 6) AS total FROM embeddings")
+def s20_rows(v: Views) -> DataFrame:
+    """Rows of a folder of shards count through them in order."""
+    path = scratch(v.spark, "fbin")
+    rows = v.embeddings.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select(F.col("vec_id").cast("string").alias("docid"), F.col("embedding").alias("vec"))
+    B.write(rows, "fbin", path)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return B.read(v.spark, "fbin", path, size=1 << 14).select("row", F.col("docid").cast("long").alias("vec_id"), F.round(total, 6).alias("total"))
 
 
 @query("s21_ragged_offsets", "SELECT docid, CAST(coalesce(sum(len(string_split(contents, ' '))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM corpus")
 def s21(v: Views) -> DataFrame:
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    return v.corpus.select("docid", F.coalesce(F.sum(F.size(F.split("contents", " "))).over(w), F.lit(0)).cast("long").alias("start"))
+    """Token ids in a ragged store, and back: a row's start is the number of tokens before it, counted from its source's first row."""
+    path = scratch(v.spark, "tokens")
+    ids = F.transform(F.split("contents", " "), lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 32)))
+    key = F.concat_ws("\t", "source", "docid")
+    B.write(v.corpus.repartitionByRange("source").sortWithinPartitions("source", "doc_id").select(key.alias("docid"), ids.alias("ids")), "tokens", path)
+    rows = B.read(v.spark, "tokens", path).select(F.split("docid", "\t")[0].alias("source"), F.split("docid", "\t")[1].alias("docid"), "start")
+    first = rows.groupBy("source").agg(F.min("start").alias("first"))
+    return rows.join(first, "source").select("docid", (F.col("start") - F.col("first")).alias("start"))
 
 
 @query("s22_docstore", "SELECT docid, length(contents) AS chars FROM corpus")
@@ -195,10 +215,10 @@ def s22(v: Views) -> DataFrame:
     return v.spark.read.parquet(path).join(want, "docid", "left_semi").select("docid", F.length("contents").cast("long").alias("chars"))
 
 
-@query("s23_capped_sample", "SELECT source, docid FROM (SELECT *, sum(length(contents)) OVER (PARTITION BY source ORDER BY sha256('7' || docid), docid) AS total FROM corpus) WHERE total <= 20000")
+@query("s23_capped_sample", "SELECT source, docid FROM (SELECT *, sum(strlen(contents)) OVER (PARTITION BY source ORDER BY sha256('7' || docid), docid) AS total FROM corpus) WHERE total <= 20000")
 def s23(v: Views) -> DataFrame:
     w = W.partitionBy("source").orderBy(F.sha2(F.concat(F.lit("7"), "docid"), 256), "docid").rowsBetween(W.unboundedPreceding, 0)
-    return v.corpus.withColumn("total", F.sum(F.length("contents")).over(w)).filter("total <= 20000").select("source", "docid")
+    return v.corpus.withColumn("total", F.sum(F.octet_length("contents")).over(w)).filter("total <= 20000").select("source", "docid")
 
 
 def log_segments(v: Views) -> str:
@@ -332,16 +352,46 @@ def s38(v: Views) -> DataFrame:
     return files.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), F.sha2(body, 256).alias("digest"))
 
 
-@query("s39_session_index", "SELECT conv_id % 5 AS system, count(DISTINCT conv_id) AS sessions, max(conv_id) AS newest FROM steps GROUP BY 1")
+@query("s39_session_index", """WITH f AS (SELECT 'sys' || (conv_id % 5) AS system, printf('%04d', 3000 - conv_id // 7 % 50) AS ts, 'n' || conv_id AS session, conv_id % 13 AS narrative FROM (SELECT DISTINCT conv_id FROM steps))
+SELECT system, ts, session, count(*) OVER (PARTITION BY system) AS sessions, row_number() OVER (PARTITION BY system ORDER BY ts DESC, narrative, session) AS place FROM f""")
 def s39(v: Views) -> DataFrame:
-    return v.steps.groupBy((F.col("conv_id") % 5).alias("system")).agg(F.countDistinct("conv_id").alias("sessions"), F.max("conv_id").alias("newest"))
+    """One output file a session, in a folder a system: listed by name and header, newest first, then by the narrative's number, then by id."""
+    path = scratch(v.spark, "outputs")
+    c = F.col("conv_id")
+    stamp = F.format_string("%04d", (F.lit(3000) - F.floor(c / 7) % 50).cast("int"))
+    head = F.to_json(F.struct(F.concat(F.lit("topic "), (c % 13).cast("string")).alias("narrative_id"), c.alias("run")))
+    files = v.steps.select("conv_id").distinct().select(F.concat(F.lit("sys"), (c % 5).cast("string")).alias("system"), F.concat(stamp, F.lit(".n"), c.cast("string")).alias("file"), head.alias("value"))
+    files.repartition("system", "file").write.partitionBy("system", "file").text(path)
+    v.spark.createDataFrame([("_old", "x", "{}"), ("sys0", "9999.n1.violations", "{}")], "system string, file string, value string").write.mode("append").partitionBy("system", "file").text(path)
+    at = F.col("_metadata.file_path")
+    found = v.spark.read.option("recursiveFileLookup", "true").text(path).select(F.regexp_extract(at, "system=([^/]+)/", 1).alias("system"), F.regexp_extract(at, "file=([^/]+)/", 1).alias("file"), F.get_json_object("value", "$.narrative_id").alias("narrative"))
+    found = found.filter(~F.col("system").startswith("_") & F.col("file").rlike(r"^\d+\.[^.]+$"))
+    s = found.select("system", F.split("file", r"\.")[0].alias("ts"), F.split("file", r"\.")[1].alias("session"), F.regexp_extract("narrative", r"(\d+)\s*$", 1).cast("long").alias("number"))
+    own = W.partitionBy("system")
+    place = F.row_number().over(own.orderBy(F.desc("ts"), F.asc_nulls_last("number"), "session"))
+    return s.select("system", "ts", "session", F.count(F.lit(1)).over(own).alias("sessions"), place.cast("long").alias("place"))
 
 
 @query("s40_ledger_replay", "SELECT topic_id, round(sum(value), 4) AS spent, max(event_id) AS checkpoint FROM log GROUP BY 1")
 def s40(v: Views) -> DataFrame:
-    w = W.partitionBy("topic_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    ledger = v.log.select("topic_id", "event_id", F.sum("value").over(w).alias("spent"))
-    return ledger.groupBy("topic_id").agg(F.round(F.max_by("spent", "event_id"), 4).alias("spent"), F.max("event_id").alias("checkpoint"))
+    """The meter's state over a segmented ledger that grows: read, stopped in mid-segment, appended to, and resumed; a torn tail is skipped once its segment is closed."""
+    path, out, cp = (scratch(v.spark, f"ledger-{x}") for x in ("log", "out", "cp"))
+    line = F.to_json(F.struct("topic_id", "event_id", "value"))
+    half = v.log.agg(F.max("event_id") / 2).collect()[0][0] or 0
+    schema = v.log.select("topic_id", "event_id", "value").schema
+    state = lambda: SG.follow(v.spark, path, schema).groupBy("topic_id").agg(F.sum("value").alias("spent"), F.max("event_id").alias("checkpoint"))
+    for name, part in (("a", F.col("event_id") <= half), ("b", F.col("event_id") > half)):
+        _segments(v, v.log.filter(part).select(line.alias("value")), path, name)
+        SG.append(path, f"{name}-torn", b'{"topic_id": "x", "event')
+        meter = SG.metered(v.spark, state(), out, cp)
+    return meter.select("topic_id", F.round("spent", 4).alias("spent"), "checkpoint")
+
+
+def _segments(v: Views, lines: DataFrame, path: str, name: str) -> None:
+    """Lines written by Spark, as segments of a log: the parts get names that sort after those before."""
+    staged = scratch(v.spark, "staged")
+    lines.coalesce(2).write.text(staged)
+    SG.move_in(staged, path, name)
 
 
 @query("s41_fetch_with_fallback", """SELECT r.chunk_id, CASE WHEN c.doc_id % 3 = 0 THEN 'dense' WHEN c.doc_id % 3 = 1 THEN 'sparse' ELSE 'hosted' END AS source, length(c.contents) AS chars FROM (SELECT DISTINCT chunk_id FROM runs) r JOIN corpus c ON c.docid = r.chunk_id""")
