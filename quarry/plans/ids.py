@@ -66,14 +66,15 @@ def p08(v: Views) -> DataFrame:
     return v.runs.select("qkey", ids.topic_of_qkey(F.col("qkey")).alias("topic")).distinct()
 
 
-GRID = "k1 AS (SELECT unnest([0.6, 0.9, 1.2, 1.5, 2.0]::DOUBLE[]) AS k1), b AS (SELECT unnest([0.2, 0.4, 0.6, 0.75, 0.9]::DOUBLE[]) AS b)"
 
 
-@query("p09_config_key", f"WITH {GRID} SELECT k1, b, 'k1_' || regexp_replace(CAST(k1 AS VARCHAR), '\\.0$', '') || '__b_' || regexp_replace(CAST(b AS VARCHAR), '\\.0$', '') AS config FROM k1, b")
+@query("p09_config_key", """SELECT doc_id, 'k1_' || regexp_replace(CAST(k1 AS VARCHAR), '\\.0$', '') || '__b_' || regexp_replace(CAST(b AS VARCHAR), '\\.0$', '') AS config
+FROM (SELECT doc_id, (doc_id % 30 + 1) / 10.0::DOUBLE AS k1, (doc_id // 30 % 21) / 20.0::DOUBLE AS b FROM documents)""")
 def p09(v: Views) -> DataFrame:
-    g = v.spark.range(1).select(F.explode(F.array(*map(F.lit, (0.6, 0.9, 1.2, 1.5, 2.0)))).alias("k1"))
-    g = g.select("k1", F.explode(F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.75, 0.9)))).alias("b"))
-    return g.select("k1", "b", ids.config_key(F.col("k1"), F.col("b")).alias("config"))
+    """A configuration a document, over a grid of 30 by 21."""
+    d = F.col("doc_id")
+    g = v.documents.select("doc_id", ((d % 30 + 1) / F.lit(10.0)).alias("k1"), (F.floor(d / 30) % 21 / F.lit(20.0)).alias("b"))
+    return g.select("doc_id", ids.config_key(F.col("k1"), F.col("b")).alias("config"))
 
 
 @query("p10_natural_topic_order", r"""SELECT topic, row_number() OVER (ORDER BY TRY_CAST(nullif(regexp_extract(topic, '(\d+)$', 1), '') AS BIGINT) NULLS LAST, topic) AS place
@@ -192,12 +193,13 @@ def p23(v: Views) -> DataFrame:
     return validate.run_file_checks(v.runs.withColumn("line", line), docid=r"^shard_\d{5}_\d+[02468]$")
 
 
-@query("p24_rubric_waivers", """WITH t AS (SELECT * FROM (VALUES (1, 'Includes a diagram of the system'), (2, 'Uses APA citation style'), (3, 'Presents the table in Markdown'), (4, 'Has at least 1,500 words'), (5, 'Between 500 and 2000 words'), (6, 'Names three causes')) AS x(cid, text))
-SELECT CAST(cid AS BIGINT) AS cid, CASE cid WHEN 1 THEN 'visual' WHEN 2 THEN 'citation' WHEN 3 THEN 'markdown' WHEN 4 THEN 'words' END AS waiver FROM t""")
+@query("p24_rubric_waivers", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'visual' WHEN 1 THEN 'citation' WHEN 2 THEN 'markdown' WHEN 3 THEN 'words' END AS waiver FROM documents")
 def p24(v: Views) -> DataFrame:
-    texts = ["Includes a diagram of the system", "Uses APA citation style", "Presents the table in Markdown", "Has at least 1,500 words", "Between 500 and 2000 words", "Names three causes"]
-    t = v.spark.range(1).select(F.posexplode(F.array(*map(F.lit, texts))).alias("i", "text"))
-    return t.select((F.col("i") + 1).cast("long").alias("cid"), validate.waiver(F.col("text")).alias("waiver"))
+    """A criterion of six kinds for each document, with numbers of its own."""
+    n = F.col("doc_id").cast("string")
+    texts = [F.concat(F.lit("Includes a diagram of part "), n), F.concat(F.lit("Uses APA citation style, item "), n), F.concat(F.lit("Presents the table in Markdown, row "), n),
+             F.concat(F.lit("Has at least "), (F.col("doc_id") + 1_500).cast("string"), F.lit(" words")), F.lit("Between 500 and 2000 words"), F.concat(F.lit("Names three causes of case "), n)]
+    return v.documents.select("doc_id", validate.waiver(F.get(F.array(*texts), (F.col("doc_id") % 6).cast("int"))).alias("waiver"))
 
 
 @query("p25_rubric_conversion", """SELECT qid, qid || '::c' || printf('%02d', row_number() OVER (PARTITION BY qid ORDER BY cid) - 1) AS cid, least(5, abs(weight)) AS weight,
@@ -215,35 +217,38 @@ def p26(v: Views) -> DataFrame:
     return r.select("qid", "cid", (F.row_number().over(W.partitionBy("qid").orderBy("cid")) - 1).cast("long").alias("n"), "weight")
 
 
-FORMS = ["Write python code to sort", "A series of five blog posts", "Make 7 posts about tea", "A series of blog posts on rain", "Explain rain"]
-
-
-@query("p27_answer_form", """WITH t AS (SELECT unnest([1, 2, 3, 4, 5]) AS i) SELECT CAST(i AS BIGINT) AS i, i = 1 AS python_code, CASE WHEN i IN (2, 3, 4) THEN 'Blog post' ELSE '' END AS label,
-CAST(CASE i WHEN 2 THEN 5 WHEN 3 THEN 7 WHEN 4 THEN 3 ELSE 0 END AS BIGINT) AS least_labels FROM t""")
+@query("p27_answer_form", """SELECT doc_id, doc_id % 5 = 0 AS python_code, CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 'Blog post' ELSE '' END AS label,
+CAST(CASE doc_id % 5 WHEN 1 THEN 5 WHEN 2 THEN doc_id % 7 + 3 WHEN 3 THEN 3 ELSE 0 END AS BIGINT) AS least_labels FROM documents""")
 def p27(v: Views) -> DataFrame:
-    t = v.spark.range(1).select(F.posexplode(F.array(*map(F.lit, FORMS))).alias("i", "q"))
-    return t.select((F.col("i") + 1).cast("long").alias("i"), *validate.answer_form(F.col("q")))
+    """A request of five forms for each document, with a number of its own."""
+    n = (F.col("doc_id") % 7 + 3).cast("string")
+    forms = [F.lit("Write python code to sort"), F.lit("A series of five blog posts"), F.concat(F.lit("Make "), n, F.lit(" posts about tea")), F.lit("A series of blog posts on rain"), F.concat(F.lit("Explain rain, part "), n)]
+    return v.documents.select("doc_id", F.get(F.array(*forms), (F.col("doc_id") % 5).cast("int")).alias("q")).select("doc_id", *validate.answer_form(F.col("q")))
 
 
 SHAPES = ["(^ solar panel cost)", '(+ wind turbine) (^ NRC rules)', '"heat pump" (^ a b c d)', "(^ one two) (^ red green blue)", "alone", "(^ rain snow)", "wind << sea", "(# 3 tea milk)"]
-_VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(SHAPES))
+#: A query of one of these shapes for each document, with a word of its own, in SQL and in Spark.
+_SHAPED = f"t AS (SELECT doc_id, [{', '.join(repr(q) for q in SHAPES)}][doc_id % {len(SHAPES)} + 1] || ' x' || doc_id AS q FROM documents)"
+_ARITY = r"coalesce(list_max(list_transform(regexp_extract_all(q, '\(\^([^()]*)\)', 1), lambda g: len(regexp_extract_all(g, '\S+')))), 0)"
+
 
+def shaped(v: Views) -> DataFrame:
+    q = F.get(F.array(*map(F.lit, SHAPES)), (F.col("doc_id") % len(SHAPES)).cast("int"))
+    return v.documents.select("doc_id", F.concat(q, F.lit(" x"), F.col("doc_id").cast("string")).alias("q"))
 
-@query("p28_query_shape", f"""WITH t AS (SELECT * FROM (VALUES {_VALUES}) AS x(i, q))
-SELECT CAST(i AS BIGINT) AS i, CAST(coalesce(list_max(list_transform(regexp_extract_all(q, '\\(\\^([^()]*)\\)', 1), lambda g: len(regexp_extract_all(g, '\\S+')))), 0) AS BIGINT) AS arity,
+
+@query("p28_query_shape", f"""WITH {_SHAPED} SELECT doc_id, CAST({_ARITY} AS BIGINT) AS arity,
 regexp_matches(q, '"[^"]+"') AS phrase, contains(q, '(+ ') AS has_or, contains(q, '<<') OR contains(q, '>>') OR contains(q, '(# ') AS proximity, regexp_matches(q, '[A-Z]') AS entity,
 CAST(len(regexp_extract_all(q, '[A-Za-z0-9]+')) AS BIGINT) AS atoms FROM t""")
 def p28(v: Views) -> DataFrame:
-    t = v.spark.range(1).select(F.posexplode(F.array(*map(F.lit, SHAPES))).alias("i", "q"))
     q = F.col("q")
-    return t.select(F.col("i").cast("long").alias("i"), text.and_arity(q).cast("long").alias("arity"), text.has_phrase(q).alias("phrase"), text.has_or(q).alias("has_or"), text.has_proximity(q).alias("proximity"), text.has_entity(q).alias("entity"), text.n_atoms(q).cast("long").alias("atoms"))
+    return shaped(v).select("doc_id", text.and_arity(q).cast("long").alias("arity"), text.has_phrase(q).alias("phrase"), text.has_or(q).alias("has_or"), text.has_proximity(q).alias("proximity"), text.has_entity(q).alias("entity"), text.n_atoms(q).cast("long").alias("atoms"))
 
 
-@query("p29_query_bucket", f"""WITH t AS (SELECT *, coalesce(list_max(list_transform(regexp_extract_all(q, '\\(\\^([^()]*)\\)', 1), lambda g: len(regexp_extract_all(g, '\\S+')))), 0) AS a FROM (VALUES {_VALUES}) AS x(i, q))
-SELECT CAST(i AS BIGINT) AS i, CASE WHEN contains(q, '(+ ') THEN 'anchor+OR' WHEN regexp_matches(q, '"[^"]+"') THEN 'phrase-bearing' WHEN a >= 3 THEN 'multi-AND' WHEN a <= 1 THEN 'single-facet' ELSE 'other' END AS bucket FROM t""")
+@query("p29_query_bucket", f"""WITH {_SHAPED}, u AS (SELECT *, {_ARITY} AS a FROM t)
+SELECT doc_id, CASE WHEN contains(q, '(+ ') THEN 'anchor+OR' WHEN regexp_matches(q, '"[^"]+"') THEN 'phrase-bearing' WHEN a >= 3 THEN 'multi-AND' WHEN a <= 1 THEN 'single-facet' ELSE 'other' END AS bucket FROM u""")
 def p29(v: Views) -> DataFrame:
-    t = v.spark.range(1).select(F.posexplode(F.array(*map(F.lit, SHAPES))).alias("i", "q"))
-    return t.select(F.col("i").cast("long").alias("i"), text.shape(F.col("q")).alias("bucket"))
+    return shaped(v).select("doc_id", text.shape(F.col("q")).alias("bucket"))
 
 
 def term_sql(term: str) -> str:
@@ -310,14 +315,15 @@ def p37(v: Views) -> DataFrame:
     return validate.stage_checks(v.corpus.select("docid", "contents"), s)
 
 
-PAYLOADS = ['{"cid": 1, "grade": 2}', '{"cid": 2, "grade": 9}', '{"cid": 3}', "not json", '{"cid": 4, "grade": 0, "more": 1}']
-
-
-@query("p38_fail_closed_payload", """SELECT CAST(i AS BIGINT) AS i, i = 0 AS accepted, CASE i WHEN 1 THEN 'grade' WHEN 2 THEN 'keys' WHEN 3 THEN 'json' WHEN 4 THEN 'keys' END AS problem FROM (SELECT unnest(range(0, 5)) AS i)""")
+@query("p38_fail_closed_payload", "SELECT doc_id, doc_id % 5 = 0 AS accepted, CASE doc_id % 5 WHEN 1 THEN 'grade' WHEN 2 THEN 'keys' WHEN 3 THEN 'json' WHEN 4 THEN 'keys' END AS problem FROM documents")
 def p38(v: Views) -> DataFrame:
-    t = v.spark.range(1).select(F.posexplode(F.array(*map(F.lit, PAYLOADS))).alias("i", "payload"))
-    problem = validate.payload_problem(F.col("payload"))
-    return t.select(F.col("i").cast("long").alias("i"), problem.isNull().alias("accepted"), problem.alias("problem"))
+    """An answer of five kinds for each document."""
+    n = F.col("doc_id").cast("string")
+    grade = (F.col("doc_id") % 3).cast("string")
+    payloads = [F.concat(F.lit('{"cid": '), n, F.lit(', "grade": '), grade, F.lit("}")), F.concat(F.lit('{"cid": '), n, F.lit(', "grade": 9}')), F.concat(F.lit('{"cid": '), n, F.lit("}")), F.concat(F.lit("not json "), n),
+                F.concat(F.lit('{"cid": '), n, F.lit(', "grade": '), grade, F.lit(', "more": 1}'))]
+    problem = validate.payload_problem(F.get(F.array(*payloads), (F.col("doc_id") % 5).cast("int")))
+    return v.documents.select("doc_id", problem.alias("problem")).select("doc_id", F.col("problem").isNull().alias("accepted"), "problem")
 
 
 MATRIX = """c AS (SELECT qid, cid FROM rubric WHERE weight > 0), s AS (SELECT qid, CASE WHEN cid % 97 = 0 THEN -cid ELSE cid END AS cid, CASE WHEN cid % 89 = 0 THEN 7 ELSE grade_a END AS score FROM rubric WHERE weight > 0 AND cid % 101 <> 0

@@ -46,11 +46,13 @@ def j04(v: Views) -> DataFrame:
     return grid.join(v.runs.filter("rnk <= 30").select("config", "qkey", "chunk_id"), ["config", "qkey"], "left").groupBy("config", "qkey").agg(F.count("chunk_id").alias("hits"))
 
 
-@query("j05_grid_with_baseline", "SELECT k1, b, row_number() OVER (ORDER BY k1, b) AS place FROM (SELECT k1, b FROM (SELECT unnest([0.6, 0.9, 1.2]::DOUBLE[]) AS k1), (SELECT unnest([0.2, 0.6]::DOUBLE[]) AS b) UNION SELECT 0.9, 0.4)")
+@query("j05_grid_with_baseline", """WITH k AS (SELECT DISTINCT (length(text) % 12 + 1) / 10.0::DOUBLE AS k1 FROM documents), b AS (SELECT DISTINCT (doc_id % 7) / 10.0::DOUBLE AS b FROM documents)
+SELECT k1, b, row_number() OVER (ORDER BY k1, b) AS place FROM (SELECT k1, b FROM k, b UNION SELECT 0.95, 0.45)""")
 def j05(v: Views) -> DataFrame:
-    arr = lambda *x: F.explode(F.array(*map(F.lit, x)))
-    g = v.spark.range(1).select(arr(0.6, 0.9, 1.2).alias("k1")).select("k1", arr(0.2, 0.6).alias("b"))
-    g = g.unionByName(v.spark.sql("SELECT 0.9D AS k1, 0.4D AS b")).dropDuplicates()
+    """The grid of all values that the table has of either parameter (12 and 7 at most), and a baseline beside it."""
+    d = v.documents.select(((F.length("text") % 12 + 1) / F.lit(10.0)).alias("k1"), (F.col("doc_id") % 7 / F.lit(10.0)).alias("b"))
+    g = d.agg(F.collect_set("k1").alias("ks"), F.collect_set("b").alias("bs")).select(F.explode("ks").alias("k1"), "bs").select("k1", F.explode("bs").alias("b"))
+    g = g.unionByName(v.spark.sql("SELECT 0.95D AS k1, 0.45D AS b")).dropDuplicates()
     return g.select("k1", "b", F.row_number().over(W.orderBy("k1", "b")).cast("long").alias("place"))
 
 

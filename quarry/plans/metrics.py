@@ -42,11 +42,12 @@ def per_query(v: Views) -> DataFrame:
     return M.query_metrics(v.runs, v.qrels)
 
 
-@query("m01_gains_discount", f"""SELECT grade, r AS rank, {gain_sql('grade', 'exp')} AS g_exp, {gain_sql('grade', 'lin')} AS g_lin, CAST({gain_sql('grade', 'bin2')} AS DOUBLE) AS g_bin, round(1.0 / log2(r + 1.0), 6) AS discount
-FROM (SELECT unnest(range(0, 4)) AS grade), (SELECT unnest(range(1, 11)) AS r)""")
+@query("m01_gains_discount", f"""SELECT config, qkey, chunk_id, {gain_sql('grade', 'exp')} AS g_exp, {gain_sql('grade', 'lin')} AS g_lin, CAST({gain_sql('grade', 'bin2')} AS DOUBLE) AS g_bin, round(1.0 / log2(rnk + 1.0), 6) AS discount
+FROM (SELECT r.config, r.qkey, r.chunk_id, r.rnk, coalesce(q.grade, 0) AS grade FROM runs r LEFT JOIN qrels q ON q.topic_id = r.topic_id AND q.chunk_id = r.chunk_id)""")
 def m01(v: Views) -> DataFrame:
-    d = v.spark.range(40).select((F.col("id") % 4).alias("grade"), (F.floor(F.col("id") / 4) + 1).alias("rank"))
-    return d.select("grade", "rank", *(M.gain(F.col("grade"), k).alias(n) for k, n in (("exp", "g_exp"), ("lin", "g_lin"), ("bin2", "g_bin"))), F.round(M.discount(F.col("rank")), 6).alias("discount"))
+    """Gains and discount of every hit of the runs."""
+    d = v.runs.join(v.qrels.select("topic_id", "chunk_id", "grade"), ["topic_id", "chunk_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    return d.select("config", "qkey", "chunk_id", *(M.gain(F.col("grade"), k).alias(n) for k, n in (("exp", "g_exp"), ("lin", "g_lin"), ("bin2", "g_bin"))), F.round(M.discount(F.col("rnk")), 6).alias("discount"))
 
 
 @query("m02_dcg", f"WITH {GRADED} SELECT config, qkey, round({dcg_sql(10, 'exp')}, 6) AS dcg FROM g GROUP BY 1, 2")
@@ -245,8 +246,12 @@ def u06(v: Views) -> DataFrame:
     return global_rank(v.benchmark.join(wanted, "item_id", "left_semi").select("item_id"), [F.col("item_id")])
 
 
-@query("u07_config_list", "SELECT * FROM (VALUES (0, 0.9::DOUBLE, 0.4::DOUBLE), (1, 1.2, 0.75), (2, 2.0, 0.2)) AS t(place, k1, b)")
+@query("u07_config_list", """WITH t AS (SELECT doc_id, doc_id % 9 + 1 AS n FROM documents)
+SELECT doc_id, 0 AS place, n / 10.0::DOUBLE AS k1, 0.4::DOUBLE AS b FROM t UNION ALL SELECT doc_id, 1, 1.2, 0.75 FROM t UNION ALL SELECT doc_id, 2, n + 1.0, n / 20.0::DOUBLE FROM t""")
 def u07(v: Views) -> DataFrame:
-    tokens = F.array_distinct(F.split(F.lit("0.9:0.4,1.2:0.75,0.9:0.4,2.0:0.2"), ","))
-    t = v.spark.range(1).select(F.posexplode(tokens).alias("place", "t"))
-    return t.select("place", F.split_part("t", F.lit(":"), F.lit(1)).cast("double").alias("k1"), F.split_part("t", F.lit(":"), F.lit(2)).cast("double").alias("b"))
+    """A list of configurations for each document, one of them twice; repeats keep their first place."""
+    n = (F.col("doc_id") % 9 + 1).cast("double")
+    one = F.concat((n / 10).cast("string"), F.lit(":0.4"))
+    given = F.concat_ws(",", one, F.lit("1.2:0.75"), one, F.concat((n + 1).cast("string"), F.lit(":"), (n / 20).cast("string")))
+    t = v.documents.select("doc_id", F.posexplode(F.array_distinct(F.split(given, ","))).alias("place", "t"))
+    return t.select("doc_id", "place", F.split_part("t", F.lit(":"), F.lit(1)).cast("double").alias("k1"), F.split_part("t", F.lit(":"), F.lit(2)).cast("double").alias("b"))

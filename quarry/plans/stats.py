@@ -55,10 +55,11 @@ def m16(v: Views) -> DataFrame:
     return S.t_statistics(deltas(v), ["topic_id"]).select("topic_id", *r6("t"), "df")
 
 
-@query("m17_distribution_tails", f"WITH x AS (SELECT id / 50 AS x, CAST(id % 30 + 1 AS DOUBLE) AS df FROM (SELECT unnest(range(1, 400)) AS id)) SELECT x, df, round({t_p_sql('x', 'df')}, 9) AS t_p, round({normal_p_sql('x')}, 9) AS normal_p FROM x")
+@query("m17_distribution_tails", f"WITH x AS (SELECT doc_id, (length(text) % 399 + 1) / 50.0::DOUBLE AS x, CAST(doc_id % 30 + 1 AS DOUBLE) AS df FROM documents) SELECT doc_id, x, df, round({t_p_sql('x', 'df')}, 9) AS t_p, round({normal_p_sql('x')}, 9) AS normal_p FROM x")
 def m17(v: Views) -> DataFrame:
-    x = v.spark.range(1, 400).select((F.col("id") / 50).alias("x"), (F.col("id") % 30 + 1).cast("double").alias("df"))
-    return x.select("x", "df", F.round(S.t_p("x", "df"), 9).alias("t_p"), F.round(S.normal_p("x"), 9).alias("normal_p"))
+    """Two-sided tails at a statistic of each document."""
+    x = v.documents.select("doc_id", ((F.length("text") % 399 + 1) / F.lit(50.0)).alias("x"), (F.col("doc_id") % 30 + 1).cast("double").alias("df"))
+    return x.select("doc_id", "x", "df", F.round(S.t_p("x", "df"), 9).alias("t_p"), F.round(S.normal_p("x"), 9).alias("normal_p"))
 
 
 @query("m18_wilcoxon", f"""WITH {DELTAS}, z AS (SELECT topic_id, delta, abs(delta) AS a FROM dl WHERE delta <> 0), r AS (SELECT *, count(*) OVER (PARTITION BY topic_id, a) AS k, rank() OVER (PARTITION BY topic_id ORDER BY a) AS r0 FROM z),
@@ -73,10 +74,13 @@ def m19(v: Views) -> DataFrame:
     return S.bootstrap(deltas(v), ["topic_id"]).select("topic_id", *r6("low", "high"))
 
 
-@query("m20_bonferroni", "SELECT id / 1000.0::DOUBLE AS p, least(1.0, id / 1000.0::DOUBLE * 25) AS adjusted, id / 1000.0::DOUBLE <= 0.05 / 25 AS significant FROM (SELECT unnest(range(0, 100)) AS id)")
+@query("m20_bonferroni", """WITH x AS (SELECT doc_id, (length(text) % 100) / 1000.0::DOUBLE AS p FROM documents), n AS (SELECT count(DISTINCT source) AS n FROM documents)
+SELECT doc_id, p, least(1.0, p * n) AS adjusted, p <= 0.05 / n AS significant FROM x, n""")
 def m20(v: Views) -> DataFrame:
-    p = F.col("id") / 1000.0
-    return v.spark.range(100).select(p.alias("p"), S.bonferroni(p, 25).alias("adjusted"), (p <= 0.05 / 25).alias("significant"))
+    """A p-value of each document, adjusted for as many comparisons as there are sources."""
+    n = v.documents.agg(F.countDistinct("source")).collect()[0][0]
+    p = (F.length("text") % 100) / F.lit(1000.0)
+    return v.documents.select("doc_id", p.alias("p"), S.bonferroni(p, n).alias("adjusted"), (p <= 0.05 / max(1, n)).alias("significant"))
 
 
 def _t_sql(rows: str) -> str:
