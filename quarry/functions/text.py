@@ -33,11 +33,27 @@ def to_words(tokens: Column, rate: float = TOKENS_PER_WORD) -> Column:
 
 
 def chunk_fixed(text: Column, size: int, step: int) -> Column:
-    """Windows of `size` words every `step`, with the white space between words as it was."""
-    parts = F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0))
-    last = F.ceil(F.greatest(F.size(parts) - size, F.lit(0)) / step).cast("int")
-    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.regexp_replace(F.array_join(F.slice(parts, k * step + 1, size), ""), r"\s+$", ""))
+    """Windows of `size` words every `step`, with the white space between words as it was.
+
+    The text is cut once, into pieces of `step` words; a window is some whole pieces and the first words of the next, so no word is looked at alone.
+    """
+    words = lambda n: rf"(?:\S++\s*+){{1,{n}}}+"  # noqa: E731  possessive: no window takes the stack
+    whole, more = divmod(size, step)
+
+    def windows(pieces: Column) -> Column:
+        n = (F.size(pieces) - 1) * step + F.regexp_count(F.element_at(pieces, -1), F.lit(r"\S+"))
+        starts = F.sequence(F.lit(0), F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int"))
+
+        def window(k: Column) -> Column:
+            parts = F.array_join(F.slice(pieces, k + 1, whole), "") if whole else F.lit("")
+            if more:
+                parts = F.concat(parts, F.coalesce(F.regexp_extract(F.get(pieces, k + whole), "^" + words(more), 0), F.lit("")))
+            return F.rtrim(parts, F.lit(" \t\n\x0b\f\r"))
+
+        return F.when(F.size(pieces) > 0, F.transform(starts, window)).otherwise(F.array().cast("array<string>"))
+
+    # bound to a name, so that the cut isn't made again for each window
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(words(step)), F.lit(0))), windows), F.lit(0))
 
 
 def compact(text: Column) -> Column:

@@ -114,6 +114,22 @@ def test_grade_parse_takes_the_last(spark):
     assert one(spark, T.parse_grade(F.lit("none"))) is None
 
 
+def test_fixed_windows_keep_the_white_space(spark):
+    import random
+    import re
+
+    rng = random.Random(6)
+    texts = ["", " \n", "one", "  a  b\n\nc "] + ["".join(rng.choice(["a", "bb", "é"]) + rng.choice([" ", "\n", "  \t"]) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    for size, step in ((10, 3), (5, 5), (3, 7), (12, 4), (1, 1)):
+        got = {r["i"]: r["c"] for r in d.select("i", T.chunk_fixed(F.col("t"), size, step).alias("c")).collect()}
+        for i, t in enumerate(texts):
+            parts = re.findall(r"\S+\s*", t)
+            last = -(-max(0, len(parts) - size) // step)
+            assert got[i] == [re.sub(r"\s+$", "", "".join(parts[k * step : k * step + size])) for k in range(last + 1)] * bool(parts)
+        assert got[-1] == []
+
+
 def test_gcl_covers():
     at = {"a": [0, 10], "b": [3, 11], "c": [4]}
     assert R.covers(R.parse_gcl("(^ a b)"), at) == [(0, 3), (3, 10), (10, 11)]
