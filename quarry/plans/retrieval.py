@@ -209,16 +209,20 @@ f AS (SELECT conv_id, doc, CASE WHEN len(sp) > 0 THEN sp WHEN whole <> '' THEN [
 t AS (SELECT c.conv_id, c.turn AS finding, n.doc, n.n, n.span, c.text AS claim FROM conversations c JOIN n ON n.conv_id = c.conv_id WHERE c.role = 'assistant'),
 w AS (SELECT conv_id, finding, doc, n, span, {_A} AS a, {_B} AS b, {_NA} AS na, {_NB} AS nb FROM t),
 s AS (SELECT conv_id, finding, doc, n, span, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / sqrt(len(a) * len(b)) + CASE WHEN len(list_intersect(na, nb)) > 0 THEN 0.35 ELSE 0 END END, 6) AS score FROM w),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, finding, doc ORDER BY score DESC, n) AS r FROM s WHERE score >= 0.05),
-d AS (SELECT conv_id, finding, doc, row_number() OVER (PARTITION BY conv_id, finding ORDER BY score DESC, doc) AS d FROM r WHERE r = 1)
-SELECT r.conv_id, r.finding, d AS doc_rank, r.doc, r AS span_rank, span, score FROM r JOIN d ON d.conv_id = r.conv_id AND d.finding = r.finding AND d.doc = r.doc WHERE r <= 2 AND d <= 3""")
+o AS (SELECT *, CASE WHEN doc = finding - 1 THEN 1.0::DOUBLE WHEN doc // 4 = (finding - 1) // 4 AND finding - 1 IN (SELECT u.doc FROM u WHERE u.conv_id = s.conv_id) THEN 0.8 ELSE 0.0 END AS bonus FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, finding, doc ORDER BY score DESC, n) AS r FROM o),
+d AS (SELECT conv_id, finding, doc, row_number() OVER (PARTITION BY conv_id, finding ORDER BY round(score + bonus, 6) DESC, doc DESC) AS d FROM r WHERE r = 1 AND round(score + bonus, 6) >= 0.05),
+x AS (SELECT r.conv_id, r.finding, d AS doc_rank, r.doc, r AS span_rank, substr(span, 1, 620) AS span, score, bonus, sum(length(substr(span, 1, 620))) OVER (PARTITION BY r.conv_id ORDER BY r.finding, d, r ROWS UNBOUNDED PRECEDING) AS used
+  FROM r JOIN d ON d.conv_id = r.conv_id AND d.finding = r.finding AND d.doc = r.doc WHERE r <= CASE WHEN bonus > 0 THEN 5 ELSE 2 END AND d <= 3)
+SELECT conv_id, finding, doc_rank, doc, span_rank, span, score, bonus FROM x WHERE used <= 2000""")
 def r17(v: Views) -> DataFrame:
-    """For each answer turn, the best spans of the other turns of its conversation, three documents at most."""
+    """For each answer turn, the best spans of the other turns of its conversation, three documents at most; the turn before is cited, four turns have one parent."""
     from quarry.operators.evidence import packets
 
-    claims = v.conversations.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("finding"), F.col("text").alias("claim"))
-    docs = v.conversations.filter("role = 'user'").select("conv_id", F.col("turn").alias("doc"), "text")
-    return packets(claims, docs, ["conv_id"])
+    turn = F.col("turn")
+    claims = v.conversations.filter("role = 'assistant'").select("conv_id", turn.alias("finding"), F.col("text").alias("claim"), F.array(turn - 1).alias("cited"))
+    docs = v.conversations.filter("role = 'user'").select("conv_id", turn.alias("doc"), F.floor(turn / 4).alias("parent"), "text")
+    return packets(claims, docs, ["conv_id"], budget=2_000)
 
 
 @query("r18_batch_search", f"WITH {INDEX}, {bm25_sql(1.2, 0.75)} SELECT qid, count(*) AS hits, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM s) WHERE rank <= 100 GROUP BY 1")

@@ -114,6 +114,19 @@ def test_grade_parse_takes_the_last(spark):
     assert one(spark, T.parse_grade(F.lit("none"))) is None
 
 
+def test_packets_prefer_what_is_cited(spark):
+    from quarry.operators.evidence import packets
+
+    said = [" ".join(f"{w}{i}" for w in ("Alpha", "beta", "gamma", "delta", "words", "that", "make", "one", "span", "of", "text", "here")) + "." for i in range(7)]
+    claims = spark.createDataFrame([(1, 1, "alpha0 beta0 gamma0 delta0", ["p2"])], "g int, finding int, claim string, cited array<string>")
+    docs = spark.createDataFrame([(1, "p1", "P", "\n\n".join(said[1:])), (1, "p2", "P", "\n\n".join(said[1:])), (1, "q", "Q", said[0]), (1, "r", "R", said[6])], "g int, doc string, parent string, text string")
+    got = packets(claims, docs, ["g"]).orderBy("doc_rank", "span_rank").collect()
+    assert [r["doc"] for r in got if r["span_rank"] == 1] == ["p2", "p1", "q"] and [r["bonus"] for r in got if r["span_rank"] == 1] == [1.0, 0.8, 0.0]
+    assert max(r["span_rank"] for r in got if r["doc"] == "p2") == 5
+    short = packets(claims, docs, ["g"], excerpt=10, budget=35).collect()
+    assert len(short) == 3 and all(len(r["span"]) == 10 for r in short)
+
+
 def test_fixed_windows_keep_the_white_space(spark):
     import random
     import re
