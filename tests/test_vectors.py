@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,44 @@ def test_pruning_keeps_the_nearest_and_drops_the_shadowed():
     x = np.array([[0.0], [1.0], [1.1], [-1.0]], np.float32)
     assert G.prune(x, 0, np.array([1, 2, 3, 0, -1]), 4, 1.44).tolist() == [1, 3]
     assert G.prune(x, 0, np.array([1, 2, 3]), 1, 1.44).tolist() == [1]
+
+
+def test_an_index_of_codes_finds_what_exact_search_finds(spark):
+    """Vectors nearer to each other than their codes tell, and many copies of one: the same rows as exact search, ties by id."""
+    rng = np.random.default_rng(1)
+    x = (1.0 + 1e-4 * rng.standard_normal((3000, 8))).astype(np.float32)
+    x[500:900] = x[np.argmax(x.sum(1))]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>").repartition(4)
+    q = d.filter("id % 300 = 0").withColumnRenamed("id", "query_id")
+    path = scratch(spark, "codes")
+    D.write_codes(d, path)
+    want = {}
+    for i in range(0, 3000, 300):
+        s = np.zeros(3000)
+        for e in range(8):
+            s += x[i, e].astype(np.float64) * x[:, e]
+        want[i] = [int(j) for j in np.lexsort((np.arange(3000), -s))[:10]]
+    for found in (D.quantised_top_k(q, d, path, 10), D.top_k(q, d, 10)):
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == want
+
+
+def peak(spark):
+    def run(batches):
+        import resource
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024]})
+
+    return max(r["mb"] for r in spark.range(0, 8, 1, 4).mapInArrow(run, "mb long").collect())
+
+
+def test_many_queries_take_no_more_memory(spark):
+    before = peak(spark)
+    d = spark.range(0, 10_000, 1, 4).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.sin(F.col("id") * k)).alias("vec"))
+    d = d.coalesce(1)
+    got = D.top_k(d.withColumnRenamed("id", "query_id"), d.limit(9000), 2)
+    assert got.count() == 20_000
+    assert peak(spark) < max(before + 100, 600)
