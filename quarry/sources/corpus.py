@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +37,30 @@ def with_row_numbers(df: DataFrame) -> DataFrame:
     return df.select("*", stem.alias("file_stem"), F.col("_metadata.row_index").alias("row_number"))
 
 
-def scan_parquet(spark: SparkSession, path: str | list[str], preferred_id: str | None = None, preferred_text: str | None = None) -> DataFrame:
+def with_table_row_numbers(df: DataFrame, path: str) -> DataFrame:
+    """The same for a table that may be a folder: its name's stem, and rows numbered on over its files in order of their paths.
+
+    What is known of a file is its number of rows, which its footer tells.
+    """
+    file = F.col("_metadata.file_path")
+    files = sorted(df.select(file.alias("file")).groupBy("file").count().collect())
+    starts = list(zip((f for f, _ in files), accumulate((n for _, n in files), initial=0)))
+    before = df.sparkSession.createDataFrame(starts, "_file string, _before long")
+    rows = df.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row")).join(F.broadcast(before), "_file")
+    stem = path.rstrip("/").rsplit("/", 1)[-1]
+    return rows.withColumn("file_stem", F.lit(stem.rsplit(".", 1)[0] or stem)).withColumn("row_number", F.col("_before") + F.col("_row")).drop("_file", "_before", "_row")
+
+
+def scan_parquet(spark: SparkSession, path: str | list[str], preferred_id: str | None = None, preferred_text: str | None = None, table: bool = False) -> DataFrame:
     """(docid, contents, source_file, row_number, mode): the first non-empty string id, else <stem>_<row>.
 
-    Only the id candidates and the text column are read.
+    Only the id candidates and the text column are read. `table`: the path is one table, be it a file or a folder of files.
     """
     df = spark.read.option("recursiveFileLookup", "true").parquet(*([path] if isinstance(path, str) else path))
     strings = dict(df.dtypes)
     text = text_field(df.columns, preferred_text)
     ids = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in id_candidates(df.columns, preferred_id) if strings[c] in ("string", "binary")]
-    rows = with_row_numbers(df)
+    rows = with_table_row_numbers(df, path) if table and isinstance(path, str) else with_row_numbers(df)
     own = F.coalesce(*ids, F.lit(None).cast("string"))
     made = F.concat("file_stem", F.lit("_"), F.col("row_number").cast("string"))
     return rows.select(F.coalesce(own, made).alias("docid"), F.coalesce(F.col(text), F.lit("")).alias("contents"), F.col("file_stem").alias("source_file"), "row_number", F.when(own.isNull(), "row").otherwise("field").alias("mode"))
