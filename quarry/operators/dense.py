@@ -63,7 +63,7 @@ def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, m - k, axis=1)[:, m - k] if m >= k else np.full(len(scores), -np.inf)
 
 
-def _places(sorted_keys: np.ndarray) -> np.ndarray:
+def places(sorted_keys: np.ndarray) -> np.ndarray:
     """Each entry's place among the equal ones of a sorted array."""
     n = np.arange(len(sorted_keys))
     first = np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(n)]
@@ -115,7 +115,7 @@ def _merge(best_s: np.ndarray, best_i: np.ndarray, q: np.ndarray, c: np.ndarray,
     k, met = best_s.shape[1], np.unique(q)
     q, s, i = np.append(np.repeat(met, k), q), np.append(best_s[met].ravel(), s), np.append(best_i[met].ravel(), own[c])
     order = np.lexsort((i, -s, q))
-    order, place = order[keep := (p := _places(q[order])) < k], p[keep]
+    order, place = order[keep := (p := places(q[order])) < k], p[keep]
     best_s[q[order], place], best_i[q[order], place] = s[order], i[order]
 
 
@@ -248,8 +248,8 @@ def _candidates(found: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
     """What may be among the best k of its query; of copies the k of least ids. Raises `least` to the k-th highest of the least scores."""
     found = found[np.lexsort((found["id"], found["copy"], found["q"]))]
     same = np.append(False, (found["q"][1:] == found["q"][:-1]) & (found["copy"][1:] == found["copy"][:-1]))[: len(found)]
-    found = found[_places(np.cumsum(~same)) < k]
+    found = found[places(np.cumsum(~same)) < k]
     found = found[np.lexsort((-found["low"], found["q"]))]
-    last = found[_places(found["q"]) == k - 1]
+    last = found[places(found["q"]) == k - 1]
     least[last["q"]] = np.maximum(least[last["q"]], last["low"])
     return found[found["high"] >= least[found["q"]]]
