@@ -197,16 +197,16 @@ def shape(q: Column) -> Column:
     return F.when(has_or(q), "anchor+OR").when(has_phrase(q), "phrase-bearing").when(a >= 3, "multi-AND").when(a <= 1, "single-facet").otherwise("other")
 
 
-# Patterns and weights of the document quality score.
+# Patterns and weights of the document quality score. Alternatives share one word boundary, and are tried only behind a letter that one begins with.
 QUALITY = {
-    "figures": r"(?<![\w.])\d{1,3}(?:,\d{3})+(?![\d,.])|(?<![\w.])\d+(?:\.\d+)?\s?(?:%|percent|per cent)|[$€£¥]\s?\d",
+    "figures": r"(?=[\d$€£¥])(?:(?<![\w.])(?:\d{1,3}(?:,\d{3})+(?![\d,.])|\d+(?:\.\d+)?\s?(?:%|percent|per cent))|[$€£¥]\s?\d)",
     "years": r"\b(?:1[89]\d{2}|20[0-2]\d)\b",
     "units": r"(?i)\b\d+(?:\.\d+)?\s?(?:kg|km|cm|mm|mg|ml|GHz|MHz|GB|TB|kW|MW|°C|°F|mph|km/h|years?|months?|days?|hours?)\b",
-    "cites": r"(?i)\bet al\.|\(\d{4}\)|\bdoi:|\bISBN\b|\bvol\.\s?\d+|\bpp?\.\s?\d+|\bJournal of\b|\bProceedings of\b|\barXiv\b",
-    "insts": r"\b(?:University|Institute|Laborator(?:y|ies)|Ministry|Department of|Commission|Bureau|Agency|Foundation|Association|Society|WHO|CDC|NIH|NASA|OECD|IMF|IEEE|NIST|FDA|EPA)\b",
-    "seo": r"(?i)\bin this (?:article|post|guide|blog)\b|\bwe will (?:delve|explore|dive)\b|\bkeep reading\b|\bread on\b|\blet'?s (?:dive|get started|explore)\b|\bclick here\b|\byou might be (?:thinking|wondering)\b|\bfrequently asked questions\b|\bthe ultimate guide\b|\beverything you need to know\b|\bin conclusion\b",
+    "cites": r"(?i)\b(?=[adeijpv])(?:et al\.|doi:|ISBN\b|vol\.\s?\d+|pp?\.\s?\d+|Journal of\b|Proceedings of\b|arXiv\b)|\(\d{4}\)",
+    "insts": r"\b(?=[A-FILMNOSUW])(?:University|Institute|Laborator(?:y|ies)|Ministry|Department of|Commission|Bureau|Agency|Foundation|Association|Society|WHO|CDC|NIH|NASA|OECD|IMF|IEEE|NIST|FDA|EPA)\b",
+    "seo": r"(?i)\b(?=[cefiklrtwy])(?:in this (?:article|post|guide|blog)\b|we will (?:delve|explore|dive)\b|keep reading\b|read on\b|let'?s (?:dive|get started|explore)\b|click here\b|you might be (?:thinking|wondering)\b|frequently asked questions\b|the ultimate guide\b|everything you need to know\b|in conclusion\b)",
     "you": r"(?i)\b(?:you|your|you'?re|you'?ll)\b",
-    "llm": r"(?i)\bdelve\b|\bdelving\b|\btapestry\b|\bnavigat(?:e|ing) the complexit|\btestament to\b|\bin today'?s (?:fast-paced|digital|modern) world\b|\bit'?s (?:important|worth) (?:to )?not(?:e|ing)\b|\bmultifaceted\b|\bplays a (?:crucial|pivotal|vital) role\b|\bcaptivating\b|\brealm of\b|\bunlock(?:ing)? the (?:power|potential|secrets)\b|\bembark on a journey\b|\bever-(?:evolving|changing) landscape\b",
+    "llm": r"(?i)\b(?=[cdeimnprtu])(?:delve\b|delving\b|tapestry\b|navigat(?:e|ing) the complexit|testament to\b|in today'?s (?:fast-paced|digital|modern) world\b|it'?s (?:important|worth) (?:to )?not(?:e|ing)\b|multifaceted\b|plays a (?:crucial|pivotal|vital) role\b|captivating\b|realm of\b|unlock(?:ing)? the (?:power|potential|secrets)\b|embark on a journey\b|ever-(?:evolving|changing) landscape\b)",
 }
 QUALITY_CREDIT = {"figures": (0.30, 4.0), "years": (0.20, 4.0), "units": (0.15, 2.0), "cites": (0.20, 1.5), "insts": (0.15, 2.0)}
 QUALITY_PENALTY = {"seo": (0.45, 2.0), "you": (0.25, 20.0), "llm": (0.45, 2.0)}
