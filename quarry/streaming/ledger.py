@@ -9,9 +9,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import MapState
 
 LATER = "already committed"
 PARALLEL = "returned by a parallel query"
@@ -20,6 +19,7 @@ UNSELECTED = "not selected"
 
 OUT = "seq long, unit string, outcome string, reason string"
 NAMES = [x.split()[0] for x in OUT.split(", ")]
+DECISION = Row("run", *NAMES)
 
 
 class Ledger:
@@ -94,42 +94,14 @@ def replay(events: DataFrame, most: int = 3) -> DataFrame:
     return events.groupBy("run").applyInPandas(run, f"run {events.schema['run'].dataType.simpleString()}, {OUT}")
 
 
-class _Held:
-    """A dictionary that lives in a run's map state: only the units that an event names are looked at."""
-
-    def __init__(self, state: MapState):
-        self.state = state
-
-    def __contains__(self, unit: str) -> bool:
-        return self.state.containsKey((unit,))
-
-    def __setitem__(self, unit: str, seq: int) -> None:
-        self.state.updateValue((unit,), (seq,))
-
-    def update(self, units: dict[str, int]) -> None:
-        for u, seq in units.items():
-            self[u] = seq
-
-    def pop(self, unit: str) -> int:
-        seq = self.state.getValue((unit,))[0]
-        self.state.removeKey((unit,))
-        return seq
-
-
-class _HeldSet(_Held):
-    def add(self, unit: str) -> None:
-        self[unit] = 0
-
-    def __isub__(self, units: set[str]) -> _HeldSet:
-        for u in units:
-            if u in self:
-                self.state.removeKey((u,))
-        return self
+#: A run's ledger as one value: what it holds, since when, what it has rejected, its staged batch, and the batch's event and end.
+STATE = "home array<string>, since array<long>, rejected array<string>, pending array<string>, seq long, until long"
 
 
 class Keeper(StatefulProcessor):
-    """A run's ledger as a state machine: what it holds and has rejected in map states, its staged batch in a list, and a timer for the batch.
+    """A run's ledger as a state machine: one value that is read and written once a run and micro-batch, and a timer for the staged batch.
 
+    Each call of a state is a message to the executor's JVM, so what an event asks is looked up in the value and not in states of its own.
     A batch that is staged longer than `keep_ms` of event time without a commit expires: by the next event of the run if that comes too late, else by
     the timer, once the watermark has passed. Both give the same rows.
     """
@@ -139,30 +111,23 @@ class Keeper(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.home = handle.getMapState("home", "unit string", "since long")
-        self.rejected = handle.getMapState("rejected", "unit string", "seq long")
-        self.pending = handle.getListState("pending", "unit string")
-        self.staged = handle.getValueState("staged", "seq long, until long")
-
-    def _ledger(self) -> Ledger:
-        ledger = Ledger(self.most)
-        ledger.home, ledger.rejected = _Held(self.home), _HeldSet(self.rejected)
-        ledger.pending = [r[0] for r in self.pending.get()] if self.pending.exists() else []
-        return ledger
-
-    def _put(self, ledger: Ledger) -> None:
-        if ledger.pending:
-            self.pending.put([(u,) for u in ledger.pending])
-        elif self.pending.exists():
-            self.pending.clear()
-
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["run", *NAMES])
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        ledger, out = self._ledger(), []
-        since = self.staged.get() if self.staged.exists() else None
-        for e in pd.concat(list(rows)).sort_values("seq").itertuples():
+        self.state = handle.getValueState("ledger", STATE)
+
+    def _ledger(self) -> tuple[Ledger, tuple[int, int] | None]:
+        ledger, known = Ledger(self.most), self.state.get()
+        if known is None:
+            return ledger, None
+        home, since, rejected, pending, seq, until = known
+        ledger.home, ledger.rejected, ledger.pending = dict(zip(home, since)), set(rejected), list(pending)
+        return ledger, None if seq is None else (seq, until)
+
+    def _put(self, ledger: Ledger, staged: tuple[int, int] | None) -> None:
+        self.state.update((list(ledger.home), list(ledger.home.values()), sorted(ledger.rejected), ledger.pending, *(staged or (None, None))))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        ledger, since = self._ledger()
+        before, out = since, []
+        for e in sorted(rows, key=lambda e: e.seq):
             at = int(e.at.timestamp() * 1000) if self.keep_ms is not None else 0
             if since and self.keep_ms is not None and at > since[1]:
                 out += ledger.expire(since[0] + 1)
@@ -172,26 +137,20 @@ class Keeper(StatefulProcessor):
                 since = None
             elif e.kind == "stage":
                 since = (int(e.seq), at + (self.keep_ms or 0))
-        self._put(ledger)
-        if since:
-            self.staged.update(since)
-        elif self.staged.exists():
-            self.staged.clear()
-        if self.keep_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        self._put(ledger, since)
+        if self.keep_ms is not None and (before and before[1]) != (since and since[1]):
+            if before:
+                self.handle.deleteTimer(before[1])
             if since:
                 self.handle.registerTimer(since[1])
-        yield self._frame(key, out)
+        return (DECISION(*key, *r) for r in out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        if self.staged.exists():
-            ledger = self._ledger()
-            out += ledger.expire(self.staged.get()[0] + 1)
-            self._put(ledger)
-            self.staged.clear()
-        yield self._frame(key, out)
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        ledger, staged = self._ledger()
+        out = list(ledger.expire(staged[0] + 1)) if staged else []
+        if staged:
+            self._put(ledger, None)
+        return (DECISION(*key, *r) for r in out)
 
     def close(self) -> None:
         pass
@@ -204,9 +163,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 def replay_stream(events: DataFrame, most: int = 3, keep_ms: int | None = None) -> DataFrame:
     """The same over a stream of events (run, seq, kind, units): a run's ledger is its state. Events of a run must arrive in order.
 
-    With keep_ms the events also have `at`, with a watermark, and staged batches expire. State lives in RocksDB, as map states and timers ask for.
+    With keep_ms the events also have `at`, with a watermark, and staged batches expire. State lives in RocksDB, as timers ask for.
     """
     events.sparkSession.conf.set(STORE, ROCKS)
     kind = events.schema["run"].dataType.simpleString()
     mode = "None" if keep_ms is None else "EventTime"
-    return events.groupBy("run").transformWithStateInPandas(Keeper(most, keep_ms), f"run {kind}, {OUT}", "Append", mode)
+    return events.groupBy("run").transformWithState(Keeper(most, keep_ms), f"run {kind}, {OUT}", "Append", mode)

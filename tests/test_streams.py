@@ -118,3 +118,29 @@ def test_a_restart_without_new_files(spark, tmp_path):
     assert run() == [("a", 2), ("b", 1)]
     spark.createDataFrame([("b", at(9), 9, False, 3)], LOG).write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == [("a", 2), ("b", 3)]
+
+
+def test_a_run_asks_its_state_twice_a_batch():
+    from types import SimpleNamespace as N
+
+    calls, kept = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            kept["v"] = v
+
+    keeper = L.Keeper(3, None)
+    keeper.init(N(getValueState=lambda *a: Value()))
+    out = []
+    for lot in (range(0, 200), range(200, 400)):
+        events = [N(seq=i, kind="commit" if i % 2 else "stage", units=[f"u{i // 2}", f"u{i // 4}"]) for i in lot]
+        out += keeper.handleInputRows((1,), iter(events[::-1]), None)
+    assert calls == ["get", "update"] * 2  # each unit was a call of a map state before
+    ledger = L.Ledger(3)
+    want = [r for i in range(400) for r in ledger.apply(i, "commit" if i % 2 else "stage", [f"u{i // 2}", f"u{i // 4}"])]
+    assert [tuple(r) for r in out] == [(1, *r) for r in want] and any(r.outcome == "duplicate" for r in out)
